@@ -69,3 +69,50 @@ def global_row_numbers(df: DataFrame, keys: list[str], name: str = "row_number")
     starts = spark.createDataFrame(offsets or [(0, 0)], "_p long, _before long")
     out = part.join(F.broadcast(starts), "_p").withColumn(name, F.col("_before") + F.col("_g").bitwiseAND((1 << 33) - 1))
     return out.drop("_g", "_p", "_before"), total
+
+
+#: UTF-8 bytes of text that a helper takes into Python objects at once.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch, column: str = "text", limit: int = SLICE_BYTES):
+    """Cut an Arrow record batch into consecutive pieces with about ``limit`` bytes of text; one row at least each."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, distinct, counts): all words of the texts as indexes into the distinct words; words of each text."""
+    import pandas as pd
+
+    found = [WORDS.findall(t) for t in texts]
+    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    flat = np.empty(int(counts.sum()), dtype=object)
+    at = 0
+    for words in found:
+        flat[at : at + len(words)] = words
+        at += len(words)
+    codes, distinct = pd.factorize(flat)
+    return codes.astype(np.int64), distinct, counts
+
+
+def word_hashes(distinct: np.ndarray) -> np.ndarray:
+    import pandas as pd
+
+    return pd.util.hash_array(distinct, categorize=False) if len(distinct) else np.zeros(0, dtype=np.uint64)
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of the given lengths; 0 for an empty group."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
