@@ -7,6 +7,7 @@ from .fingerprints import op6
 from .lines import OP9_SQL, op9
 from .mixing import op8
 from .quality import op2
+from .repeats import OP4_SQL, op4
 from .sharding import op7
 from .toxicity import op5
 from .warc import OP1_SQL, op1
@@ -14,6 +15,7 @@ from .warc import OP1_SQL, op1
 QUERIES = {
     "op1_warc_derivatives": op1,
     "op2_quality_ratio": op2,
+    "op4_run_length_repeats": op4,
     "op5_subword_toxicity": op5,
     "op6_piecewise_hashes": op6,
     "op7_feistel_shards": op7,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_line_templates": op9,
     "op10_chunked_bpe": op10,
 }
-ORACLE = {"op1_warc_derivatives": OP1_SQL, "op9_line_templates": OP9_SQL}
+ORACLE = {"op1_warc_derivatives": OP1_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL}
