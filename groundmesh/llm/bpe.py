@@ -11,15 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices, table
+from .common import FILTER_BITS, bit_filter, cut, mix64, slices, table
 
 #: A chunk ends where the hash of its last WINDOW characters is 0 modulo MEAN; it has LEAST to MOST characters.
 WINDOW = 16
 MEAN = 1024
 LEAST = 256
 MOST = 8192
-#: Bits of the filter that tells which chunks are shared; a wrong yes costs a detour, never a result.
-FILTER_BITS = 1 << 24
 #: Pre-token starts on either side of a join whose tokens must agree with the chunk's own.
 GUARD = 2
 
@@ -169,7 +167,7 @@ def _pieces(batches, columns):
 
 
 def shared_filter(docs: DataFrame) -> np.ndarray:
-    """Bits for the chunks that stand in the corpus twice or more; FILTER_BITS / 64 rows at most reach the driver."""
+    """A filter of the chunks that stand in the corpus twice or more."""
 
     def keys(batches):
         for _, rows in _pieces(batches, ["text"]):
@@ -184,11 +182,7 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(times)], ["chunk", "times"])
 
     counts = docs.select("text").mapInArrow(keys, "chunk long, times long").groupBy("chunk").agg(F.sum("times").alias("times")).where("times > 1")
-    words = counts.groupBy(F.expr(f"pmod(chunk, {FILTER_BITS}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(chunk, {FILTER_BITS}) % 64 as int))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    for word, bits in words.collect():
-        out[word] = np.uint64(bits % (1 << 64))
-    return out
+    return bit_filter(counts, "chunk")
 
 
 def is_shared(bits: np.ndarray, key: int) -> bool:

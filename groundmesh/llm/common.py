@@ -112,7 +112,61 @@ def word_hashes(distinct: np.ndarray) -> np.ndarray:
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive groups of the given lengths; 0 for an empty group."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    """Sums of consecutive groups of the given lengths, each on its own; 0 for an empty group."""
+    out = np.zeros(len(counts), dtype=values.dtype)
+    full = np.flatnonzero(counts > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values, np.cumsum(counts)[full] - counts[full])
+    return out
+
+
+#: Bits of a filter on 64-bit keys. A wrong yes costs a detour, never a result.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each key modulo FILTER_BITS; at most FILTER_BITS / 64 rows reach the driver."""
+    at = f"pmod({column}, {FILTER_BITS})"
+    words = keys.groupBy(F.expr(f"{at} div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} % 64 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for word, bits in words.collect():
+        out[word] = np.uint64(bits % (1 << 64))
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.mod(keys.astype(np.int64), FILTER_BITS)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the least node of each node's component, for nodes that have edges.
+
+    Edges are turned into stars around ever smaller nodes until nothing changes: in a round each node hands its larger
+    neighbours, then its smaller ones, to its least neighbour. No component is ever gathered in a task, and each
+    round is written before the next.
+    """
+
+    def star(e, larger: bool):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else e
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        out = both.join(least, "a")
+        if larger:
+            return out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lean = out.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return lean.unionByName(out.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+
+    def state(e):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
+    e = cut(e)
+    before = state(e)
+    while before[0]:
+        e = cut(star(star(e, True), False))
+        after = state(e)
+        if after == before:
+            break
+        before = after
+    roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

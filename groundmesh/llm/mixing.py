@@ -136,6 +136,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # As a difference, the number is no join key: the texts are dealt by _key once.
     joined = keyed.join(ranges, (keyed["_key"] == ranges["key"]) & (keyed["_nth"] - ranges["_n"] == 0))
 
+    columns = docs.columns
+
     def cut_text(batches):
         for b in batches:
             out = []
@@ -145,7 +147,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             b["text"] = out
             if "n_chars" in b:
                 b["n_chars"] = pd.Series([len(t) for t in out], index=b.index, dtype="int64")
-            yield b[docs.columns]
+            yield b[columns]
 
     return joined.mapInPandas(cut_text, docs.schema)
 

@@ -12,8 +12,9 @@ from .common import mix64, slices, sums, table, word_codes, word_hashes
 #: n-grams are hashed into so many buckets; the model is two counts for each, whatever the corpus holds.
 BUCKETS = 1 << 14
 #: Documents whose log ratio, a mean over their n-grams, is below this go; plain text lies near 0.
-THRESHOLD = -0.08
-SMOOTHING = 1.0
+THRESHOLD = -0.1
+#: Counts that are added to a bucket at the corpus's own ratio, so rare n-grams say little.
+SMOOTHING = 20.0
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -83,7 +84,7 @@ def _count(batches):
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log(trusted / raw) for each bucket, both smoothed; trusted are the documents labelled quality 1.
+    """log(trusted / raw) for each bucket, smoothed; trusted are the documents labelled quality 1.
 
     Each task sums its documents in vectors of BUCKETS counts before anything is shuffled, and BUCKETS rows at most
     reach the driver. All counts are of the whole corpus. Without trusted documents, all ratios are 0.
@@ -96,8 +97,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         raw[bucket], trusted[bucket] = r, t
     if not trusted.sum():
         return np.zeros(BUCKETS)
-    share = lambda x: (x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS)
-    return np.log(share(trusted)) - np.log(share(raw))
+    ratio = trusted.sum() / raw.sum()
+    return np.log((trusted + SMOOTHING * ratio) / (raw + SMOOTHING)) - np.log(ratio)
 
 
 def judge(texts: list[str], ratios: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:

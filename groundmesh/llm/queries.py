@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL, run
+
 from .bpe import op10
 from .fingerprints import op6
 from .lines import OP9_SQL, op9
 from .mixing import op8
+from .neardup import OP3_SQL, op3
 from .quality import op2
 from .repeats import OP4_SQL, op4
 from .sharding import op7
@@ -15,6 +18,7 @@ from .warc import OP1_SQL, op1
 QUERIES = {
     "op1_warc_derivatives": op1,
     "op2_quality_ratio": op2,
+    "op3_hyperminhash_groups": op3,
     "op4_run_length_repeats": op4,
     "op5_subword_toxicity": op5,
     "op6_piecewise_hashes": op6,
@@ -22,5 +26,8 @@ QUERIES = {
     "op8_source_schedule": op8,
     "op9_line_templates": op9,
     "op10_chunked_bpe": op10,
+    "pipeline": run,
 }
-ORACLE = {"op1_warc_derivatives": OP1_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL}
+ORACLE = {"op1_warc_derivatives": OP1_SQL, "op3_hyperminhash_groups": OP3_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL}
+if ORACLE_SQL:
+    ORACLE["pipeline"] = ORACLE_SQL

@@ -155,7 +155,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     of the bias. A row whose doc_id is null is not held out. Rows with several labels teach each of them.
     """
     logits, bias = train(docs, labels, **options)
-    logits = logits.astype(np.float32)
 
     def score(batches):
         for batch in batches:
