@@ -30,22 +30,32 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return mix64(h) >> np.uint64(16)
 
 
-def signature(sums: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> str:
-    """A letter for each piece of the bytes: between triggers, and what is left after the last."""
-    stops = np.append(ends + 1, len(weights)) if not len(ends) or ends[-1] + 1 < len(weights) else ends + 1
-    starts = np.concatenate([[0], stops[:-1]])
-    # sums[j] - sums[i] holds the bytes i .. j-1 times falling powers; the start's power makes pieces comparable.
-    with np.errstate(over="ignore"):
-        piece = (sums[stops] - sums[starts]) * weights[len(weights) - 1 - starts]
-    return LETTERS[(mix64(piece + (stops - starts).astype(np.uint64)) % np.uint64(64)).astype(np.int64)].tobytes().decode()
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(0x9E3779B97F4A7C15 | 1))
-    if n:
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; kept, as long as the longest text so far."""
+    if len(_powers.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), np.uint64(base))
         out[0] = 1
+        with np.errstate(over="ignore"):
+            _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:n]
+
+
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def signature(sums: np.ndarray, ends: np.ndarray) -> str:
+    """A letter for each piece of the bytes: up to each end, and what is left after the last."""
+    n = len(sums) - 1
+    stops = np.append(ends + 1, n) if not len(ends) or ends[-1] + 1 < n else ends + 1
+    starts = np.concatenate([[0], stops[:-1]])
+    # sums[j] - sums[i] holds bytes i .. j-1 times rising powers; without the start's power, equal pieces are equal.
     with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+        piece = (sums[stops] - sums[starts]) * powers(INVERSE, n)[starts]
+    return LETTERS[(mix64(piece + (stops - starts).astype(np.uint64)) % np.uint64(64)).astype(np.int64)].tobytes().decode()
 
 
 def fingerprint(data: bytes) -> str:
@@ -57,16 +67,15 @@ def fingerprint(data: bytes) -> str:
     if not data:
         return f"{LEAST_BLOCK}::"
     array = np.frombuffer(data, dtype=np.uint8)
-    weights = powers(len(array))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((array.astype(np.uint64) + np.uint64(1)) * weights, dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((array.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(array)), dtype=np.uint64)])
     value = rolling(array) + np.uint64(1)
     at = np.flatnonzero(value % np.uint64(LEAST_BLOCK) == 0)
     times = value[at] // np.uint64(LEAST_BLOCK)
     level = np.log2((times & (~times + np.uint64(1))).astype(np.float64)).astype(np.int64)  # powers of two in it
     reach = np.append(np.cumsum(np.bincount(level)[::-1])[::-1], 0) if len(at) else np.zeros(1, np.int64)
     k = int(np.argmax(reach < SIGNATURE))
-    return f"{LEAST_BLOCK << k}:{signature(sums, weights, at[level >= k])}:{signature(sums, weights, at[level > k])}"
+    return f"{LEAST_BLOCK << k}:{signature(sums, at[level >= k])}:{signature(sums, at[level > k])}"
 
 
 def likeness(a, b):
