@@ -1 +1,18 @@
+"""Named queries over the given tables, each with the SQL that it must agree with where SQL can say it."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+for _name in ("network", "pixel", "temporal", "spatial", "gates", "flows"):
+    try:
+        _m = import_module(f".{_name}_queries", __name__)
+    except ModuleNotFoundError as e:
+        if not str(e.name).endswith(f"{_name}_queries"):
+            raise
+        continue
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
