@@ -90,7 +90,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     reach the driver. All counts are of the whole corpus. Without trusted documents, all ratios are 0.
     """
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # Both sides are dealt by id at every size: how many labels there are is not bounded, so none are broadcast.
+    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     found = marked.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted")).collect()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in found:
