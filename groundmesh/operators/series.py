@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,6 @@ def seasonal_fit(df: DataFrame, by: list[str], t: str = "t", y: str = "y") -> Da
     Spark sums the 6 x 6 normal equations of every series in one aggregation; only the small systems, a row for each
     series, are solved in numpy.
     """
-    import numpy as np
-    import pandas as pd
-
     w = 2 * 3.141592653589793
     mid = df.where(f"{t} is not null and {y} is not null").groupBy(*by).agg(F.avg(t).alias("_t0"))
     base = df.where(f"{t} is not null and {y} is not null").join(mid, by)

@@ -102,12 +102,12 @@ def _(spark, d):
 
 @query("bilinear_resample", f"""with {pix_sql('pb', "l_returnflag = 'N'")}, g as (select r.r as row, c.c as col, r.r * 0.9::double + 0.25::double as fr, c.c * 0.9::double + 0.5::double as fc from (select unnest(range(0, 100)) as r) r, (select unnest(range(0, 100)) as c) c),
  k as (select row, col, cast(floor(fr) as int) + i as br, cast(floor(fc) as int) + j as bc, (case when i = 1 then fr - floor(fr) else 1 - (fr - floor(fr)) end) * (case when j = 1 then fc - floor(fc) else 1 - (fc - floor(fc)) end) as w from g, (select unnest([0, 1]) as i) i, (select unnest([0, 1]) as j) j)
-select k.row, k.col, round(sum(w * velocity) / sum(w), 6) as value, round(sum(w), 6) as weight from k join pb on pb.row = br and pb.col = bc where w > 0 group by 1, 2""")
+select k.row, k.col, round(sum(w * velocity) / sum(w), 9) as value, round(sum(w), 9) as weight from k join pb on pb.row = br and pb.col = bc where w > 0 group by 1, 2""")
 def _(spark, d):
     b = pixels(spark, d, "l_returnflag = 'N'")
     grid = spark.range(10000).select(F.expr("cast(id div 100 as int)").alias("row"), F.expr("cast(id % 100 as int)").alias("col"))
     grid = grid.withColumn("r", F.col("row") * 0.9 + 0.25).withColumn("c", F.col("col") * 0.9 + 0.5)
-    return rounded(geo.resample(b, grid, "velocity"), 6)
+    return rounded(geo.resample(b, grid, "velocity"), 9)
 
 
 @query("contiguous_runs", "with i as (select s_nationkey as path, s_suppkey % 40 as id from supplier group by 1, 2), n as (select path, id, id - row_number() over (partition by path order by id) as isl from i) select a.path, a.id as first, b.id as last, b.id - a.id + 1 as k from n a join n b on a.path = b.path and a.isl = b.isl and b.id >= a.id and b.id - a.id < 15")

@@ -1 +1,67 @@
+"""Streams with the semantics of the batch operators."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def daily_medians(obs: DataFrame, late: str = "1 day", least: int = 2) -> DataFrame:
+    """Daily median of each station with ``least`` values or more; a day is given once the watermark has passed it."""
+    agg = obs.where("value is not null").withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "producer", "station")
+    out = agg.agg(F.count("value").alias("n"), F.percentile("value", F.lit(0.5)).alias("median")).where(F.col("n") >= least)
+    return out.select("producer", "station", F.to_date("w.start").alias("date"), "n", "median")
+
+
+HEALTH = "station long, n long, zero_fraction double, constant_fraction double, max_gap_days double"
+
+
+def sensor_health(obs: DataFrame, late: str = "1 day") -> DataFrame:
+    """Running health of each station: shares of zeros and of repeated values, and the largest gap.
+
+    The state of a station is five numbers. Batches of a station are put in time order before they are counted.
+    """
+
+    def run(key, frames, state):
+        n, zeros, same, last, gap = state.get if state.exists else (0, 0, 0, None, 0.0)
+        value, at = (None, None) if last is None else (last[0], last[1])
+        for f in frames:
+            f = f.sort_values("ts")
+            for ts, v in zip(f["ts"].astype("int64") / 1e9, f["value"], strict=True):
+                if at is not None:
+                    gap = max(gap, (ts - at) / 86400)
+                    same += v == value
+                n, zeros, value, at = n + 1, zeros + (v == 0), v, ts
+        state.update((n, zeros, same, (value, at), gap))
+        yield pd.DataFrame([[key[0], n, zeros / n, same / n, gap]], columns=["station", "n", "zero_fraction", "constant_fraction", "max_gap_days"])
+
+    keyed = obs.where("value is not null").select("station", "ts", "value")
+    return keyed.groupBy("station").applyInPandasWithState(run, HEALTH, "n long, zeros long, same long, last struct<value: double, at: double>, gap double", "update", "NoTimeout")
+
+
+def latest_states(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """An append-only ledger's events without the repeats that arrive inside the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "status"])
+
+
+def upsert_sink(path: str, key: list[str]):
+    """A foreachBatch function that keeps the latest row of each key in a parquet table."""
+    from ..operators.gates import upsert_latest
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        name = lambda k: f"{path}/v{k}"
+        rows = batch if epoch == 0 else upsert_latest(spark.read.parquet(name(epoch - 1)), batch, key, [F.desc("ts")])
+        upsert_latest(rows.limit(0), rows, key, [F.desc("ts")]).write.mode("overwrite").parquet(name(epoch))
+
+    return run
+
+
+def epoch_matches(obs: DataFrame, epochs: DataFrame, half_days: int = 3, least: int = 4, late: str = "1 day") -> DataFrame:
+    """Median of the readings within half_days of each epoch (a static table), once its days are past the watermark."""
+    spread = epochs.select(F.col("epoch"), F.explode(F.sequence(F.date_sub("epoch", half_days), F.date_add("epoch", half_days))).alias("date"))
+    end = F.to_timestamp(F.date_add("epoch", half_days + 1))
+    joined = obs.withColumn("date", F.to_date("ts")).join(F.broadcast(spread), "date").withColumn("closes", end - F.expr("interval 1 second"))
+    agg = joined.withWatermark("closes", late).groupBy(F.window("closes", "1 day").alias("w"), "station", "epoch").agg(F.count("value").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
+    return agg.select("station", "epoch", "n", F.when(F.col("n") >= least, F.col("median")).alias("median"))
