@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _name in ("network", "pixel", "temporal", "spatial", "gates", "flows"):
+for _name in ("network", "pixel", "temporal", "spatial", "gates", "flows", "fields"):
     try:
         _m = import_module(f".{_name}_queries", __name__)
     except ModuleNotFoundError as e:
@@ -16,3 +16,7 @@ for _name in ("network", "pixel", "temporal", "spatial", "gates", "flows"):
         continue
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
+
+# Survey operators without a query yet: J6 (rates of co-located station pairs on common dates), A24 by copy state, A31 (zone
+# profiles by depth), N11 (connecting and de-bridging under caps), G10 and G20 beyond their parts, X5 by days, C8 and C16
+# as whole reports, Q8 rule packs. Sources S2-S8 and S14 are tested on files, as no given table holds their formats.
