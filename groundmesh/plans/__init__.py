@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import fields_queries, flows_queries, gates_queries, network_queries, pixel_queries, spatial_queries, temporal_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _name in ("network", "pixel", "temporal", "spatial", "gates", "flows", "fields"):
-    try:
-        _m = import_module(f".{_name}_queries", __name__)
-    except ModuleNotFoundError as e:
-        if not str(e.name).endswith(f"{_name}_queries"):
-            raise
-        continue
-    QUERIES |= _m.QUERIES
-    ORACLE |= _m.ORACLE
+for _module in (network_queries, pixel_queries, temporal_queries, spatial_queries, gates_queries, flows_queries, fields_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
 
 # Survey operators without a query yet: J6 (rates of co-located station pairs on common dates), A24 by copy state, A31 (zone
 # profiles by depth), N11 (connecting and de-bridging under caps), G10 and G20 beyond their parts, X5 by days, C8 and C16
