@@ -127,7 +127,22 @@ def _(spark, d):
     return graph.cut_vertices(*_thin(spark, d))
 
 
-@query("audit_network")
+AUDIT = f"""with recursive {NET}, two as (select network_id, src as a, dst as b from edges union select network_id, dst, src from edges),
+ deg as (select network_id, a as node, count(*) as degree from two group by 1, 2),
+ dg as (select network_id, count(*) as nodes, min(degree) as degree_min, avg(degree) as degree_mean, quantile_cont(degree, .5) as degree_median, max(degree) as degree_max from deg group by 1),
+ ed as (select network_id, count(*) as edges from edges group by 1), r as (select network_id, node as a, node as b from nodes union select r.network_id, r.a, t.b from r join two t on t.network_id = r.network_id and t.a = r.b),
+ cm as (select network_id, count(distinct c) as components from (select network_id, a, min(b) as c from r group by 1, 2) group by 1),
+ br as (select network_id, src as x, dst as y, src as b from edges union select k.network_id, k.x, k.y, t.b from br k join two t on t.network_id = k.network_id and t.a = k.b and not (t.a = k.x and t.b = k.y) and not (t.a = k.y and t.b = k.x)),
+ nb as (select network_id, count(*) as bridges from edges e where not exists (select 1 from br k where k.network_id = e.network_id and k.x = e.src and k.y = e.dst and k.b = e.dst) group by 1),
+ cv as (select network_id, a as c, min(b) as b from two group by 1, 2 union select v.network_id, v.c, t.b from cv v join two t on t.network_id = v.network_id and t.a = v.b and t.b <> v.c),
+ nc as (select network_id, count(distinct a) as cut_vertices from two t where not exists (select 1 from cv v where v.network_id = t.network_id and v.c = t.a and v.b = t.b) group by 1),
+ gp as (select network_id, max(g) as max_gap from (select network_id, node - lag(node) over (partition by network_id order by node) as g from nodes) group by 1)
+select network_id, nodes, degree_min, round(degree_mean, 6) as degree_mean, round(degree_median, 6) as degree_median, degree_max, 0 as isolates, edges, components, coalesce(bridges, 0) as bridges, coalesce(cut_vertices, 0) as cut_vertices, cast(max_gap as int) as max_gap,
+ components = 1 and coalesce(bridges, 0) = 0 and coalesce(cut_vertices, 0) = 0 and degree_min >= 3 and max_gap <= 48 as accepted
+from dg join ed using (network_id) join cm using (network_id) left join nb using (network_id) left join nc using (network_id) join gp using (network_id)"""
+
+
+@query("audit_network", AUDIT)
 def _(spark, d):
     out = graph.audit_network(*network(spark, d))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
