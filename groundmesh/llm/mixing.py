@@ -130,11 +130,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken words and the white space between them; documents that the mix never reaches go.
     """
     _, takes = mix_rows(docs, **options)
-    ranges = takes.groupBy("key", F.col("nth").alias("_n"), "epoch").agg(F.min("from").alias("_from"), F.max("to").alias("_to"))
+    ranges = takes.groupBy(F.col("key").alias("_rk"), F.col("nth").alias("_n"), F.col("epoch").alias("_epoch")).agg(F.min("from").alias("_from"), F.max("to").alias("_to"))
     keyed = docs.withColumn("_key", row_key())
     keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
     # As a difference, the number is no join key: the texts are dealt by _key once.
-    joined = keyed.join(ranges, (keyed["_key"] == ranges["key"]) & (keyed["_nth"] - ranges["_n"] == 0))
+    joined = keyed.join(ranges, (F.col("_key") == F.col("_rk")) & (F.col("_nth") - F.col("_n") == 0))
 
     columns = docs.columns
 
