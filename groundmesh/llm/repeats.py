@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ SLICE_BITS = 1 << 15
 SLICE_KEYS = 1 << 23
 #: A bucket that more texts share than this is not indexed: its strings are compared one by one, by a shuffle.
 HOT_TEXTS = 100_000
+#: Bytes of candidate pieces that a task gathers before it packs them.
+FLUSH = 6 << 20
 #: Symbols that one index holds, if no single bucket is larger.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def anchors(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,51 +216,73 @@ class RunLengthIndex:
         self.run_earliest = np.repeat(earliest, np.diff(np.append(group, len(run))))
         self.lengths = lengths
 
-    def earliest_matches(self) -> list[np.ndarray]:
-        """For each string, the earliest place in the text of the LENGTH symbols from each of its places.
+    def earliest_matches(self) -> np.ndarray:
+        """The earliest place in the text of the LENGTH symbols at each place of each string, string after string.
 
         All strings are read backwards side by side, one LF step for each symbol.
         """
-        n = len(self.lengths)
-        row = np.arange(n)  # end symbols come first and in order
-        out = [np.zeros(max(0, x - LENGTH + 1), dtype=np.int64) for x in self.lengths]
-        flat = np.zeros(int(np.maximum(self.lengths - LENGTH + 1, 0).sum()), dtype=np.int64)
-        base = np.concatenate([[0], np.cumsum(np.maximum(self.lengths - LENGTH + 1, 0))])
-        live = np.arange(n)
+        n = np.maximum(self.lengths - LENGTH + 1, 0)
+        base = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), dtype=np.int64)
+        live = np.argsort(-self.lengths, kind="stable")  # the longest first, so those that go on stay in front
+        row = live.copy()  # end symbols come first and in order
         run = np.searchsorted(self.run_starts, row, side="right") - 1
-        for step in range(1, int(self.lengths.max()) + 1):
-            more = self.lengths[live] >= step
-            live, run, row = live[more], run[more], row[more]
+        more = len(self.lengths) - np.searchsorted(np.sort(self.lengths), np.arange(1, int(self.lengths.max()) + 1), side="left")
+        for step, k in enumerate(more.tolist(), 1):
+            live, run, row = live[:k], run[:k], row[:k]
             row = self.run_leads[run] + row - self.run_starts[run]
             run = np.searchsorted(self.run_starts, row, side="right") - 1
             if step >= LENGTH:
-                flat[base[live] + self.lengths[live] - step] = self.run_earliest[run]
-        for i in range(n):
-            out[i] = flat[base[i] : base[i + 1]]
+                out[base[live] + self.lengths[live] - step] = self.run_earliest[run]
         return out
 
 
-def mark(strings: list[bytes], texts: np.ndarray) -> np.ndarray:
-    """For each string of a text (by its number), the bits of the places whose LENGTH bytes an earlier text has."""
-    import pandas as pd
+def mark(strings: list[bytes], texts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """For each string of a text (by its number), the bits of the places whose LENGTH bytes an earlier text has.
 
+    Equal strings fold to the first text that has them; the others' are marked whole. The distinct strings of a bucket
+    are indexed, the earliest first, unless the bucket has but one, which then has nothing else to match.
+    """
     codes, distinct = pd.factorize(np.array(strings, dtype=object))
     first = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(first, codes, texts)
-    order = np.argsort(first, kind="stable")
-    index = RunLengthIndex([distinct[i] for i in order])
-    owner = np.repeat(first[order], index.lengths + 1)
-    bits = np.zeros(len(distinct), dtype=np.int64)
-    full = np.zeros(len(distinct), dtype=np.int64)
-    matches = index.earliest_matches()
-    sizes = np.array([len(m) for m in matches])
-    flat = owner[np.concatenate(matches)] < np.repeat(first[order], sizes)
-    shift = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    bits[order] = np.add.reduceat(flat.astype(np.int64) << shift, np.cumsum(sizes) - sizes)
-    full[order] = (np.int64(1) << sizes) - 1
+    sizes = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) - LENGTH + 1
+    bits, full = np.zeros(len(distinct), dtype=np.int64), (np.int64(1) << sizes) - 1
+    bucket = np.zeros(len(distinct), dtype=np.int64)
+    bucket[codes] = buckets.astype(np.int64)
+    _, inverse, times = np.unique(bucket, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[inverse] > 1)
+    if len(several):
+        order = several[np.argsort(first[several], kind="stable")]
+        index = RunLengthIndex([distinct[i] for i in order])
+        owner = np.repeat(first[order], index.lengths + 1)
+        n = sizes[order]
+        begin = np.cumsum(n) - n
+        flat = owner[index.earliest_matches()] < np.repeat(first[order], n)
+        bits[order] = np.add.reduceat(flat.astype(np.int64) << (np.arange(len(flat)) - np.repeat(begin, n)), begin)
     return np.where(texts > first[codes], full[codes], bits[codes])
 
 
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def pack(key, nth, row, at, sizes, text) -> bytes:
+    raw = b"".join((np.int64(len(key)).tobytes(), key.astype("<u8").tobytes(), nth.astype("<i8").tobytes(), row.astype("<u4").tobytes(), at.astype("<i4").tobytes(), sizes.astype("<u1").tobytes(), text.tobytes()))
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(packed[8:], decompressed_size=int(np.frombuffer(packed[:8], "<i8")[0]), codec="zstd", asbytes=True)
+    n, at, out = int(np.frombuffer(raw[:8], "<i8")[0]), 8, []
+    for kind in ("<u8", "<i8", "<u4", "<i4", "<u1"):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    out[4] = out[4].astype(np.int64)
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``.
 
@@ -288,44 +313,67 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             own = owner[first]
             yield data, first, last, key, np.array(keys, dtype=np.int64)[own], np.array(nth, dtype=np.int64)[own], first - begin[own] + offset
 
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def strings(batches):
+        """Pieces of text by bucket, packed and compressed by part; copies in a task lie side by side and cost little."""
+        held, size = [], 0
+
+        def flush():
+            key, nth, row, at, sizes = (np.concatenate([h[k] for h in held]) for k in range(5))
+            text = np.concatenate([h[5] for h in held])
+            part = (key % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((nth, key, part))
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
+            starts = np.cumsum(sizes) - sizes
+            packs = []
+            for i, j in zip(edge, np.append(edge[1:], len(order)), strict=True):
+                o = order[i:j]
+                packs.append(pack(key[o], nth[o], row[o], at[o], sizes[o], gather(text, starts[o], sizes[o])))
+            return pa.RecordBatch.from_arrays([pa.array(part[order][edge].astype(np.int32)), pa.array(packs, pa.binary())], ["part", "pack"])
+
         for data, first, last, key, row, nth, at in candidates(batches, False):
             sizes = last - first + LENGTH
-            ends = np.cumsum(sizes)
-            where = np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-            string = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data[where].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(row), pa.array(nth), pa.array(at.astype(np.int32)), string], ["bucket", "key", "nth", "at", "string"])
-
-    def index_blocks(batches):
-        held, size, bucket = [], 0, None
+            held.append((key, nth, (row & 0xFFFFFFFF).astype(np.uint32), at.astype(np.int32), sizes, gather(data, first, sizes)))
+            size += len(held[-1][5])
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
-        def flush(part):
-            keys, nth, at, text = (np.concatenate([p[k] for p in part]) for k in range(4))
-            mask = mark(list(text), nth)
+    def index_part(packs):
+        key, nth, row, at, sizes = (np.concatenate([x[k] for x in packs]) for k in range(5))
+        text = np.concatenate([x[5] for x in packs])
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(key, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(key[order]) != 0) + 1, len(order))
+        total = np.cumsum(sizes[order])
+        i = 0
+        while i < len(order):  # blocks of whole buckets
+            base = total[i - 1] if i else 0
+            fit = np.searchsorted(total[ends - 1], base + BLOCK, side="right") - 1
+            j = int(ends[max(fit, np.searchsorted(ends, i, side="right"))])
+            o = order[i:j]
+            mask = mark([text[s : s + n].tobytes() for s, n in zip(starts[o].tolist(), sizes[o].tolist(), strict=True)], nth[o], key[o])
             hit = mask != 0
-            return pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(at[hit]), pa.array(mask[hit])], ["key", "at", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(nth[o][hit]), pa.array(row[o][hit].astype(np.int64)), pa.array(at[o][hit]), pa.array(mask[hit])], ["nth", "row", "at", "mask"])
+            i = j
 
+    def index_blocks(batches):
+        held, now = [], None
         for batch in batches:
-            b, keys, nth, at = (batch.column(c).to_numpy() for c in ("bucket", "key", "nth", "at"))
-            text = np.array([*batch.column("string").to_pylist(), None], dtype=object)[:-1]
-            lengths = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
-            edges = np.flatnonzero(np.concatenate([[bucket is not None and b[0] != bucket], b[1:] != b[:-1]])) if len(b) else []
-            last = 0
-            for edge in edges:
-                # Blocks end between buckets.
-                if size + int(lengths[last:edge].sum()) >= BLOCK:
-                    part = [*held, (keys[last:edge], nth[last:edge], at[last:edge], text[last:edge])]
-                    if sum(len(p[0]) for p in part):
-                        yield flush(part)
-                    held, size, last = [], 0, edge
-            if len(b):
-                held.append((keys[last:], nth[last:], at[last:], text[last:]))
-                size += int(lengths[last:].sum())
-                bucket = b[-1]
-        if sum(len(p[0]) for p in held):
-            yield flush(held)
-
-    marks = rows.select("key", "nth", "text").mapInArrow(strings, "bucket long, key long, nth long, at int, string binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(index_blocks, "key long, at int, mask long")
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+                if part != now and held:
+                    yield from index_part(held)
+                    held = []
+                now = part
+                held.append(unpack(packed))
+        if held:
+            yield from index_part(held)
+
+    packed = rows.select("key", "nth", "text").mapInArrow(strings, "part int, pack binary")
+    marks = packed.repartition("part").sortWithinPartitions("part").mapInArrow(index_blocks, "nth long, row long, at int, mask long")
 
     if len(hot):
 
@@ -335,16 +383,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 where = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
                 start = np.repeat(at - first, sizes) + where
                 string = [data[i : i + LENGTH].tobytes() for i in where]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, sizes)), pa.array(np.repeat(nth, sizes)), pa.array(start.astype(np.int32)), pa.array(string, pa.binary())], ["key", "nth", "at", "string"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nth, sizes)), pa.array(np.repeat(row & 0xFFFFFFFF, sizes)), pa.array(start.astype(np.int32)), pa.array(string, pa.binary())], ["nth", "row", "at", "string"])
 
-        each = cut(rows.select("key", "nth", "text").mapInArrow(single, "key long, nth long, at int, string binary"))
+        each = cut(rows.select("key", "nth", "text").mapInArrow(single, "nth long, row long, at int, string binary"))
         least = each.groupBy("string").agg(F.min("nth").alias("first"))
-        marks = marks.unionByName(each.join(least, "string").where("nth > first").select("key", "at", F.lit(1).cast("long").alias("mask")))
+        marks = marks.unionByName(each.join(least, "string").where("nth > first").select("nth", "row", "at", F.lit(1).cast("long").alias("mask")))
 
-    per_text = marks.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    fields = f"doc_id {kind}, key long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    columns = ["doc_id", "key", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    per_text = marks.groupBy("nth", "row").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    fields = f"doc_id {kind}, nth long, row long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    columns = ["doc_id", "nth", "row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def in_place(batches):
         for batch in batches:
@@ -353,20 +401,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 first, _, key = anchors(data, owner)
                 flagged[start + owner[first[maybe_shared(bits.value, key)]]] = True
             out = []
-            for key, text, flag in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), flagged, strict=True):
+            for nth, row, text, flag in zip(*(batch.column(c).to_pylist() for c in ("nth", "row", "text")), flagged, strict=True):
                 data = text.encode()
-                out.append((key, text, None, None, None, None) if flag else (key, None, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True))], columns)
+                out.append((nth, row, text, None, None, None, None) if flag else (nth, row, None, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True))], columns)
 
     def finish(batches):
         for batch in batches:
             out = []
-            for key, text, n, removed, spans, sha, found in zip(*(batch.column(c).to_pylist() for c in (*columns[1:], "marks")), strict=True):
-                out.append((key, None, n, removed, spans, sha) if text is None else (key, None, *without(text.encode(), found or [])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True))], columns)
+            for nth, row, text, n, removed, spans, sha, found in zip(*(batch.column(c).to_pylist() for c in (*columns[1:], "marks")), strict=True):
+                out.append((nth, row, None, n, removed, spans, sha) if text is None else (nth, row, None, *without(text.encode(), found or [])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True))], columns)
 
-    first = rows.select("doc_id", "key", "text").mapInArrow(in_place, fields)
-    done = first.join(per_text, "key", "left").select(*columns, "marks").mapInArrow(finish, fields)
+    first = rows.select("doc_id", "nth", F.expr("key & 4294967295").alias("row"), "text").mapInArrow(in_place, fields)
+    done = first.join(per_text, ["nth", "row"], "left").select(*columns, "marks").mapInArrow(finish, fields)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
