@@ -28,7 +28,7 @@ SLICE_KEYS = 1 << 23
 #: A bucket that more texts share than this is not indexed: its strings are compared one by one, by a shuffle.
 HOT_TEXTS = 100_000
 #: Bytes of candidate pieces that a task gathers before it packs them.
-FLUSH = 6 << 20
+FLUSH = 64 << 20
 #: Symbols that one index holds, if no single bucket is larger.
 BLOCK = 1 << 19
 
@@ -408,9 +408,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def finish(batches):
         for batch in batches:
-            out = []
-            for nth, row, text, n, removed, spans, sha, found in zip(*(batch.column(c).to_pylist() for c in (*columns[1:], "marks")), strict=True):
-                out.append((nth, row, None, n, removed, spans, sha) if text is None else (nth, row, None, *without(text.encode(), found or [])))
+            out, marks = [], batch.column("marks")
+            edges = marks.offsets.to_numpy()
+            at, mask = marks.values.field("at").to_numpy(), marks.values.field("mask").to_numpy()
+            for i, (nth, row, text, n, removed, spans, sha) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[1:]), strict=True)):
+                lo, hi = edges[i], edges[i + 1]
+                out.append((nth, row, None, n, removed, spans, sha) if text is None else (nth, row, None, *without(text.encode(), at[lo:hi], mask[lo:hi])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True))], columns)
 
     first = rows.select("doc_id", "nth", F.expr("key & 4294967295").alias("row"), "text").mapInArrow(in_place, fields)
@@ -418,16 +421,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without(data: bytes, marks: list[dict]) -> tuple[int, int, int, str]:
+def without(data: bytes, at: np.ndarray, mask: np.ndarray) -> tuple[int, int, int, str]:
     """(bytes, removed bytes, removed runs, SHA-256 of the rest) once the marked strings are gone."""
-    change = np.zeros(len(data) + 1, dtype=np.int64)
-    at = np.array([m["at"] for m in marks], dtype=np.int64)
-    mask = np.array([m["mask"] for m in marks], dtype=np.int64)
-    for k in range(SPAN):
-        p = at[(mask >> k) & 1 == 1] + k
-        np.add.at(change, p, 1)
-        np.add.at(change, p + LENGTH, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    starts = np.zeros(len(data) + 1, dtype=np.int64)
+    places = at[:, None] + np.arange(SPAN)
+    starts[places[(mask[:, None] >> np.arange(SPAN)) & 1 == 1]] = 1
+    seen = np.cumsum(starts)
+    # A byte goes if a marked string starts at it or at one of the LENGTH - 1 bytes before.
+    gone = seen[:-1] > np.concatenate([np.zeros(LENGTH, np.int64), seen])[: len(data)]
     spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0
     return len(data), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()).hexdigest()
 
