@@ -21,10 +21,14 @@ AGREEMENT = 0.8
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line that can belong to a template: doc_id, row, pos, masked tokens, n, template, leaf."""
     lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("masked", F.transform(F.regexp_extract_all("line", F.lit(f"({WORD})")), lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)))
+    spaced = F.col("line")
+    for blank in "\t\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    tokens = F.array_remove(F.split(spaced, " "), "")
+    lines = lines.withColumn("masked", F.when(F.col("line").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens))
     lines = lines.withColumn("n", F.size("masked")).where(F.col("n") >= MIN_TOKENS)
-    lines = lines.where(F.size(F.filter("masked", lambda t: t != "<*>")) >= F.lit(CONSTANT_SHARE) * F.col("n"))
-    return lines.select("doc_id", "row", "pos", "masked", "n", F.xxhash64(F.array_join("masked", " ")).alias("template"), F.xxhash64("n", F.slice("masked", 1, DEPTH)).alias("leaf"))
+    lines = lines.where(F.size(F.array_remove("masked", "<*>")) >= F.lit(CONSTANT_SHARE) * F.col("n"))
+    return lines.select("doc_id", "row", "pos", "masked", "n", F.xxhash64("n", "masked").alias("template"), F.xxhash64("n", F.slice("masked", 1, DEPTH)).alias("leaf"))
 
 
 def _in_many_documents(rows: DataFrame, key: str) -> DataFrame:
