@@ -9,7 +9,9 @@ from .common import table
 
 #: Elements whose content is no text, elements that end a line, named character references.
 NO_TEXT = "script|style|noscript|template|svg|head"
-BLOCKS = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|aside|main|blockquote|pre|hr|form|title|dd|dt|dl"
+BLOCKS = "(?i:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|aside|main|blockquote|pre|hr|form|title|dd|dt|dl)"
+#: A comment, or an element without text from its start to its end, in one pass that looks for "<" only.
+HIDDEN = "<(?:!--(?s:.*?)-->|" + "|".join(f"{n}(?:\\s[^>]*)?>(?s:.*?)</{n}\\s*>" for n in (f"(?i:{x})" for x in NO_TEXT.split("|"))) + ")"
 NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -28,11 +30,10 @@ def html_text(html: Column) -> Column:
     Numeric references up to six digits and the named ones of NAMED are decoded once; other references stay. White
     space inside a line shrinks to one space and blank lines go. Null gives null.
     """
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for name in NO_TEXT.split("|"):
-        t = F.regexp_replace(t, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", " ")
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
+    t = F.regexp_replace(html, HIDDEN, " ")
+    for blank in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(blank), F.lit(" "))
+    t = F.regexp_replace(t, rf"</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, r"<[A-Za-z/!?][^>]*>", "")
     t = F.aggregate(
         F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#([0-9]{1,6});"), 1))),
@@ -41,9 +42,9 @@ def html_text(html: Column) -> Column:
     )
     for ref, char in NAMED:
         t = F.replace(t, F.lit(ref), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    t = F.regexp_replace(t, r" {2,}", " ")
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
+    return F.array_join(F.array_remove(lines, ""), "\n")
 
 
 def code_point(n: Column) -> Column:
@@ -120,11 +121,9 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     body = "coalesce(html, '')"
-    strip = f"regexp_replace({body}, '(?s)<!--.*?-->', ' ', 'g')"
-    for name in NO_TEXT.split("|"):
-        strip = f"regexp_replace({strip}, '(?is)<{name}(?:\\s[^>]*)?>.*?</{name}\\s*>', ' ', 'g')"
-    strip = f"regexp_replace({strip}, '\\s+', ' ', 'g')"
-    strip = f"regexp_replace({strip}, '(?i)</?(?:{BLOCKS})(?:\\s[^>]*)?/?>', chr(10), 'g')"
+    strip = f"regexp_replace({body}, '{HIDDEN}', ' ', 'g')"
+    strip = f"regexp_replace({strip}, '[\\t\\n\\x0b\\x0c\\r]', ' ', 'g')"
+    strip = f"regexp_replace({strip}, '</?(?:{BLOCKS})(?:\\s[^>]*)?/?>', chr(10), 'g')"
     strip = f"regexp_replace({strip}, '<[A-Za-z/!?][^>]*>', '', 'g')"
     named = "u"
     for ref, char in NAMED:
@@ -139,7 +138,7 @@ with r as (
     {strip} as t
   from pages),
 n as (select *, list_reduce(list_prepend(t, list_sort(list_distinct(regexp_extract_all(t, '&#([0-9]{{1,6}});', 1)))), lambda acc, d: replace(acc, '&#' || d || ';', chr(case when cast(d as int) between 1 and 55295 or cast(d as int) between 57344 and 1114111 then cast(d as int) else 65533 end))) as u from r),
-x as (select *, regexp_replace(regexp_replace(regexp_replace({named}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') as text,
+x as (select *, array_to_string(list_filter(list_transform(string_split(regexp_replace({named}, ' {{2,}}', ' ', 'g'), chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) as text,
   'text/html; charset=utf-8' as source_content_type,
   'sha256:' || sha256(source_http_headers || chr(13) || chr(10) || chr(13) || chr(10) || body) as source_block_digest,
   'sha256:' || sha256(body) as source_payload_digest from n),
