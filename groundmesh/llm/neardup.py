@@ -24,6 +24,10 @@ TURNS = 2
 #: A band group of so many classes, or with so few pairs across its components for each class, is checked in full.
 SMALL = 16
 PAIRS_EACH = 2
+#: Ratio of the largest to the least size in a range of set sizes; buckets that count shingles; classes that meet at once.
+RANGE = 1.05
+COUNTERS = 1 << 20
+BLOCK = 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -146,18 +150,46 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("c", "sketch").mapInArrow(run, "key long, c long")
 
 
-def wide_bands(classes: DataFrame) -> DataFrame:
-    """Keys of bands twice as wide: of each band with the three after it. Fewer classes agree in one by chance."""
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(key, c): groups of which any two linked classes of ``sets`` (c, set) share one at least.
+
+    Sets are put in order, rare shingles first. Two sets of x and y shingles with ``both`` in common share one among the
+    first x - both + 1 and y - both + 1. Sizes fall into ranges RANGE wide, and a key has the ranges of both sides, so
+    that what a link needs in common is known. The order rests on counts in COUNTERS buckets: any order is right, one
+    by rarity keeps groups small.
+    """
+    each = sets.select(F.explode("set").alias("h")).select(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("bucket"))
+    found = each.groupBy("bucket").count().where("count > 1").toPandas()
+    counts = np.ones(COUNTERS, dtype=np.int64)
+    counts[found["bucket"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    reach = int(np.ceil(np.log(100 / PERCENT) / np.log(RANGE)))
 
     def run(batches):
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-            keys = band_keys(rows).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                both = np.concatenate([mix64(keys * np.uint64(5 + k) + np.roll(keys, -k, axis=1)) for k in (1, 2, 3)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both.astype(np.int64).ravel()), pa.array(np.repeat(batch.column("c").to_numpy(), both.shape[1]))], ["key", "c"])
-
-    return classes.select("c", "sketch").mapInArrow(run, "key long, c long")
+            out = []
+            for c, values in zip(batch.column("c").to_pylist(), batch.column("set"), strict=True):
+                h = values.values.to_numpy(zero_copy_only=False)
+                h = h[np.lexsort((h, shared.value[np.mod(h, COUNTERS)]))].astype(np.uint64)
+                n, own = len(h), int(np.log(len(h)) / np.log(RANGE))
+                keys = []
+                for other in range(max(0, own - reach), own + reach + 1):
+                    least = max(int(RANGE**other * (1 - 1e-9)), -(-n * PERCENT // 100))
+                    both = -(-PERCENT * (n + least) // (100 + PERCENT))
+                    if both <= n:
+                        ranges = np.uint64(min(own, other) * 1000 + max(own, other))
+                        with np.errstate(over="ignore"):
+                            keys.append(mix64(h[: n - both + 1] * np.uint64(0x9E3779B97F4A7C15) + ranges))
+                keys = np.concatenate(keys).astype(np.int64)
+                out.append(pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), c))], ["key", "c"]))
+                if sum(x.num_rows for x in out) > 200_000 or len(out) > 500:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out = []
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    rows = cut(sets.select("c", "set").mapInArrow(run, "key long, c long"))
+    return rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key")
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -238,12 +270,28 @@ def cross_pairs(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return pairs, left
 
 
+def all_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of classes of one group (key, c, root) with different roots and sizes that allow a link.
+
+    Classes of all components but the largest meet the group's classes block by block, so no task has a group to itself.
+    """
+    sized = members.join(classes.select("c", "n"), "c")
+    per = members.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("parts"))
+    group = cut(per.where("parts > 1").select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
+    rows = sized.join(group, "key")
+    one = rows.where("root != main").select("key", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    two = rows.select("key", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"))
+    met = one.join(two, ["key", "block"]).where(f"ra != rb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Texts with equal sets form a class, which its sketch stands for. Classes that agree in a band are candidates: each
     with the least class of its band group, and then, in groups that this leaves in several components, across them;
-    what is left of large groups is banded anew, by wider bands. Candidates pass the corrected estimate before their full sets are compared. component_id is the least doc_id
+    classes of large groups that stay mixed meet by their rare shingles, which misses no link, and where that leaves large
+    groups too, all pairs across components are compared. Candidates pass the corrected estimate before their full sets are compared. component_id is the least doc_id
     among the documents that links reach. A text without words (null, empty, blank) is linked with nothing. Rows with
     a null doc_id link like others; they have a null component_id only if no row reached has an id. An empty table
     gives no rows.
@@ -266,13 +314,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         members = cut(rooted(rows.select("key", "c")))
         pairs, left = cross_pairs(members, turn)
         if turn == TURNS - 1 and not left.isEmpty():
-            wide = wide_bands(classes.join(left, "c", "left_semi"))
-            pairs = pairs.unionByName(cross_pairs(cut(rooted(wide)), turn)[0]).distinct()
+            rest = prefixes(sets.join(left, "c", "left_semi"))
+            exact, left = cross_pairs(cut(rooted(rest)), turn)
+            pairs = pairs.unionByName(exact).distinct()
         more = verify(likely(pairs, classes), sets)
         if more.isEmpty() and left.isEmpty():
             break
         links = links.unionByName(more)
         roots = components(links)
+        if turn == TURNS - 1 and not left.isEmpty():
+            more = verify(likely(all_pairs(cut(rooted(rest)), classes), classes), sets)
+            if not more.isEmpty():
+                roots = components(links.unionByName(more))
     named = classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "label", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     named = named.join(least, "root").select(F.col("c").alias("set_key"), "component_id")

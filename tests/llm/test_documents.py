@@ -135,6 +135,49 @@ def test_large_mixed_groups_lose_no_link(spark, monkeypatch):
     assert got == brute_components(pairs)
 
 
+def one_template(n, planted, pool):
+    """Texts of one template, pairwise similar at 0.65, and pairs among them at 0.76."""
+    r, base = random.Random(11), [f"base{k}" for k in range(161)]
+    texts = [base + [f"w{r.randrange(pool)}" for _ in range(43)] for _ in range(n)]
+    for k in range(planted):
+        texts[2 * k + 1][161:178] = texts[2 * k][161:178]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("n", "pool", "small"), [(1500, 10**9, 16), (120, 10**9, 0)])
+def test_hot_template_loses_no_link(spark, monkeypatch, n, pool, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    if not small:  # groups of shared rare shingles count as large, too
+        monkeypatch.setattr(neardup, "PAIRS_EACH", 0)
+        monkeypatch.setattr(neardup, "BLOCK", 16)
+    docs = spark.createDataFrame(one_template(n, 30, pool), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: i - (i % 2 and i < 60) for i in range(n)}
+
+
+def test_hot_template_of_common_parts_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS_EACH", 0)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    r, picks = random.Random(12), []
+    for k in range(60):
+        own = [r.randrange(2) for _ in range(80)]
+        picks.append([x if r.random() < 0.5 else y for x, y in zip(picks[-1], own, strict=True)] if k % 2 and k < 40 else own)
+    texts = [" ".join([f"base{j}" for j in range(400)] + [f"f{f}o{x}w{j}" for f, x in enumerate(p) for j in range(5)]) for p in picks]
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert len({c for _, _, c in got}) > 20 and got == brute_components(list(enumerate(texts)))
+
+
+def test_linked_sets_share_a_prefix(spark):
+    r, sets = random.Random(4), []
+    for k in range(60):
+        base = [r.randrange(2**62) for _ in range(r.choice([1, 2, 3, 7, 20, 130]))]
+        sets += [sorted({*base[r.randint(0, len(base) // 7) :], *(r.randrange(2**62) for _ in range(r.randint(0, len(base) // 7)))}) for _ in range(4)]
+    rows = neardup.prefixes(spark.createDataFrame(list(enumerate(sets)), "c long, set array<long>")).collect()
+    keys = [{x["key"] for x in rows if x["c"] == c} for c in range(len(sets))]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})]
+    assert len(linked) > 100 and all(keys[a] & keys[b] for a, b in linked)
+
+
 def test_sketch_estimate_is_near_the_truth():
     a, b = list(range(1000)), list(range(200, 1200))
     h = [np.sort(np.array([zlib.crc32(str(x).encode()) * 2654435761 % 2**61 for x in s], dtype=np.uint64)) for s in (a, b)]
