@@ -128,32 +128,47 @@ def k_core_prune(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
         nodes = keep
 
 
-def repair_network(nodes: DataFrame, kept: DataFrame, dropped: DataFrame, rounds: int = 5) -> DataFrame:
-    """Restore dropped pairs of each network, one a round, until its faults are gone; round and pair restored.
+def repair_network(nodes: DataFrame, kept: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Restore dropped pairs of each network, one a round, until it is accepted or no pair makes it better.
 
-    All trials of a round are networks of their own in one batch. The best trial has the fewest components, then
-    isolates, then nodes of degree under 3; ties by score (a column of dropped, larger first), then by dates.
+    Gives network_id, src, dst, round, and accepted, the audit's verdict at the end; a network to which nothing is
+    restored has one row without a pair, of round 0. All trials of a round are networks of their own in one batch. The
+    best trial has the fewest components, then isolates, bridges, cut vertices, what the least degree lacks of 3, then
+    nodes of degree under 3; ties by score (a column of dropped, larger first), then by dates.
     """
-    edges, restored = _saved(kept.select(*N, "src", "dst")), None
-    for i in range(1, rounds + 1):
-        left = dropped if restored is None else dropped.join(restored, [*N, "src", "dst"], "left_anti")
-        trial = F.concat_ws("|", "network_id", "add_src", "add_dst")
-        adds = left.select(*N, F.col("src").alias("add_src"), F.col("dst").alias("add_dst"), "score")
-        t_edges = edges.join(adds, N).select(trial.alias("t"), "src", "dst").unionByName(adds.select(trial.alias("t"), F.col("add_src").alias("src"), F.col("add_dst").alias("dst")))
-        t_nodes = nodes.join(adds, N).select(trial.alias("network_id"), "node")
-        t_edges = t_edges.withColumnRenamed("t", "network_id")
-        thin = degrees(t_nodes, t_edges).groupBy(*N).agg(F.sum(F.expr("cast(degree = 0 as int)")).alias("alone"), F.sum(F.expr("cast(degree < 3 as int)")).alias("thin"))
-        faults = _counts(t_nodes, t_edges).join(thin, N).withColumnRenamed("network_id", "t")
-        best = adds.withColumn("t", trial).join(faults, "t")
-        order = Window.partitionBy(*N).orderBy("components", "alone", "thin", F.desc("score"), "add_src", "add_dst")
-        best = best.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*N, F.col("add_src").alias("src"), F.col("add_dst").alias("dst"), F.lit(i).alias("round"))
-        sick = _counts(nodes, edges).join(degrees(nodes, edges).groupBy(*N).agg(F.min("degree").alias("d")), N).where("components > 1 or d < 3").select(*N)
-        best = _saved(best.join(sick, N, "left_semi"))
+
+    def judged(n, e):
+        thin = degrees(n, e).groupBy(*N).agg(F.sum(F.expr("cast(degree < 3 as int)")).alias("thin"))
+        short = F.greatest(F.lit(0), 3 - F.col("degree_min")).alias("short")
+        return audit_network(n, e).join(thin, N).select(*N, "accepted", F.struct("components", "isolates", "bridges", "cut_vertices", short, "thin").alias("faults"))
+
+    edges, restored, i = _saved(kept.select(*N, "src", "dst")), None, 0
+    state = _saved(judged(nodes, edges))
+    sick = state.where("not accepted")
+    while True:
+        i += 1
+        trial = F.concat_ws("|", "network_id", "src", "dst").alias("t")
+        left = dropped.join(edges, [*N, "src", "dst"], "left_anti").join(sick, N, "left_semi")
+        adds = _saved(left.select(*N, F.col("src").alias("add_src"), F.col("dst").alias("add_dst"), "score", trial))
+        t_edges = edges.join(adds, N).select("t", "src", "dst").unionByName(adds.select("t", F.col("add_src").alias("src"), F.col("add_dst").alias("dst")))
+        t_nodes = nodes.join(adds, N).select(F.col("t").alias("network_id"), "node")
+        if adds.isEmpty():
+            break
+        trials = judged(t_nodes, t_edges.withColumnRenamed("t", "network_id")).withColumnRenamed("network_id", "t")
+        better = adds.join(trials, "t").join(state.select(*N, F.col("faults").alias("now")), N).where("faults < now")
+        order = Window.partitionBy(*N).orderBy("faults", F.desc("score"), "add_src", "add_dst")
+        best = better.withColumn("_r", F.row_number().over(order)).where("_r = 1")
+        best = _saved(best.select(*N, F.col("add_src").alias("src"), F.col("add_dst").alias("dst"), F.lit(i).alias("round"), "accepted", "faults"))
         if best.isEmpty():
             break
-        edges = _saved(edges.unionByName(best.select(*N, "src", "dst")))
-        restored = _saved(best if restored is None else restored.unionByName(best))
-    return restored if restored is not None else dropped.select(*N, "src", "dst", F.lit(0).alias("round")).limit(0)
+        pairs = best.select(*N, "src", "dst", "round")
+        edges = _saved(edges.unionByName(pairs.select(*N, "src", "dst")))
+        restored = _saved(pairs if restored is None else restored.unionByName(pairs))
+        state = _saved(state.join(best, N, "left_anti").unionByName(best.select(*N, "accepted", "faults")))
+        sick = best.where("not accepted")
+    if restored is None:
+        restored = dropped.select(*N, "src", "dst", F.lit(0).alias("round")).limit(0)
+    return state.select(*N, "accepted").join(restored, N, "left").select(*N, "src", "dst", F.coalesce("round", F.lit(0)).alias("round"), "accepted")
 
 
 def edge_influence(edges: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def _(spark, d):
     nodes, full = network(spark, d)
     kept = full.where("days <= 14 and month(src) != 6")
     dropped = full.join(kept.select("network_id", "src", "dst"), ["network_id", "src", "dst"], "left_anti").where("days <= 28 and month(src) in (5, 6, 7)")
-    return graph.repair_network(nodes, kept, dropped.withColumn("score", -F.col("max_perp")), 3)
+    return graph.repair_network(nodes, kept, dropped.withColumn("score", -F.col("max_perp")))
 
 
 @query("edge_influence", f"""with {NET}, q as (select *, round(1 - max_perp / 250, 6) as quality, row_number() over (partition by network_id order by round(1 - max_perp / 250, 6), src, dst) as rank, count(*) over (partition by network_id) as n from edges)

@@ -28,6 +28,17 @@ def test_graph(net):
     assert sorted(tuple(r) for r in graph.k_core_prune(nodes, edges, 2).collect()) == [("a", 1), ("a", 2), ("a", 3)]
 
 
+def test_repair_mends_bridges_and_gives_the_verdict(spark):
+    day = lambda i: f"2020-01-{i:02d}"
+    four = lambda k: [(k + a, k + b) for a in range(4) for b in range(a + 1, 4)]
+    e = [("a", x, y) for x, y in [*four(1), *four(5), (4, 5)]] + [("b", x, y) for x, y in [(1, 2), (2, 3), (1, 3)]]
+    frame = lambda rows: spark.createDataFrame([(n, day(x), day(y), 1.0) for n, x, y in rows], "network_id string, src string, dst string, score double").selectExpr("network_id", "date(src) as src", "date(dst) as dst", "score")
+    kept = frame(e)
+    nodes = kept.select("network_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    got = graph.repair_network(nodes, kept, frame([("a", 1, 5), ("a", 4, 6), ("a", 3, 6)])).collect()
+    assert sorted((r["network_id"], str(r["src"]), str(r["dst"]), r["round"], r["accepted"]) for r in got) == [("a", day(3), day(6), 1, True), ("b", "None", "None", 0, False)]
+
+
 def test_candidate_pairs_match_brute_force(spark):
     rng = np.random.default_rng(1)
     days = sorted(rng.choice(400, 60, replace=False).tolist())
