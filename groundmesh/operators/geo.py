@@ -99,11 +99,23 @@ def nearest_stations(zones: DataFrame, stations: DataFrame, k: int) -> DataFrame
 
 
 def colocated(stations: DataFrame, cap_km: float) -> DataFrame:
-    """Pairs of stations within the cap, met through cells as wide as the cap (and their neighbours), not all pairs."""
+    """Pairs of stations within the cap, met through cells as wide as the cap (and their neighbours), not all pairs.
+
+    A cell is cap_km / 100 degrees high and, as degrees of longitude shrink with latitude, wide enough for the cap at the
+    highest latitude of the data; columns go round the earth, so pairs across the date line meet. Near the poles one
+    column has all.
+    """
     deg = cap_km / 100.0
-    a = stations.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / deg).alias("i"), F.floor(F.col("lon") / deg).alias("j"))
-    steps = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
-    b = a.select(F.col("a").alias("b"), F.col("lat1").alias("lat2"), F.col("lon1").alias("lon2"), "i", "j", steps.alias("s")).select("b", "lat2", "lon2", (F.col("i") + F.col("s.x")).alias("i"), (F.col("j") + F.col("s.y")).alias("j"))
+    half = math.sin(min(cap_km / EARTH_KM / 2, math.pi / 2))
+    top = F.cos(F.radians(F.max(F.abs("lat"))))
+    wide = F.when(F.lit(half) < top, F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(half) / top)))).otherwise(360.0)
+    around = F.greatest(F.lit(1), F.floor(360 / (wide * 1.000001)).cast("int"))
+    size = stations.agg(around.alias("around"))
+    cells = stations.crossJoin(F.broadcast(size)).withColumn("_j", F.floor(F.pmod(F.col("lon").cast("double"), F.lit(360.0)) * F.col("around") / 360))
+    a = cells.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / deg).alias("i"), F.pmod("_j", "around").alias("j"), "around")
+    rows = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])).alias("x")
+    columns = F.explode(F.array_distinct(F.array(*[F.pmod(F.col("j") + y, F.col("around")) for y in (-1, 0, 1)]))).alias("j")
+    b = a.select("a", "lat1", "lon1", "i", rows, "j", "around").select(F.col("a").alias("b"), F.col("lat1").alias("lat2"), F.col("lon1").alias("lon2"), (F.col("i") + F.col("x")).alias("i"), columns)
     km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return a.join(b, ["i", "j"]).where("a < b").select("a", "b", km.alias("km")).where(F.col("km") <= cap_km)
 

@@ -153,3 +153,16 @@ def test_queries_import_without_the_document_operators():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_colocated_stations_match_brute_force_at_any_latitude(spark):
+    rng = np.random.default_rng(6)
+    # At 60 degrees, across the date line, and where the columns round the pole are few.
+    places = [(60, 10.0, 0.2), (28.5, 76.5, 0.1), (-60, 180.0, 0.1)]
+    for block in (places, [*places, (89.99, 0.0, 400.0)]):
+        rows = [(k * 200 + i, float(lat + rng.uniform(-0.009, 0.009)), float((lon + rng.uniform(-wide, wide) + 180) % 360 - 180)) for k, (lat, lon, wide) in enumerate(block) for i in range(120)]
+        got = {(r["a"], r["b"]) for r in geo.colocated(spark.createDataFrame(rows, "id long, lat double, lon double"), 2.0).collect()}
+        ids, lat, lon = np.array([r[0] for r in rows]), *(np.radians([r[k] for r in rows]) for k in (1, 2))
+        h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+        x, y = np.nonzero((2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) <= 2.0) & (ids[:, None] < ids))
+        assert got == {(int(ids[i]), int(ids[j])) for i, j in zip(x, y, strict=True)}
