@@ -13,14 +13,14 @@ TILE = 128
 def label_components(px: DataFrame, least: int = 250, tile: int = TILE) -> DataFrame:
     """Label the 8-connected components of the given cells; those under ``least`` cells go.
 
-    A label is the least row * 1000 + col of its cells, so columns must be under 1000 (see ``span``). Each tile is
+    A label is the least row * span + col of its cells; span is 1000, or 2**31 if a column does not fit. Each tile is
     labelled in numpy on its own; cells on tile borders then meet their neighbours of other tiles in one equi-join, and
     the small graph of tile labels gives the components. Only border cells and labels are shuffled after the tiles.
     """
     import numpy as np
     import pandas as pd
 
-    span = 1000
+    span = 1000 if px.where("col not between 0 and 999").isEmpty() else 1 << 31
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)

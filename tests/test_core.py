@@ -56,6 +56,12 @@ def test_labels_join_across_tile_corners(spark):
     assert got[(127, 127)] == got[(128, 129)] == 127127 and got[(10, 11)] == 10010 and (300, 5) not in got
 
 
+def test_labels_of_wide_grids_do_not_collide(spark):
+    px = spark.createDataFrame([(3, 1005), (4, 5), (4, 6), (3, 2900)], "row int, col int")
+    got = {(r["row"], r["col"]): r["label"] for r in zones.label_components(px, 1).collect()}
+    assert len(set(got.values())) == 3 and got[(4, 5)] == got[(4, 6)]
+
+
 def test_random_masks_label_alike_in_small_and_large_tiles(spark):
     rng = np.random.default_rng(2)
     px = spark.createDataFrame([(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((40, 40)) < 0.4), strict=True)], "row int, col int")
