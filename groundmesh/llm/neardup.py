@@ -19,15 +19,11 @@ BANDS = REGISTERS // BAND
 PERCENT = 75
 #: Standard errors by which an estimate may miss.
 DOUBT = 5.0
-#: Times that mixed band groups are searched for links across their components.
-TURNS = 2
-#: A band group of so many classes, or with so few pairs across its components for each class, is checked in full.
-SMALL = 16
-PAIRS_EACH = 2
-#: Ratio of the largest to the least size in a range of set sizes; buckets that count shingles; classes that meet at once.
+#: A group of so many classes is compared in one task, sketch by sketch; a larger one is split first.
+GROUP = 2048
+#: Ratio of the largest to the least size in a range of set sizes; buckets that count shingles.
 RANGE = 1.05
 COUNTERS = 1 << 20
-BLOCK = 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -123,21 +119,28 @@ def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> t
     return (equal / np.maximum(used, 1) - chance) / (1 - chance), used
 
 
+def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the estimates of pairs of sketches do not rule links out by DOUBT standard errors, the estimates)."""
+    j, used = estimates(a, b, na.astype(np.float64), nb.astype(np.float64))
+    p = PERCENT / 100
+    return j + DOUBT * np.sqrt(p * (1 - p) / np.maximum(used, 1)) >= p, j
+
+
 def _texts(piece) -> list[str]:
     return [t or "" for t in piece.column("text").to_pylist()]
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (of equal sets alike) and sketch for each row of ``docs``."""
+    """doc_id, text_key, n_shingles, set_key (of equal sets alike) and sketch for each row of ``docs``."""
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch):
                 h, n = shingle_sets(_texts(piece))
                 rows = sketches(h, n)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), pa.array(set_keys(h, n)), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), pa.array(n), pa.array(set_keys(h, n)), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "text_key", "n_shingles", "set_key", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key long, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, n_shingles long, set_key long, sketch binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
     Sets are put in order, rare shingles first. Two sets of x and y shingles with ``both`` in common share one among the
     first x - both + 1 and y - both + 1. Sizes fall into ranges RANGE wide, and a key has the ranges of both sides, so
-    that what a link needs in common is known. The order rests on counts in COUNTERS buckets: any order is right, one
+    that what a link needs in common is known; a group of two ranges that holds only one of them goes. The order rests on counts in COUNTERS buckets: any order is right, one
     by rarity keeps groups small.
     """
     each = sets.select(F.explode("set").alias("h")).select(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("bucket"))
@@ -167,12 +170,12 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, rows = [], 0
             for c, values in zip(batch.column("c").to_pylist(), batch.column("set"), strict=True):
                 h = values.values.to_numpy(zero_copy_only=False)
                 h = h[np.lexsort((h, shared.value[np.mod(h, COUNTERS)]))].astype(np.uint64)
                 n, own = len(h), int(np.log(len(h)) / np.log(RANGE))
-                keys = []
+                keys, sides = [], []
                 for other in range(max(0, own - reach), own + reach + 1):
                     least = max(int(RANGE**other * (1 - 1e-9)), -(-n * PERCENT // 100))
                     both = -(-PERCENT * (n + least) // (100 + PERCENT))
@@ -180,16 +183,19 @@ def prefixes(sets: DataFrame) -> DataFrame:
                         ranges = np.uint64(min(own, other) * 1000 + max(own, other))
                         with np.errstate(over="ignore"):
                             keys.append(mix64(h[: n - both + 1] * np.uint64(0x9E3779B97F4A7C15) + ranges))
-                keys = np.concatenate(keys).astype(np.int64)
-                out.append(pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), c))], ["key", "c"]))
-                if sum(x.num_rows for x in out) > 200_000 or len(out) > 500:
+                        sides.append(np.full(n - both + 1, 2 if own == other else int(own > other), np.int32))
+                keys, sides = np.concatenate(keys).astype(np.int64), np.concatenate(sides)
+                out.append(pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), c)), pa.array(sides)], ["key", "c", "side"]))
+                rows += len(keys)
+                if rows > 200_000 or len(out) > 500:
                     yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                    out = []
+                    out, rows = [], 0
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    rows = cut(sets.select("c", "set").mapInArrow(run, "key long, c long"))
-    return rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key")
+    rows = cut(sets.select("c", "set").mapInArrow(run, "key long, c long, side int"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high")).where("n > 1 and (low = 2 or low != high)")
+    return rows.join(groups.select("key"), "key").select("key", "c")
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -203,31 +209,30 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            na, nb = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-            j, used = estimates(a, b, na, nb)
-            p = PERCENT / 100
-            keep = j + DOUBT * np.sqrt(p * (1 - p) / np.maximum(used, 1)) >= p
+            keep, _ = passes(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """c and set, the sorted shingle hashes, for the classes in ``nodes`` (c): made again from the texts.
 
-    Each class travels once from a task; classes that share no band with another are not among the nodes.
+    Only texts that some wanted class has as its own (``rep``) are cut into shingles; copies travel once from a task.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes, "c"))
+    wanted = classes.select("c", "rep").join(nodes, "c", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "rep"))
 
     def run(batches):
         sent = set()
         for batch in batches:
-            for piece in slices(batch):
+            picked = batch.filter(pa.array(in_filter(bits.value, batch.column("text_key").to_numpy())))
+            for piece in slices(picked):
                 h, n = shingle_sets(_texts(piece))
                 keys = set_keys(h, n)
                 ends = np.cumsum(n)
                 out_c, out_s = [], []
-                for i in np.flatnonzero(in_filter(bits.value, keys) & (n > 0)):
+                for i in np.flatnonzero(n > 0):
                     c = int(keys[i])
                     if c not in sent:
                         if len(sent) > 1_000_000:
@@ -237,7 +242,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                         out_s.append(h[ends[i] - n[i] : ends[i]].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_s, pa.list_(pa.int64()))], ["c", "set"])
 
-    sets = docs.select("text").mapInArrow(run, "c long, set array<long>").join(nodes, "c", "left_semi")
+    sets = docs.select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "c long, set array<long>").join(nodes, "c", "left_semi")
     return cut(sets.dropDuplicates(["c"]))
 
 
@@ -248,96 +253,205 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(met.where(f"100 * both >= {PERCENT} * (size(sa) + size(sb) - both)").select("a", "b"))
 
 
-def cross_pairs(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, classes left): pairs of classes of one group (key, c, root) that no chain of links joins yet.
+def full_check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, sets): the linked ones of candidate pairs (a, b) that the estimate has let pass, and the sets of both sides."""
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs)
+    return verify(pairs, sets), sets
+
 
-    Small groups, and those with few such pairs for each class, give them all. In others each class outside the largest
-    component is paired with a class of that component and with one outside it, picked by a hash of group and turn, so
-    other groups and turns pick others; these groups' classes are the second result.
+def mixed_groups(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(few, many): members of groups (key, c, root) that still hold several components.
+
+    few: groups of at most GROUP classes. many: larger ones, with their size and the root and size of their largest
+    component. Of groups with the same members, by count and two hashes of 64 bits, one stays.
+    """
+    per = members.groupBy("key", "root").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
+    group = per.groupBy("key").agg(F.sum("k").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count("*").alias("parts"), F.max(F.struct("k", "root")).alias("main"))
+    group = group.where("parts > 1").groupBy("n", "x", "y").agg(F.min(F.struct("key", "main")).alias("g"))
+    group = group.select("g.key", "n", F.col("g.main.k").alias("main_n"), F.col("g.main.root").alias("main"))
+    rows = cut(members.join(group, "key"))
+    return rows.where(F.col("n") <= GROUP).select("key", "c", "root"), rows.where(F.col("n") > GROUP)
+
+
+def whole_groups(batches, columns: list[str], blob: str):
+    """Columns of rows sorted by ``key``, cut at ends of groups; the last one, ``blob``, as a list of bytes."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in columns] + [np.array(batch.column(blob).to_pylist(), dtype=object)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+        if last:
+            yield [x[:last] for x in cols]
+        held = [x[last:] for x in cols]
+    if held is not None:
+        yield held
+
+
+def nearest(few: DataFrame, many: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): for each class of a mixed group, of all classes of other components there the one with the best estimate.
+
+    Only partners whose estimate does not rule a link out count. Sketches go to the groups and are compared there.
+    Large groups are dealt to groups of bounded size by a hash and searched there.
     """
-    pick = F.xxhash64(F.lit(turn), "key", "c")
-    per = members.groupBy("key", "root").agg(F.count("*").alias("k"), F.min(F.struct(pick.alias("h"), "c")).alias("lead"))
-    group = per.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("parts"), F.max(F.struct("k", "root", "lead")).alias("main"))
-    group = group.where("parts > 1").select("key", ((F.col("n") <= SMALL) | (F.col("n") * F.col("n") - F.col("q") <= PAIRS_EACH * F.col("n"))).alias("few"), F.col("main.root").alias("main"), F.col("main.lead.c").alias("main_lead"))
-    other = per.join(group, "key").where("root != main").groupBy("key").agg(F.min("lead").alias("other"))
-    group = cut(group.join(other.select("key", F.col("other.c").alias("other_lead")), "key"))
-    minor = members.join(group, "key").where("root != main")
-    all_of = members.join(group.where("few").select("key"), "key").select("key", F.col("c").alias("b"), F.col("root").alias("rb"))
-    full = minor.where("few").select("key", F.col("c").alias("a"), F.col("root").alias("ra")).join(all_of, "key").where("ra != rb").select("a", "b")
-    picked = minor.where("not few").select(F.col("c").alias("a"), F.explode(F.array("main_lead", "other_lead")).alias("b")).where("a != b")
-    pairs = full.unionByName(picked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = members.join(group.where("not few").select("key"), "key", "left_semi").select("c").distinct()
-    return pairs, left
-
-
-def all_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of classes of one group (key, c, root) with different roots and sizes that allow a link.
-
-    Classes of all components but the largest meet the group's classes block by block, so no task has a group to itself.
+    dealt = F.xxhash64("key", F.pmod(F.xxhash64("c"), F.ceil(2 * F.col("n") / GROUP).cast("int")))
+    groups = few.unionByName(many.select(dealt.alias("key"), "c", "root"))
+    rows = groups.join(classes.select("c", "n", "sketch"), "c").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        for key, c, root, n, blobs in whole_groups(batches, ["key", "c", "root", "n"], "sketch"):
+            sketch = np.frombuffer(b"".join(blobs), dtype=np.uint16).reshape(-1, REGISTERS)
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            sizes = np.diff(edge)
+            left = np.repeat(edge[1:], sizes) - np.arange(len(key)) - 1  # members behind each one in its group
+            top = np.full(len(key), -1, dtype=np.int64)
+            at = np.flatnonzero(left > 0)
+            for d in range(1, int(sizes.max())):  # pairs by distance, all groups in one step
+                at = at[left[at] >= d]
+                to = at + d
+                fine = (root[at] != root[to]) & (100 * np.minimum(n[at], n[to]) >= PERCENT * np.maximum(n[at], n[to]))
+                x, y = at[fine], to[fine]
+                for lo in range(0, len(x), 1 << 14):
+                    u, v = x[lo : lo + (1 << 14)], y[lo : lo + (1 << 14)]
+                    ok, j = passes(sketch[u], sketch[v], n[u], n[v])
+                    u, v, j = u[ok], v[ok], np.round(j[ok] * 1e6).astype(np.int64) << 32
+                    np.maximum.at(top, u, j | v)  # the estimate in front of the partner's place
+                    np.maximum.at(top, v, j | u)
+            u = np.flatnonzero(top >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c[u]), pa.array(c[top[u] & 0xFFFFFFFF]), pa.array(top[u] >> 32)], ["a", "b", "j"])
+
+    found = rows.select("key", "c", "root", "n", "sketch").mapInArrow(run, "a long, b long, j long")
+    return found.groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
+
+
+def in_blocks(many: DataFrame) -> DataFrame:
+    """(key, c, root, side): large groups as groups of bounded size that hold all their pairs across components.
+
+    Classes outside the largest component (side 0) meet all classes (side 1), both dealt to blocks of about GROUP / 2.
     """
-    sized = members.join(classes.select("c", "n"), "c")
-    per = members.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("parts"))
-    group = cut(per.where("parts > 1").select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
-    rows = sized.join(group, "key")
-    one = rows.where("root != main").select("key", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    two = rows.select("key", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"))
-    met = one.join(two, ["key", "block"]).where(f"ra != rb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    block = lambda n: F.greatest(F.ceil(2 * F.col(n) / GROUP).cast("int"), F.lit(1))
+    rows = many.withColumn("minor_n", F.col("n") - F.col("main_n")).withColumn("i", F.pmod(F.xxhash64(F.lit(1), "c"), block("minor_n")).cast("int")).withColumn("j", F.pmod(F.xxhash64(F.lit(2), "c"), block("n")).cast("int"))
+    over = lambda n: F.explode(F.sequence(F.lit(0), block(n) - 1))
+    one = rows.where("root != main").select("key", "c", "root", F.lit(0).alias("side"), "i", over("n").alias("j"))
+    two = rows.select("key", "c", "root", F.lit(1).alias("side"), over("minor_n").alias("i"), "j")
+    return one.unionByName(two).select(F.xxhash64("key", "i", "j").alias("key"), "c", "root", "side")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+def short_sets(sets: DataFrame) -> DataFrame:
+    """c, n and short: two bytes of each shingle hash, in order. Sets share no more shingles than short ones do values."""
+
+    def run(batches):
+        for batch in batches:
+            short = [np.sort((v.values.to_numpy(zero_copy_only=False) >> 40).astype(np.uint16)) for v in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([len(x) for x in short], pa.int64()), pa.array([x.tobytes() for x in short], pa.binary())], ["c", "n", "short"])
+
+    return cut(sets.select("c", "set").mapInArrow(run, "c long, n long, short binary"))
 
-    Texts with equal sets form a class, which its sketch stands for. Classes that agree in a band are candidates: each
-    with the least class of its band group, and then, in groups that this leaves in several components, across them;
-    classes of large groups that stay mixed meet by their rare shingles, which misses no link, and where that leaves large
-    groups too, all pairs across components are compared. Candidates pass the corrected estimate before their full sets are compared. component_id is the least doc_id
-    among the documents that links reach. A text without words (null, empty, blank) is linked with nothing. Rows with
-    a null doc_id link like others; they have a null component_id only if no row reached has an id. An empty table
-    gives no rows.
+
+def meet(groups: DataFrame, shorts: DataFrame) -> DataFrame:
+    """(a, b): all pairs of classes of one group (key, c, root, side) that may be linked: no common root, nor side 0 or 1.
+
+    Groups have a bounded size. Short sets go to the groups; what two of them have in common, with repeats, is never less
+    than what the full sets have, so a pair that falls short here is not linked, and few unlinked ones pass.
     """
+    rows = groups.join(shorts, "c").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        flag = np.zeros(1 << 20, dtype=bool)
+        for key, c, root, side, n, blobs in whole_groups(batches, ["key", "c", "root", "side", "n"], "short"):
+            flat = np.frombuffer(b"".join(blobs), dtype=np.uint16).astype(np.int64)
+            ends = np.cumsum(n)
+            # The k-th repeat of a value in a set is a value of its own, up to 15 repeats.
+            new = np.ones(len(flat), dtype=bool)
+            new[1:] = flat[1:] != flat[:-1]
+            new[ends[:-1]] = True
+            at = np.arange(len(flat))
+            flat = flat * 16 + np.minimum(at - np.maximum.accumulate(np.where(new, at, 0)), 15)
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            out_a, out_b = [], []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                names, sizes = np.unique(root[lo:hi], return_counts=True)
+                main = names[np.argmax(sizes)]
+                base = ends[lo] - n[lo]
+                values, starts = flat[base : ends[hi - 1]], ends[lo:hi] - n[lo:hi] - base
+                for i in np.flatnonzero((root[lo:hi] != main) & (side[lo:hi] != 1)) + lo:
+                    own = flat[ends[i] - n[i] : ends[i]]
+                    flag[own] = True
+                    both = np.add.reduceat(flag[values], starts, dtype=np.int64)
+                    flag[own] = False
+                    ok = (100 * both >= PERCENT * (n[lo:hi] + n[i] - both)) & (root[lo:hi] != root[i]) & (side[lo:hi] != 0)
+                    out_a.append(np.full(int(ok.sum()), c[i]))
+                    out_b.append(c[lo:hi][ok])
+            a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.select("key", "c", "root", "side", "n", "short").mapInArrow(run, "a long, b long")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and kept for every row of ``docs``; see near_duplicates."""
     made = cut(sketch_documents(docs))
-    classes = cut(made.where("n_shingles > 0").groupBy(F.col("set_key").alias("c")).agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
+    classes = cut(made.where("n_shingles > 0").groupBy(F.col("set_key").alias("c")).agg(
+        F.min("doc_id").alias("label"), F.min("text_key").alias("rep"), F.first("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
     rows = bands(classes)
     groups = rows.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead != last").select("key", "lead")
     rows = cut(rows.join(groups, "key"))
-    rows = rows.select("key", "c", "lead")
-    sets = full_sets(rows.select("c").distinct(), docs)
-    star = rows.where("c != lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
-    links = verify(likely(star, classes), sets)
+    star = rows.groupBy("c").agg(F.min("lead").alias("lead")).where("c != lead").select(F.col("lead").alias("a"), F.col("c").alias("b"))
+    links, _ = full_check(likely(star, classes), classes, docs)
     roots = components(links)
 
     def rooted(groups):
-        return groups.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-
-    for turn in range(TURNS):
-        members = cut(rooted(rows.select("key", "c")))
-        pairs, left = cross_pairs(members, turn)
-        if turn == TURNS - 1 and not left.isEmpty():
-            rest = prefixes(sets.join(left, "c", "left_semi"))
-            exact, left = cross_pairs(cut(rooted(rest)), turn)
-            pairs = pairs.unionByName(exact).distinct()
-        more = verify(likely(pairs, classes), sets)
-        if more.isEmpty() and left.isEmpty():
-            break
+        return cut(groups.select("key", "c").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root")))
+
+    few, many = mixed_groups(rooted(rows))
+    more, sets = full_check(nearest(few, many, classes), classes, docs)
+    if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
-        if turn == TURNS - 1 and not left.isEmpty():
-            more = verify(likely(all_pairs(cut(rooted(rest)), classes), classes), sets)
-            if not more.isEmpty():
-                roots = components(links.unionByName(more))
-    named = classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "label", F.coalesce("root", "c").alias("root"))
+        few, many = mixed_groups(rooted(rows))
+    shorts, groups = short_sets(sets), few.withColumn("side", F.lit(2))
+    if not many.isEmpty():
+        wanted = full_sets(many.select("c").distinct(), classes, docs)
+        shorts = shorts.unionByName(short_sets(wanted.join(sets.select("c"), "c", "left_anti")))
+        fine, wide = mixed_groups(rooted(prefixes(wanted)))
+        groups = groups.unionByName(fine.withColumn("side", F.lit(2))).unionByName(in_blocks(wide))
+    more, _ = full_check(meet(groups, shorts), classes, docs)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    named = classes.select("c", "label").join(roots, F.col("c") == F.col("node"), "left").select("c", "label", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     named = named.join(least, "root").select(F.col("c").alias("set_key"), "component_id")
-    out = made.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = made.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+
+    Texts with equal sets form a class, which its sketch stands for. Classes that agree in a band are candidates. Each
+    meets one class of its band groups first; in groups that this leaves in several components it meets the class of
+    another one with the best estimate; then all classes of a group with a likely partner meet across components, those of
+    large groups only where they share rare shingles, which misses no link. Candidates pass the corrected estimate before their full sets are compared.
+    component_id is the least doc_id among the documents that links reach. A text without words (null, empty, blank) is
+    linked with nothing. Rows with a null doc_id link like others; they have a null component_id only if no row reached
+    has an id. Rows that repeat an id are rows of their own, and each has the result of its text. An empty table gives
+    no rows.
+    """
+    return grouped(docs).drop("text_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, with all their columns."""
-    ids = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    """The rows of ``docs`` that near_duplicates keeps, with all their columns.
+
+    Rows that agree in doc_id and text are one document and stay or go together; of rows with one id and different
+    texts each has its own fate.
+    """
+    kept = grouped(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_key")), "left_semi")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

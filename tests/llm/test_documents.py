@@ -122,8 +122,7 @@ def test_near_duplicates_match_brute_force(spark, docs, empty):
 
 
 def test_large_mixed_groups_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS_EACH", 0)
-    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "GROUP", 4)  # so that groups count as large
     r, pairs = random.Random(3), []
     base = words(40, 9).split()
     for i in range(40):
@@ -144,20 +143,16 @@ def one_template(n, planted, pool):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("n", "pool", "small"), [(1500, 10**9, 16), (120, 10**9, 0)])
-def test_hot_template_loses_no_link(spark, monkeypatch, n, pool, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    if not small:  # groups of shared rare shingles count as large, too
-        monkeypatch.setattr(neardup, "PAIRS_EACH", 0)
-        monkeypatch.setattr(neardup, "BLOCK", 16)
+@pytest.mark.parametrize(("n", "pool", "group"), [(1500, 10**9, 2048), (1500, 10**9, 64), (120, 10**9, 4)])
+def test_hot_template_loses_no_link(spark, monkeypatch, n, pool, group):
+    monkeypatch.setattr(neardup, "GROUP", group)
     docs = spark.createDataFrame(one_template(n, 30, pool), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
     assert got == {i: i - (i % 2 and i < 60) for i in range(n)}
 
 
 def test_hot_template_of_common_parts_loses_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS_EACH", 0)
-    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "GROUP", 8)
     r, picks = random.Random(12), []
     for k in range(60):
         own = [r.randrange(2) for _ in range(80)]
@@ -167,6 +162,36 @@ def test_hot_template_of_common_parts_loses_no_link(spark, monkeypatch):
     assert len({c for _, _, c in got}) > 20 and got == brute_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("group", [2048, 128])
+def test_dense_template_loses_no_link(spark, monkeypatch, group):
+    """1,600 texts of 468 shingles, any two similar at 0.746, and 800 planted pairs at 0.814: all 800 are found, no other."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    base = [f"base{k}" for k in range(404)]
+    texts = [base + [f"own{i // 2}w{k}" for k in range(20)] + [f"own{i}x{k}" for k in range(48)] for i in range(1600)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: (468, i - i % 2) for i in range(1600)}
+
+
+def test_short_sets_never_fall_short(spark):
+    r = random.Random(21)
+    sets = [sorted(r.sample(range(2**62), 400)) for _ in range(3)]
+    sets.append(sorted({*sets[0][:343], *sets[1][:57]}))  # just linked with the first: 343 of 457 in common
+    sets.append(sorted({*sets[0][:342], *sets[1][:58]}))  # just not
+    shorts = neardup.short_sets(spark.createDataFrame(list(enumerate(sets)), "c long, set array<long>"))
+    groups = spark.createDataFrame([(1, c, c, 2) for c in range(5)], "key long, c long, root long, side int")
+    got = {tuple(sorted(x)) for x in neardup.meet(groups, shorts).collect()}
+    assert {(0, 3), (3, 4)} <= got <= {(0, 3), (3, 4), (0, 4)}
+
+
+def test_keep_one_keeps_one_document_of_a_group(spark, empty):
+    a, b = words(80, 70), words(80, 71)
+    pairs = [(1, a), (2, a + " tail"), (3, b), (3, a), (3, b), (4, None)]
+    got = sorted((r["doc_id"], r["text"] or "") for r in neardup.keep_one(spark.createDataFrame(pairs, "doc_id long, text string")).collect())
+    assert got == sorted([(1, a), (3, b), (3, b), (4, "")])
+    assert neardup.keep_one(empty).columns == empty.columns and neardup.keep_one(empty).count() == 0
+
+
 def test_linked_sets_share_a_prefix(spark):
     r, sets = random.Random(4), []
     for k in range(60):
