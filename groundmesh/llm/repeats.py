@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, table
+from .common import bit_filter, cut, in_filter, mix64, table
 
 #: Bytes of a string that, found in an earlier document, is removed.
 LENGTH = 50
@@ -23,12 +23,14 @@ PLACE_BITS = 22
 #: A k-mer's 42-bit hash is a slice of the shared-k-mer filter and a key in that slice.
 SLICES = 1 << 12
 SLICE_BITS = 1 << 15
-#: Keys of a slice that a task compares at once; a slice with more counts as shared throughout.
-SLICE_KEYS = 1 << 23
+#: Distinct keys of a slice that a task counts at once; a slice with more counts as shared throughout.
+SLICE_KEYS = 1 << 22
 #: A bucket that more texts share than this is not indexed: its strings are compared one by one, by a shuffle.
 HOT_TEXTS = 100_000
 #: Bytes of candidate pieces that a task gathers before it packs them.
 FLUSH = 64 << 20
+#: Candidate pieces that a part of the shuffle holds, about 2 MB of text for each 30,000; a part is indexed by one task.
+PART_PIECES = 200_000
 #: Symbols that one index holds, if no single bucket is larger.
 BLOCK = 1 << 19
 
@@ -90,11 +92,27 @@ def pieces(batches, ids: tuple[str, ...] = ()):
             start = stop
 
 
-def shared_kmers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(filter bits by slice, hot keys): which least k-mers stand in two texts or more, and in very many.
+def merged_counts(keys: np.ndarray, counts: np.ndarray, blobs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, counts, loss): counts of keys with more blobs of keys added, at most ``most`` of them.
+
+    If there are more, the next largest count is taken off all (as a Misra-Gries summary does), so a key's count is low by
+    the losses in all at most, which are under all keys seen over ``most``.
+    """
+    every = np.concatenate([keys, *blobs])
+    weight = np.concatenate([counts, np.ones(len(every) - len(keys), np.int64)])
+    keys, at = np.unique(every, return_inverse=True)
+    counts = np.bincount(at, weight).astype(np.int64)
+    if len(keys) <= most:
+        return keys, counts, 0
+    loss = int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1])
+    return keys[counts > loss], counts[counts > loss] - loss, loss
+
+
+def shared_kmers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(filter bits by slice, hot keys, pieces): which least k-mers stand in two texts or more, and in very many.
 
     Keys travel as sorted arrays of 4 bytes each. SLICES rows of fixed size reach the driver, and the hot keys, of which
-    there are at most as many as least k-mers in the corpus over HOT_TEXTS.
+    there are at most as many as least k-mers in the corpus over HOT_TEXTS. pieces: how many keys of a text are shared.
     """
 
     def keys(batches):
@@ -122,38 +140,43 @@ def shared_kmers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     def meet(batches):
-        now, held, full = None, [], False
+        none = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        now, held, size, seen, lost, total = None, [], 0, none, 0, 0
+
+        def fold():
+            nonlocal held, size, seen, lost
+            *seen, loss = merged_counts(*seen, held, SLICE_KEYS)
+            held, size, lost = [], 0, lost + loss
 
         def close():
-            bits, hot = np.zeros(SLICE_BITS, np.uint8), np.zeros(0, np.uint64)
-            if full:
+            fold()
+            bits, (low, times) = np.zeros(SLICE_BITS, np.uint8), seen
+            bits[low[times > 1] % SLICE_BITS] = 1
+            if lost:
                 bits[:] = 1
-            else:
-                low, times = np.unique(np.concatenate(held), return_counts=True)
-                bits[low[times > 1] % SLICE_BITS] = 1
-                hot = (np.uint64(now) << np.uint64(30)) | low[times > HOT_TEXTS].astype(np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([hot.astype("<u8").tobytes()], pa.binary())], ["slice", "bits", "hot"])
+            shared = total if lost else int(times[times > 1].sum())
+            hot = (np.uint64(now) << np.uint64(30)) | low[times + lost > HOT_TEXTS].astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([hot.astype("<u8").tobytes()], pa.binary()), pa.array([shared], pa.int64())], ["slice", "bits", "hot", "shared"])
 
         for batch in batches:
             for part, low in zip(batch.column("slice").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 if part != now:
                     if now is not None:
                         yield close()
-                    now, held, full = part, [], False
-                if not full:
-                    held.append(np.frombuffer(low, dtype="<u4"))
-                    full = sum(map(len, held)) > SLICE_KEYS
-                    if full:
-                        held = []
+                    now, held, size, seen, lost, total = part, [], 0, none, 0, 0
+                held.append(np.frombuffer(low, dtype="<u4"))
+                size, total = size + len(held[-1]), total + len(held[-1])
+                if size > SLICE_KEYS:
+                    fold()
         if now is not None:
             yield close()
 
     low = docs.select("text").mapInArrow(keys, "slice int, low binary")
-    found = low.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "slice int, bits binary, hot binary").collect()
+    found = low.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "slice int, bits binary, hot binary, shared long").collect()
     bits = np.zeros((SLICES, SLICE_BITS // 8), np.uint8)
     for r in found:
         bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits, np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r["hot"], "<u8") for r in found)])).astype(np.uint64)
+    return bits, np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r["hot"], "<u8") for r in found)])).astype(np.uint64), sum(r["shared"] for r in found)
 
 
 def maybe_shared(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -289,14 +312,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Each byte goes that lies in a string of LENGTH bytes which also starts in a text with a smaller doc_id. Strings
     are dealt to buckets by their least k-mer, as pieces of text that hold all neighbouring strings of one bucket;
     buckets of k-mers that one text alone has stay at home. Buckets are indexed in blocks of bounded size. Texts
-    without shared k-mers are finished where they are read.
+    without marks are finished where they are read.
     A null text is empty; a null doc_id counts as larger than any other; rows with equal ids remove nothing from each
     other. An empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("nth")).withColumn("key", F.xxhash64("nth", "text"))
-    found, hot = shared_kmers(rows)
+    found, hot, n_pieces = shared_kmers(rows)
     bits, hot_keys = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(hot)
 
     def is_hot(key):
@@ -313,7 +336,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             own = owner[first]
             yield data, first, last, key, np.array(keys, dtype=np.int64)[own], np.array(nth, dtype=np.int64)[own], first - begin[own] + offset
 
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_pieces // PART_PIECES))
 
     def strings(batches):
         """Pieces of text by bucket, packed and compressed by part; copies in a task lie side by side and cost little."""
@@ -373,7 +396,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield from index_part(held)
 
     packed = rows.select("key", "nth", "text").mapInArrow(strings, "part int, pack binary")
-    marks = packed.repartition("part").sortWithinPartitions("part").mapInArrow(index_blocks, "nth long, row long, at int, mask long")
+    marks = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(index_blocks, "nth long, row long, at int, mask long")
 
     if len(hot):
 
@@ -389,17 +412,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         least = each.groupBy("string").agg(F.min("nth").alias("first"))
         marks = marks.unionByName(each.join(least, "string").where("nth > first").select("nth", "row", "at", F.lit(1).cast("long").alias("mask")))
 
-    per_text = marks.groupBy("nth", "row").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    name = F.xxhash64("nth", "row").alias("name")
+    per_text = cut(marks.groupBy("nth", "row").agg(F.collect_list(F.struct("at", "mask")).alias("marks")))
+    marked = spark.sparkContext.broadcast(bit_filter(per_text.select(name), "name"))
     fields = f"doc_id {kind}, nth long, row long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     columns = ["doc_id", "nth", "row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def in_place(batches):
         for batch in batches:
-            flagged = np.zeros(batch.num_rows, dtype=bool)
-            for start, _, _, data, owner, _ in pieces([batch]):
-                first, _, key = anchors(data, owner)
-                flagged[start + owner[first[maybe_shared(bits.value, key)]]] = True
+            flagged = in_filter(marked.value, batch.column("name").to_numpy())
             out = []
             for nth, row, text, flag in zip(*(batch.column(c).to_pylist() for c in ("nth", "row", "text")), flagged, strict=True):
                 data = text.encode()
@@ -416,7 +438,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((nth, row, None, n, removed, spans, sha) if text is None else (nth, row, None, *without(text.encode(), at[lo:hi], mask[lo:hi])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True))], columns)
 
-    first = rows.select("doc_id", "nth", F.expr("key & 4294967295").alias("row"), "text").mapInArrow(in_place, fields)
+    first = rows.select("doc_id", "nth", F.expr("key & 4294967295").alias("row"), "text").select("doc_id", "nth", "row", name, "text").mapInArrow(in_place, fields)
     done = first.join(per_text, ["nth", "row"], "left").select(*columns, "marks").mapInArrow(finish, fields)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -255,6 +255,31 @@ def test_hot_buckets_take_the_other_way(spark, monkeypatch):
     assert removed(spark.createDataFrame(pairs, "doc_id long, text string")) == brute_repeats(pairs)
 
 
+def test_repeats_of_long_texts(spark, monkeypatch):
+    """Texts of several pieces of 2 MB with a passage on the border of two, and one of a single repeated byte."""
+    r = random.Random(31)
+    big = "".join(r.choice("abcdefghijklmnop") for _ in range(repeats.PIECE + 5000))
+    passage = "".join(r.choice("qrstuvwxyz") for _ in range(200))
+    at = repeats.PIECE - 90
+    texts = [(1, passage), (2, big[:at] + passage + big[at:]), (3, "z" * 3000), (4, "z" * (repeats.PIECE + 70))]
+    monkeypatch.setattr(repeats, "PART_PIECES", 3)
+    got = {x[0]: x[1:] for x in removed(spark.createDataFrame(texts, "doc_id long, text string"))}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[1] == (200, 0, 0, sha(passage)) and got[2] == (len(big) + 200, 200, 1, sha(big))
+    assert got[3] == (3000, 0, 0, sha("z" * 3000)) and got[4] == (repeats.PIECE + 70, repeats.PIECE + 70, 1, sha(""))
+
+
+def test_counts_of_full_slices_keep_hot_keys():
+    blobs = [np.array([7] * 1 + list(range(100 + 50 * k, 150 + 50 * k)), dtype="<u4") for k in range(200)]
+    keys, counts, lost = np.zeros(0, "<u4"), np.zeros(0, np.int64), 0
+    for b in blobs:
+        keys, counts, loss = repeats.merged_counts(keys, counts, [b], 400)
+        lost += loss
+        assert len(keys) <= 400
+    assert lost <= sum(map(len, blobs)) / 400
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True))[7] + lost >= 200
+
+
 def test_toxicity(spark, docs, labels, empty):
     tox = ["grunk", "zorble", "flimp"]
     pairs = [(i, words(40, 900 + i) + (" " + " ".join(random.Random(i).choices(tox, k=3)) if i % 4 == 0 else "")) for i in range(480)]
@@ -352,6 +377,31 @@ def test_lines(docs, spark, empty):
     assert lines.drop_recurring_lines(docs).count() == len(TEXTS)
 
 
+def test_a_leaf_of_the_line_tree_holds_several_templates(spark):
+    field = "red blue green pink grey black white brown".split()
+    one = [(k, f"alpha beta {w} gamma delta epsilon zeta") for k, w in enumerate(field)]
+    two = [(10 + k, f"alpha beta {w} omega sigma kappa theta") for k, w in enumerate(field)]
+    prose = [(100 + k, "alpha beta " + words(5, 60 + k).replace(" ", "q ") + "q") for k in range(40)]  # more lines of the leaf
+    flood = [(200, "\n".join("alpha beta " + words(5, 900 + k).replace(" ", "r ") + "r" for k in range(300)))]
+    got = {r["doc_id"]: r for r in lines.drop_recurring_lines(spark.createDataFrame(one + two + prose + flood, "doc_id long, text string")).collect()}
+    assert [got[i]["n_dropped"] for i, _ in one + two] == [1] * 16
+    assert all(got[i]["n_dropped"] == 0 for i, _ in prose + flood)
+
+
+def test_a_field_with_common_values_is_still_a_field(spark):
+    # Two values stand in 12 documents each, which makes them constant at the lowest level; the rare third needs the next.
+    rare = [(k, f"shared by {['anna', 'ben'][k % 2] if k < 24 else 'carl'} from the travel desk of paper") for k in range(26)]
+    got = lines.drop_recurring_lines(spark.createDataFrame(rare, "doc_id long, text string")).collect()
+    assert all(r["n_dropped"] == 1 for r in got)
+
+
+def test_line_dedup_keeps_columns_that_clash(spark):
+    rows = [(k, "the same long line here\nown " + words(4, k), 7, 8, "r", "g") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, row string, gone string")
+    got = lines.drop_recurring_lines(df).orderBy("doc_id").collect()
+    assert [(r["row"], r["gone"], r["n_lines"], r["n_dropped"]) for r in got] == [("r", "g", 2, 1)] * 6
+
+
 def test_bpe_agrees_with_the_library(docs, empty, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -387,11 +437,37 @@ def test_warc(spark):
     meta = next(r for r in got if r["page_id"] == 1 and r["record_type"] == "metadata")
     assert meta["refers_to"] == text["refers_to"] and text["record_id"] in meta["payload"]
     assert f"WARC-Refers-To: {text['refers_to']}\r\n" in text["headers"]
+    assert "source-http-header: HTTP/1.1 200 OK\r\nsource-http-header: Content-Type: text/html; charset=utf-8\r\n" in meta["payload"]
     record = warc.warc_bytes(spark.createDataFrame([text])).first()["record"]
     assert bytes(record).startswith(b"WARC/1.1\r\n") and bytes(record).endswith(b"\r\n\r\n")
     assert warc.build_derivatives(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+REFERENCES = [
+    ("x &#38;#60; y", "x &#60; y"), ("x &#38;#60; y &#60; z", "x &#60; y < z"), ("&#38;lt;b&#38;gt;", "&lt;b&gt;"), ("&amp;lt;", "&lt;"), ("caf&#xE9; &#XE9;&#233", "café éé"),
+    ("&eacute;&mdash;&copy;&notit;&notin;", "é—©¬it;∉"), ("a&nbsp;&nbsp;b&#10;c&Tab;d", "a b c d"), ("&#128;&#0;&#xD800;&#99999999;&#9999999999999999999999;", "€\ufffd\ufffd\ufffd\ufffd"),
+    ("&unknown; & &; AT&T &#; &#x;", "&unknown; & &; AT&T &#; &#x;"), ("<p>one<script>if (a < b) { never closed", "oneif (a < b) { never closed"), ("<!-- open", "<!-- open"), ("p" * 300_000, "p" * 300_000), ("  \n ", ""),
+]
+
+
+def test_references_are_decoded_once_from_left_to_right(spark):
+    pages = spark.createDataFrame([(i, "http://x/", h) for i, (h, _) in enumerate(REFERENCES)], "page_id long, url string, html string")
+    got = warc.build_derivatives(warc.responses_of_pages(pages), ("page_id",)).where("record_type = 'conversion'").collect()
+    assert {r["page_id"]: r["payload"] for r in got} == {i: t for i, (_, t) in enumerate(REFERENCES)}
+
+
+def test_derivatives_agree_with_their_sql_on_references(spark):
+    import duckdb
+
+    pages = [(i, "http://x/", h) for i, (h, _) in enumerate(REFERENCES)]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", pages)
+    found = con.execute(f"select page_id, record_type, payload, block_digest from ({warc.OP1_SQL})").fetchall()
+    got = warc.build_derivatives(warc.responses_of_pages(spark.createDataFrame(pages, "page_id long, url string, html string")), ("page_id",))
+    assert sorted(map(tuple, got.select("page_id", "record_type", "payload", "block_digest").collect())) == sorted(found)
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 
