@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Elements whose content is no text, elements that end a line, named character references.
+#: Elements whose content is no text, elements that end a line.
 NO_TEXT = "script|style|noscript|template|svg|head"
 BLOCKS = "(?i:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|aside|main|blockquote|pre|hr|form|title|dd|dt|dl)"
 #: A comment, or an element without text from its start to its end, in one pass that looks for "<" only.
 HIDDEN = "<(?:!--(?s:.*?)-->|" + "|".join(f"{n}(?:\\s[^>]*)?>(?s:.*?)</{n}\\s*>" for n in (f"(?i:{x})" for x in NO_TEXT.split("|"))) + ")"
-NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: White space that a reference may stand for; it is a space like any other.
+BLANK = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 
 
 def uuid_urn(seed: Column) -> Column:
@@ -24,33 +29,32 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
-def html_text(html: Column) -> Column:
-    """The readable text of a page: no scripts, styles, head or comments; a line for each block element.
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Character references decoded once, from left to right, by the rules and the table of HTML5."""
+    return texts.map(lambda t: "\n".join(html.unescape(x).translate(BLANK) for x in t.split("\n")), na_action="ignore")
 
-    Numeric references up to six digits and the named ones of NAMED are decoded once; other references stay. White
-    space inside a line shrinks to one space and blank lines go. Null gives null.
-    """
-    t = F.regexp_replace(html, HIDDEN, " ")
+
+def marked_up(body: Column) -> Column:
+    """A page without scripts, styles, head, comments and tags; a line for each block element; references as they stand."""
+    t = F.regexp_replace(body, HIDDEN, " ")
     for blank in "\t\n\x0b\x0c\r":
         t = F.replace(t, F.lit(blank), F.lit(" "))
     t = F.regexp_replace(t, rf"</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
-    t = F.regexp_replace(t, r"<[A-Za-z/!?][^>]*>", "")
-    t = F.aggregate(
-        F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#([0-9]{1,6});"), 1))),
-        t,
-        lambda acc, d: F.replace(acc, F.concat(F.lit("&#"), d, F.lit(";")), code_point(d.cast("int"))),
-    )
-    for ref, char in NAMED:
-        t = F.replace(t, F.lit(ref), F.lit(char))
-    t = F.regexp_replace(t, r" {2,}", " ")
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
-    return F.array_join(F.array_remove(lines, ""), "\n")
+    return F.regexp_replace(t, r"<[A-Za-z/!?][^>]*>", "")
+
 
+def with_text(rows: DataFrame, body: str, name: str = "text") -> DataFrame:
+    """``rows`` with the readable text of the pages in ``body``. Null gives null.
 
-def code_point(n: Column) -> Column:
-    """The character of a Unicode number; U+FFFD for numbers that have none."""
-    fine = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(fine, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    Character references, named, decimal and hexadecimal, are decoded once, in one pass from left to right, so what they
+    give is never read as a reference again. White space inside a line, also such that references stand for, and
+    no-break spaces shrink to one space, and blank lines go. Only texts with an ampersand go through Python.
+    """
+    rows = rows.withColumn(name, marked_up(F.col(body)))
+    rows = rows.withColumn("_refs", F.pandas_udf(_decoded, "string")(F.when(F.contains(F.col(name), F.lit("&")), F.col(name))))
+    t = F.regexp_replace(F.replace(F.coalesce("_refs", name), F.lit("\u00a0"), F.lit(" ")), r" {2,}", " ")
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
+    return rows.withColumn(name, F.array_join(F.array_remove(lines, ""), "\n")).drop("_refs")
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
@@ -76,6 +80,7 @@ def build_derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> Data
     in ``carry``. Out: carry, record_type, record_id, refers_to, target_uri, warc_date, content_type,
     source_content_type, source_http_headers, source_block_digest, source_payload_digest, content_length,
     block_digest, payload (the block), headers (the WARC head). Digests are labelled SHA-256.
+    The metadata record has the source's digests and each line of its HTTP head as a field of its own.
     A block without a blank line is all body. Null block: as the empty block. Repeated responses give repeated
     records with equal identifiers, as these follow from the response's identifier.
     """
@@ -88,12 +93,12 @@ def build_derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> Data
         digest(block).alias("source_block_digest"),
     )
     r = r.withColumn("source_payload_digest", digest(F.col("body"))).withColumn("source_content_type", F.regexp_extract("source_http_headers", r"(?i)content-type: *([^\r\n]*)", 1))
-    text = html_text(F.col("body"))
-    r = r.withColumn("text", text).drop("body")
+    r = with_text(r, "body").drop("body")
     note = F.concat(
         F.lit("source-content-type: "), F.col("source_content_type"), F.lit("\r\nsource-block-digest: "), F.col("source_block_digest"),
         F.lit("\r\nsource-payload-digest: "), F.col("source_payload_digest"), F.lit("\r\nconversion-record-id: "), uuid_urn(F.concat(F.lit("conversion|"), F.col("refers_to"))),
         F.lit("\r\nconversion-chars: "), F.length("text").cast("string"), F.lit("\r\n"),
+        F.when(F.col("source_http_headers") != "", F.concat(F.lit("source-http-header: "), F.replace("source_http_headers", F.lit("\r\n"), F.lit("\r\nsource-http-header: ")), F.lit("\r\n"))).otherwise(""),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), note.alias("payload")),
@@ -125,36 +130,46 @@ def _oracle() -> str:
     strip = f"regexp_replace({strip}, '[\\t\\n\\x0b\\x0c\\r]', ' ', 'g')"
     strip = f"regexp_replace({strip}, '</?(?:{BLOCKS})(?:\\s[^>]*)?/?>', chr(10), 'g')"
     strip = f"regexp_replace({strip}, '<[A-Za-z/!?][^>]*>', '', 'g')"
-    named = "u"
-    for ref, char in NAMED:
-        named = f"replace({named}, '{ref}', '{char.replace(chr(39), chr(39) * 2)}')"
+    blank = "\t\n\x0b\x0c\r"
+    quoted = lambda v: "'" + "".join(" " if c in blank else c for c in v).replace("'", "''") + "'"
+    named = ", ".join(f"('{k}', {quoted(v)})" for k, v in sorted(html5.items()))
+    # Numbers below the surrogates and the two blocks of non-characters that do not stand for themselves.
+    odd = [n for n in [*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF))] if html.unescape(f"&#{n};") != chr(n) or n < 14]
+    numbers = ", ".join(f"({n}, {quoted(html.unescape(f'&#{n};'))})" for n in odd)
     urn = lambda s: f"'<urn:uuid:' || regexp_replace(md5({s}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
     return f"""
 with r as (
-  select page_id, url as target_uri, {body} as body,
+  select row_number() over () as rid, page_id, url as target_uri, {body} as body,
     {urn("concat_ws('|', 'response', cast(page_id as varchar), url)")} as refers_to,
     strftime(to_timestamp(page_id + 1700000000) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as warc_date,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen({body}) as source_http_headers,
     {strip} as t
   from pages),
-n as (select *, list_reduce(list_prepend(t, list_sort(list_distinct(regexp_extract_all(t, '&#([0-9]{{1,6}});', 1)))), lambda acc, d: replace(acc, '&#' || d || ';', chr(case when cast(d as int) between 1 and 55295 or cast(d as int) between 57344 and 1114111 then cast(d as int) else 65533 end))) as u from r),
-x as (select *, array_to_string(list_filter(list_transform(string_split(regexp_replace({named}, ' {{2,}}', ' ', 'g'), chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) as text,
+named(name, val) as (values {named}), numbers(n, val) as (values {numbers}),
+p as (select rid, unnest(string_split(t, '&')) as piece, generate_subscripts(string_split(t, '&'), 1) as i from r),
+m as (select rid, i, piece, case when i > 1 then regexp_extract(piece, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{{1,32}};?)') else '' end as m from p),
+w as (select rid, i, max(k) as k, arg_max(val, k) as val from (select rid, i, m, unnest(range(2, length(m) + 1)) as k from m where m not like '#%') join named on name = substr(m, 1, k) group by 1, 2),
+c as (select rid, i, m, case when m[2:2] in ('x', 'X') then try_cast('0x' || rtrim(m[3:], ';') as bigint) else try_cast(rtrim(m[2:], ';') as bigint) end as c from m where m like '#%'),
+d as (select rid, i, case when c.c is null or c.c > 1114111 or c.c between 55296 and 57343 then chr(65533) else coalesce(val, chr(cast(c.c as int))) end as val from c left join numbers on c.c = numbers.n),
+j as (select m.rid, string_agg(case when m.i = 1 then piece when d.val is not null then d.val || substr(piece, length(m.m) + 1) when w.val is not null then w.val || substr(piece, w.k + 1) else '&' || piece end, '' order by m.i) as u
+  from m left join w on w.rid = m.rid and w.i = m.i left join d on d.rid = m.rid and d.i = m.i group by 1),
+x as (select r.*, array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(u, chr(160), ' '), ' {{2,}}', ' ', 'g'), chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) as text,
   'text/html; charset=utf-8' as source_content_type,
   'sha256:' || sha256(source_http_headers || chr(13) || chr(10) || chr(13) || chr(10) || body) as source_block_digest,
-  'sha256:' || sha256(body) as source_payload_digest from n),
+  'sha256:' || sha256(body) as source_payload_digest from r join j using (rid)),
 k as (
   select page_id, 'metadata' as record_type, 'application/warc-fields' as content_type,
     'source-content-type: ' || source_content_type || chr(13) || chr(10) || 'source-block-digest: ' || source_block_digest || chr(13) || chr(10)
     || 'source-payload-digest: ' || source_payload_digest || chr(13) || chr(10) || 'conversion-record-id: ' || {urn("'conversion|' || refers_to")} || chr(13) || chr(10)
-    || 'conversion-chars: ' || length(text) || chr(13) || chr(10) as payload,
+    || 'conversion-chars: ' || length(text) || chr(13) || chr(10) || 'source-http-header: ' || replace(source_http_headers, chr(13) || chr(10), chr(13) || chr(10) || 'source-http-header: ') || chr(13) || chr(10) as payload,
     refers_to, target_uri, warc_date, source_content_type, source_http_headers, source_block_digest, source_payload_digest from x
   union all
   select page_id, 'conversion', 'text/plain; charset=utf-8', text, refers_to, target_uri, warc_date, source_content_type, source_http_headers, source_block_digest, source_payload_digest from x),
-d as (select *, {urn("record_type || '|' || refers_to")} as record_id, cast(strlen(payload) as bigint) as content_length, 'sha256:' || sha256(payload) as block_digest from k)
+z as (select *, {urn("record_type || '|' || refers_to")} as record_id, cast(strlen(payload) as bigint) as content_length, 'sha256:' || sha256(payload) as block_digest from k)
 select *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: ' || record_type || chr(13) || chr(10) || 'WARC-Record-ID: ' || record_id || chr(13) || chr(10) || 'WARC-Refers-To: ' || refers_to
   || coalesce(chr(13) || chr(10) || 'WARC-Target-URI: ' || target_uri, '') || chr(13) || chr(10) || 'WARC-Date: ' || warc_date || chr(13) || chr(10) || 'WARC-Block-Digest: ' || block_digest
   || chr(13) || chr(10) || 'Content-Type: ' || content_type || chr(13) || chr(10) || 'Content-Length: ' || content_length || chr(13) || chr(10) as headers
-from d"""
+from z"""
 
 
 OP1_SQL = _oracle()
