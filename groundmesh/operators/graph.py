@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,41 +55,79 @@ def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(*N, F.explode(F.array("src", "dst")).alias("node")).distinct(), [*N, "node"], "left_anti")
 
 
-def _counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return connected_components(nodes, edges).groupBy(*N).agg(F.countDistinct("component").alias("components"))
+def low_links(n: int, ends: np.ndarray) -> tuple[int, list[int], set[int]]:
+    """(components, numbers of bridges, cut vertices) of one network of nodes 0 .. n-1, by one depth-first pass."""
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for k, (u, v) in enumerate(ends):
+        near[u].append((v, k))
+        near[v].append((u, k))
+    seen, low, parts, found, cuts, clock = [-1] * n, [0] * n, 0, [], set(), 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        parts, branches, stack = parts + 1, 0, [(root, -1, iter(near[root]))]
+        seen[root] = low[root] = clock
+        clock += 1
+        while stack:
+            u, via, rest = stack[-1]
+            for v, k in rest:
+                if k == via:
+                    continue
+                if seen[v] >= 0:
+                    low[u] = min(low[u], seen[v])
+                    continue
+                seen[v] = low[v] = clock
+                clock += 1
+                stack.append((v, k, iter(near[v])))
+                break
+            else:
+                stack.pop()
+                if stack:
+                    up = stack[-1][0]
+                    low[up] = min(low[up], low[u])
+                    if low[u] > seen[up]:
+                        found.append(via)
+                    if up == root:
+                        branches += 1
+                    elif low[u] >= seen[up]:
+                        cuts.add(up)
+        if branches > 1:
+            cuts.add(root)
+    return parts, found, cuts
+
+
+def _undirected(edges: DataFrame) -> DataFrame:
+    return edges.select(*N, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src != dst").distinct()
+
+
+def weak_points(edges: DataFrame) -> DataFrame:
+    """network_id, kind, src, dst, k: each network's bridges (src, dst), cut vertices (src), and size of a spanning forest (k).
+
+    A network is the pairs of one stack of acquisitions, some thousand at most; each is a group of its own, so many
+    networks spread over tasks.
+    """
+    node = dict(edges.dtypes)["src"]
 
+    def run(pdf):
+        codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
+        ends = np.stack([codes[: len(pdf)], codes[len(pdf) :]], 1)
+        parts, cut, split = low_links(len(names), ends)
+        rows = [("bridge", pdf["src"].iloc[k], pdf["dst"].iloc[k], 0) for k in cut] + [("cut", names[v], None, 0) for v in sorted(split)] + [("forest", None, None, len(names) - parts)]
+        out = pd.DataFrame(rows, columns=["kind", "src", "dst", "k"])
+        out.insert(0, "network_id", pdf["network_id"].iloc[0])
+        return out
 
-def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose removal splits a component. An edge in a triangle is none and is left out first.
+    return _undirected(edges).groupBy(*N).applyInPandas(run, f"network_id {dict(edges.dtypes)['network_id']}, kind string, src {node}, dst {node}, k long")
 
-    For each edge left, the network without it is a network of its own; all are labelled in one batch.
-    """
-    undirected = edges.select(*N, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    both = undirected.unionByName(undirected.select(*N, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    a = both.select(*N, "src", F.col("dst").alias("mid"))
-    b = both.select(*N, F.col("src").alias("mid"), "dst")
-    triangles = a.join(b, [*N, "mid"]).select(*N, "src", "dst").distinct()
-    suspects = _saved(undirected.join(triangles, [*N, "src", "dst"], "left_anti"))
-    variant = F.concat_ws("|", "network_id", "cut_src", "cut_dst")
-    cuts = suspects.select(*N, F.col("src").alias("cut_src"), F.col("dst").alias("cut_dst"))
-    v_edges = undirected.join(cuts, N).where("not (src = cut_src and dst = cut_dst)").select(variant.alias("network_id"), "src", "dst")
-    v_nodes = nodes.join(cuts, N).select(variant.alias("network_id"), "node")
-    after = _counts(v_nodes, v_edges).withColumnRenamed("network_id", "variant").withColumnRenamed("components", "after")
-    before = _counts(nodes, undirected)
-    named = cuts.withColumn("variant", variant).join(after, "variant").join(before, N)
-    return named.where("after > components").select(*N, F.col("cut_src").alias("src"), F.col("cut_dst").alias("dst"))
+
+def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose removal splits a component."""
+    return weak_points(edges).where("kind = 'bridge'").select(*N, "src", "dst")
 
 
 def cut_vertices(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes whose removal splits their component; leaves and isolates never do."""
-    undirected = edges.select(*N, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    cuts = degrees(nodes, undirected).where("degree > 1").select(*N, F.col("node").alias("cut"))
-    variant = F.concat_ws("|", "network_id", "cut")
-    v_edges = undirected.join(cuts, N).where("src != cut and dst != cut").select(variant.alias("network_id"), "src", "dst")
-    v_nodes = nodes.join(cuts, N).where("node != cut").select(variant.alias("network_id"), "node")
-    after = _counts(v_nodes, v_edges).withColumnRenamed("network_id", "variant").withColumnRenamed("components", "after")
-    named = cuts.withColumn("variant", variant).join(after, "variant").join(_counts(nodes, undirected), N)
-    return named.where("after > components").select(*N, F.col("cut").alias("node"))
+    return weak_points(edges).where("kind = 'cut'").select(*N, F.col("src").alias("node"))
 
 
 def audit_network(nodes: DataFrame, edges: DataFrame, min_degree: int = 3, max_gap: int = 48) -> DataFrame:
@@ -102,9 +142,9 @@ def audit_network(nodes: DataFrame, edges: DataFrame, min_degree: int = 3, max_g
     )
     size = edges.groupBy(*N).agg(F.count("*").alias("edges"))
     gaps = gap_days(nodes.select(*N, F.col("node").alias("date")), N).groupBy(*N).agg(F.coalesce(F.max("gap_days"), F.lit(0)).alias("max_gap"))
-    count = lambda df, name: df.groupBy(*N).agg(F.count("*").alias(name))
-    out = deg.join(size, N, "left").join(_counts(nodes, edges), N, "left").join(count(bridges(nodes, edges), "bridges"), N, "left")
-    out = out.join(count(cut_vertices(nodes, edges), "cut_vertices"), N, "left").join(gaps, N, "left").na.fill(0, ["edges", "bridges", "cut_vertices"])
+    weak = weak_points(edges).groupBy(*N).agg(*[F.sum((F.col("kind") == k).cast("long")).alias(c) for k, c in (("bridge", "bridges"), ("cut", "cut_vertices"))], F.sum("k").alias("forest"))
+    out = deg.join(size, N, "left").join(weak, N, "left").join(gaps, N, "left").na.fill(0, ["edges", "bridges", "cut_vertices", "forest"])
+    out = out.withColumn("components", F.col("nodes") - F.col("forest")).drop("forest")
     fine = (F.col("components") == 1) & (F.col("isolates") == 0) & (F.col("bridges") == 0) & (F.col("cut_vertices") == 0)
     return out.withColumn("accepted", fine & (F.col("degree_min") >= min_degree) & (F.col("max_gap") <= max_gap))
 
@@ -128,47 +168,102 @@ def k_core_prune(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
         nodes = keep
 
 
-def repair_network(nodes: DataFrame, kept: DataFrame, dropped: DataFrame) -> DataFrame:
+def _faults(n: int, ends: np.ndarray, least: int = 3) -> tuple:
+    """What an audit counts against a network, worst first: components, isolates, bridges, cut vertices, degrees."""
+    parts, found, cuts = low_links(n, ends)
+    degree = np.bincount(ends.ravel(), minlength=n) if len(ends) else np.zeros(n, np.int64)
+    return parts, int((degree == 0).sum()), len(found), len(cuts), max(0, least - int(degree.min(initial=least))), int((degree < least).sum())
+
+
+def _by_network(nodes: DataFrame, kept: DataFrame, offered: DataFrame, extra: dict[str, str], run, schema: str) -> DataFrame:
+    """``run(nodes, kept pairs, offered pairs)`` for each network, as positions of its nodes in order."""
+    blank = [F.lit(None).cast(t).alias(c) for c, t in extra.items()]
+    rows = nodes.select(*N, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit("node").alias("role"), *blank).distinct()
+    rows = rows.unionByName(kept.select(*N, "src", "dst", F.lit("kept").alias("role"), *blank).distinct())
+    rows = rows.unionByName(offered.select(*N, "src", "dst", F.lit("offered").alias("role"), *extra))
+
+    def one(pdf):
+        names = np.sort(pdf.loc[pdf["role"] == "node", "src"].unique())
+        place = {x: k for k, x in enumerate(names)}
+        part = {r: pdf[pdf["role"] == r] for r in ("kept", "offered")}
+        ends = {r: np.array([(place[a], place[b]) for a, b in zip(x["src"], x["dst"], strict=True)], dtype=np.int64).reshape(-1, 2) for r, x in part.items()}
+        out = run(names, ends["kept"], ends["offered"], part["offered"])
+        out.insert(0, "network_id", pdf["network_id"].iloc[0])
+        return out
+
+    return rows.groupBy(*N).applyInPandas(one, f"network_id {dict(nodes.dtypes)['network_id']}, {schema}")
+
+
+def repair_network(nodes: DataFrame, kept: DataFrame, dropped: DataFrame, max_gap: int = 48) -> DataFrame:
     """Restore dropped pairs of each network, one a round, until it is accepted or no pair makes it better.
 
     Gives network_id, src, dst, round, and accepted, the audit's verdict at the end; a network to which nothing is
-    restored has one row without a pair, of round 0. All trials of a round are networks of their own in one batch. The
-    best trial has the fewest components, then isolates, bridges, cut vertices, what the least degree lacks of 3, then
-    nodes of degree under 3; ties by score (a column of dropped, larger first), then by dates.
+    restored has one row without a pair, of round 0. The best trial of a round has the fewest components, then isolates,
+    bridges, cut vertices, what the least degree lacks of 3, then nodes of degree under 3; ties by score (a column of
+    dropped, larger first), then by dates. A network is a group of its own (see weak_points).
     """
 
-    def judged(n, e):
-        thin = degrees(n, e).groupBy(*N).agg(F.sum(F.expr("cast(degree < 3 as int)")).alias("thin"))
-        short = F.greatest(F.lit(0), 3 - F.col("degree_min")).alias("short")
-        return audit_network(n, e).join(thin, N).select(*N, "accepted", F.struct("components", "isolates", "bridges", "cut_vertices", short, "thin").alias("faults"))
+    def run(names, ends, offers, frame):
+        gap = max((int((b - a).days) for a, b in zip(names, names[1:], strict=False)), default=0)
+        order = np.lexsort((offers[:, 1], offers[:, 0], -frame["score"].to_numpy(dtype=float))) if len(offers) else []
+        left, rows, now = [tuple(offers[k]) for k in order], [], _faults(len(names), ends)
+        have = {tuple(e) for e in ends}
+        left = [e for e in left if e not in have]
+        while left and not (now[0] == 1 and not any(now[1:])):
+            trials = [_faults(len(names), np.vstack([ends, e])) for e in left]
+            best = min(range(len(left)), key=lambda k: trials[k])
+            if trials[best] >= now:
+                break
+            now, e = trials[best], left.pop(best)
+            ends = np.vstack([ends, e])
+            rows.append((names[e[0]], names[e[1]], len(rows) + 1))
+        fine = now[0] == 1 and not any(now[1:]) and gap <= max_gap
+        out = pd.DataFrame(rows or [(None, None, 0)], columns=["src", "dst", "round"])
+        return out.assign(accepted=fine)
+
+    node = dict(nodes.dtypes)["node"]
+    return _by_network(nodes, kept, dropped, {"score": "double"}, run, f"src {node}, dst {node}, round int, accepted boolean")
+
+
+def connect_and_debridge(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, most: int = 30) -> DataFrame:
+    """Pairs to add so that each network is connected and has no bridges: network_id, src, dst, days, role, step, and what is left.
+
+    First the shortest candidates that join two components, until there is one; then, a pair at a time, the candidate
+    that takes away most, a bridge counting as ten cut vertices, the shorter of equals, until no bridge or cut vertex is
+    left, nothing helps, or ``most`` pairs are added. candidates: network_id, src, dst, days. bridges_left and
+    cut_vertices_left tell what remains; a network without additions has one row of step 0.
+    """
 
-    edges, restored, i = _saved(kept.select(*N, "src", "dst")), None, 0
-    state = _saved(judged(nodes, edges))
-    sick = state.where("not accepted")
-    while True:
-        i += 1
-        trial = F.concat_ws("|", "network_id", "src", "dst").alias("t")
-        left = dropped.join(edges, [*N, "src", "dst"], "left_anti").join(sick, N, "left_semi")
-        adds = _saved(left.select(*N, F.col("src").alias("add_src"), F.col("dst").alias("add_dst"), "score", trial))
-        t_edges = edges.join(adds, N).select("t", "src", "dst").unionByName(adds.select("t", F.col("add_src").alias("src"), F.col("add_dst").alias("dst")))
-        t_nodes = nodes.join(adds, N).select(F.col("t").alias("network_id"), "node")
-        if adds.isEmpty():
-            break
-        trials = judged(t_nodes, t_edges.withColumnRenamed("t", "network_id")).withColumnRenamed("network_id", "t")
-        better = adds.join(trials, "t").join(state.select(*N, F.col("faults").alias("now")), N).where("faults < now")
-        order = Window.partitionBy(*N).orderBy("faults", F.desc("score"), "add_src", "add_dst")
-        best = better.withColumn("_r", F.row_number().over(order)).where("_r = 1")
-        best = _saved(best.select(*N, F.col("add_src").alias("src"), F.col("add_dst").alias("dst"), F.lit(i).alias("round"), "accepted", "faults"))
-        if best.isEmpty():
-            break
-        pairs = best.select(*N, "src", "dst", "round")
-        edges = _saved(edges.unionByName(pairs.select(*N, "src", "dst")))
-        restored = _saved(pairs if restored is None else restored.unionByName(pairs))
-        state = _saved(state.join(best, N, "left_anti").unionByName(best.select(*N, "accepted", "faults")))
-        sick = best.where("not accepted")
-    if restored is None:
-        restored = dropped.select(*N, "src", "dst", F.lit(0).alias("round")).limit(0)
-    return state.select(*N, "accepted").join(restored, N, "left").select(*N, "src", "dst", F.coalesce("round", F.lit(0)).alias("round"), "accepted")
+    def run(names, ends, offers, frame):
+        days = frame["days"].to_numpy(dtype=np.int64)
+        order = np.lexsort((offers[:, 1], offers[:, 0], days)) if len(offers) else []
+        have = {tuple(sorted(e)) for e in ends}
+        left = [(int(days[k]), *sorted(map(int, offers[k]))) for k in order if tuple(sorted(offers[k])) not in have]
+        rows, (parts, found, cuts) = [], low_links(len(names), ends)
+        for c in list(left):
+            if parts == 1:
+                break
+            trial = np.vstack([ends, c[1:]])
+            then = low_links(len(names), trial)
+            if then[0] < parts:
+                ends, (parts, found, cuts) = trial, then
+                left.remove(c)
+                rows.append((names[c[1]], names[c[2]], c[0], "connect"))
+        while (found or cuts) and len(rows) < most and left:
+            trials = [low_links(len(names), np.vstack([ends, c[1:]])) for c in left]
+            gains = [10 * (len(found) - len(f)) + len(cuts) - len(v) for _, f, v in trials]
+            best = max(range(len(left)), key=lambda k: (gains[k], -left[k][0]))
+            if gains[best] <= 0:
+                break
+            c = left.pop(best)
+            ends, (parts, found, cuts) = np.vstack([ends, c[1:]]), trials[best]
+            rows.append((names[c[1]], names[c[2]], c[0], "debridge"))
+        out = pd.DataFrame([(*r, k + 1) for k, r in enumerate(rows)] or [(None, None, None, None, 0)], columns=["src", "dst", "days", "role", "step"])
+        return out.assign(days=out["days"].astype("Int64"), bridges_left=len(found), cut_vertices_left=len(cuts), components_left=parts)
+
+    node = dict(nodes.dtypes)["node"]
+    schema = f"src {node}, dst {node}, days long, role string, step int, bridges_left int, cut_vertices_left int, components_left int"
+    return _by_network(nodes, edges, candidates, {"days": "int"}, run, schema)
 
 
 def edge_influence(edges: DataFrame) -> DataFrame:

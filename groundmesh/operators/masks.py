@@ -34,24 +34,29 @@ def null_missing(df: DataFrame, nan: list[str] = (), zero: list[str] = (), nodat
 
 
 def temporal_form(f: DataFrame) -> DataFrame:
-    """Label of a zone's series from its fits: rms_linear, rms_seasonal, rms_step, step, annual, rate.
+    """Label of a zone's series from its fits: rms_linear, rms_step, step, annual, rate (mm and mm a year).
 
-    Episodic if a step lowers the RMS by a quarter and is larger than twice it; else seasonal if the annual amplitude
-    exceeds the absolute rate; else linear with season if it exceeds the RMS; else linear.
+    An offset if the step fit's RMS is under 0.8 of the linear one's and the step over 3 times the linear RMS; else
+    seasonal if the rate is under 3 and the annual amplitude over 3; else linear with season if the amplitude exceeds
+    0.3 of the rate; else about linear.
     """
+    rate = F.abs("rate")
     form = (
-        F.when((F.col("rms_step") < 0.75 * F.col("rms_linear")) & (F.abs("step") > 2 * F.col("rms_step")), "episodic")
-        .when(F.col("annual") > F.abs("rate"), "seasonal").when(F.col("annual") > F.col("rms_seasonal"), "linear+seasonal").otherwise("linear")
+        F.when((F.col("rms_step") < 0.8 * F.col("rms_linear")) & (F.abs("step") > 3 * F.col("rms_linear")), "episodic_offset")
+        .when((rate < 3) & (F.col("annual") > 3), "seasonal_dominated").when(F.col("annual") > 0.3 * rate, "linear_with_seasonal").otherwise("approximately_linear")
     )
     return f.withColumn("form", form)
 
 
 def evidence_grade(z: DataFrame) -> DataFrame:
-    """A, B or C from scenarios survived, coherence, magnitude and rate agreement."""
-    agree = F.abs(F.col("median") - F.col("series_rate")) <= F.greatest(F.lit(2.0), 0.25 * F.abs("median"))
-    a = (F.col("survived") >= 0.8) & (F.col("coherence_median") >= 0.85) & (F.abs("median") >= 15) & agree
-    b = (F.col("survived") >= 0.5) & (F.col("coherence_median") >= 0.8) & agree
-    return z.withColumn("grade", F.when(a, "A").when(b, "B").otherwise("C"))
+    """A, B or C from survived (of 14 scenarios), coherence_median, median and series_rate (mm a year).
+
+    A: 12 scenarios, coherence .85, a rate of 10 and the two rates within a fifth of it; B: 9 scenarios and a rate of 10.
+    """
+    size = F.abs("median")
+    gap = F.abs(size - F.abs("series_rate")) / F.nullif(size, F.lit(0.0))
+    a = (F.col("survived") >= 12) & (F.col("coherence_median") >= 0.85) & (size >= 10) & (gap <= 0.2)
+    return z.withColumn("grade", F.when(a, "A").when((F.col("survived") >= 9) & (size >= 10), "B").otherwise("C"))
 
 
 def persistence_outcome(share: Column) -> Column:
@@ -65,24 +70,36 @@ def reproduction_verdict(z: DataFrame) -> DataFrame:
 
 
 def cross_class(z: DataFrame) -> DataFrame:
-    """SUPPORTED, PARTIAL, CONTRADICTED or NOT_RESOLVED from coverage, magnitude, sign and overlap of two geometries."""
-    weak = (F.col("coverage") < 0.5) | (F.abs("b") < F.col("sigma_b"))
+    """Whether a second geometry (b) supports a zone of the first (a): a, b, coverage, coherence_b, detected.
+
+    Not resolved without a value of b, under half coverage or a coherence under .5. Supported: same sign, a component
+    detected and half the magnitude; partly: same sign and one of the two; contradicted: the other sign.
+    """
+    weak = F.col("b").isNull() | (F.col("coverage") < 0.5) | F.coalesce(F.col("coherence_b") < 0.5, F.lit(False))
     same = F.signum("a") == F.signum("b")
-    return z.withColumn("cross_class", F.when(weak, "NOT_RESOLVED").when(~same, "CONTRADICTED").when(F.col("iou") >= 0.3, "SUPPORTED").otherwise("PARTIAL"))
+    large = F.abs("b") / F.greatest(F.abs("a"), F.lit(1e-9)) >= 0.5
+    label = (
+        F.when(weak, "NOT_RESOLVED").when(same & F.col("detected") & large, "INDEPENDENTLY_SUPPORTED").when(same & (F.col("detected") | large), "PARTIALLY_SUPPORTED")
+        .when(~same, "CONTRADICTED").otherwise("NOT_RESOLVED")
+    )
+    return z.withColumn("cross_class", label)
 
 
-def decomp_eligibility(z: DataFrame, least: int = 20) -> DataFrame:
-    """Whether two views of a zone can be decomposed, with all reasons against."""
+def decomp_eligibility(z: DataFrame, least: int = 5) -> DataFrame:
+    """Whether two views of a zone justify a decomposition, with all reasons against: n_both, a, b, coherence_a, coherence_b, vertical, vertical_sigma."""
+    ratio = F.abs("b") / F.nullif(F.abs("a"), F.lit(0.0))
     reasons = F.array_compact(F.array(
-        F.when(F.col("n_both") < least, F.lit("few common cells")), F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit("a view is missing")),
-        F.when(F.col("coherence_b") < 0.7, F.lit("low coherence")), F.when(F.col("condition") > 10, F.lit("ill conditioned")),
+        F.when(F.coalesce(F.signum("a") != F.signum("b"), F.lit(True)), F.lit("sign disagreement")), F.when(~F.coalesce(ratio.between(0.5, 2.0), F.lit(False)), F.lit("magnitude ratio outside 0.5-2.0")),
+        F.when(F.coalesce(F.col("coherence_a"), F.lit(0.0)) < 0.8, F.lit("coherence of a under 0.8")), F.when(F.coalesce(F.col("coherence_b"), F.lit(0.0)) < 0.8, F.lit("coherence of b under 0.8")),
+        F.when(F.coalesce(F.abs("vertical") <= 2 * F.col("vertical_sigma"), F.lit(True)), F.lit("vertical within 2 sigma")),
     ))
+    reasons = F.when(F.col("n_both") < least, F.array(F.lit("few common cells"))).otherwise(reasons)
     return z.withColumn("reasons", F.array_join(reasons, "; ")).withColumn("eligible", F.size(reasons) == 0)
 
 
-def correspondence(km: Column, inside: Column) -> Column:
-    """How a reported place corresponds to a zone: in it or within 2 km, within 5 km, or not."""
-    return F.when(inside | (km <= 2), "direct").when(km <= 5, "near").otherwise("none")
+def correspondence(km: Column, inside: Column, same_sign: Column) -> Column:
+    """How a reported place corresponds to a zone of the same sign: in it or within 2 km, within 5 km, or not."""
+    return F.when(~F.coalesce(same_sign, F.lit(False)), "none").when(inside | (km <= 2), "direct").when(km <= 5, "near").otherwise("none")
 
 
 def resolve_by_provenance(products: DataFrame, source_suffix: str) -> DataFrame:

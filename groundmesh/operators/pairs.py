@@ -166,10 +166,13 @@ def season_of_pair(pairs: DataFrame) -> DataFrame:
 
 
 def job_credit_cost(jobs: DataFrame, costs: DataFrame) -> DataFrame:
-    """Cost of each scenario's jobs; costs: looks, max_bursts, cost — the least step that holds the job's bursts."""
-    step = Window.partitionBy(*[F.col(c) for c in jobs.columns]).orderBy("max_bursts")
-    joined = jobs.join(F.broadcast(costs), "looks").where("n_bursts <= max_bursts").withColumn("_r", F.row_number().over(step)).where("_r = 1")
-    return joined.groupBy("scenario").agg(F.count("*").alias("jobs"), F.sum("cost").alias("credits"))
+    """Cost of each scenario's jobs; costs: looks, max_bursts, cost — the least step that holds the job's bursts.
+
+    Jobs are counted by scenario, looks and bursts first, so repeated jobs are charged each and few rows meet the costs.
+    """
+    kinds = jobs.groupBy("scenario", "looks", "n_bursts").agg(F.count("*").alias("jobs"))
+    step = kinds.join(costs, "looks").where("n_bursts <= max_bursts").groupBy("scenario", "looks", "n_bursts", "jobs").agg(F.min_by("cost", "max_bursts").alias("cost"))
+    return step.groupBy("scenario").agg(F.sum("jobs").alias("jobs"), F.sum(F.col("jobs") * F.col("cost")).alias("credits"))
 
 
 def decimal_year(date: Column, variant: str = "A") -> Column:

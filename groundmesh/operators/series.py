@@ -34,8 +34,10 @@ def weighted_rate(df: DataFrame, by: list[str], t: str = "t", y: str = "y", sigm
     return out.select(*by, "n", (F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))).alias("rate"), (1 / F.sqrt(F.nullif(F.col("sxx"), F.lit(0.0)))).alias("rate_sigma"))
 
 
-def seasonal_fit(df: DataFrame, by: list[str], t: str = "t", y: str = "y") -> DataFrame:
-    """Offset, rate, annual and semi-annual amplitudes and RMS of each series.
+def seasonal_fit(df: DataFrame, by: list[str], t: str = "t", y: str = "y", sigma: str | None = None) -> DataFrame:
+    """Rate, annual and semi-annual amplitudes, RMS, the rate's deviation and reduced chi-square of each series.
+
+    Rows weigh 1 / sigma^2, a sigma being 1e-9 at least; without a sigma column all weigh 1.
 
     Spark sums the 6 x 6 normal equations of every series in one aggregation; only the small systems, a row for each
     series, are solved in numpy.
@@ -44,26 +46,34 @@ def seasonal_fit(df: DataFrame, by: list[str], t: str = "t", y: str = "y") -> Da
     mid = df.where(f"{t} is not null and {y} is not null").groupBy(*by).agg(F.avg(t).alias("_t0"))
     base = df.where(f"{t} is not null and {y} is not null").join(mid, by)
     terms = [F.lit(1.0), F.col(t) - F.col("_t0"), F.cos(w * F.col(t)), F.sin(w * F.col(t)), F.cos(2 * w * F.col(t)), F.sin(2 * w * F.col(t))]
-    aggs = [F.sum(terms[i] * terms[j]).alias(f"a{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(terms[i] * F.col(y)).alias(f"b{i}") for i in range(6)]
-    sums = base.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *aggs)
-
-    @F.pandas_udf("struct<rate double, annual double, semiannual double, rms double>")
-    def solve(a: pd.Series, b: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataFrame:
+    weight = F.lit(1.0) if sigma is None else 1 / F.pow(F.greatest(F.col(sigma), F.lit(1e-9)), 2)
+    pairs = [(i, j) for i in range(6) for j in range(i, 6)]
+    aggs = [F.sum(w_ * terms[i] * terms[j]).alias(f"{n}a{i}{j}") for n, w_ in (("w", weight), ("u", F.lit(1.0))) for i, j in pairs]
+    aggs += [F.sum(w_ * terms[i] * F.col(y)).alias(f"{n}b{i}") for n, w_ in (("w", weight), ("u", F.lit(1.0))) for i in range(6)]
+    sums = base.groupBy(*by).agg(F.count("*").alias("n"), F.sum(weight * F.col(y) * F.col(y)).alias("wyy"), F.sum(F.col(y) * F.col(y)).alias("uyy"), *aggs)
+
+    def square(values) -> np.ndarray:
+        m = np.zeros((6, 6))
+        m[np.triu_indices(6)] = values
+        return m + np.triu(m, 1).T
+
+    @F.pandas_udf("struct<rate double, annual double, semiannual double, rms double, rate_sigma double, chi2 double>")
+    def solve(wa: pd.Series, wb: pd.Series, wyy: pd.Series, ua: pd.Series, ub: pd.Series, uyy: pd.Series, n: pd.Series) -> pd.DataFrame:
         out = []
-        for av, bv, q, k in zip(a, b, yy, n, strict=True):
-            m = np.zeros((6, 6))
-            m[np.triu_indices(6)] = av
-            m = m + np.triu(m, 1).T
+        for a, b, q, a1, b1, q1, k in zip(wa, wb, wyy, ua, ub, uyy, n, strict=True):
+            m = square(a)
             if k < 7 or np.linalg.matrix_rank(m) < 6:
-                out.append((None,) * 4)
+                out.append((None,) * 6)
                 continue
-            x = np.linalg.solve(m, np.array(bv))
-            out.append((x[1], float(np.hypot(x[2], x[3])), float(np.hypot(x[4], x[5])), float(np.sqrt(max(0.0, q - x @ np.array(bv)) / k))))
-        return pd.DataFrame(out, columns=["rate", "annual", "semiannual", "rms"], dtype=float)
-
-    a = F.array(*[F.col(f"a{i}{j}") for i in range(6) for j in range(i, 6)])
-    b = F.array(*[F.col(f"b{i}") for i in range(6)])
-    return sums.select(*by, "n", solve(a, b, F.col("yy"), F.col("n")).alias("f")).select(*by, "n", "f.*")
+            cov = np.linalg.inv(m)
+            x = cov @ np.array(b)
+            rest = max(0.0, q1 - 2 * x @ np.array(b1) + x @ square(a1) @ x)  # residuals count alike in the RMS
+            out.append((x[1], float(np.hypot(x[2], x[3])), float(np.hypot(x[4], x[5])), float(np.sqrt(rest / k)), float(np.sqrt(cov[1, 1])), max(0.0, q - x @ np.array(b)) / max(1, k - 6)))
+        return pd.DataFrame(out, columns=["rate", "annual", "semiannual", "rms", "rate_sigma", "chi2"], dtype=float)
+
+    cols = [F.array(*[F.col(f"{n}{c}") for c in cs]) for n in "wu" for cs in ([f"a{i}{j}" for i, j in pairs], [f"b{i}" for i in range(6)])]
+    solved = solve(cols[0], cols[1], F.col("wyy"), cols[2], cols[3], F.col("uyy"), F.col("n"))
+    return sums.select(*by, "n", solved.alias("f")).select(*by, "n", "f.*")
 
 
 def step_fit(df: DataFrame, by: list[str], t: str = "t", y: str = "y", margin: int = 4) -> DataFrame:

@@ -177,9 +177,10 @@ def epoch_bootstrap(series: DataFrame, by: list[str], reps: int = 200, seed: int
 
 
 def block_permutation(pairs: DataFrame, by: list[str], block_rows: int = 90, reps: int = 5000, seed: int = 0, chunk: int = 500) -> DataFrame:
-    """Two-sided p of Spearman's rank correlation when blocks of one side's rows are permuted.
+    """Two-sided p of Spearman's rank correlation when blocks of one side's rows are permuted; null under 40 rows.
 
-    pairs: by, i (order), a, b. Each (test, chunk of replicates) is a group of its own, so replicates spread over
+    The rows are cut into max(2, n div block_rows) consecutive blocks, sizes at most one apart; p is the share of
+    permutations with a correlation at least as large in size. pairs: by, i (order), a, b. Each (test, chunk of replicates) is a group of its own, so replicates spread over
     tasks; a test's rows are one series of bounded length.
     """
     import numpy as np
@@ -192,10 +193,10 @@ def block_permutation(pairs: DataFrame, by: list[str], block_rows: int = 90, rep
         rank = lambda x: pd.Series(x).rank().to_numpy()
         a, b = rank(pdf["a"].to_numpy()), rank(pdf["b"].to_numpy())
         n, first = len(a), int(pdf["chunk"].iloc[0]) * chunk
-        if n < 3 or np.std(a) == 0 or np.std(b) == 0:
+        if n < 40 or np.std(a) == 0 or np.std(b) == 0:
             return pd.DataFrame([[*pdf[by].iloc[0], n, None, 0, 0]], columns=[*by, "n", "rho", "hits", "reps"])
         rho, rng, hits = np.corrcoef(a, b)[0, 1], np.random.default_rng([seed, first]), 0
-        blocks = [np.arange(n)[i : i + block_rows] for i in range(0, n, block_rows)]
+        blocks = np.array_split(np.arange(n), max(2, n // block_rows))
         todo = min(chunk, reps - first)
         for _ in range(todo):
             order = np.concatenate([blocks[k] for k in rng.permutation(len(blocks))])
@@ -205,4 +206,4 @@ def block_permutation(pairs: DataFrame, by: list[str], block_rows: int = 90, rep
     chunks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // chunk)))
     parts = pairs.select(*by, "i", "a", "b", chunks.alias("chunk")).groupBy(*by, "chunk").applyInPandas(run, fields)
     total = parts.groupBy(*by).agg(F.first("n").alias("n"), F.first("rho").alias("spearman"), F.sum("hits").alias("hits"), F.sum("reps").alias("reps"))
-    return total.withColumn("p", F.when(F.col("reps") > 0, (F.col("hits") + 1) / (F.col("reps") + 1)))
+    return total.withColumn("p", F.when(F.col("reps") > 0, F.col("hits") / F.col("reps")))

@@ -162,11 +162,20 @@ def _(spark, d):
     return pairs.enrich(kept, lines, ["l_orderkey"]).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count("l").alias("with_lines"), F.sum(F.coalesce("q", F.lit(0.0))).alias("quantity"))
 
 
-@query("evidence_grades", f"""with {PIX}, z as (select row // 10 as zone, quantile_cont(velocity, .5) * 5 as median, avg(velocity) * 5 as series_rate, quantile_cont(tcoh, .5) as c, avg((tcoh >= .8)::int) as survived from px group by 1),
- g as (select *, abs(median - series_rate) <= greatest(2.0, .25 * abs(median)) as agree from z) select zone, case when survived >= .8 and c >= .85 and abs(median) >= 15 and agree then 'A' when survived >= .5 and c >= .8 and agree then 'B' else 'C' end as grade, case when survived >= .8 then 'robust' when survived >= .5 then 'moderate' else 'mask_dependent' end as outcome from g""")
+GRID = """grid as (select row_number() over (order by c, v) as scenario_id, c, v from (values (.7), (.75), (.8), (.82), (.84), (.85), (.9)) as a(c), (values (1.0), (2.0)) as b(v))"""
+
+
+@query("evidence_grades", f"""with {PIX}, {GRID}, z as (select row // 10 as zone, quantile_cont(velocity, .5) * 5 as median, avg(velocity) * 5 as series_rate, quantile_cont(tcoh, .5) as c from px group by 1),
+ s as (select zone, count(*) as survived from (select row // 10 as zone, scenario_id, count(*) as n from px join grid on tcoh >= grid.c and abs(velocity) >= grid.v group by 1, 2) where n >= 20 group by 1)
+select zone, coalesce(survived, 0) as survived, case when survived >= 12 and c >= .85 and abs(median) >= 10 and abs(abs(median) - abs(series_rate)) / abs(median) <= .2 then 'A' when survived >= 9 and abs(median) >= 10 then 'B' else 'C' end as grade,
+ case when coalesce(survived, 0) / 14 >= .8 then 'robust' when coalesce(survived, 0) / 14 >= .5 then 'moderate' else 'mask_dependent' end as outcome from z left join s using (zone)""")
 def _(spark, d):
-    z = pixels(spark, d).groupBy(F.expr("row div 10").alias("zone")).agg((F.percentile("velocity", F.lit(0.5)) * 5).alias("median"), (F.avg("velocity") * 5).alias("series_rate"), F.percentile("tcoh", F.lit(0.5)).alias("coherence_median"), F.avg((F.col("tcoh") >= 0.8).cast("double")).alias("survived"))
-    return masks.evidence_grade(z).select("zone", "grade", masks.persistence_outcome(F.col("survived")).alias("outcome"))
+    px = pixels(spark, d).withColumn("zone", F.expr("row div 10"))
+    grid = spark.createDataFrame([(k, c, v) for k, (c, v) in enumerate((c, v) for c in (0.7, 0.75, 0.8, 0.82, 0.84, 0.85, 0.9) for v in (1.0, 2.0))], "scenario_id int, coherence_min double, threshold double")
+    survived = pairs.scenarios(px, grid).groupBy("zone", "scenario_id").agg(F.count("*").alias("n")).where("n >= 20").groupBy("zone").agg(F.count("*").alias("survived"))
+    z = px.groupBy("zone").agg((F.percentile("velocity", F.lit(0.5)) * 5).alias("median"), (F.avg("velocity") * 5).alias("series_rate"), F.percentile("tcoh", F.lit(0.5)).alias("coherence_median"))
+    z = z.join(survived, "zone", "left").na.fill(0, ["survived"])
+    return masks.evidence_grade(z).select("zone", "survived", "grade", masks.persistence_outcome(F.col("survived") / 14).alias("outcome"))
 
 
 @query("promotion_rule", f"""with {TELE}, m as (select producer as branch, 'mean' as metric, avg(value) as value, 'low' as better from tele group by 1 union all select producer, 'spread', stddev_pop(value), 'low' from tele group by 1 union all select producer, 'n', count(*), 'high' from tele group by 1), b as (select metric, value as base from m where branch = (select min(branch) from m))

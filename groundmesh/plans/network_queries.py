@@ -169,6 +169,12 @@ def _(spark, d):
     return graph.repair_network(nodes, kept, dropped.withColumn("score", -F.col("max_perp")))
 
 
+@query("connect_and_debridge")
+def _(spark, d):
+    nodes, thin = _thin(spark, d)
+    return graph.connect_and_debridge(nodes, thin, network(spark, d)[1].select("network_id", "src", "dst", "days"))
+
+
 @query("edge_influence", f"""with {NET}, q as (select *, round(1 - max_perp / 250, 6) as quality, row_number() over (partition by network_id order by round(1 - max_perp / 250, 6), src, dst) as rank, count(*) over (partition by network_id) as n from edges)
 select network_id, src, dst, quality, rank, round(100 * rank / n, 6) as pct, quality < 0.3 as weak from q where days > 28""")
 def _(spark, d):

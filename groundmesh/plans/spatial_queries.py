@@ -86,10 +86,10 @@ def _(spark, d):
     return core.crossJoin(geo.zone_variant(dist, buffer=4.0).agg(F.count("*").alias("buffered")))
 
 
-@query("correspondence", f"with {PIX}, {DIST} select case when i.row is not null or outline <= 2 then 'direct' when outline <= 5 then 'near' else 'none' end as class, count(*) as n from dd left join ins i on i.row = dd.row and i.col = dd.col group by 1")
+@query("correspondence", f"with {PIX}, {DIST} select case when (dd.row + dd.col) % 3 = 0 then 'none' when i.row is not null or outline <= 2 then 'direct' when outline <= 5 then 'near' else 'none' end as class, count(*) as n from dd left join ins i on i.row = dd.row and i.col = dd.col group by 1")
 def _(spark, d):
     dist = geo.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, {"aoi": [AOI]}), ["row", "col"])
-    return dist.groupBy(masks.correspondence(F.col("distance"), F.col("inside")).alias("class")).agg(F.count("*").alias("n"))
+    return dist.groupBy(masks.correspondence(F.col("distance"), F.col("inside"), (F.col("row") + F.col("col")) % 3 != 0).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("utm_round_trip", f"with {SUPP} select id, round(lat, 6) as lat, round(lon, 6) as lon from supp")

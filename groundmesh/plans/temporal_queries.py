@@ -143,7 +143,7 @@ def _(spark, d):
     z = _zone(spark, d)
     other = z.select("i", ((F.col("zone") + 9) % 10).alias("zone"), F.col("y").alias("b"))
     p = z.join(other, ["zone", "i"]).select("zone", "i", F.col("y").alias("a"), "b")
-    return rounded(stats.block_permutation(p, ["zone"], 8, 500, chunk=100), 7)
+    return rounded(stats.block_permutation(p, ["zone"], 8), 7)
 
 
 @query("daily_series", f"with {TELE} select producer, station, cast(ts as date) as date, count(value) as n, {q('value', .5)} as median from tele where value is not null group by 1, 2, 3 having count(value) >= 2")
