@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from . import fields_queries, flows_queries, gates_queries, network_queries, pixel_queries, spatial_queries, temporal_queries
+from . import compare_queries, fields_queries, flows_queries, gates_queries, network_queries, pixel_queries, spatial_queries, temporal_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _module in (network_queries, pixel_queries, temporal_queries, spatial_queries, gates_queries, flows_queries, fields_queries):
+for _module in (network_queries, pixel_queries, temporal_queries, spatial_queries, gates_queries, flows_queries, fields_queries, compare_queries):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 
-# Survey operators without a query yet: J6 (rates of co-located station pairs on common dates), A24 by copy state, A31 (zone
-# profiles by depth), N11 (connecting and de-bridging under caps), G10 and G20 beyond their parts, X5 by days, C8 and C16
-# as whole reports, Q8 rule packs. Sources S2-S8 and S14 are tested on files, as no given table holds their formats.
+# Survey operators without a query: A24 by copy state, G10 and G20 beyond their parts, X5 by days, Q8 rule packs.
+# Sources S2-S8 and S14 are tested on files, as no given table holds their formats.
