@@ -172,10 +172,10 @@ def _(spark, d):
     return rounded(series.composite(_anomalies(spark, d), ["zone"], "station"), 8)
 
 
-@query("leave_one_out_composite", f"""with {DAILY}, few as (select * from an where station < 30), o as (select distinct zone, station as left_out from few), r as (select few.*, left_out from few join o using (zone) where station <> left_out), st as (select zone, left_out, count(distinct station) as stations from r group by 1, 2)
+@query("leave_one_out_composite", f"""with {DAILY}, few as (select * from an), o as (select distinct zone, station as left_out from few), r as (select few.*, left_out from few join o using (zone) where station <> left_out), st as (select zone, left_out, count(distinct station) as stations from r group by 1, 2)
 select zone, left_out, date, count(*) as n, round(quantile_cont(anomaly, .5), 8) as composite, any_value(stations) as stations from r join st using (zone, left_out) group by 1, 2, 3 having count(*) >= greatest(.5 * any_value(stations), 2)""")
 def _(spark, d):
-    return rounded(series.loo_composite(_anomalies(spark, d).where("station < 30"), ["zone"], "station"), 8)
+    return rounded(series.loo_composite(_anomalies(spark, d), ["zone"], "station"), 8)
 
 
 FLAGS = """fl as (select station, producer, value, ts, value - lag(value) over w as dv, (ts = lag(ts) over w)::int as rp from tele window w as (partition by station, producer order by ts, value)),

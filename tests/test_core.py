@@ -172,3 +172,49 @@ def test_colocated_stations_match_brute_force_at_any_latitude(spark):
         h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
         x, y = np.nonzero((2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) <= 2.0) & (ids[:, None] < ids))
         assert got == {(int(ids[i]), int(ids[j])) for i, j in zip(x, y, strict=True)}
+
+
+def test_low_links_match_brute_force():
+    import random
+
+    import numpy as np
+
+    def parts(n, ends, gone=None):
+        label = list(range(n))
+        for u, v in ends:
+            if gone not in (u, v):
+                old, new = label[u], label[v]
+                label = [new if x == old else x for x in label]
+        return len({x for k, x in enumerate(label) if k != gone})
+
+    r = random.Random(6)
+    for _ in range(200):
+        n = r.randint(1, 9)
+        ends = sorted({tuple(sorted(r.sample(range(n), 2))) for _ in range(r.randint(0, 12)) if n > 1})
+        whole, cut, split = graph.low_links(n, np.array(ends, dtype=np.int64).reshape(-1, 2))
+        assert whole == parts(n, ends)
+        assert sorted(cut) == [k for k in range(len(ends)) if parts(n, ends[:k] + ends[k + 1 :]) > whole]
+        alone = {k for k in range(n) if not any(k in e for e in ends)}
+        assert split == {k for k in range(n) if k not in alone and parts(n, ends, k) > whole}
+
+
+def test_connect_and_debridge(spark):
+    import datetime
+
+    day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(12 * k)
+    nodes = spark.createDataFrame([("a", day(k)) for k in range(5)], "network_id string, node date")
+    edges = spark.createDataFrame([("a", day(0), day(1)), ("a", day(1), day(2)), ("a", day(3), day(4))], "network_id string, src date, dst date")
+    every = [("a", day(i), day(j), 12 * (j - i)) for i in range(5) for j in range(i + 1, 5)]
+    got = graph.connect_and_debridge(nodes, edges, spark.createDataFrame(every, "network_id string, src date, dst date, days int")).orderBy("step").collect()
+    assert (got[0]["src"], got[0]["dst"], got[0]["role"]) == (day(2), day(3), "connect")
+    # One pair from end to end makes the chain a ring: no bridge and no cut vertex is left.
+    assert (got[1]["src"], got[1]["dst"], got[1]["role"], got[1]["bridges_left"], got[1]["cut_vertices_left"]) == (day(0), day(4), "debridge", 0, 0) and len(got) == 2
+
+
+def test_grades_and_forms(spark):
+    from groundmesh.operators import masks
+
+    z = spark.createDataFrame([(12, 0.85, -10.0, -11.9), (12, 0.84, -10.0, -10.0), (9, 0.1, 10.0, 99.0), (8, 0.9, 50.0, 50.0), (14, 0.9, 9.9, 9.9)], "survived int, coherence_median double, median double, series_rate double")
+    assert [r["grade"] for r in masks.evidence_grade(z).collect()] == ["A", "B", "B", "C", "C"]
+    f = spark.createDataFrame([(1.0, 0.79, 3.1, 9.0, 1.0), (1.0, 0.81, 9.0, 3.1, 2.9), (1.0, 1.0, 0.0, 3.1, 10.0), (1.0, 1.0, 0.0, 2.9, 10.0)], "rms_linear double, rms_step double, step double, annual double, rate double")
+    assert [r["form"] for r in masks.temporal_form(f).collect()] == ["episodic_offset", "seasonal_dominated", "linear_with_seasonal", "approximately_linear"]
