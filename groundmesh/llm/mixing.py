@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WORDS, cut, table
+from .common import WORD, WORDS, cut, free_names, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -130,18 +130,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken words and the white space between them; documents that the mix never reaches go.
     """
     _, takes = mix_rows(docs, **options)
-    ranges = takes.groupBy(F.col("key").alias("_rk"), F.col("nth").alias("_n"), F.col("epoch").alias("_epoch")).agg(F.min("from").alias("_from"), F.max("to").alias("_to"))
-    keyed = docs.withColumn("_key", row_key())
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    # As a difference, the number is no join key: the texts are dealt by _key once.
-    joined = keyed.join(ranges, (F.col("_key") == F.col("_rk")) & (F.col("_nth") - F.col("_n") == 0))
+    key, nth, row, number, epoch, lo_, hi_ = free_names(docs, "_key", "_nth", "_rk", "_n", "_epoch", "_from", "_to")
+    ranges = takes.groupBy(F.col("key").alias(row), F.col("nth").alias(number), F.col("epoch").alias(epoch)).agg(F.min("from").alias(lo_), F.max("to").alias(hi_))
+    keyed = docs.withColumn(key, row_key())
+    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    # As a difference, the number is no join key: the texts are dealt by their keys once.
+    joined = keyed.join(ranges, (F.col(key) == F.col(row)) & (F.col(nth) - F.col(number) == 0))
 
     columns = docs.columns
 
     def cut_text(batches):
         for b in batches:
             out = []
-            for text, lo, hi in zip(b["text"], b["_from"], b["_to"], strict=True):
+            for text, lo, hi in zip(b["text"], b[lo_], b[hi_], strict=True):
                 spans = [m.span() for m in WORDS.finditer(text)] if text else []
                 out.append(text if lo == 0 and hi >= len(spans) else text[spans[lo][0] : spans[min(hi, len(spans)) - 1][1]])
             b["text"] = out

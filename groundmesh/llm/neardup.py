@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, components, cut, in_filter, mix64, slices, sums, table, word_codes, word_hashes
+from .common import bit_filter, components, cut, free_names, in_filter, mix64, slices, sums, table, word_codes, word_hashes
 
 SHINGLE = 5
 #: Registers of a sketch, mantissa bits of a register, registers of a band.
@@ -450,8 +450,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id and text are one document and stay or go together; of rows with one id and different
     texts each has its own fate.
     """
-    kept = grouped(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_key")), "left_semi")
+    kept_id, kept_key = free_names(docs, "_kept_id", "_kept_key")
+    kept = grouped(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(kept_id)) & (F.xxhash64(docs["text"]) == F.col(kept_key)), "left_semi")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
