@@ -17,6 +17,8 @@ WINDOW = 7
 LEAST_BLOCK = 3
 #: Characters of a signature, at most; the block size is the least that stays within it.
 SIGNATURE = 64
+#: A signature of fewer letters says too little where half the block would give more.
+FEW = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LETTERS = np.frombuffer(ALPHABET.encode(), dtype=np.uint8)
 
@@ -62,7 +64,9 @@ def fingerprint(data: bytes) -> str:
     """``block:signature:signature at twice the block``; empty signatures for empty data.
 
     A piece ends where the rolling hash plus 1 is a multiple of the block. The block is LEAST_BLOCK times the least
-    power of two at which at most SIGNATURE pieces arise, so no piece is ever left out of the signature.
+    power of two at which at most SIGNATURE pieces arise, so no piece is ever left out of the signature. A text that repeats
+    itself may fall from more pieces to under FEW in one step; it takes the smaller block, and its last letter stands for all
+    that follows the first SIGNATURE - 1 pieces.
     """
     if not data:
         return f"{LEAST_BLOCK}::"
@@ -75,7 +79,9 @@ def fingerprint(data: bytes) -> str:
     level = np.log2((times & (~times + np.uint64(1))).astype(np.float64)).astype(np.int64)  # powers of two in it
     reach = np.append(np.cumsum(np.bincount(level)[::-1])[::-1], 0) if len(at) else np.zeros(1, np.int64)
     k = int(np.argmax(reach < SIGNATURE))
-    return f"{LEAST_BLOCK << k}:{signature(sums, at[level >= k])}:{signature(sums, at[level > k])}"
+    if k and reach[k] + 1 < FEW:
+        k -= 1
+    return f"{LEAST_BLOCK << k}:{signature(sums, at[level >= k][: SIGNATURE - 1])}:{signature(sums, at[level > k])}"
 
 
 def likeness(a, b):

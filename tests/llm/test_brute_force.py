@@ -77,7 +77,7 @@ def plain_fingerprint(data):
 
     def letters(block):
         out, start = "", 0
-        for stop in sorted({*(e + 1 for e in ends(block)), len(data)}):
+        for stop in sorted({*(e + 1 for e in ends(block)[: fingerprints.SIGNATURE - 1]), len(data)}):
             piece, power = 0, 1
             for b in data[start:stop]:
                 piece, power = piece + (b + 1) * power & WIDE, power * fingerprints.BASE & WIDE
@@ -88,6 +88,8 @@ def plain_fingerprint(data):
     block = fingerprints.LEAST_BLOCK
     while len(ends(block)) >= fingerprints.SIGNATURE:
         block *= 2
+    if block > fingerprints.LEAST_BLOCK and len(ends(block)) + 1 < fingerprints.FEW:
+        block //= 2
     return f"{block}:{letters(block)}:{letters(2 * block)}"
 
 
@@ -111,7 +113,7 @@ def plain_likeness(a, b):
 
 def test_signatures_and_likeness(spark):
     texts = {i: t for i, t, _ in PAIRS if i is not None and i != 5}
-    texts |= {50: some_words(3000, 4), 51: "prefix " + some_words(3000, 4), 52: "y" * 2000}
+    texts |= {50: some_words(3000, 4), 51: "prefix " + some_words(3000, 4), 52: "y" * 2000, 53: "some lines come again and again\n" * 90, 54: "some lines come again and again\n" * 90 + "tail"}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(rows).collect()}
     order = sorted(texts, reverse=True)
@@ -132,6 +134,14 @@ def test_a_text_of_megabytes_has_short_signatures():
     assert plain_likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(b"head " + text)) > 0.9
 
 
+@pytest.mark.parametrize("text", [some_words(200_000, 8).encode(), b"some lines come again and again\n" * 900])
+def test_a_text_that_repeats_itself_is_like_its_edits(text):
+    mark = fingerprints.fingerprint(text)
+    assert len(mark.split(":")[1]) == 64
+    assert plain_likeness(mark, fingerprints.fingerprint(b"head " + text)) > 0.9
+    assert plain_likeness(mark, fingerprints.fingerprint(text + b" tail")) > 0.9
+
+
 def test_places_of_shards(docs):
     n, seed = len(PAIRS), 20240229
     keys = sorted((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t, _ in PAIRS)
