@@ -184,6 +184,16 @@ def maybe_shared(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(key >> np.uint64(30)).astype(np.int64), at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+def sorted_places(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of their ranks, ties by place; the ranks in that order)."""
+    bits = max(1, (len(rank) - 1).bit_length())
+    if not len(rank) or int(rank.max()) >> (63 - bits):
+        order = np.argsort(rank, kind="stable")
+        return order, rank[order]
+    both = np.sort((rank << bits) | np.arange(len(rank)))  # one sort of numbers is far quicker than one of their places
+    return both & ((1 << bits) - 1), both >> bits
+
+
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of a set of strings, the earliest first.
 
@@ -210,8 +220,7 @@ class RunLengthIndex:
             rank = (rank << 9) | np.where(k < left, padded[k : k + len(text)], 0)
         size, ranks = 7, {}
         while True:
-            order = np.argsort(rank, kind="stable")
-            ordered = rank[order]
+            order, ordered = sorted_places(rank)
             rank = np.empty_like(rank)
             rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) + 1
             if size < LENGTH <= 2 * size:
@@ -220,9 +229,8 @@ class RunLengthIndex:
             if size > lengths.max():
                 break
             ahead = np.where(left > size, rank[np.minimum(place + size, len(text) - 1)], 0)
-            rank = rank * (len(text) + 1) + ahead
+            rank = rank * (int(rank.max()) + 1) + ahead
             size *= 2
-        order = order if (np.diff(rank[order]) > 0).all() else np.lexsort((place, rank))
         symbol = np.where(order == self.starts[owner[order]], 0, text[order - 1])
         enough = left[order] >= LENGTH
         same = np.zeros(len(text), dtype=bool)
