@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -31,6 +32,8 @@ HOT_TEXTS = 100_000
 FLUSH = 64 << 20
 #: Candidate pieces that a part of the shuffle holds, about 2 MB of text for each 30,000; a part is indexed by one task.
 PART_PIECES = 200_000
+#: Bits of the filter on pieces whose text the index needs; as it fills up more texts travel, results do not change.
+ASKED_BITS = 1 << 27
 #: Symbols that one index holds, if no single bucket is larger.
 BLOCK = 1 << 19
 
@@ -294,6 +297,47 @@ def mark(strings: list[bytes], texts: np.ndarray, buckets: np.ndarray) -> np.nda
     return np.where(texts > first[codes], full[codes], bits[codes])
 
 
+@functools.lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random numbers for the 256 bytes, powers of an odd base and of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.full(PIECE + LENGTH + 1, b, dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return mix64(np.arange(1, 257, dtype=np.uint64)), np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def piece_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece data[first : last + LENGTH], from sums over the whole array."""
+    byte, up, down = powers()
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[data] * up[: len(data)])])
+        return mix64((total[last + LENGTH] - total[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def asked_place(key: np.ndarray, digest: np.ndarray, nth: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix64(digest ^ mix64(key + mix64(nth.astype(np.uint64)))) % np.uint64(bits)).astype(np.int64)
+
+
+def folded(key: np.ndarray, nth: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whole, asked): which pieces an earlier text has as they are, and which the index needs.
+
+    The index needs a piece from the first text that has it, if its bucket has others and they are of several texts.
+    """
+    if not len(key):
+        return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+    order = np.lexsort((nth, digest, key))
+    k, d, t = key[order], digest[order], nth[order]
+    bucket = np.concatenate([[True], k[1:] != k[:-1]])
+    piece = bucket | np.concatenate([[True], d[1:] != d[:-1]])
+    later = t > t[np.flatnonzero(piece)][np.cumsum(piece) - 1]
+    edge = np.flatnonzero(bucket)
+    several = (np.add.reduceat(piece.astype(np.int64), edge) > 1) & (np.minimum.reduceat(t, edge) < np.maximum.reduceat(t, edge))
+    whole, asked = np.empty(len(key), dtype=bool), np.empty(len(key), dtype=bool)
+    whole[order], asked[order] = later, ~later & several[np.cumsum(bucket) - 1]
+    return whole, asked
+
+
 def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -319,8 +363,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Each byte goes that lies in a string of LENGTH bytes which also starts in a text with a smaller doc_id. Strings
     are dealt to buckets by their least k-mer, as pieces of text that hold all neighbouring strings of one bucket;
-    buckets of k-mers that one text alone has stay at home. Buckets are indexed in blocks of bounded size. Texts
-    without marks are finished where they are read.
+    buckets of k-mers that one text alone has stay at home. Pieces first meet as hashes (64 bits beside the 42 of their
+    bucket): a piece that an earlier text has goes whole, and only the first text's pieces of buckets with different ones
+    travel as text, to be indexed in blocks of bounded size. Texts without marks are finished where they are read.
     A null text is empty; a null doc_id counts as larger than any other; rows with equal ids remove nothing from each
     other. An empty table gives no rows.
     """
@@ -344,36 +389,73 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             own = owner[first]
             yield data, first, last, key, np.array(keys, dtype=np.int64)[own], np.array(nth, dtype=np.int64)[own], first - begin[own] + offset
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_pieces // PART_PIECES))
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least_parts, -(-n_pieces // PART_PIECES))
+    asked_bits = max(64, ASKED_BITS // parts // 8 * 8)
+
+    def packed_by_part(batches, found, parts):
+        """Pieces by bucket, packed and compressed by part; copies in a task lie side by side and cost little.
 
-    def strings(batches):
-        """Pieces of text by bucket, packed and compressed by part; copies in a task lie side by side and cost little."""
+        found: gives key, nth, row, at, size, content and bytes of content of pieces.
+        """
         held, size = [], 0
 
         def flush():
-            key, nth, row, at, sizes = (np.concatenate([h[k] for h in held]) for k in range(5))
-            text = np.concatenate([h[5] for h in held])
+            key, nth, row, at, sizes, widths = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 3, 4, 6))
+            content = np.concatenate([h[5] for h in held])
             part = (key % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((nth, key, part))
             edge = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
-            starts = np.cumsum(sizes) - sizes
+            starts = np.cumsum(widths) - widths
             packs = []
             for i, j in zip(edge, np.append(edge[1:], len(order)), strict=True):
                 o = order[i:j]
-                packs.append(pack(key[o], nth[o], row[o], at[o], sizes[o], gather(text, starts[o], sizes[o])))
+                packs.append(pack(key[o], nth[o], row[o], at[o], sizes[o], gather(content, starts[o], widths[o])))
             return pa.RecordBatch.from_arrays([pa.array(part[order][edge].astype(np.int32)), pa.array(packs, pa.binary())], ["part", "pack"])
 
-        for data, first, last, key, row, nth, at in candidates(batches, False):
-            sizes = last - first + LENGTH
-            held.append((key, nth, (row & 0xFFFFFFFF).astype(np.uint32), at.astype(np.int32), sizes, gather(data, first, sizes)))
-            size += len(held[-1][5])
+        for key, nth, row, at, sizes, content, widths in found(batches):
+            held.append((key, nth, (row & 0xFFFFFFFF).astype(np.uint32), at.astype(np.int32), sizes, content, widths))
+            size += len(content)
             if size > FLUSH:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
 
-    def index_part(packs):
+    def digests(batches):
+        for data, first, last, key, row, nth, at in candidates(batches, False):
+            yield key, nth, row, at, last - first + LENGTH, piece_hashes(data, first, last).astype("<u8").view(np.uint8), np.full(len(key), 8)
+
+    def texts(batches):
+        for data, first, last, key, row, nth, at in candidates(batches, False):
+            place = asked_place(key, piece_hashes(data, first, last), nth, asked_bits)
+            take = (asked.value[(key % np.uint64(parts)).astype(np.int64), place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+            sizes = (last - first + LENGTH)[take]
+            yield key[take], nth[take], row[take], at[take], sizes, gather(data, first[take], sizes), sizes
+
+    def by_part(batches, run):
+        held, now = [], None
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+                if part != now and held:
+                    yield from run(now, held)
+                    held = []
+                now = part
+                held.append(unpack(packed))
+        if held:
+            yield from run(now, held)
+
+    def fold_part(part, packs):
+        key, nth, row, at, sizes = (np.concatenate([x[k] for x in packs]) for k in range(5))
+        digest = np.concatenate([x[5] for x in packs]).view("<u8").astype(np.uint64)
+        whole, wanted = folded(key, nth, digest)
+        bits = np.zeros(asked_bits, np.uint8)
+        bits[asked_place(key[wanted], digest[wanted], nth[wanted], asked_bits)] = 1
+        columns = nth[whole], row[whole].astype(np.int64), at[whole], (np.int64(1) << (sizes[whole] - LENGTH + 1)) - 1
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.binary())], ["nth", "row", "at", "mask", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, 0, 0, int(wanted.sum()), np.packbits(bits).tobytes()), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["nth", "row", "at", "mask", "bits"])
+
+    def index_part(_, packs):
         key, nth, row, at, sizes = (np.concatenate([x[k] for x in packs]) for k in range(5))
         text = np.concatenate([x[5] for x in packs])
         starts = np.cumsum(sizes) - sizes
@@ -391,20 +473,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nth[o][hit]), pa.array(row[o][hit].astype(np.int64)), pa.array(at[o][hit]), pa.array(mask[hit])], ["nth", "row", "at", "mask"])
             i = j
 
-    def index_blocks(batches):
-        held, now = [], None
-        for batch in batches:
-            for part, packed in zip(batch.column("part").to_pylist(), batch.column("pack").to_pylist(), strict=True):
-                if part != now and held:
-                    yield from index_part(held)
-                    held = []
-                now = part
-                held.append(unpack(packed))
-        if held:
-            yield from index_part(held)
+    source = rows.select("key", "nth", "text")
+
+    def shuffled(found, parts, run, fields):
+        packs = source.mapInArrow(lambda batches: packed_by_part(batches, found, parts), "part int, pack binary")
+        return packs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda batches: by_part(batches, run), fields)
 
-    packed = rows.select("key", "nth", "text").mapInArrow(strings, "part int, pack binary")
-    marks = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(index_blocks, "nth long, row long, at int, mask long")
+    met = cut(shuffled(digests, parts, fold_part, "nth long, row long, at int, mask long, bits binary"))
+    wanted, n_wanted = np.zeros((parts, asked_bits // 8), np.uint8), 0
+    for r in met.where("bits is not null").select("nth", "mask", "bits").collect():  # ASKED_BITS in all
+        wanted[r["nth"]] = np.frombuffer(r["bits"], np.uint8)
+        n_wanted += r["mask"]
+    asked = spark.sparkContext.broadcast(wanted)
+    marks = met.where("bits is null").drop("bits")
+    marks = marks.unionByName(shuffled(texts, max(least_parts, -(-n_wanted // PART_PIECES)), index_part, "nth long, row long, at int, mask long"))
 
     if len(hot):
 
@@ -416,7 +498,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 string = [data[i : i + LENGTH].tobytes() for i in where]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nth, sizes)), pa.array(np.repeat(row & 0xFFFFFFFF, sizes)), pa.array(start.astype(np.int32)), pa.array(string, pa.binary())], ["nth", "row", "at", "string"])
 
-        each = cut(rows.select("key", "nth", "text").mapInArrow(single, "nth long, row long, at int, string binary"))
+        each = cut(source.mapInArrow(single, "nth long, row long, at int, string binary"))
         least = each.groupBy("string").agg(F.min("nth").alias("first"))
         marks = marks.unionByName(each.join(least, "string").where("nth > first").select("nth", "row", "at", F.lit(1).cast("long").alias("mask")))
 
