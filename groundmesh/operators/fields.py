@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +39,18 @@ def control_series(epoch_px: DataFrame, stable: DataFrame, value: str) -> DataFr
 def spaced_greedy(cands: DataFrame, distance: float, most: int) -> DataFrame:
     """Candidates (row, col, score) best first, each at least ``distance`` from those taken; at most ``most``.
 
-    A round takes the best and filters the rest by distance; only ``most`` rows ever reach the driver.
+    A round takes the best and filters the rest by distance; only ``most`` rows ever reach the driver. The candidates
+    are computed once and kept on the executors for all rounds.
     """
     taken: list = []
-    rest = cands
+    rest = kept = cands.select("row", "col", "score").persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(most):
         best = rest.orderBy(F.desc("score"), "row", "col").first()
         if best is None:
             break
         taken.append((len(taken) + 1, best["row"], best["col"], float(best["score"])))
         rest = rest.where(F.sqrt(F.pow(F.col("row") - best["row"], 2) + F.pow(F.col("col") - best["col"], 2)) >= distance)
+    kept.unpersist()
     return cands.sparkSession.createDataFrame(taken, "rank int, row int, col int, score double")
 
 

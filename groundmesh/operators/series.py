@@ -142,6 +142,17 @@ def split_half_rates(df: DataFrame, by: list[str], t: str = "t", y: str = "y") -
     return agg.withColumn("differs", F.abs(F.col("first") - F.col("second")) > 0.25 * F.abs("rate"))
 
 
+def trend_table(df: DataFrame, by: list[str], t: str = "t", y: str = "y", per: float = 365.25) -> DataFrame:
+    """Theil-Sen slopes of the whole series, its first n div 2 rows and the rest, times ``per`` (days of t in a year)."""
+    w = Window.partitionBy(*by)
+    first = F.row_number().over(w.orderBy(t)) <= F.floor(F.count("*").over(w) / 2)
+    halves = df.where(f"{t} is not null and {y} is not null").withColumn("_part", F.when(first, "first").otherwise("second"))
+    parts = halves.withColumn("_part", F.explode(F.array(F.lit("full"), "_part")))
+    slopes = theil_sen(parts, [*by, "_part"], t, y)
+    one = lambda p: (F.max(F.when(F.col("_part") == p, F.col("slope"))) * per).alias(p)
+    return slopes.groupBy(*by).agg(F.max("n").alias("n"), one("full"), one("first"), one("second"))
+
+
 def cumulative(df: DataFrame, by: list[str], date: str, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by).agg((F.max_by(value, date) - F.min_by(value, date)).alias("cumulative"))
 

@@ -56,15 +56,16 @@ def _(spark, d):
     return rounded(to_end(streaming.daily_medians(events(spark, d))), 8)
 
 
-@query("stream_sensor_health")
+@query("stream_sensor_health", f"""with {TELE}, e as (select epoch_ms(max(ts)) - 86400000 as mark from tele where value is not null),
+ r as (select station, ts, value, lag(value) over w as v0, lag(ts) over w as t0 from tele, e where value is not null and epoch_ms(ts) + 1 < mark window w as (partition by station order by ts, value))
+select station, count(*) as n, round(avg((value = 0)::int), 8) as zero_fraction, round(sum(coalesce((value = v0)::int, 0)) / count(*), 8) as constant_fraction, round(coalesce(max(epoch_us(ts) - epoch_us(t0)), 0) / 8.64e10, 8) as max_gap_days from r group by 1""")
 def _(spark, d):
     path = _folder(spark)
     s = streaming.sensor_health(events(spark, d))
     run = streaming.upsert_sink(f"{path}/out", ["station"])
     q = s.withColumn("ts", F.col("n")).writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(0, (q.lastProgress or {"batchId": 0})["batchId"])
-    return rounded(spark.read.parquet(f"{path}/out/v{last}").drop("ts"), 8)
+    return rounded(spark.read.parquet(run.last).drop("ts"), 8)
 
 
 @query("stream_latest_states", f"with {TELE} select producer, count(*) as n, count(distinct station) as stations from tele group by 1")

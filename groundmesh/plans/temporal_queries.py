@@ -86,6 +86,14 @@ def _(spark, d):
     return rounded(series.group_structure(z, "zone", "g", "t", "y"), 7)
 
 
+@query("trend_table", f"""with {ZONE}, o as (select *, row_number() over (partition by zone order by t) <= count(*) over (partition by zone) // 2 as early from zs),
+ p as (select zone, t, y, 'full' as part from o union all select zone, t, y, case when early then 'first' else 'second' end from o),
+ s as (select a.zone, a.part, quantile_cont((b.y - a.y) / (b.t - a.t), .5) as slope from p a join p b on a.zone = b.zone and a.part = b.part and a.t < b.t group by 1, 2), n as (select zone, count(*) as n from zs group by 1)
+select zone, any_value(n.n) as n, round(max(slope) filter (part = 'full'), 7) as full, round(max(slope) filter (part = 'first'), 7) as first, round(max(slope) filter (part = 'second'), 7) as second from s join n using (zone) group by 1""")
+def _(spark, d):
+    return rounded(series.trend_table(_zone(spark, d), ["zone"], per=1.0), 7)
+
+
 @query("theil_sen", f"""with {ZONE}, s as (select a.zone, quantile_cont((b.y - a.y) / (b.t - a.t), .5) as slope from zs a join zs b on a.zone = b.zone and a.t < b.t group by 1), m as (select zone, count(*) as n, quantile_cont(t, .5) as tm, quantile_cont(y, .5) as ym from zs group by 1)
 select zone, n, round(slope, 7) as slope, round(ym - slope * tm, 7) as intercept from m join s using (zone)""")
 def _(spark, d):

@@ -81,7 +81,17 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     """poly_id, x1, y1, x2, y2 of the polygons in a GeoJSON feature collection; rings close themselves."""
     schema = "features array<struct<properties map<string, string>, geometry struct<type string, coordinates array<array<array<double>>>>>>"
     f = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)["features"]).alias("i", "f"))
-    ring = f.select(F.coalesce(F.try_element_at("f.properties", F.lit("id")), F.col("i").cast("string")).alias("poly_id"), F.posexplode("f.geometry.coordinates").alias("ring", "c"))
+    return _ring_edges(f.select(F.coalesce(F.try_element_at("f.properties", F.lit("id")), F.col("i").cast("string")).alias("poly_id"), F.posexplode("f.geometry.coordinates").alias("ring", "c")))
+
+
+def polygons_from_wkt(df: DataFrame, key: str, column: str = "wkt") -> DataFrame:
+    """poly_id, x1, y1, x2, y2 of POLYGON and MULTIPOLYGON texts, one a row; other kinds and nulls give no rows."""
+    rings = df.where(F.upper(F.trim(column)).rlike("^(MULTI)?POLYGON")).select(F.col(key).cast("string").alias("poly_id"), F.posexplode(F.regexp_extract_all(column, F.lit(r"\(([^()]+)\)"), 1)).alias("ring", "r"))
+    point = lambda p: F.transform(F.split(F.trim(p), r"\s+"), lambda v: v.try_cast("double"))
+    return _ring_edges(rings.select("poly_id", "ring", F.transform(F.split("r", ","), point).alias("c")))
+
+
+def _ring_edges(ring: DataFrame) -> DataFrame:
     n = F.size("c")
     pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.get("c", i)[0].alias("x1"), F.get("c", i)[1].alias("y1"), F.get("c", i + 1)[0].alias("x2"), F.get("c", i + 1)[1].alias("y2")))
     return ring.where(n >= 2).select("poly_id", F.explode(pairs).alias("e")).select("poly_id", "e.*")
@@ -105,6 +115,16 @@ def monthly_series(df: DataFrame, first: str, last: str) -> DataFrame:
     return clipped.groupBy(month.alias("month")).agg((F.avg("m_per_day") * F.dayofmonth(F.last_day(F.first(month))) * 1000).alias("mm"))
 
 
+def climatology(months: DataFrame) -> DataFrame:
+    """Mean and number of each month of the year; months: month, mm."""
+    return months.groupBy(F.month("month").alias("month_of_year")).agg(F.count("mm").alias("n"), F.avg("mm").alias("mean_mm"))
+
+
+def yearly_trend(months: DataFrame) -> DataFrame:
+    """Change of the monthly totals in mm a month for each year, by least squares over the months."""
+    return months.agg(F.count("mm").alias("n"), (12 * F.regr_slope("mm", F.year("month") * 12 + F.month("month"))).alias("mm_per_year"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", by: list[str] | None = None) -> None:
     w = df.write.mode(mode).options(header=True) if fmt == "csv" else df.write.mode(mode)
     (w.partitionBy(*by) if by else w).format(fmt).save(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,24 +21,34 @@ HEALTH = "station long, n long, zero_fraction double, constant_fraction double,
 def sensor_health(obs: DataFrame, late: str = "1 day") -> DataFrame:
     """Running health of each station: shares of zeros and of repeated values, and the largest gap.
 
-    The state of a station is five numbers. Batches of a station are put in time order before they are counted.
+    The state of a station is five numbers and the readings that the watermark (``late`` behind the newest) has not
+    passed; a timer wakes the station when it does, and they are counted in the order of time, then value. A row is
+    given each time that readings are counted; those that come after the watermark are left out.
     """
 
     def run(key, frames, state):
-        n, zeros, same, last, gap = state.get if state.exists else (0, 0, 0, None, 0.0)
-        value, at = (None, None) if last is None else (last[0], last[1])
-        for f in frames:
-            f = f.sort_values("ts")
-            for ts, v in zip(f["ts"].astype("int64") / 1e9, f["value"], strict=True):
-                if at is not None:
-                    gap = max(gap, (ts - at) / 86400)
-                    same += v == value
-                n, zeros, value, at = n + 1, zeros + (v == 0), v, ts
-        state.update((n, zeros, same, (value, at), gap))
-        yield pd.DataFrame([[key[0], n, zeros / n, same / n, gap]], columns=["station", "n", "zero_fraction", "constant_fraction", "max_gap_days"])
-
-    keyed = obs.where("value is not null").select("station", "ts", "value")
-    return keyed.groupBy("station").applyInPandasWithState(run, HEALTH, "n long, zeros long, same long, last struct<value: double, at: double>, gap double", "update", "NoTimeout")
+        n, zeros, same, value, at, gap, times, values = state.get if state.exists else (0, 0, 0, None, None, 0.0, [], [])
+        new = list(frames)
+        ts = np.concatenate([np.array(times, dtype=np.int64), *(f["ts"].to_numpy("datetime64[us]").astype(np.int64) for f in new)])
+        v = np.concatenate([np.array(values, dtype=float), *(f["value"].to_numpy(float) for f in new)])
+        order = np.lexsort((v, ts))
+        ts, v = ts[order], v[order]
+        ready = int((ts // 1000 + 1 < state.getCurrentWatermarkMs()).sum())
+        if ready:
+            seen_t, seen_v = ts[:ready], v[:ready]
+            if at is not None:
+                seen_t, seen_v = np.append(at, seen_t), np.append(value, seen_v)
+            n, zeros, same = n + ready, zeros + int((v[:ready] == 0).sum()), same + int((np.diff(seen_v) == 0).sum())
+            gap = max(gap, float(np.diff(seen_t).max()) / 8.64e10) if len(seen_t) > 1 else gap
+            value, at = float(v[ready - 1]), int(ts[ready - 1])
+        state.update((n, zeros, same, value, at, gap, ts[ready:].tolist(), v[ready:].tolist()))
+        if ready < len(ts):
+            state.setTimeoutTimestamp(max(int(ts[ready]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if ready:
+            yield pd.DataFrame([[key[0], n, zeros / n, same / n, gap]], columns=["station", "n", "zero_fraction", "constant_fraction", "max_gap_days"])
+
+    keyed = obs.where("value is not null").select("station", "ts", "value").withWatermark("ts", late).groupBy("station")
+    return keyed.applyInPandasWithState(run, HEALTH, "n long, zeros long, same long, value double, at long, gap double, times array<long>, values array<double>", "update", "EventTimeTimeout")
 
 
 def latest_states(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -46,7 +57,7 @@ def latest_states(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def upsert_sink(path: str, key: list[str]):
-    """A foreachBatch function that keeps the latest row of each key in a parquet table."""
+    """A foreachBatch function that keeps the latest row of each key in a parquet table, the newest at its ``last``."""
     from ..operators.gates import upsert_latest
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -54,6 +65,7 @@ def upsert_sink(path: str, key: list[str]):
         name = lambda k: f"{path}/v{k}"
         rows = batch if epoch == 0 else upsert_latest(spark.read.parquet(name(epoch - 1)), batch, key, [F.desc("ts")])
         upsert_latest(rows.limit(0), rows, key, [F.desc("ts")]).write.mode("overwrite").parquet(name(epoch))
+        run.last = name(epoch)
 
     return run
 

@@ -145,6 +145,87 @@ def test_sources(spark, tmp_path):
         sources.read_table(spark, f"{tmp_path}/k.csv", schema, ["k"])
 
 
+def test_more_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "cat.txt").write_text("AAAA 28.0 77.0 1\nBBBB 28.1 437.0\nCCCC x 77\nDDDD 50.0 10.0 5\n")
+    cat = {r["station"]: r["lon"] for r in sources.read_catalogue(spark, f"{tmp_path}/cat.txt", 28.0, 77.0, 50.0).collect()}
+    assert set(cat) == {"AAAA", "BBBB"} and cat["BBBB"] == pytest.approx(77.0)
+    text = spark.createDataFrame([("1 Old Fort 28.61 77.24 12.50 Dug Well",), ("2 Far 10.00 70.00 3.10 tube",), ("no row",), (None,)], "value string")
+    assert [tuple(r) for r in sources.extract_station_rows(text, (28, 76, 29, 78)).collect()] == [("Old Fort", 28.61, 77.24, 12.5, "dug")]
+    item = '{"GranuleUR":"g1","Platforms":[{"ShortName":"S1"}],"RelatedUrls":[{"URL":"a.xml"},{"URL":"a.tiff"}],"AdditionalAttributes":[{"Name":"PATH","Values":["27"]}]}'
+    flat = sources.flatten_catalogue(spark.createDataFrame([(item,), ("{}",)], "json string"), ["PATH", "FRAME"]).collect()
+    assert tuple(flat[0]) == ("g1", "S1", "a.tiff", "27", None) and tuple(flat[1]) == (None,) * 5
+    px = spark.createDataFrame([(s, r, c, float(r * c)) for s in ("a", "b") for r in range(6) for c in range(6)], "stack string, row int, col int, v double")
+    sources.write_table(px, f"{tmp_path}/cube", by=["stack"])
+    scan = sources.scan_pixels(spark, f"{tmp_path}/cube", "a", (1, 2), (3, 4), ["v"])
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert scan.count() == 4 and "PartitionFilters: [isnotnull(stack" in plan and "GreaterThanOrEqual(row,1)" in plan
+    with pytest.raises(Exception, match="(?i)exist"):
+        sources.write_table(px, f"{tmp_path}/cube")
+    for k in (1, 2):
+        sources.append_ledger(spark.createDataFrame([(k,)], "job int"), f"{tmp_path}/ledger")
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/ledger").collect()) == [1, 2]
+    (tmp_path / "grb").mkdir()
+    (tmp_path / "grb" / "e_20230910_06.grb").write_bytes(b"x" * 2000)
+    (tmp_path / "grb" / "e_20230911_06.grb").write_bytes(b"x")
+    assert [(str(r["date"]), r["hour"]) for r in sources.files_to_dates(spark, f"{tmp_path}/grb").collect()] == [("2023-09-10", 6)]
+    got = masks.resolve_by_provenance(spark.createDataFrame([("x_b.tif", "run/a"), ("y_a.tif", "run/b")], "name string, source string"), "/a").collect()
+    assert [r["name"] for r in got] == ["x_b.tif"]
+
+
+def test_monthly_climate(spark):
+    days = spark.createDataFrame([(f"{y}-{m:02d}-15", 0.001 * (m + y - 2020)) for y in (2020, 2021, 2022) for m in range(1, 13)], "d string, m_per_day double").withColumn("ts", F.to_timestamp("d"))
+    months = sources.monthly_series(days, "2020-01-01", "2021-12-31")
+    assert months.count() == 24
+    first = {r["month_of_year"]: r for r in sources.climatology(months).collect()}
+    assert first[1]["n"] == 2 and first[1]["mean_mm"] == pytest.approx(31 * 1.5)
+    even = spark.createDataFrame([(f"{y}-{m:02d}-01", float(12 * y + m)) for y in (2020, 2021) for m in range(1, 13)], "d string, mm double").withColumn("month", F.to_date("d"))
+    assert sources.yearly_trend(even).first()["mm_per_year"] == pytest.approx(12.0)
+
+
+def test_polygon_bands_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    turn = np.sort(rng.uniform(0, 2 * math.pi, 700))
+    far = rng.uniform(3, 10, 700)
+    ring = [(float(r * math.cos(a)), float(r * math.sin(a))) for r, a in zip(far, turn, strict=True)]
+    hole = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-12, 12, (800, 2)))] + [(800, 0.0, 0.0), (801, 0.0, 50.0)]
+    want = set()
+    for i, x, y in pts:
+        ends = [e for r in (ring, hole) for e in zip(r, r[1:] + r[:1], strict=True)]
+        if sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for (a, b), (c, d) in ends) % 2:
+            want.add(i)
+    points = spark.createDataFrame(pts, "id int, x double, y double")
+    assert {r["id"] for r in geo.in_polygon(points, geo.polygon_edges(spark, {"p": [ring, hole]}), ["id"]).collect()} == want
+    text = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in [*r, r[0]]) + ")"
+    wkt = spark.createDataFrame([("p", f"POLYGON ({text(ring)}, {text(hole)})"), ("q", "POINT (1 2)"), ("r", None)], "id string, wkt string")
+    assert {r["id"] for r in geo.in_polygon(points, sources.polygons_from_wkt(wkt, "id"), ["id"]).collect()} == want
+    assert geo.in_polygon(points, geo.polygon_edges(spark, {}), ["id"]).count() == 0
+
+
+def test_trend_table(spark):
+    df = spark.createDataFrame([("a", float(t), 2.0 * t if t < 10 else 20 + 5.0 * (t - 10)) for t in range(20)] + [("b", 1.0, 1.0)], "k string, t double, y double")
+    got = {r["k"]: r for r in series.trend_table(df, ["k"], per=1.0).collect()}
+    assert (got["a"]["n"], got["a"]["first"], got["a"]["second"]) == (20, pytest.approx(2), pytest.approx(5)) and got["b"]["full"] is None
+
+
+def test_sensor_health_stream_counts_in_time_order(spark, tmp_path):
+    rows = [[(1, 0, 0.0), (1, 5, 2.0), (2, 1, 1.0)], [(1, 3, 0.0), (1, 30, 2.0)], [(1, 200, 9.0), (2, 201, 1.0)]]
+    schema = "station long, ts timestamp, value double"
+    for i, part in enumerate(rows):
+        frame = spark.createDataFrame([(s, h, v) for s, h, v in part], "station long, h int, value double")
+        frame.select("station", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)").alias("ts"), "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            seen[r["station"]] = r
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streaming.sensor_health(stream, "3 days").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert (seen[1]["n"], seen[1]["zero_fraction"], seen[1]["constant_fraction"]) == (4, 0.5, 0.5) and seen[1]["max_gap_days"] == pytest.approx(25 / 24)
+    assert (seen[2]["n"], seen[2]["max_gap_days"]) == (1, 0.0)
+
+
 def test_daily_stream_equals_its_batch_twin(spark, tmp_path):
     obs = spark.createDataFrame([("p", s, f"2024-01-{d:02d} {h:02d}:00:00", float(s + d + h)) for s in (1, 2) for d in range(1, 8) for h in (1, 9, 17)], "producer string, station long, t string, value double").select("producer", "station", F.to_timestamp("t").alias("ts"), "value")
     obs.coalesce(1).write.parquet(f"{tmp_path}/in")
