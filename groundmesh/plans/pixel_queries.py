@@ -191,7 +191,8 @@ def _(spark, d):
 
 @query("copy_comparison", f"""with {pix_sql('pa', "l_returnflag = 'A'")}, {pix_sql('pb', "l_returnflag = 'N'")} select count(*) as n, round(max(abs(a.velocity - b.velocity)), 4) as max_abs, round(avg((a.velocity is distinct from b.velocity)::int), 9) as differing from pa a join pb b using (row, col)""")
 def _(spark, d):
-    return rounded(zones.compare_copies(pixels(spark, d, "l_returnflag = 'A'"), pixels(spark, d, "l_returnflag = 'N'"), "velocity"))
+    both = zones.compare_copies(pixels(spark, d, "l_returnflag = 'A'"), pixels(spark, d, "l_returnflag = 'N'"), "velocity")
+    return rounded(both.withColumn("max_abs", F.round("max_abs", 4)))
 
 
 @query("stack_agreement", f"""with {pix_sql('pa', "l_returnflag = 'A'")}, {pix_sql('pb', "l_returnflag = 'N'")}, j as (select a.land, a.velocity as a, b.velocity as b from pa a join pb b using (row, col)),
