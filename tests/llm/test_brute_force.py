@@ -6,11 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from groundmesh.llm import fingerprints, mixing, neardup, quality, sharding
+from groundmesh.llm import fingerprints, mixing, neardup, quality, repeats, sharding
 
 WIDE = (1 << 64) - 1
 SCHEMA = "doc_id long, text string, source string"
@@ -210,3 +211,24 @@ def test_inner_names_may_clash(docs):
         assert out.columns == odd.columns
         assert sorted(map(str, out.select(docs.columns).collect())) == sorted(map(str, stage(docs).collect()))
         assert {tuple(r) for r in out.select(odd.columns[3:]).collect()} == {(7,) * 9}
+
+
+def test_pieces_meet_by_hash_as_they_do_by_bytes():
+    r = np.random.default_rng(8)
+    data = np.tile(r.integers(97, 101, 300).astype(np.uint8), 3)
+    data[450] = 120
+    first = r.integers(0, len(data) - repeats.LENGTH - 40, 3000)
+    last = first + r.integers(0, repeats.SPAN, len(first))
+    text = [data[a : b + repeats.LENGTH].tobytes() for a, b in zip(first, last, strict=True)]
+    digest = repeats.piece_hashes(data, first, last)
+    assert len(set(digest.tolist())) == len(set(text)) == len(set(zip(digest.tolist(), text, strict=True)))
+    key, nth = r.integers(0, 60, len(first)).astype(np.uint64), r.integers(-3, 40, len(first))
+    whole, asked = repeats.folded(key, nth, digest)
+    least, forms, owners = {}, {}, {}
+    for k, t, n in zip(key.tolist(), text, nth.tolist(), strict=True):
+        least[k, t] = min(n, least.get((k, t), n))
+        forms.setdefault(k, set()).add(t)
+        owners.setdefault(k, set()).add(n)
+    for k, t, n, w, a in zip(key.tolist(), text, nth.tolist(), whole, asked, strict=True):
+        assert w == (n > least[k, t]) and a == (not w and len(forms[k]) > 1 and len(owners[k]) > 1)
+    assert [len(x) for x in repeats.folded(key[:0], nth[:0], digest[:0])] == [0, 0]
