@@ -11,6 +11,7 @@ from .mixing import op8
 from .neardup import OP3_SQL, op3
 from .quality import op2
 from .repeats import OP4_SQL, op4
+from .resample import OP12_SQL, op12
 from .sharding import op7
 from .toxicity import op5
 from .warc import OP1_SQL, op1
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_source_schedule": op8,
     "op9_line_templates": op9,
     "op10_chunked_bpe": op10,
+    "op12_importance_resample": op12,
     "pipeline": run,
 }
-ORACLE = {"op1_warc_derivatives": OP1_SQL, "op3_hyperminhash_groups": OP3_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL}
+ORACLE = {"op1_warc_derivatives": OP1_SQL, "op3_hyperminhash_groups": OP3_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL, "op12_importance_resample": OP12_SQL}
 if ORACLE_SQL:
     ORACLE["pipeline"] = ORACLE_SQL
