@@ -5,7 +5,9 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL, run
 
 from .bpe import op10
+from .divergence import OP11_SQL, op11
 from .fingerprints import op6
+from .licenses import OP13_SQL, op13
 from .lines import OP9_SQL, op9
 from .mixing import op8
 from .neardup import OP3_SQL, op3
@@ -27,9 +29,11 @@ QUERIES = {
     "op8_source_schedule": op8,
     "op9_line_templates": op9,
     "op10_chunked_bpe": op10,
+    "op11_iceberg_divergence": op11,
     "op12_importance_resample": op12,
+    "op13_license_signatures": op13,
     "pipeline": run,
 }
-ORACLE = {"op1_warc_derivatives": OP1_SQL, "op3_hyperminhash_groups": OP3_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL, "op12_importance_resample": OP12_SQL}
+ORACLE = {"op1_warc_derivatives": OP1_SQL, "op3_hyperminhash_groups": OP3_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL, "op11_iceberg_divergence": OP11_SQL, "op12_importance_resample": OP12_SQL, "op13_license_signatures": OP13_SQL}
 if ORACLE_SQL:
     ORACLE["pipeline"] = ORACLE_SQL
