@@ -17,7 +17,7 @@ mit 4 expat license
 mit 4 mit license
 mit 4 mit licensed
 mit-0 2 spdx license identifier mit 0
-mit-0 3 mit no attribution( license)?
+mit-0 3 mit no attribution license
 mit-advertising 3 mit license with advertising( clause)?
 x11 2 spdx license identifier x11
 x11 3 x11 license
@@ -173,7 +173,7 @@ eupl-1.1 2 spdx license identifier eupl 1 1
 eupl-1.1 3 european union public licence( version| v)? 1 1
 eupl-1.2 2 spdx license identifier eupl 1 2
 eupl-1.2 3 european union public licence( version| v)? 1 2
-eupl 4 european union public licen[cs]e
+eupl 4 european union public licen(c|s)e
 cecill-2.1 2 spdx license identifier cecill 2 1
 cecill 4 cecill( free software)? license
 artistic-1.0 2 spdx license identifier artistic 1 0
@@ -202,7 +202,7 @@ unlicense 4 the unlicense
 cc0-1.0 1 to the extent possible under law( the)?( \\w+){1,6} (has|have) waived all copyright and related or neighboring rights
 cc0-1.0 2 spdx license identifier cc0 1 0
 cc0-1.0 2 creativecommons org publicdomain zero 1 0
-cc0-1.0 3 cc0 1 0 universal( public domain dedication)?( license)?
+cc0-1.0 3 cc0 1 0 universal( public domain dedication| license)
 cc0-1.0 3 creative commons zero( v1 0 universal)?( public domain)?( license)?
 cc0 4 cc0 license
 cc-by-nc-nd-4.0 2 spdx license identifier cc by nc nd 4 0
@@ -238,7 +238,7 @@ cc-by-3.0 2 creativecommons org licenses by 3 0
 cc-by-3.0 3 creative commons attribution 3 0( unported)?( license)?
 cc-by-2.5 2 creativecommons org licenses by 2 5
 cc-by-2.0 2 creativecommons org licenses by 2 0
-cc 4 creative commons( \\w+){0,6} licen[cs]e
+cc 4 creative commons( \\w+){0,6} licen(c|s)e
 cc 4 creative commons
 public-domain 1 this work (is|has been released) (in|into) the public domain
 public-domain 1 (released|placed|dedicated) (in|into|to) the public domain
