@@ -2,49 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .forest import blocks_at_scale, bridges_at_scale, cut_vertices_at_scale, minimum_spanning_forest, two_edge_classes, undirected  # noqa: F401
+from .lineage import Saved, saved
 from .pairs import gap_days
+from .robust import GROUP_PAIRS, blocks, by_size, connect_and_debridge  # noqa: F401
 
 N = ["network_id"]
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's state with a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """network_id, node, component: the least node that paths reach. Isolated nodes are their own component.
 
-    Each node takes its neighbours' least label, then its label's label, until none changes; paths halve in a round.
+    Components join by their least edges, so rounds grow with the logarithm of a component, and pairs inside one are
+    dropped as soon as it has formed.
     """
-    both = _saved(edges.select(*N, "src", "dst").unionByName(edges.select(*N, F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    labels = _saved(nodes.select(*N, "node", F.col("node").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "dst"), [*N, "dst"]).groupBy(*N, F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, [*N, "node"], "left").withColumn("new", F.least("component", F.coalesce("m", "component")))
-        up = step.select(*N, F.col("node").alias("new"), F.col("new").alias("up"))
-        jump = step.join(up, [*N, "new"], "left").select(*N, "node", "component", F.least("new", F.coalesce("up", "new")).alias("next"))
-        jump = _saved(jump)
-        labels = jump.select(*N, "node", F.col("next").alias("component"))
-        if jump.where("next != component").isEmpty():
-            return labels
+    _, labels = minimum_spanning_forest(edges)
+    named = nodes.select(*N, "node").join(labels, [*N, "node"], "left").withColumn("part", F.coalesce("component", "node"))
+    least = named.groupBy(*N, "part").agg(F.min("node").alias("component"))
+    return saved(named.drop("component").join(least, [*N, "part"]).select(*N, "node", "component"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,17 +78,13 @@ def low_links(n: int, ends: np.ndarray) -> tuple[int, list[int], set[int]]:
     return parts, found, cuts
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
-    return edges.select(*N, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src != dst").distinct()
-
-
-def weak_points(edges: DataFrame) -> DataFrame:
+def weak_points(edges: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     """network_id, kind, src, dst, k: each network's bridges (src, dst), cut vertices (src), and size of a spanning forest (k).
 
-    A network is the pairs of one stack of acquisitions, some thousand at most; each is a group of its own, so many
-    networks spread over tasks.
+    A network of at most ``group_pairs`` pairs is a group of its own, searched by low links, so many networks spread over
+    tasks. Larger ones are never gathered: forests, tours and blocks are made in rounds of joins (forest.py).
     """
-    node = dict(edges.dtypes)["src"]
+    node, kind = dict(edges.dtypes)["src"], dict(edges.dtypes)["network_id"]
 
     def run(pdf):
         codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
@@ -119,17 +95,28 @@ def weak_points(edges: DataFrame) -> DataFrame:
         out.insert(0, "network_id", pdf["network_id"].iloc[0])
         return out
 
-    return _undirected(edges).groupBy(*N).applyInPandas(run, f"network_id {dict(edges.dtypes)['network_id']}, kind string, src {node}, dst {node}, k long")
+    def in_rounds(e):
+        found = saved(blocks_at_scale(e))
+        alone = found.withColumn("n", F.count("*").over(Window.partitionBy(*N, "block"))).where("n = 1")
+        ends = found.select(*N, F.explode(F.array("src", "dst")).alias("src"), "block").groupBy(*N, "src").agg(F.min("block").alias("a"), F.max("block").alias("b"))
+        forest, _ = minimum_spanning_forest(e)
+        none, zero = F.lit(None).cast(node), F.lit(0).cast("long").alias("k")
+        out = alone.select(*N, F.lit("bridge").alias("kind"), "src", "dst", zero).unionByName(ends.where("a != b").select(*N, F.lit("cut").alias("kind"), "src", none.alias("dst"), zero))
+        return out.unionByName(forest.groupBy(*N).agg(F.count("*").alias("k")).select(*N, F.lit("forest").alias("kind"), none.alias("src"), none.alias("dst"), "k"))
+
+    return by_size(saved(undirected(edges)), group_pairs, lambda e: e.groupBy(*N).applyInPandas(run, f"network_id {kind}, kind string, src {node}, dst {node}, k long"), in_rounds)
 
 
-def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose removal splits a component."""
-    return weak_points(edges).where("kind = 'bridge'").select(*N, "src", "dst")
+def bridges(nodes: DataFrame, edges: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
+    """Edges whose removal splits a component; those of networks beyond ``group_pairs`` by sums around forest edges."""
+    few = lambda e: weak_points(e).where("kind = 'bridge'").select(*N, "src", "dst")
+    return by_size(saved(undirected(edges)), group_pairs, few, bridges_at_scale)
 
 
-def cut_vertices(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def cut_vertices(nodes: DataFrame, edges: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     """Nodes whose removal splits their component; leaves and isolates never do."""
-    return weak_points(edges).where("kind = 'cut'").select(*N, F.col("src").alias("node"))
+    few = lambda e: weak_points(e).where("kind = 'cut'").select(*N, F.col("src").alias("node"))
+    return by_size(saved(undirected(edges)), group_pairs, few, cut_vertices_at_scale)
 
 
 def audit_network(nodes: DataFrame, edges: DataFrame, min_degree: int = 3, max_gap: int = 48) -> DataFrame:
@@ -161,20 +148,22 @@ def compare_networks(nodes: DataFrame, full: DataFrame, curated: DataFrame) -> D
 
 def k_core_prune(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     """The nodes left once those of degree under k are dropped again and again."""
-    nodes, edges = _saved(nodes.select(*N, "node")), _saved(edges.select(*N, "src", "dst"))
+    store = Saved(nodes.sparkSession)
+    nodes, edges = store.keep(nodes.select(*N, "node")), store.keep(edges.select(*N, "src", "dst"))
     while True:
-        keep = _saved(degrees(nodes, edges).where(F.col("degree") >= k).select(*N, "node"))
+        keep = store.keep(degrees(nodes, edges).where(F.col("degree") >= k).select(*N, "node"))
         if keep.count() == nodes.count():
             return keep
-        edges = _saved(edges.join(keep.withColumnRenamed("node", "src"), [*N, "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), [*N, "dst"], "left_semi"))
-        nodes = keep
+        left = store.keep(edges.join(keep.withColumnRenamed("node", "src"), [*N, "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), [*N, "dst"], "left_semi"))
+        store.drop(nodes, edges)
+        nodes, edges = keep, left
 
 
 def _faults(n: int, ends: np.ndarray, least: int = 3) -> tuple:
-    """What an audit counts against a network, worst first: components, isolates, bridges, cut vertices, degrees."""
+    """What an audit counts against a network, worst first: components, isolates, bridges, cut vertices, the least degree."""
     parts, found, cuts = low_links(n, ends)
     degree = np.bincount(ends.ravel(), minlength=n) if len(ends) else np.zeros(n, np.int64)
-    return parts, int((degree == 0).sum()), len(found), len(cuts), max(0, least - int(degree.min(initial=least))), int((degree < least).sum())
+    return parts, int((degree == 0).sum()), len(found), len(cuts), max(0, least - int(degree.min(initial=least)))
 
 
 def _by_network(nodes: DataFrame, kept: DataFrame, offered: DataFrame, extra: dict[str, str], run, schema: str) -> DataFrame:
@@ -201,8 +190,8 @@ def repair_network(nodes: DataFrame, kept: DataFrame, dropped: DataFrame, max_ga
 
     Gives network_id, src, dst, round, and accepted, the audit's verdict at the end; a network to which nothing is
     restored has one row without a pair, of round 0. The best trial of a round has the fewest components, then isolates,
-    bridges, cut vertices, what the least degree lacks of 3, then nodes of degree under 3; ties by score (a column of
-    dropped, larger first), then by dates. A network is a group of its own (see weak_points).
+    bridges, cut vertices, then what the least degree lacks of 3; ties by score (a column of dropped, larger first), then by
+    dates. A network is a group of its own.
     """
 
     def run(names, ends, offers, frame):
@@ -227,47 +216,6 @@ def repair_network(nodes: DataFrame, kept: DataFrame, dropped: DataFrame, max_ga
     return _by_network(nodes, kept, dropped, {"score": "double"}, run, f"src {node}, dst {node}, round int, accepted boolean")
 
 
-def connect_and_debridge(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, most: int = 30) -> DataFrame:
-    """Pairs to add so that each network is connected and has no bridges: network_id, src, dst, days, role, step, and what is left.
-
-    First the shortest candidates that join two components, until there is one; then, a pair at a time, the candidate
-    that takes away most, a bridge counting as ten cut vertices, the shorter of equals, until no bridge or cut vertex is
-    left, nothing helps, or ``most`` pairs are added. candidates: network_id, src, dst, days. bridges_left and
-    cut_vertices_left tell what remains; a network without additions has one row of step 0.
-    """
-
-    def run(names, ends, offers, frame):
-        days = frame["days"].to_numpy(dtype=np.int64)
-        order = np.lexsort((offers[:, 1], offers[:, 0], days)) if len(offers) else []
-        have = {tuple(sorted(e)) for e in ends}
-        left = [(int(days[k]), *sorted(map(int, offers[k]))) for k in order if tuple(sorted(offers[k])) not in have]
-        rows, (parts, found, cuts) = [], low_links(len(names), ends)
-        for c in list(left):
-            if parts == 1:
-                break
-            trial = np.vstack([ends, c[1:]])
-            then = low_links(len(names), trial)
-            if then[0] < parts:
-                ends, (parts, found, cuts) = trial, then
-                left.remove(c)
-                rows.append((names[c[1]], names[c[2]], c[0], "connect"))
-        while (found or cuts) and len(rows) < most and left:
-            trials = [low_links(len(names), np.vstack([ends, c[1:]])) for c in left]
-            gains = [10 * (len(found) - len(f)) + len(cuts) - len(v) for _, f, v in trials]
-            best = max(range(len(left)), key=lambda k: (gains[k], -left[k][0]))
-            if gains[best] <= 0:
-                break
-            c = left.pop(best)
-            ends, (parts, found, cuts) = np.vstack([ends, c[1:]]), trials[best]
-            rows.append((names[c[1]], names[c[2]], c[0], "debridge"))
-        out = pd.DataFrame([(*r, k + 1) for k, r in enumerate(rows)] or [(None, None, None, None, 0)], columns=["src", "dst", "days", "role", "step"])
-        return out.assign(days=out["days"].astype("Int64"), bridges_left=len(found), cut_vertices_left=len(cuts), components_left=parts)
-
-    node = dict(nodes.dtypes)["node"]
-    schema = f"src {node}, dst {node}, days long, role string, step int, bridges_left int, cut_vertices_left int, components_left int"
-    return _by_network(nodes, edges, candidates, {"days": "int"}, run, schema)
-
-
 def edge_influence(edges: DataFrame) -> DataFrame:
     """Rank and percentile of each flagged edge's quality in its network, and whether it is weak (under .30).
 

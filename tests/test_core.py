@@ -286,10 +286,10 @@ def test_connect_and_debridge(spark):
     nodes = spark.createDataFrame([("a", day(k)) for k in range(5)], "network_id string, node date")
     edges = spark.createDataFrame([("a", day(0), day(1)), ("a", day(1), day(2)), ("a", day(3), day(4))], "network_id string, src date, dst date")
     every = [("a", day(i), day(j), 12 * (j - i)) for i in range(5) for j in range(i + 1, 5)]
-    got = graph.connect_and_debridge(nodes, edges, spark.createDataFrame(every, "network_id string, src date, dst date, days int")).orderBy("step").collect()
-    assert (got[0]["src"], got[0]["dst"], got[0]["role"]) == (day(2), day(3), "connect")
+    got = graph.connect_and_debridge(nodes, edges, spark.createDataFrame(every, "network_id string, src date, dst date, days int"), base_days=0).orderBy("step").collect()
+    assert (got[0]["src"], got[0]["dst"], got[0]["role"]) == (day(2), day(3), "connect_components")
     # One pair from end to end makes the chain a ring: no bridge and no cut vertex is left.
-    assert (got[1]["src"], got[1]["dst"], got[1]["role"], got[1]["bridges_left"], got[1]["cut_vertices_left"]) == (day(0), day(4), "debridge", 0, 0) and len(got) == 2
+    assert (got[1]["src"], got[1]["dst"], got[1]["role"], got[1]["bridges_left"], got[1]["cut_vertices_left"]) == (day(0), day(4), "remove_bridge", 0, 0) and len(got) == 2
 
 
 def test_grades_and_forms(spark):
