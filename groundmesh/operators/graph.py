@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .forest import blocks_at_scale, bridges_at_scale, cut_vertices_at_scale, minimum_spanning_forest, two_edge_classes, undirected  # noqa: F401
 from .lineage import Saved, saved
 from .pairs import gap_days
-from .robust import GROUP_PAIRS, blocks, by_size, connect_and_debridge  # noqa: F401
+from .robust import GROUP_PAIRS, blocks, by_size, connect_and_debridge, faults  # noqa: F401
 
 N = ["network_id"]
 
@@ -159,13 +159,6 @@ def k_core_prune(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
         nodes, edges = keep, left
 
 
-def _faults(n: int, ends: np.ndarray, least: int = 3) -> tuple:
-    """What an audit counts against a network, worst first: components, isolates, bridges, cut vertices, the least degree."""
-    parts, found, cuts = low_links(n, ends)
-    degree = np.bincount(ends.ravel(), minlength=n) if len(ends) else np.zeros(n, np.int64)
-    return parts, int((degree == 0).sum()), len(found), len(cuts), max(0, least - int(degree.min(initial=least)))
-
-
 def _by_network(nodes: DataFrame, kept: DataFrame, offered: DataFrame, extra: dict[str, str], run, schema: str) -> DataFrame:
     """``run(nodes, kept pairs, offered pairs)`` for each network, as positions of its nodes in order."""
     blank = [F.lit(None).cast(t).alias(c) for c, t in extra.items()]
@@ -197,17 +190,19 @@ def repair_network(nodes: DataFrame, kept: DataFrame, dropped: DataFrame, max_ga
     def run(names, ends, offers, frame):
         gap = max((int((b - a).days) for a, b in zip(names, names[1:], strict=False)), default=0)
         order = np.lexsort((offers[:, 1], offers[:, 0], -frame["score"].to_numpy(dtype=float))) if len(offers) else []
-        left, rows, now = [tuple(offers[k]) for k in order], [], _faults(len(names), ends)
-        have = {tuple(e) for e in ends}
-        left = [e for e in left if e not in have]
+        have = {tuple(sorted(e)) for e in ends.tolist()}
+        ends = np.array(sorted(e for e in have if e[0] != e[1]), dtype=np.int64).reshape(-1, 2)
+        left = [e for e in dict.fromkeys(tuple(sorted(offers[k].tolist())) for k in order) if e not in have and e[0] != e[1]]
+        rows = []
+        now, trials = faults(len(names), ends, np.array(left, dtype=np.int64).reshape(-1, 2))
         while left and not (now[0] == 1 and not any(now[1:])):
-            trials = [_faults(len(names), np.vstack([ends, e])) for e in left]
             best = min(range(len(left)), key=lambda k: trials[k])
             if trials[best] >= now:
                 break
-            now, e = trials[best], left.pop(best)
+            e = left.pop(best)
             ends = np.vstack([ends, e])
             rows.append((names[e[0]], names[e[1]], len(rows) + 1))
+            now, trials = faults(len(names), ends, np.array(left, dtype=np.int64).reshape(-1, 2))
         fine = now[0] == 1 and not any(now[1:]) and gap <= max_gap
         out = pd.DataFrame(rows or [(None, None, 0)], columns=["src", "dst", "round"])
         return out.assign(accepted=fine)

@@ -56,6 +56,66 @@ def low_blocks(n: int, ends: np.ndarray) -> np.ndarray:
     return block
 
 
+def faults(n: int, ends: np.ndarray, offers: np.ndarray, least: int = 3) -> tuple[tuple, list[tuple]]:
+    """What an audit counts against a network, worst first, and against it with each one of the offered edges.
+
+    Components, isolates, bridges, cut vertices, what the least degree lacks of ``least``. An edge between two parts is a
+    new bridge and makes cut vertices of ends that had edges and were none; one inside a part takes away the bridges on its
+    path in the tree of blocks and cut vertices, and the inner cut vertices there that part just two blocks. Offers are
+    no edges yet.
+    """
+    block = low_blocks(n, ends)
+    degree = np.bincount(ends.ravel(), minlength=n) if len(ends) else np.zeros(n, np.int64)
+    size = np.bincount(block) if len(ends) else np.zeros(0, np.int64)
+    own: list[set] = [set() for _ in range(n)]
+    for (u, v), b in zip(ends.tolist(), block.tolist(), strict=True):
+        own[u].add(b)
+        own[v].add(b)
+    near: dict = {}
+    for v in range(n):
+        if len(own[v]) > 1:
+            near[-1 - v] = list(own[v])
+            for b in own[v]:
+                near.setdefault(b, []).append(-1 - v)
+    depth, up, root_of = {}, {}, {}
+    for root in [*range(len(size)), *near]:
+        if root in depth:
+            continue
+        depth[root], up[root], root_of[root], stack = 0, None, root, [root]
+        while stack:
+            x = stack.pop()
+            for y in near.get(x, ()):
+                if y not in depth:
+                    depth[y], up[y], root_of[y] = depth[x] + 1, x, root
+                    stack.append(y)
+    place = [-1 - v if len(own[v]) > 1 else next(iter(own[v])) if own[v] else None for v in range(n)]
+    cuts = sum(len(o) > 1 for o in own)
+    alone = int((degree == 0).sum())
+    parts, bridges = alone + len({root_of[b] for b in range(len(size))}), int((size == 1).sum())
+    lowest = np.sort(degree)[:3].tolist() if n else []
+    of = lambda d: max(0, least - min(d, default=least))
+    out = []
+    for u, v in offers.tolist():
+        rest = list(lowest)
+        for w in {u, v}:
+            if degree[w] in rest:
+                rest.remove(degree[w])
+        lacks = of([*rest, degree[u] + 1, degree[v] + 1])
+        a, b = place[u], place[v]
+        if a is None or b is None or root_of[a] != root_of[b]:
+            new = sum(x is not None and x >= 0 for x in (a, b))
+            out.append((parts - 1, alone - (a is None) - (b is None), bridges + 1, cuts + new, lacks))
+            continue
+        one, two = [a], [b]
+        while one[-1] != two[-1]:
+            side = one if depth[one[-1]] >= depth[two[-1]] else two
+            side.append(up[side[-1]])
+        path = one + two[-2::-1]
+        gone = sum(size[x] == 1 for x in path if x >= 0) if a != b else 0
+        out.append((parts, alone, bridges - int(gone), cuts - sum(len(near[x]) == 2 for x in path[1:-1] if x < 0), lacks))
+    return (parts, alone, bridges, cuts, of(lowest)), out
+
+
 def by_size(edges: DataFrame, group_pairs: int, grouped, in_rounds) -> DataFrame:
     """``grouped`` over the networks of at most ``group_pairs`` pairs, ``in_rounds`` over the larger ones, if there are any."""
     sizes = edges.groupBy(*N).agg(F.count("*").alias("pairs"))

@@ -22,10 +22,14 @@ def common_pairs(spark, d) -> DataFrame:
     return identity_intersection(candidate_pairs(acquisitions(spark, d)), 3)
 
 
-def network(spark, d) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of one network for each year, from the pairs that all bursts have."""
-    p = common_pairs(spark, d).where("year(ref) = year(sec)").select(F.year("ref").alias("network_id"), F.col("ref").alias("src"), F.col("sec").alias("dst"), "days", "max_perp")
-    p = p.withColumn("network_id", F.col("network_id").cast("string"))
+def network(spark, d, max_days: int = 36) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a network for each burst, from all its pairs, and of one of the pairs that all bursts have."""
+    from ..operators.pairs import candidate_pairs, identity_intersection
+
+    cands = candidate_pairs(acquisitions(spark, d), max_days=max_days)
+    p = cands.select(F.col("burst").alias("network_id"), F.col("ref").alias("src"), F.col("sec").alias("dst"), "days", F.abs("dperp").alias("max_perp"))
+    common = identity_intersection(cands, 3)
+    p = p.unionByName(common.select(F.lit("common").alias("network_id"), F.col("ref").alias("src"), F.col("sec").alias("dst"), "days", "max_perp"))
     nodes = p.select("network_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes, p
 
@@ -73,7 +77,7 @@ ACQ = """acq as (select o_orderstatus as burst, cast(date_trunc('week', o_orderd
 CAND = ACQ + """, cand as (select a.burst, a.date as ref, b.date as sec, cast(b.date - a.date as int) as days, b.perp - a.perp as dperp
   from acq a join acq b on a.burst = b.burst and a.date < b.date and b.date - a.date <= 36 where abs(b.perp - a.perp) <= 250)"""
 COMMON = CAND + """, common as (select ref, sec, any_value(days) as days, max(abs(dperp)) as max_perp from cand group by 1, 2 having count(distinct burst) = 3)"""
-NET = COMMON + """, edges as (select cast(year(ref) as varchar) as network_id, ref as src, sec as dst, days, max_perp from common where year(ref) = year(sec)),
+NET = COMMON + """, edges as (select burst as network_id, ref as src, sec as dst, days, abs(dperp) as max_perp from cand union all select 'common', ref, sec, days, max_perp from common),
  nodes as (select network_id, src as node from edges union select network_id, dst from edges)"""
 TELE = """tele as (select event_type as producer, user_id as station, ts, value from events)"""
 EPOCH = """ep as (select vec_id as pixel, label as zone, i, i * 12 / 365.25 as t, cast(embedding[i + 1] as double) as disp from (select vec_id, label, embedding, unnest(range(len(embedding))) as i from embeddings))"""

@@ -172,7 +172,7 @@ def _(spark, d):
 @query("connect_and_debridge")
 def _(spark, d):
     nodes, thin = _thin(spark, d)
-    return graph.connect_and_debridge(nodes, thin, network(spark, d)[1].select("network_id", "src", "dst", "days"))
+    return graph.connect_and_debridge(nodes, thin, network(spark, d, max_days=120)[1].select("network_id", "src", "dst", "days"))
 
 
 @query("edge_influence", f"""with {NET}, q as (select *, round(1 - max_perp / 250, 6) as quality, row_number() over (partition by network_id order by round(1 - max_perp / 250, 6), src, dst) as rank, count(*) over (partition by network_id) as n from edges)

@@ -144,3 +144,20 @@ def test_connect_and_debridge_by_brute_force(spark):
             pairs, b, c, parts = want[name]
             assert [(r["src"], r["dst"], r["days"], r["role"]) for r in mine if r["step"]] == pairs, name
             assert {(r["bridges_left"], r["cut_vertices_left"], r["components_left"]) for r in mine} == {(b, c, parts)}, name
+
+
+def test_faults_with_each_offer():
+    r = random.Random(11)
+    for _ in range(300):
+        n = r.randint(1, 10)
+        every = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        ends = r.sample(every, r.randint(0, len(every))) if r.random() < 0.5 else r.sample(every, min(len(every), n - 1))
+        offers = [e for e in every if e not in ends]
+
+        def plain(es):
+            parts, found, cuts = graph.low_links(n, np.array(es, dtype=np.int64).reshape(-1, 2))
+            degree = [sum(v in e for e in es) for v in range(n)]
+            return parts, degree.count(0), len(found), len(cuts), max(0, 3 - min(degree))
+
+        now, then = robust.faults(n, np.array(ends, dtype=np.int64).reshape(-1, 2), np.array(offers, dtype=np.int64).reshape(-1, 2))
+        assert now == plain(ends) and then == [plain([*ends, e]) for e in offers]
