@@ -14,9 +14,10 @@ MIN_TOKENS = 3
 MIN_DOCS = 5
 #: Least share of a template's tokens that are constant.
 CONSTANT_SHARE = 0.6
-#: A leaf's lines form groups at each of these levels: a token is constant in its place if it stands there in so many
-#: documents of the leaf. Low levels tell templates apart, high ones let common values of a field be a field.
-LEVELS = (5, 25, 125, 625)
+#: A leaf's lines form groups at levels MIN_DOCS, MIN_DOCS * GROWTH, MIN_DOCS * GROWTH^2, ... up to the leaf's documents: a
+#: token is constant in its place if it stands there in so many documents of the leaf. Low levels tell templates apart,
+#: high ones let common values of a field be a field, however many documents the field's values stand in.
+GROWTH = 5
 
 
 def _masked(line):
@@ -36,6 +37,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", "pos", "line", "n", F.xxhash64("n", "masked").alias("template"), F.xxhash64("n", F.slice("masked", 1, DEPTH)).alias("leaf"))
 
 
+def _levels(k: str):
+    """The number of levels that a count reaches, 0 under MIN_DOCS; in whole numbers, for every count of 63 bits."""
+    levels, n = [], MIN_DOCS
+    while n < 1 << 63:
+        levels.append(n)
+        n *= GROWTH
+    return F.size(F.filter(F.lit(levels).cast("array<long>"), lambda x: x <= F.col(k)))
+
+
 def _documents(rows: DataFrame, key: str) -> DataFrame:
     """key and k: the documents of the lines, each once, and the weights of samples, which stand for exact templates."""
     return rows.select(key, "doc_id", "sample", "weight").distinct().groupBy(key).agg(F.sum("weight").alias("k"))
@@ -45,7 +55,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     """(row, pos) of the lines whose template stands in MIN_DOCS documents.
 
     Tokens with a digit are masked. Lines that agree after masking are one template. The lines left are parsed down a
-    tree of fixed depth, by token count and leading tokens, to a leaf, which holds several groups: at each of LEVELS,
+    tree of fixed depth, by token count and leading tokens, to a leaf, which holds several groups: at each level (GROWTH),
     tokens that stand in their place in so many documents of the leaf are constant, the other places are fields, and
     lines with the same constants are one group. A group is a template if enough of its places are constant, one behind
     the leading tokens at least, and it stands in MIN_DOCS documents. Lines dropped as they are count in the tree too,
@@ -64,12 +74,13 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     lead = F.size(F.array_remove(F.slice("masked", 1, DEPTH), "<*>"))
     tokens = loose.select(*line, "n", lead.alias("lead"), "leaf", F.posexplode("masked").alias("at", "token")).where((F.col("at") >= DEPTH) & (F.col("token") != "<*>"))
     tokens = cut(tokens.select(*line, "n", "lead", F.xxhash64("leaf", "at", "token").alias("place"), "leaf"))
-    common = _documents(tokens, "place").where(F.col("k") >= LEVELS[0])
-    fixed = tokens.join(common, "place").groupBy(*line, "n", "lead", "leaf").agg(F.collect_list(F.struct("place", "k")).alias("fixed"))
-    at_level = lambda k: F.transform(F.filter("fixed", lambda c: c["k"] >= k), lambda c: c["place"])
-    constants = [at_level(k) for k in LEVELS]
-    groups = [F.when((F.size(c) > 0) & (F.col("lead") + F.size(c) >= F.lit(CONSTANT_SHARE) * F.col("n")), F.xxhash64("leaf", F.array_sort(c))) for c in constants]
-    groups = cut(fixed.select(*line, F.explode(F.array_distinct(F.array_compact(F.array(*groups)))).alias("group")))
+    common = _documents(tokens, "place").withColumn("level", _levels("k")).where("level > 0")
+    fixed = tokens.join(common.select("place", "level"), "place").groupBy(*line, "n", "lead", "leaf").agg(F.collect_list(F.struct("place", "level")).alias("fixed"))
+    # Only levels at which a place of the line drops out make another group.
+    levels = F.array_distinct(F.transform("fixed", lambda c: c["level"]))
+    constants = F.transform(levels, lambda k: F.transform(F.filter("fixed", lambda c: c["level"] >= k), lambda c: c["place"]))
+    enough = F.filter(constants, lambda c: F.col("lead") + F.size(c) >= F.lit(CONSTANT_SHARE) * F.col("n"))
+    groups = cut(fixed.select(*line, F.explode(F.transform(enough, lambda c: F.xxhash64("leaf", F.array_sort(c)))).alias("group")))
     templates = _documents(groups, "group").where(F.col("k") >= MIN_DOCS)
     wide = groups.where("sample is null").join(templates, "group", "left_semi").select("row", "pos").distinct()
     return known.join(exact, "template", "left_semi").select("row", "pos").unionByName(wide)
@@ -100,18 +111,18 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = f"""
-with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
+with recursive l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
 m as (select *, list_transform(regexp_extract_all(line, '{WORD}'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as masked from l),
 e as (select *, len(masked) as n, array_to_string(masked, ' ') as template, masked[1:{DEPTH}] as lead from m
   where len(masked) >= {MIN_TOKENS} and len(list_filter(masked, lambda t: t <> '<*>')) >= {CONSTANT_SHARE} * len(masked)),
 exact as (select template, count(*) as k from (select distinct template, doc_id from e) group by 1 having count(*) >= {MIN_DOCS}),
-rest as (select doc_id, text, pos, masked, n, lead, null as sample, 1 as weight from e where template not in (select template from exact)),
-samples as (select distinct null as doc_id, null as text, null as pos, masked, n, lead, template as sample, k as weight from e join exact using (template)),
+rest as (select doc_id, text, pos, masked, n, lead, null::varchar as sample, 1::hugeint as weight from e where template not in (select template from exact)),
+samples as (select distinct null as doc_id, null as text, null as pos, masked, n, lead, template as sample, k::hugeint as weight from e join exact using (template)),
 every as (select * from rest union all select * from samples),
 leaves as (select n, lead from every group by 1, 2 having sum(weight) >= {MIN_DOCS} and bool_or(sample is null)),
 tokens as (select doc_id, text, pos, sample, weight, n, lead, unnest(masked) as token, generate_subscripts(masked, 1) as p from every join leaves using (n, lead)),
 places as (select n, lead, p, token, sum(weight) as k from (select distinct n, lead, p, token, doc_id, sample, weight from tokens where p > {DEPTH} and token <> '<*>') group by all),
-levels as (select unnest([{', '.join(map(str, LEVELS))}]) as level),
+levels as (select {MIN_DOCS}::hugeint as level union all select level * {GROWTH} from levels where level * {GROWTH} <= (select max(k) from places)),
 grps as (select level, doc_id, text, pos, sample, weight, n, lead, string_agg(p || ' ' || token, chr(10) order by p) as form from tokens join places using (n, lead, p, token) join levels on k >= level
   group by level, doc_id, text, pos, sample, weight, n, lead having len(list_filter(lead, lambda t: t <> '<*>')) + count(*) >= {CONSTANT_SHARE} * n),
 wide as (select n, lead, form from (select distinct n, lead, form, doc_id, sample, weight from grps) group by 1, 2, 3 having sum(weight) >= {MIN_DOCS}),

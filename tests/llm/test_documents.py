@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groundmesh.llm import bpe, fingerprints, lines, mixing, neardup, quality, repeats, sharding, toxicity, warc
 
@@ -395,6 +396,19 @@ def test_a_field_with_common_values_is_still_a_field(spark):
     assert all(r["n_dropped"] == 1 for r in got)
 
 
+@pytest.mark.parametrize("growth", [5, 2])
+def test_a_template_is_found_at_every_size(spark, monkeypatch, growth):
+    """Three fields of 11 values make 1,331 lines; each value stands in so many documents that low levels take it as constant."""
+    monkeypatch.setattr(lines, "GROWTH", growth)
+    values, r = [f"v{chr(97 + k)}" for k in range(11)], random.Random(3)
+    line = lambda: f"order of {r.choice(values)} was sent by {r.choice(values)} and came with {r.choice(values)} on time"
+    prose = [(100_000 + k, "order of " + words(12, 60 + k).replace(" ", "q ") + "q") for k in range(40)]
+    for n in (200, 8000):  # 727 documents a value in the second
+        df = spark.createDataFrame([(k, line()) for k in range(n)] + prose, "doc_id long, text string")
+        got = lines.drop_recurring_lines(df).groupBy((F.col("doc_id") < 100_000).alias("t"), "n_dropped").count().collect()
+        assert {(x["t"], x["n_dropped"], x["count"]) for x in got} == {(True, 1, n), (False, 0, 40)}
+
+
 def test_line_dedup_keeps_columns_that_clash(spark):
     rows = [(k, "the same long line here\nown " + words(4, k), 7, 8, "r", "g") for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, row string, gone string")
