@@ -42,3 +42,14 @@ class Saved:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once and read again; for results, which stay."""
     return Saved(df.sparkSession).keep(df)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -2,56 +2,152 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .lineage import free_names, saved
 
 TILE = 128
 
 
-def label_components(px: DataFrame, least: int = 250, tile: int = TILE) -> DataFrame:
-    """Label the 8-connected components of the given cells; those under ``least`` cells go.
+def _hooked(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``parent`` (each entry its set's least member) after the sets of u[k] and v[k] are joined for all k."""
+    while True:
+        a, b = parent[u], parent[v]
+        apart = a != b
+        if not apart.any():
+            return parent
+        u, v = u[apart], v[apart]
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
 
-    A label is the least row * span + col of its cells; span is 1000, or 2**31 if a column does not fit. Each tile is
-    labelled in numpy on its own; cells on tile borders then meet their neighbours of other tiles in one equi-join, and
-    the small graph of tile labels gives the components. Only border cells and labels are shuffled after the tiles.
-    """
-    import numpy as np
-    import pandas as pd
 
+def tile_labels(row: np.ndarray, col: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
+    """For each level 1, 2, ..., most: each cell's component among the cells of at least that level, by its first cell.
+
+    Cells are in order of (row, col), so the least member is the first. Cells join in falling order of level, each
+    neighbourship (diagonal ones too) at the lower of its two levels, so what is joined once stays joined below.
+    """
+    n, most = len(row), int(level.max(initial=0))
+    grid = np.full((int(np.ptp(row)) + 3, int(np.ptp(col)) + 3), -1) if n else np.zeros((3, 3), int)
+    i, j = (row - row.min() + 1, col - col.min() + 1) if n else (row, col)
+    grid[i, j] = np.arange(n)
+    pairs = [(k[k2 >= 0], k2[k2 >= 0]) for k, k2 in ((np.arange(n), grid[i + a, j + b]) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)))]
+    u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    at, parent, out = np.minimum(level[u], level[v]), np.arange(n), []
+    for k in range(most, 0, -1):
+        now = at == k
+        parent = _hooked(parent, u[now], v[now])
+        out.append(parent.copy())
+    return out[::-1]
+
+
+def nested_labels(px: DataFrame, level: Column, tile: int = TILE) -> DataFrame:
+    """The cells of level 1 and more, once for each level k = 1 .. their own, with the label of their component there.
+
+    A component at k is 8-connected cells of level k or more; its label is the least row * span + col (span 1000, or 2**31
+    if a column does not fit). One pass labels each tile for all levels, in numpy; cells on tile borders then meet their
+    neighbours of other tiles in one equi-join, and the labels they tie form one small graph for all levels, whose
+    components finish the labels. Only border cells and labels are shuffled after the tiles. Null levels are left out.
+    """
+    names = free_names(px, "_level", "_labels")
+    px = px.withColumn(names[0], level.cast("int")).where(F.col(names[0]) >= 1)
     span = 1000 if px.where("col not between 0 and 999").isEmpty() else 1 << 31
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
-        grid = np.full((tile + 2, tile + 2), np.iinfo(np.int64).max)
-        i, j = r % tile + 1, c % tile + 1
-        grid[i, j] = r * span + c
-        taken = grid < np.iinfo(np.int64).max
-        while True:
-            new = grid.copy()
-            for a in (-1, 0, 1):
-                for b in (-1, 0, 1):
-                    new[1:-1, 1:-1] = np.minimum(new[1:-1, 1:-1], grid[1 + a : tile + 1 + a, 1 + b : tile + 1 + b])
-            new[~taken] = np.iinfo(np.int64).max
-            if (new == grid).all():
-                break
-            grid = new
-        return pdf.assign(tile_label=grid[i, j])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in px.dtypes) + ", tile_label long"
-    tiled = px.groupBy(F.expr(f"row div {tile}"), F.expr(f"col div {tile}"))
-    done = tiled.applyInPandas(run, fields)
-    edge = done.where(f"row % {tile} in (0, {tile - 1}) or col % {tile} in (0, {tile - 1})").select("row", "col", "tile_label")
-    near = edge.select(F.explode(F.array(*[F.struct((F.col("row") + a).alias("r"), (F.col("col") + b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("p"), F.col("tile_label").alias("other"))
-    links = near.join(edge, (F.col("p.r") == edge["row"]) & (F.col("p.c") == edge["col"])).where("tile_label < other").select(F.lit("0").alias("network_id"), F.col("tile_label").alias("src"), F.col("other").alias("dst")).distinct()
+        pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+        cells = pdf[["row", "col"]].drop_duplicates()
+        of = (pdf[["row", "col"]].diff().ne(0).any(axis=1)).cumsum().to_numpy() - 1  # repeated cells share a label
+        lev = pdf[names[0]].groupby(of).max().to_numpy()
+        r, c = cells["row"].to_numpy(np.int64), cells["col"].to_numpy(np.int64)
+        ids = r * span + c
+        found = [ids[x][of] for x in tile_labels(r, c, lev)]
+        own = pdf[names[0]].to_numpy()
+        return pdf.assign(**{names[1]: [[x[k] for x in found[: own[k]]] for k in range(len(pdf))]})
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in px.dtypes) + f", {names[1]} array<long>"
+    tiled = saved(px.groupBy(F.expr(f"row div {tile}"), F.expr(f"col div {tile}")).applyInPandas(run, fields))
+    done = tiled.select(*[c for c in px.columns if c != names[0]], F.posexplode(names[1]).alias("k", "tile_label")).withColumn("k", F.col("k") + 1)
+    edge = done.where(f"row % {tile} in (0, {tile - 1}) or col % {tile} in (0, {tile - 1})").select("k", "row", "col", "tile_label").distinct()
+    near = edge.select("k", F.explode(F.array(*[F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("p"), F.col("tile_label").alias("other")).select("k", "p.row", "p.col", "other")
+    links = near.join(edge, ["k", "row", "col"]).where("tile_label < other").select(F.col("k").alias("network_id"), F.col("tile_label").alias("src"), F.col("other").alias("dst")).distinct()
+    links = saved(links)
     nodes = links.select("network_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    merged = connected_components(nodes, links).select(F.col("node").alias("tile_label"), "component")
-    out = done.join(merged, "tile_label", "left").withColumn("label", F.coalesce("component", "tile_label")).drop("component", "tile_label")
+    merged = connected_components(nodes, links).select(F.col("network_id").alias("k"), F.col("node").alias("tile_label"), "component")
+    return done.join(merged, ["k", "tile_label"], "left").withColumn("label", F.coalesce("component", "tile_label")).drop("component", "tile_label")
+
+
+def label_components(px: DataFrame, least: int = 250, tile: int = TILE) -> DataFrame:
+    """Label the 8-connected components of the given cells (see nested_labels); those under ``least`` cells go."""
+    out = nested_labels(px, F.lit(1), tile).drop("k")
     big = out.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("label")
     return out.join(big, "label", "left_semi")
 
 
+#: scenario_id, least coherence, least size of velocity (mm a year), least area (km2).
+SCENARIOS = [
+    ("primary", 0.8, 10.0, 0.4), ("strict_coh_0.90", 0.9, 10.0, 0.4), ("relaxed_coh_0.70", 0.7, 10.0, 0.4), ("relaxed_coh_0.60", 0.6, 10.0, 0.4), ("relaxed_coh_0.50", 0.5, 10.0, 0.4),
+    ("no_coh_cut", 0.0, 10.0, 0.4), ("threshold_7.5", 0.8, 7.5, 0.4), ("threshold_5", 0.8, 5.0, 0.4), ("threshold_15", 0.8, 15.0, 0.4), ("min_area_1.0", 0.8, 10.0, 1.0),
+    ("min_area_2.0", 0.8, 10.0, 2.0), ("min_area_5.0", 0.8, 10.0, 5.0), ("coh_0.70_thr_5", 0.7, 5.0, 0.4), ("coh_0.90_thr_15", 0.9, 15.0, 0.4),
+]  # fixed values
+
+
+def _chains(masks: set[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """The masks in chains, each mask of a chain within the one before: few passes serve all."""
+    chains: list[list[tuple[float, float]]] = []
+    for m in sorted(masks):
+        fits = [c for c in chains if c[-1][0] <= m[0] and c[-1][1] <= m[1]]
+        if fits:
+            max(fits, key=lambda c: c[-1]).append(m)
+        else:
+            chains.append([m])
+    return chains
+
+
+def label_scenarios(px: DataFrame, scenarios: list[tuple] = SCENARIOS, tile: int = TILE, cell_km2: float = 0.0016) -> DataFrame:
+    """The cells of each scenario with scenario_id, label, cells (of their component) and kept (its area is enough).
+
+    Masks that lie within each other form chains; a cell's level in a chain is how many of its masks it passes, so one
+    labelling of a chain serves all its scenarios. px: row, col, velocity, tcoh of eligible cells; null values pass no mask.
+    """
+    out = None
+    for chain in _chains({(c, t) for _, c, t, _ in scenarios}):
+        passed = [F.when((F.col("tcoh") >= c) & (F.abs("velocity") >= t), 1).otherwise(0) for c, t in chain]
+        found = nested_labels(px, sum(passed[1:], passed[0]), tile)
+        found = found.join(found.groupBy("k", "label").agg(F.count("*").alias("cells")), ["k", "label"])
+        mine = [(chain.index((c, t)) + 1, name, round(area / cell_km2)) for name, c, t, area in scenarios if (c, t) in chain]
+        of = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("scenario_id"), F.lit(n).alias("least")) for k, name, n in mine])
+        rows = found.withColumn("_s", F.explode(F.filter(of, lambda x: x["k"] == F.col("k"))))
+        rows = rows.select(F.col("_s.scenario_id").alias("scenario_id"), *px.columns, "label", "cells", (F.col("cells") >= F.col("_s.least")).alias("kept"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def zone_persistence(zones: DataFrame, labelled: DataFrame, scenarios: list[tuple] = SCENARIOS, cell_km2: float = 0.0016) -> DataFrame:
+    """zone, scenario_id, overlap_fraction, component_area_km2, component_median, persists for each zone and scenario.
+
+    Of the scenario's components the one with most of the zone's cells counts (ties to the least label), kept or not; the
+    zone persists if it has half of them and is kept, which also decides whether area and median are told.
+    """
+    mine = zones.select(F.col("label").alias("zone"), "row", "col").distinct()
+    n = mine.groupBy("zone").agg(F.count("*").alias("n"))
+    both = mine.join(labelled.select("scenario_id", "row", "col", "label", "cells", "kept"), ["row", "col"])
+    both = both.groupBy("zone", "scenario_id", "label").agg(F.count("*").alias("k"), F.first("cells").alias("cells"), F.first("kept").alias("kept"))
+    best = both.groupBy("zone", "scenario_id").agg(F.max(F.struct("k", (-F.col("label")).alias("m"), "cells", "kept")).alias("x")).select("zone", "scenario_id", "x.k", (-F.col("x.m")).alias("label"), "x.cells", "x.kept")
+    middle = labelled.join(best.where("kept").select("scenario_id", "label").distinct(), ["scenario_id", "label"], "left_semi").groupBy("scenario_id", "label").agg(F.percentile("velocity", F.lit(0.5)).alias("component_median"))
+    every = n.withColumn("scenario_id", F.explode(F.array(*[F.lit(s[0]) for s in scenarios])))
+    out = every.join(best, ["zone", "scenario_id"], "left").join(middle, ["scenario_id", "label"], "left")
+    share = F.coalesce(F.col("k") / F.col("n"), F.lit(0.0))
+    return out.select("zone", "scenario_id", share.alias("overlap_fraction"), F.when(F.col("kept"), F.col("cells") * cell_km2).otherwise(0.0).alias("component_area_km2"), "component_median", (F.coalesce("kept", F.lit(False)) & (share >= 0.5)).alias("persists"))
+
+
 def aoi_counts(px: DataFrame) -> DataFrame:
     n = lambda c: F.sum(F.expr(f"cast({c} as int)"))
     return px.agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare, masks
-from .inputs import PIX, TELE, pix_sql, pixels, table, telemetry
+from .inputs import PIX, SIDE, TELE, pix_sql, pixels, side, table, telemetry
 from .pixel_queries import rounded
 
 QUERIES, ORACLE = {}, {}
@@ -69,12 +69,12 @@ def _(spark, d):
     return rounded(compare.branch_metrics(*_branches(spark, d)), 6)
 
 
-BLOCKS = f"""{PIX}, bl as (select cast(row // 5 as int) as row, cast(col // 5 as int) as col, avg((velocity_std > 0 and land)::int) as support, 1000.0 * least(min(row), min(col), 99 - max(row), 99 - max(col)) as edge_m, quantile_cont(velocity_std, .5) as std, quantile_cont(velocity, .5) as velocity, quantile_cont(tcoh, .5) as coherence from px group by 1, 2)"""
+BLOCKS = f"""{PIX}, bl as (select cast(row // 5 as int) as row, cast(col // 5 as int) as col, avg((velocity_std > 0 and land)::int) as support, 1000.0 * least(min(row), min(col), {SIDE} - 1 - max(row), {SIDE} - 1 - max(col)) as edge_m, quantile_cont(velocity_std, .5) as std, quantile_cont(velocity, .5) as velocity, quantile_cont(tcoh, .5) as coherence from px group by 1, 2)"""
 
 
 def _blocks(spark, d):
     return pixels(spark, d).groupBy(F.expr("cast(row div 5 as int)").alias("r"), F.expr("cast(col div 5 as int)").alias("c")).agg(
-        F.avg(F.expr("cast(velocity_std > 0 and land as double)")).alias("support"), (1000.0 * F.least(F.min("row"), F.min("col"), 99 - F.max("row"), 99 - F.max("col"))).alias("edge_m"),
+        F.avg(F.expr("cast(velocity_std > 0 and land as double)")).alias("support"), (1000.0 * F.least(F.min("row"), F.min("col"), side(spark, d) - 1 - F.max("row"), side(spark, d) - 1 - F.max("col"))).alias("edge_m"),
         *[F.percentile(c, F.lit(0.5)).alias(n) for c, n in (("velocity_std", "std"), ("velocity", "velocity"), ("tcoh", "coherence"))],
     ).withColumnsRenamed({"r": "row", "c": "col"})
 
@@ -167,10 +167,10 @@ def _(spark, d):
     return rounded(compare.rebasing_effect(base.select("row", "col", F.col("velocity").alias("value")), named, ["row", "col"], ["branch"], 1.5), 6)
 
 
-@query("zone_profile", f"""with {PIX}, g as (select row, col, l_returnflag as property, l_linenumber as depth, avg(l_quantity) as value from (select *, cast(l_partkey % 100 as int) as row, cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % 100 as int) as col from lineitem) group by all)
+@query("zone_profile", f"""with {PIX}, g as (select row, col, l_returnflag as property, l_linenumber as depth, avg(l_quantity) as value from (select *, cast(l_partkey % {SIDE} as int) as row, cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % {SIDE} as int) as col from lineitem) group by all)
 select px.row // 10 as zone, property, depth, count(*) as n, round(quantile_cont(value, .5) / 10, 6) as median from px join g using (row, col) where in_aoi group by 1, 2, 3""")
 def _(spark, d):
-    cells = table(spark, d, "lineitem").select(F.expr("cast(l_partkey % 100 as int)").alias("row"), F.expr("cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % 100 as int)").alias("col"), F.col("l_returnflag").alias("property"), F.col("l_linenumber").alias("depth"), "l_quantity")
+    cells = table(spark, d, "lineitem").select(F.expr(f"cast(l_partkey % {side(spark, d)} as int)").alias("row"), F.expr(f"cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % {side(spark, d)} as int)").alias("col"), F.col("l_returnflag").alias("property"), F.col("l_linenumber").alias("depth"), "l_quantity")
     grids = cells.groupBy("row", "col", "property", "depth").agg(F.avg("l_quantity").alias("value"))
     return rounded(compare.zone_profile(pixels(spark, d).where("in_aoi").withColumn("zone", F.expr("row div 10")), grids), 6)
 

@@ -45,24 +45,34 @@ def epochs(spark, d) -> DataFrame:
     return e.select("pixel", "zone", "i", (F.col("i") * 12 / 365.25).alias("t"), F.col("v").cast("double").alias("disp"))
 
 
+def side(spark, d) -> int:
+    """Rows, and columns, of the grid of cells: 100 at least, and some six rows of lineitem a cell."""
+    return max(100, int((table(spark, d, "lineitem").count() / 6.0) ** 0.5))
+
+
+def _row_col(n: int):
+    return F.expr(f"cast(l_partkey % {n} as int)"), F.expr(f"cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % {n} as int)")
+
+
 def pixels(spark, d, where: str = "true") -> DataFrame:
     """One row for each grid cell: velocity, velocity_std, tcoh, from lineitem."""
-    x = table(spark, d, "lineitem").where(where)
-    x = x.withColumn("row", F.expr("cast(l_partkey % 100 as int)")).withColumn("col", F.expr("cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % 100 as int)"))
+    n = side(spark, d)
+    row, col = _row_col(n)
+    x = table(spark, d, "lineitem").where(where).withColumn("row", row).withColumn("col", col)
     x = x.groupBy("row", "col").agg(
         F.round((F.avg("l_extendedprice") - 50000) / 1000, 10).alias("velocity"), F.round(F.avg("l_tax"), 6).alias("velocity_std"),
         F.round(1 - 3 * F.avg("l_discount"), 6).alias("tcoh"), F.round(F.avg("l_quantity"), 4).alias("height"),
     )
-    return x.withColumn("in_aoi", F.expr("row between 5 and 94 and col between 5 and 94")).withColumn("land", F.expr("(row + col) % 17 != 0"))
+    return x.withColumn("in_aoi", F.expr(f"row between 5 and {n - 6} and col between 5 and {n - 6}")).withColumn("land", F.expr("(row + col) % 17 != 0"))
 
 
 def pair_pixels(spark, d) -> DataFrame:
     """pair_id, row, col, unw, coh, cc from lineitem and orders."""
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     x = l.join(o, l["l_orderkey"] == o["o_orderkey"])
+    row, col = _row_col(side(spark, d))
     return x.select(
-        F.concat_ws("_", "o_orderstatus", F.year("o_orderdate")).alias("pair_id"), F.expr("cast(l_partkey % 100 as int)").alias("row"),
-        F.expr("cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % 100 as int)").alias("col"), F.nullif("l_discount", F.lit(0.0)).alias("unw"),
+        F.concat_ws("_", "o_orderstatus", F.year("o_orderdate")).alias("pair_id"), row.alias("row"), col.alias("col"), F.nullif("l_discount", F.lit(0.0)).alias("unw"),
         (1 - 3 * F.col("l_discount")).alias("coh"), F.col("l_linenumber").alias("cc"),
     )
 
@@ -83,14 +93,17 @@ TELE = """tele as (select event_type as producer, user_id as station, ts, value
 EPOCH = """ep as (select vec_id as pixel, label as zone, i, i * 12 / 365.25 as t, cast(embedding[i + 1] as double) as disp from (select vec_id, label, embedding, unnest(range(len(embedding))) as i from embeddings))"""
 
 
+SIDE = "(select greatest(100, cast(floor(sqrt(count(*) / 6.0)) as int)) from lineitem)"
+
+
 def pix_sql(name: str = "px", where: str = "true") -> str:
-    return f"""{name} as (select *, row between 5 and 94 and col between 5 and 94 as in_aoi, (row + col) % 17 <> 0 as land from (
-  select cast(l_partkey % 100 as int) as row, cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % 100 as int) as col, round((avg(l_extendedprice) - 50000) / 1000, 10) as velocity,
+    return f"""{name} as (select *, row between 5 and {SIDE} - 6 and col between 5 and {SIDE} - 6 as in_aoi, (row + col) % 17 <> 0 as land from (
+  select cast(l_partkey % {SIDE} as int) as row, cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % {SIDE} as int) as col, round((avg(l_extendedprice) - 50000) / 1000, 10) as velocity,
     round(avg(l_tax), 6) as velocity_std, round(1 - 3 * avg(l_discount), 6) as tcoh, round(avg(l_quantity), 4) as height from lineitem where {where} group by 1, 2))"""
 
 
 PIX = pix_sql()
-PAIRPX = """pp as (select o_orderstatus || '_' || year(o_orderdate) as pair_id, cast(l_partkey % 100 as int) as row, cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % 100 as int) as col,
+PAIRPX = f"""pp as (select o_orderstatus || '_' || year(o_orderdate) as pair_id, cast(l_partkey % {SIDE} as int) as row, cast((l_suppkey * 7 + l_linenumber * 13 + l_orderkey) % {SIDE} as int) as col,
   nullif(l_discount, 0) as unw, 1 - 3 * l_discount as coh, l_linenumber as cc from lineitem join orders on l_orderkey = o_orderkey)"""
 SUPP = """supp as (select s_suppkey as id, 28 + s_suppkey % 1000 / 1000 as lat, 76.5 + s_suppkey % 997 / 997 as lon from supplier)"""
 CUST = """cust as (select c_custkey as id, 28 + c_custkey % 1000 / 1000 as lat, 76.5 + c_custkey % 997 / 997 as lon from customer)"""

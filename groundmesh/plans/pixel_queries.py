@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import masks, pairs, stats, zones
-from .inputs import PAIRPX, PIX, pair_pixels, pix_sql, pixels
+from .inputs import PAIRPX, PIX, SIDE, pair_pixels, pix_sql, pixels, side
 
 QUERIES, ORACLE = {}, {}
 
@@ -140,7 +140,7 @@ LABEL = f"""with recursive {PIX}, {HOT}, k3 as (select unnest([-1, 0, 1]) as k),
 
 def _labels(spark, d):
     px = masks.eligible(pixels(spark, d)).where("abs(velocity) >= 12")
-    return zones.label_components(px, 3)
+    return zones.label_components(px, 3, tile=32)  # many tiles at every size
 
 
 @query("label_components", LABEL + " select row, col, cast(label as bigint) as label from z")
@@ -148,6 +148,45 @@ def _(spark, d):
     return _labels(spark, d).select("row", "col", "label")
 
 
+SCEN = [("primary", 0.8, 10.0, 0.0048), ("strict", 0.88, 10.0, 0.0048), ("relaxed", 0.7, 10.0, 0.0048), ("no_coh_cut", 0.0, 10.0, 0.0048), ("low", 0.8, 7.5, 0.0048), ("high", 0.8, 12.5, 0.0048), ("large", 0.8, 10.0, 0.0128), ("both", 0.88, 12.5, 0.0048)]
+SCEN_SQL = f"""with recursive {PIX}, g as (select * from (values {", ".join(f"('{n}', {c}, {t}, {round(a / 0.0016)})" for n, c, t, a in SCEN)}) t(scenario_id, c, t, least)),
+ hot as (select scenario_id, least, row, col, velocity from px join g on tcoh >= c and abs(velocity) >= t where in_aoi and land), k3 as (select unnest([-1, 0, 1]) as k),
+ near as (select a.scenario_id, a.row * 1000 + a.col as a, b.row * 1000 + b.col as b from hot a cross join k3 i cross join k3 j join hot b on b.scenario_id = a.scenario_id and b.row = a.row + i.k and b.col = a.col + j.k),
+ r as (select scenario_id, row * 1000 + col as a, row * 1000 + col as b from hot union select r.scenario_id, r.a, n.b from r join near n on n.scenario_id = r.scenario_id and n.a = r.b),
+ lab as (select scenario_id, a, min(b) as label from r group by 1, 2), s as (select scenario_id, label, count(*) as cells from lab group by 1, 2),
+ z as (select h.scenario_id, row, col, velocity, l.label, cells, cells >= least as kept from hot h join lab l on l.scenario_id = h.scenario_id and l.a = row * 1000 + col join s on s.scenario_id = l.scenario_id and s.label = l.label)"""
+
+
+def _scenarios(spark, d):
+    px = pixels(spark, d).where("in_aoi and land").select("row", "col", "velocity", "tcoh")
+    return zones.label_scenarios(px, SCEN, tile=16)
+
+
+@query("label_scenarios", SCEN_SQL + " select scenario_id, row, col, cast(label as bigint) as label, cells, kept from z")
+def _(spark, d):
+    return _scenarios(spark, d).select("scenario_id", "row", "col", "label", "cells", "kept")
+
+
+@query("mask_persistence", SCEN_SQL + f""", p as (select label as zone, row, col from z where scenario_id = 'primary' and kept), n as (select zone, count(*) as n from p group by 1),
+ o as (select zone, scenario_id, label, count(*) as k, any_value(cells) as cells, any_value(kept) as kept from p join z using (row, col) group by 1, 2, 3), w as (select *, row_number() over (partition by zone, scenario_id order by k desc, label) as r from o),
+ m as (select scenario_id, label, quantile_cont(velocity, .5) as med from z group by 1, 2)
+select cast(zone as bigint) as zone, g.scenario_id, round(coalesce(k / n, 0), 9) as overlap_fraction, round(case when kept then cells * 0.0016::double else 0 end, 9) as component_area_km2, round(case when kept then med end, 9) as component_median, coalesce(kept, false) and coalesce(k / n, 0) >= 0.5 as persists
+from n cross join g left join (select * from w where r = 1) b using (zone, scenario_id) left join m on m.scenario_id = b.scenario_id and m.label = b.label""")
+def _(spark, d):
+    x = _scenarios(spark, d)
+    return rounded(zones.zone_persistence(x.where("scenario_id = 'primary' and kept"), x, SCEN))
+
+
+@query("persistence_outcome", SCEN_SQL + f""", p as (select label as zone, row, col from z where scenario_id = 'primary' and kept), n as (select zone, count(*) as n from p group by 1),
+ o as (select zone, scenario_id, label, count(*) as k, any_value(kept) as kept from p join z using (row, col) group by 1, 2, 3), w as (select *, row_number() over (partition by zone, scenario_id order by k desc, label) as r from o),
+ c as (select zone, count(*) filter (kept and k >= 0.5 * n) as survived from w join n using (zone) where r = 1 group by 1)
+select cast(zone as bigint) as zone, survived, case when survived / {len(SCEN)} >= 0.8 then 'robust' when survived / {len(SCEN)} >= 0.5 then 'moderate' else 'mask_dependent' end as outcome from c""")
+def _(spark, d):
+    x = _scenarios(spark, d)
+    found = zones.zone_persistence(x.where("scenario_id = 'primary' and kept"), x, SCEN).groupBy("zone").agg(F.count_if("persists").alias("survived"))
+    return found.select("zone", "survived", masks.persistence_outcome(F.col("survived") / len(SCEN)).alias("outcome"))
+
+
 @query("zone_stats", LABEL + f""" select cast(label as bigint) as label, count(*) as n, round(count(*) * 0.0016::double, 9) as area_km2, round(avg(row), 9) as row_mean, round(avg(col), 9) as col_mean, min(row) as row_min, max(row) as row_max, min(col) as col_min, max(col) as col_max,
  {q('velocity', .5)} as median, round(avg(velocity), 9) as mean, round(stddev_pop(velocity), 9) as std, {q('velocity', .05)} as p05, {q('velocity', .95)} as p95, arg_max(velocity, (abs(velocity), velocity)) as peak, min(tcoh) as coherence_min, {q('tcoh', .5)} as coherence_median from z group by 1""")
 def _(spark, d):
@@ -225,14 +264,14 @@ def _(spark, d):
     return rounded(stats.weighted_mean(z, [], "m", "w"))
 
 
-@query("edge_band", f"with {PIX} select case when least(row, 99 - row, col, 99 - col) < 5 then 'edge' else 'interior' end as band, count(*) as n, round(avg((velocity_std > 0)::int), 9) as valid, {q('velocity', .5)} as median from px group by 1")
+@query("edge_band", f"with {PIX} select case when least(row, {SIDE} - 1 - row, col, {SIDE} - 1 - col) < 5 then 'edge' else 'interior' end as band, count(*) as n, round(avg((velocity_std > 0)::int), 9) as valid, {q('velocity', .5)} as median from px group by 1")
 def _(spark, d):
-    return rounded(zones.edge_artifact(pixels(spark, d), 100, 100, 5))
+    return rounded(zones.edge_artifact(pixels(spark, d), side(spark, d), side(spark, d), 5))
 
 
 @query("box_highpass", f"""with {PIX}, m as (select row, col, velocity from px), k as (select unnest([-1, 0, 1]) as k), md as (select quantile_cont(velocity, .5) as md from px),
- g as (select r.r as row, c.c as col from (select unnest(range(0, 100)) as r) r, (select unnest(range(0, 100)) as c) c), f as (select g.row, g.col, coalesce(velocity, md) as v from g left join m using (row, col), md),
- b as (select f.row, f.col, any_value(f.v) as v, avg(h.v) as box from f cross join k a cross join k b join f h on h.row = least(99, greatest(0, f.row + a.k)) and h.col = least(99, greatest(0, f.col + b.k)) group by 1, 2),
+ g as (select r.r as row, c.c as col from (select unnest(range(0, {SIDE})) as r) r, (select unnest(range(0, {SIDE})) as c) c), f as (select g.row, g.col, coalesce(velocity, md) as v from g left join m using (row, col), md),
+ b as (select f.row, f.col, any_value(f.v) as v, avg(h.v) as box from f cross join k a cross join k b join f h on h.row = least({SIDE} - 1, greatest(0, f.row + a.k)) and h.col = least({SIDE} - 1, greatest(0, f.col + b.k)) group by 1, 2),
  hp as (select m.velocity - b.box as hp from m join b using (row, col)), c as (select quantile_cont(hp, .5) as c from hp) select count(*) as n, round(1.4826 * quantile_cont(abs(hp - c), .5), 4) as sigma from hp, c""")
 def _(spark, d):
-    return zones.highpass_box(pixels(spark, d).select("row", "col", "velocity"), "velocity", 100, 100).withColumn("sigma", F.round("sigma", 4))
+    return zones.highpass_box(pixels(spark, d).select("row", "col", "velocity"), "velocity", side(spark, d), side(spark, d)).withColumn("sigma", F.round("sigma", 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geo, masks
-from .inputs import CUST, PIX, SUPP, pix_sql, pixels, stations, table
+from .inputs import CUST, PIX, SIDE, SUPP, pix_sql, pixels, side, stations, table
 from .pixel_queries import rounded
 
 QUERIES, ORACLE = {}, {}
@@ -100,12 +100,12 @@ def _(spark, d):
     return s.select("id", east.alias("e"), north.alias("n")).select("id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
-@query("bilinear_resample", f"""with {pix_sql('pb', "l_returnflag = 'N'")}, g as (select r.r as row, c.c as col, r.r * 0.9::double + 0.25::double as fr, c.c * 0.9::double + 0.5::double as fc from (select unnest(range(0, 100)) as r) r, (select unnest(range(0, 100)) as c) c),
+@query("bilinear_resample", f"""with {pix_sql('pb', "l_returnflag = 'N'")}, g as (select r.r as row, c.c as col, r.r * 0.9::double + 0.25::double as fr, c.c * 0.9::double + 0.5::double as fc from (select unnest(range(0, {SIDE})) as r) r, (select unnest(range(0, {SIDE})) as c) c),
  k as (select row, col, cast(floor(fr) as int) + i as br, cast(floor(fc) as int) + j as bc, (case when i = 1 then fr - floor(fr) else 1 - (fr - floor(fr)) end) * (case when j = 1 then fc - floor(fc) else 1 - (fc - floor(fc)) end) as w from g, (select unnest([0, 1]) as i) i, (select unnest([0, 1]) as j) j)
 select k.row, k.col, round(sum(w * velocity) / sum(w), 9) as value, round(sum(w), 9) as weight from k join pb on pb.row = br and pb.col = bc where w > 0 group by 1, 2""")
 def _(spark, d):
-    b = pixels(spark, d, "l_returnflag = 'N'")
-    grid = spark.range(10000).select(F.expr("cast(id div 100 as int)").alias("row"), F.expr("cast(id % 100 as int)").alias("col"))
+    b, n = pixels(spark, d, "l_returnflag = 'N'"), side(spark, d)
+    grid = spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("row"), F.expr(f"cast(id % {n} as int)").alias("col"))
     grid = grid.withColumn("r", F.col("row") * 0.9 + 0.25).withColumn("c", F.col("col") * 0.9 + 0.5)
     return rounded(geo.resample(b, grid, "velocity"), 9)
 
