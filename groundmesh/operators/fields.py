@@ -202,8 +202,15 @@ def pixel_bootstrap(zone_px: DataFrame, value: str, reps: int = 100, seed: int =
 
 
 def random_reference_spread(px: DataFrame, value: str, draws: int = 200, half: int = 25, seed: int = 5) -> DataFrame:
-    """p97.5 minus p2.5 of the median in windows around cells picked by hash."""
-    picks = px.select(F.col("row").alias("r"), F.col("col").alias("c"), F.xxhash64("row", "col", F.lit(seed)).alias("h")).orderBy("h").limit(draws)
-    near = (F.col("row") >= F.col("r") - half) & (F.col("row") <= F.col("r") + half) & (F.col("col") >= F.col("c") - half) & (F.col("col") <= F.col("c") + half)
-    m = px.join(F.broadcast(picks), near).groupBy("r", "c").agg(F.percentile(value, F.lit(0.5)).alias("m"))
+    """p97.5 minus p2.5 of the median in windows around cells picked by hash.
+
+    A window meets the cells of the blocks it touches, four at most, as blocks are as wide as windows.
+    """
+    wide = 2 * half + 1
+    picks = px.select(F.col("row").alias("r"), F.col("col").alias("c"), F.xxhash64("row", "col", F.lit(seed)).alias("h")).orderBy("h", "row", "col").limit(draws)
+    for n, at in (("_i", "r"), ("_j", "c")):
+        picks = picks.withColumn(n, F.explode(F.array_distinct(F.array(*[F.floor((F.col(at) + k) / wide) for k in (-half, half)]))))
+    near = (F.abs(F.col("row") - F.col("r")) <= half) & (F.abs(F.col("col") - F.col("c")) <= half)
+    blocks = px.withColumn("_i", F.floor(F.col("row") / wide)).withColumn("_j", F.floor(F.col("col") / wide))
+    m = blocks.join(picks, ["_i", "_j"]).where(near).groupBy("r", "c").agg(F.percentile(value, F.lit(0.5)).alias("m"))
     return m.agg(F.count("*").alias("windows"), (F.percentile("m", F.lit(0.975)) - F.percentile("m", F.lit(0.025))).alias("spread"))

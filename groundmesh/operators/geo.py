@@ -80,30 +80,11 @@ def in_polygon(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame
     return hits.groupBy(*key, "poly_id").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1).select(*key, "poly_id")
 
 
-def dist_to_polygon(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """key, poly_id, inside, distance to the outline and signed distance (negative inside), in the points' units."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))))
-    d = F.sqrt(F.pow(F.col("x") - F.col("x1") - u * dx, 2) + F.pow(F.col("y") - F.col("y1") - u * dy, 2))
-    cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < dx * (F.col("y") - F.col("y1")) / F.nullif(dy, F.lit(0.0)) + F.col("x1"))
-    each = points.select(*key, "x", "y").crossJoin(F.broadcast(edges))
-    agg = each.groupBy(*key, "poly_id").agg(F.min(d).alias("outline"), (F.sum(cross.cast("int")) % 2 == 1).alias("inside"))
-    agg = agg.withColumn("inside", F.coalesce("inside", F.lit(False)))
-    return agg.withColumn("distance", F.when(F.col("inside"), 0.0).otherwise(F.col("outline"))).withColumn("signed", F.when(F.col("inside"), -F.col("outline")).otherwise(F.col("outline")))
-
-
 def zone_variant(distances: DataFrame, core: float = 0.0, buffer: float = 0.0) -> DataFrame:
     """Points of a zone's core (at least ``core`` from its outline, inside) or of the zone with a buffer."""
     return distances.where(F.col("signed") <= (-core if core else buffer))
 
 
-def nearest_stations(zones: DataFrame, stations: DataFrame, k: int) -> DataFrame:
-    """The k nearest stations of each zone (id, lat, lon on both sides); ties to the lesser id. Zones are few."""
-    s = stations.select(F.col("id").alias("station"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    d = s.crossJoin(F.broadcast(zones)).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.round("km", 9), "station"))).where(F.col("rank") <= k).select("id", "station", "km", "rank")
-
-
 def colocated(stations: DataFrame, cap_km: float) -> DataFrame:
     """Pairs of stations within the cap, met through cells as wide as the cap (and their neighbours), not all pairs.
 

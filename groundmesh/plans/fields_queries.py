@@ -181,7 +181,7 @@ def _(spark, d):
 
 @query("random_reference_spread")
 def _(spark, d):
-    return rounded(fields.random_reference_spread(pixels(spark, d), "velocity", 50, 10), 8)
+    return rounded(fields.random_reference_spread(pixels(spark, d), "velocity"), 8)
 
 
 @query("lag_correlation")

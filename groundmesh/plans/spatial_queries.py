@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geo, masks
+from ..operators import geo, masks, near
 from .inputs import CUST, PIX, SIDE, SUPP, pix_sql, pixels, side, stations, table
 from .pixel_queries import rounded
 
@@ -37,10 +37,10 @@ def _(spark, d):
     return s.join(c, F.col("cid") == F.col("id") * 3).select("id", F.round(geo.haversine_km(*x), 6).alias("km"), F.round(geo.equirect_km(*x), 6).alias("flat_km"))
 
 
-@query("nearest_stations", f"""with {SUPP}, {CUST}, z as (select * from supp where id % 20 = 0), d as (select z.id, c.id as station, {hav('z', 'c')} as km from z cross join cust c), r as (select *, row_number() over (partition by id order by round(km, 9), station) as rank from d)
+@query("nearest_stations", f"""with {SUPP}, {CUST}, z as (select * from supp), d as (select z.id, c.id as station, {hav('z', 'c')} as km from z cross join cust c), r as (select *, row_number() over (partition by id order by round(km, 9), station) as rank from d)
 select id, station, round(km, 6) as km, rank from r where rank <= 3""")
 def _(spark, d):
-    return geo.nearest_stations(stations(spark, d, "supplier").where("id % 20 = 0"), stations(spark, d, "customer"), 3).withColumn("km", F.round("km", 6))
+    return near.nearest_stations(stations(spark, d, "supplier"), stations(spark, d, "customer"), 3).withColumn("km", F.round("km", 6))
 
 
 @query("colocated_stations", f"with {CUST} select a.id as a, b.id as b, round({hav('a', 'b')}, 6) as km from cust a join cust b on a.id < b.id and {hav('a', 'b')} <= 2.0")
@@ -48,13 +48,10 @@ def _(spark, d):
     return geo.colocated(stations(spark, d, "customer"), 2.0).withColumn("km", F.round("km", 6))
 
 
-@query("distance_bands", f"""with {SUPP}, {CUST}, z as (select * from supp where id % 20 = 0), d as (select z.id, {hav('z', 'c')} as km from z cross join cust c)
+@query("distance_bands", f"""with {SUPP}, {CUST}, z as (select * from supp ), d as (select z.id, {hav('z', 'c')} as km from z cross join cust c)
 select id, sum((km >= 0 and km <= 1)::int) as upto_1, sum((km > 1 and km <= 2)::int) as upto_2, sum((km > 2 and km <= 5)::int) as upto_5, sum((km > 5 and km <= 10)::int) as upto_10, sum((km > 10 and km <= 20)::int) as upto_20 from d group by 1""")
 def _(spark, d):
-    z = stations(spark, d, "supplier").where("id % 20 = 0")
-    s = stations(spark, d, "customer").select(F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    km = s.crossJoin(F.broadcast(z)).select("id", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")).alias("km"))
-    return geo.distance_bands(km, ["id"])
+    return near.station_bands(stations(spark, d, "supplier"), stations(spark, d, "customer"))
 
 
 INSIDE = f"{EDGES}, ins as (select px.row, px.col from px join edges on ((y1 > row + 0.5) <> (y2 > row + 0.5)) and col + 0.5 < (x2 - x1) * (row + 0.5 - y1) / (y2 - y1) + x1 group by 1, 2 having count(*) % 2 = 1)"
@@ -75,23 +72,38 @@ DIST = f"""{INSIDE}, dd as (select px.row, px.col, min(sqrt(pow(col + 0.5 - x1 -
 
 @query("polygon_distance", f"with {PIX}, {DIST} select dd.row, dd.col, i.row is not null as inside, round(case when i.row is not null then 0.0 else outline end, 6) as distance from dd left join ins i on i.row = dd.row and i.col = dd.col")
 def _(spark, d):
-    out = geo.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, {"aoi": [AOI]}), ["row", "col"])
+    out = near.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, {"aoi": [AOI]}), ["row", "col"])
     return out.select("row", "col", "inside", F.round("distance", 6).alias("distance"))
 
 
 @query("zone_variants", f"with {PIX}, {DIST}, s as (select case when i.row is not null then -outline else outline end as s from dd left join ins i on i.row = dd.row and i.col = dd.col) select sum((s <= -3)::int) as core, sum((s <= 4)::int) as buffered from s")
 def _(spark, d):
-    dist = geo.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, {"aoi": [AOI]}), ["row", "col"])
+    dist = near.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, {"aoi": [AOI]}), ["row", "col"])
     core = geo.zone_variant(dist, core=3.0).agg(F.count("*").alias("core"))
     return core.crossJoin(geo.zone_variant(dist, buffer=4.0).agg(F.count("*").alias("buffered")))
 
 
 @query("correspondence", f"with {PIX}, {DIST} select case when (dd.row + dd.col) % 3 = 0 then 'none' when i.row is not null or outline <= 2 then 'direct' when outline <= 5 then 'near' else 'none' end as class, count(*) as n from dd left join ins i on i.row = dd.row and i.col = dd.col group by 1")
 def _(spark, d):
-    dist = geo.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, {"aoi": [AOI]}), ["row", "col"])
+    dist = near.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, {"aoi": [AOI]}), ["row", "col"])
     return dist.groupBy(masks.correspondence(F.col("distance"), F.col("inside"), (F.col("row") + F.col("col")) % 3 != 0).alias("class")).agg(F.count("*").alias("n"))
 
 
+#: Three squares beside the area, in cells.
+SQUARES = {"a": [[(10, 10), (30, 10), (30, 30), (10, 30)]], "b": [[(60, 55), (80, 55), (80, 90), (60, 90)]], "c": [[(25, 25), (40, 25), (40, 35), (25, 35)]]}
+SQUARE_SQL = "sq as (select * from (values " + ", ".join(f"('{k}', {x1}.0, {y1}.0, {x2}.0, {y2}.0)" for k, (r,) in SQUARES.items() for (x1, y1), (x2, y2) in zip(r, [*r[1:], r[0]])) + ") t(poly_id, x1, y1, x2, y2))"
+
+
+@query("best_match", f"""with {PIX}, {SQUARE_SQL}, e as (select row, col, poly_id, x1, y1, x2, y2, col + 0.5::double as x, row + 0.5::double as y from px cross join sq),
+ g as (select row, col, poly_id, min(sqrt(pow(x - x1 - u * (x2 - x1), 2) + pow(y - y1 - u * (y2 - y1), 2))) as outline, sum(case when (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1 as inside from
+  (select *, greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) as u from e) group by 1, 2, 3),
+ r as (select *, case when inside then 0.0 else outline end as distance, row_number() over (partition by row, col order by case when inside then 0.0 else outline end, poly_id) as k from g)
+select row, col, poly_id, round(distance, 6) as distance, inside from r where k = 1""")
+def _(spark, d):
+    dist = near.dist_to_polygon(_centres(spark, d), geo.polygon_edges(spark, SQUARES), ["row", "col"])
+    return near.best_match(dist, ["row", "col"]).withColumn("distance", F.round("distance", 6))
+
+
 @query("utm_round_trip", f"with {SUPP} select id, round(lat, 6) as lat, round(lon, 6) as lon from supp")
 def _(spark, d):
     s = stations(spark, d, "supplier")

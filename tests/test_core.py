@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundmesh import sources, streaming
-from groundmesh.operators import gates, geo, graph, masks, pairs, series, stats, zones
+from groundmesh.operators import gates, geo, graph, masks, near, pairs, series, stats, zones
 
 
 @pytest.fixture(scope="module")
@@ -115,7 +115,7 @@ def test_geometry(spark):
     square = geo.polygon_edges(spark, {"p": [[(0, 0), (10, 0), (10, 10), (0, 10)], [(4, 4), (6, 4), (6, 6), (4, 6)]]})
     pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 11.0, 5.0)], "id int, x double, y double")
     assert [r["id"] for r in geo.in_polygon(pts, square, ["id"]).collect()] == [1]
-    d = {r["id"]: r["distance"] for r in geo.dist_to_polygon(pts, square, ["id"]).collect()}
+    d = {r["id"]: r["distance"] for r in near.dist_to_polygon(pts, square, ["id"]).collect()}
     assert d == {1: 0.0, 2: 1.0, 3: 1.0}
 
 
