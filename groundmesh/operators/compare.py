@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fields, geo, series, stats
+from .lineage import saved
+from .quantiles import exact_quantiles
 
 
 def _median(c: Column) -> Column:
@@ -70,9 +72,9 @@ def reference_gates(blocks: DataFrame, support: float = 0.95, edge_m: float = 20
     blocks: row, col, support, edge_m, std, velocity, coherence. relaxed: no block passes the velocity gate with the others.
     score ranks the pool: coherence, or, if relaxed, the least velocity; it is null outside the pool.
     """
-    limit = blocks.agg(F.percentile("std", F.lit(0.25)).alias("std_limit"))
+    (limit,) = exact_quantiles(blocks, "std", [0.25])
     hard = (F.col("support") >= support) & (F.col("edge_m") >= edge_m) & (F.col("std") <= F.col("std_limit"))
-    gated = blocks.crossJoin(limit).withColumn("hard_ok", hard).withColumn("velocity_ok", F.abs("velocity") <= most_v)
+    gated = blocks.withColumn("std_limit", F.lit(limit).cast("double")).withColumn("hard_ok", hard).withColumn("velocity_ok", F.abs("velocity") <= most_v)
     free = gated.agg(F.coalesce(F.bool_or(F.col("hard_ok") & F.col("velocity_ok")), F.lit(False)).alias("free"))
     gated = gated.crossJoin(free).withColumn("relaxed", ~F.col("free")).drop("free")
     score = F.when(F.col("hard_ok") & F.col("relaxed"), -F.abs("velocity")).when(F.col("hard_ok") & F.col("velocity_ok"), F.col("coherence"))
@@ -165,3 +167,16 @@ def aoi_window(corners: DataFrame, x_first: float, y_first: float, step: float,
     return b.select(
         low((y_first - c("y1")) / step).alias("row0"), high((y_first - c("y0")) / step, rows).alias("row1"), low((c("x0") - x_first) / step).alias("col0"), high((c("x1") - x_first) / step, cols).alias("col1"),
     )
+
+
+def common_control(both: DataFrame, most: float = 3.0, share: float = 0.75) -> DataFrame:
+    """n, ref_a, ref_b: the cells stable in two stacks and the median of each stack there, which re-references it.
+
+    both: ca, cb (coherence) and d_a, d_b (rate) of cells that both stacks have. Stable: of the upper part of either
+    stack's coherence beyond ``share``, and at most ``most`` in size in both.
+    """
+    both = saved(both.select("ca", "cb", "d_a", "d_b"))
+    a, b = (exact_quantiles(both, c, [share])[0] for c in ("ca", "cb"))
+    c = saved(both.where((F.col("ca") >= F.lit(a)) & (F.col("cb") >= F.lit(b)) & (F.abs("d_a") <= most) & (F.abs("d_b") <= most)))
+    medians = [exact_quantiles(c, x, [0.5])[0] for x in ("d_a", "d_b")]
+    return both.sparkSession.createDataFrame([(c.count(), *medians)], "n long, ref_a double, ref_b double")

@@ -10,7 +10,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import saved
 from .pairs import pair_model
+from .quantiles import exact_quantiles
 
 WAVELENGTH_M = 0.055465764662349676
 
@@ -28,7 +30,8 @@ def residual_table(residuals: DataFrame) -> DataFrame:
 
 def pixel_scatter(residuals: DataFrame) -> DataFrame:
     """Median over pixels of the residuals' deviation over pairs."""
-    return residuals.groupBy("row", "col").agg(F.stddev_pop("residual").alias("s")).agg(F.count("s").alias("pixels"), F.percentile("s", F.lit(0.5)).alias("scatter"))
+    s = saved(residuals.groupBy("row", "col").agg(F.stddev_pop("residual").alias("s")).where("s is not null"))
+    return residuals.sparkSession.createDataFrame([(s.count(), exact_quantiles(s, "s", [0.5])[0])], "pixels long, scatter double")
 
 
 def control_series(epoch_px: DataFrame, stable: DataFrame, value: str) -> DataFrame:
@@ -98,24 +101,6 @@ def coverage(cells: DataFrame, inside: DataFrame, key: list[str]) -> DataFrame:
     return cells.join(hit, key, "left").agg(F.count("*").alias("cells"), F.avg(F.coalesce("_c", F.lit(0.0))).alias("covered"))
 
 
-def smooth_gauss(px: DataFrame, value: str, sigma: float = 3.0, truncate: float = 4.0) -> DataFrame:
-    """Gaussian mean over the cells there are, one axis after the other, as equi-joins on shifted cells."""
-    reach = int(truncate * sigma + 0.5)
-    weights = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-k * k / (2 * sigma * sigma))).alias("w")) for k in range(-reach, reach + 1)])
-
-    def axis(df, c, a, b):
-        spread = df.select(a, b, c, F.explode(weights).alias("g")).select((F.col(a) + F.col("g.k")).alias(a), b, F.col(c).alias("v"), F.col("g.w").alias("w"))
-        return spread.join(df.select(a, b), [a, b], "left_semi").groupBy(a, b).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(c))
-
-    return axis(axis(px.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("smooth")), "smooth", "row", "col"), "smooth", "col", "row")
-
-
-def highpass_gauss(px: DataFrame, value: str, sigma: float = 3.0) -> DataFrame:
-    """Energy (RMS) of a layer less its Gaussian mean."""
-    d = px.select("row", "col", value).join(smooth_gauss(px, value, sigma), ["row", "col"]).withColumn("d", F.col(value) - F.col("smooth"))
-    return d.agg(F.count("d").alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("energy"))
-
-
 def invert_network(pair_px: DataFrame, pairs: list[tuple[int, int]], dates: list[float], tile: int = 64) -> DataFrame:
     """Displacement at each date, rate and temporal coherence of every pixel, from its pair phases.
 
@@ -160,7 +145,9 @@ def branch_comparison(a: DataFrame, b: DataFrame, key: list[str], value: str, be
     """Difference of two branches cell by cell: median, RMS, largest, and how many improved or worsened from a to b."""
     j = a.select(*key, F.col(value).alias("_a")).join(b.select(*key, F.col(value).alias("_b")), key).withColumn("_d", F.col("_b") - F.col("_a"))
     gain = -F.col("_d") if better == "low" else F.col("_d")
-    return j.agg(F.count("*").alias("n"), F.percentile("_d", F.lit(0.5)).alias("median"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rms"), F.max(F.abs("_d")).alias("largest"), F.sum((gain > 0).cast("int")).alias("improved"), F.sum((gain < 0).cast("int")).alias("worsened"))
+    j = saved(j)
+    (median,) = exact_quantiles(j, "_d", [0.5])
+    return j.agg(F.count("*").alias("n"), F.lit(median).cast("double").alias("median"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rms"), F.max(F.abs("_d")).alias("largest"), F.sum((gain > 0).cast("int")).alias("improved"), F.sum((gain < 0).cast("int")).alias("worsened"))
 
 
 def region_comparison(px: DataFrame, region: Column, mask: Column, value: str) -> DataFrame:

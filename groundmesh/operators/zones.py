@@ -204,23 +204,3 @@ def compare_copies(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 def edge_artifact(px: DataFrame, rows: int, cols: int, band: int) -> DataFrame:
     near = F.least(F.col("row"), rows - 1 - F.col("row"), F.col("col"), cols - 1 - F.col("col")) < band
     return px.groupBy(F.when(near, "edge").otherwise("interior").alias("band")).agg(F.count("*").alias("n"), F.avg((F.col("velocity_std") > 0).cast("double")).alias("valid"), F.percentile("velocity", F.lit(0.5)).alias("median"))
-
-
-def highpass_box(px: DataFrame, col: str, rows: int, cols: int) -> DataFrame:
-    """Robust deviation of a layer less its 3 x 3 mean; gaps take the median, borders repeat the nearest cell.
-
-    The mean is separable: over neighbours in the row, then over neighbouring rows.
-    """
-    mid = px.agg(F.percentile(col, F.lit(0.5)).alias("_m"))
-    spark = px.sparkSession
-    grid = spark.range(rows).select(F.col("id").cast("int").alias("row")).crossJoin(spark.range(cols).select(F.col("id").cast("int").alias("col")))
-    full = grid.join(px.select("row", "col", F.col(col).alias("_v")), ["row", "col"], "left").crossJoin(F.broadcast(mid)).withColumn("_f", F.coalesce("_v", "_m"))
-
-    def mean3(df, by, order, c, name):
-        w = Window.partitionBy(by).orderBy(order)
-        return df.withColumn(name, (F.coalesce(F.lag(c).over(w), F.col(c)) + F.col(c) + F.coalesce(F.lead(c).over(w), F.col(c))) / 3)
-
-    box = mean3(mean3(full, "row", "col", "_f", "_h"), "col", "row", "_h", "_b")
-    hp = box.where("_v is not null").withColumn("_d", F.col("_v") - F.col("_b"))
-    c = hp.agg(F.percentile("_d", F.lit(0.5)).alias("_c"))
-    return hp.crossJoin(F.broadcast(c)).agg(F.count("*").alias("n"), (1.4826 * F.percentile(F.abs(F.col("_d") - F.col("_c")), F.lit(0.5))).alias("sigma"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fields, geo, masks, pairs, series
-from .inputs import EPOCH, NET, PAIRPX, PIX, SUPP, epochs, network, pair_pixels, pix_sql, pixels, stations, table, telemetry
+from ..operators import fields, geo, masks, pairs, series, tiled
+from .inputs import EPOCH, NET, PAIRPX, PIX, SIDE, SUPP, epochs, network, pair_pixels, pix_sql, pixels, side, stations, table, telemetry
 from .pixel_queries import rounded
 from .spatial_queries import AOI, INSIDE
 
@@ -119,10 +119,14 @@ def _(spark, d):
     return rounded(fields.coverage(p.select("row", "col"), inside, ["row", "col"]), 8)
 
 
-@query("gauss_highpass", f"""with {PIX}, w as (select k, exp(-k * k / 18.0::double) as w from (select unnest(range(-12, 13)) as k)), a as (select p.row, p.col, sum(w * o.velocity) / sum(w) as s from px p cross join w join px o on o.row = p.row + k and o.col = p.col group by 1, 2),
- b as (select p.row, p.col, sum(w * o.s) / sum(w) as s from a p cross join w join a o on o.col = p.col + k and o.row = p.row group by 1, 2) select count(*) as n, round(sqrt(avg(pow(velocity - s, 2))), 7) as energy from px join b using (row, col)""")
+@query("gauss_highpass", f"""with {PIX}, n as (select {SIDE} as n), md as (select quantile_cont(velocity, .5) as md from px), w as (select k, exp(-k * k / 18.0::double) as w from (select unnest(range(-12, 13)) as k)),
+ g as (select r.r as row, c.c as col from (select unnest(range(0, {SIDE})) as r) r, (select unnest(range(0, {SIDE})) as c) c), f as (select g.row, g.col, coalesce(velocity, md) as v from g left join px using (row, col), md),
+ a as (select f.row, f.col, sum(w * o.v) / sum(w) as s from f cross join n cross join w join f o on o.col = f.col and o.row = case when f.row + k < 0 then -1 - f.row - k when f.row + k >= n then 2 * n - 1 - f.row - k else f.row + k end group by 1, 2),
+ b as (select f.row, f.col, sum(w * o.s) / sum(w) as s from a f cross join n cross join w join a o on o.row = f.row and o.col = case when f.col + k < 0 then -1 - f.col - k when f.col + k >= n then 2 * n - 1 - f.col - k else f.col + k end group by 1, 2),
+ d as (select velocity - s as d from px join b using (row, col)), m as (select quantile_cont(d, .5) as m from d) select count(*) as n, round(1.4826 * quantile_cont(abs(d - m), .5), 6) as sigma from d, m""")
 def _(spark, d):
-    return rounded(fields.highpass_gauss(pixels(spark, d), "velocity"), 7)
+    n = side(spark, d)
+    return rounded(tiled.highpass_gauss(pixels(spark, d), "velocity", n, n, tile=48), 6)
 
 
 @query("network_inversion")

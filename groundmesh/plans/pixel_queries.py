@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, pairs, stats, zones
+from ..operators import masks, pairs, stats, tiled, zones
 from .inputs import PAIRPX, PIX, SIDE, pair_pixels, pix_sql, pixels, side
 
 QUERIES, ORACLE = {}, {}
@@ -274,4 +274,4 @@ def _(spark, d):
  b as (select f.row, f.col, any_value(f.v) as v, avg(h.v) as box from f cross join k a cross join k b join f h on h.row = least({SIDE} - 1, greatest(0, f.row + a.k)) and h.col = least({SIDE} - 1, greatest(0, f.col + b.k)) group by 1, 2),
  hp as (select m.velocity - b.box as hp from m join b using (row, col)), c as (select quantile_cont(hp, .5) as c from hp) select count(*) as n, round(1.4826 * quantile_cont(abs(hp - c), .5), 4) as sigma from hp, c""")
 def _(spark, d):
-    return zones.highpass_box(pixels(spark, d).select("row", "col", "velocity"), "velocity", side(spark, d), side(spark, d)).withColumn("sigma", F.round("sigma", 4))
+    return tiled.highpass_box(pixels(spark, d).select("row", "col", "velocity"), "velocity", side(spark, d), side(spark, d), tile=48).withColumn("sigma", F.round("sigma", 4))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geo, masks, near
+from ..operators import compare, geo, masks, near
 from .inputs import CUST, PIX, SIDE, SUPP, pix_sql, pixels, side, stations, table
 from .pixel_queries import rounded
 
@@ -166,6 +166,4 @@ def _(spark, d):
 select count(*) as n, round(quantile_cont(d_a, .5), 6) as ref_a, round(quantile_cont(d_b, .5), 6) as ref_b from t, e where ca >= ea and cb >= eb and abs(d_a) <= 10 and abs(d_b) <= 10""")
 def _(spark, d):
     t = _two(spark, d).join(pixels(spark, d, "l_returnflag = 'A'").select("row", "col", F.col("tcoh").alias("ca")), ["row", "col"]).join(pixels(spark, d, "l_returnflag = 'N'").select("row", "col", F.col("tcoh").alias("cb")), ["row", "col"])
-    e = t.agg(F.percentile("ca", F.lit(0.75)).alias("ea"), F.percentile("cb", F.lit(0.75)).alias("eb"))
-    c = t.crossJoin(F.broadcast(e)).where("ca >= ea and cb >= eb and abs(d_a) <= 10 and abs(d_b) <= 10")
-    return rounded(c.agg(F.count("*").alias("n"), F.percentile("d_a", F.lit(0.5)).alias("ref_a"), F.percentile("d_b", F.lit(0.5)).alias("ref_b")), 6)
+    return rounded(compare.common_control(t, 10.0), 6)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundmesh import sources, streaming
-from groundmesh.operators import gates, geo, graph, masks, near, pairs, series, stats, zones
+from groundmesh.operators import gates, geo, graph, masks, near, pairs, series, stats, tiled, zones
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +97,7 @@ def test_series_fits_recover_their_parts(spark):
 
 def test_constant_field_has_no_highpass_noise(spark):
     px = spark.createDataFrame([(r, c, 4.0) for r in range(10) for c in range(10) if (r + c) % 7], "row int, col int, v double")
-    assert zones.highpass_box(px, "v", 10, 10).first()["sigma"] == pytest.approx(0, abs=1e-12)
+    assert tiled.highpass_box(px, "v", 10, 10).first()["sigma"] == pytest.approx(0, abs=1e-12)
 
 
 def test_contrasts_do_not_depend_on_the_reference(spark):
