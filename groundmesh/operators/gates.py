@@ -46,17 +46,65 @@ def hour_identity_gate(expected: DataFrame, got: DataFrame) -> DataFrame:
     return diff.groupBy("hour").agg(n("both").alias("both"), n("missing").alias("missing"), n("unexpected").alias("unexpected"), F.every(F.col("state") == "both").alias("passed"))
 
 
-def table_fingerprint(df: DataFrame, buckets: int = 256) -> DataFrame:
-    """rows and a SHA-256 over the sorted row hashes: sorted inside hash buckets first, then over the buckets.
+def _row_sums(df: DataFrame) -> tuple[Column, list[Column]]:
+    """A row's SHA-256 over its columns by name, and sums of its four parts, whatever the order of rows."""
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]), 256)
+    part = lambda k: F.conv(F.substring("_h", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")
+    return row, [F.pmod(F.sum(part(k)), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)").alias(f"s{k}") for k in range(4)]
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """rows and a SHA-256 that any order of the same rows has, repeats counted: over four sums of the rows' own SHA-256.
 
-    A task sorts one bucket; the last step sees ``buckets`` rows whatever the table holds.
+    Sums are made in tasks before anything moves, so no rows are gathered or sorted.
     """
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]), 256)
-    hashed = df.select(row.alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    # Equal rows fold to a count before they meet.
-    counted = hashed.groupBy("b", "h").agg(F.count("*").alias("n"))
-    parts = counted.groupBy("b").agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", "n"))), ""), 256).alias("part"))
-    return parts.agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), ""), 256).alias("fingerprint"))
+    row, sums = _row_sums(df)
+    total = df.select(row.alias("_h")).agg(F.count("*").alias("rows"), *sums)
+    return total.select("rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(f"s{k}", F.lit(0)) for k in range(4)]), 256).alias("fingerprint"))
+
+
+def _leaf(key: list[str], depth: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*key), 64 - 4 * depth) if depth else F.lit(0).cast("long")
+
+
+def fingerprint_tree(df: DataFrame, key: list[str], depth: int = 4) -> DataFrame:
+    """level, node, rows, fingerprint: a tree of 16 branches over the range of the keys' hashes.
+
+    Level ``depth`` has 16^depth leaves, level 0 the root, whose fingerprint is table_fingerprint's. A node stands for the rows
+    whose keys begin with it; its fingerprint is of their sums, so it is the sum of its branches. Nodes without rows are
+    left out, but for the root.
+    """
+    row, sums = _row_sums(df)
+    leaves = df.select(row.alias("_h"), _leaf(key, depth).alias("node")).groupBy("node").agg(F.count("*").alias("rows"), *sums).withColumn("level", F.lit(depth))
+    named = leaves.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("at", F.expr(f"shiftrightunsigned(node, 4 * ({depth} - l))"))
+    up = named.groupBy(F.col("l").alias("level"), F.col("at").alias("node")).agg(F.sum("rows").alias("rows"), *[F.pmod(F.sum(f"s{k}"), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)").alias(f"s{k}") for k in range(4)])
+    return up.select("level", "node", "rows", F.sha2(F.concat_ws(":", "rows", *[f"s{k}" for k in range(4)]), 256).alias("fingerprint"))
+
+
+def differing_ranges(old: DataFrame, new: DataFrame, depth: int = 4) -> DataFrame:
+    """node of each leaf in which two trees differ, found from the root down: only branches of nodes that differ are compared."""
+    a, b = (x.select("level", "node", F.struct("rows", "fingerprint").alias(c)) for x, c in ((old, "_a"), (new, "_b")))
+    open_ = None
+    for level in range(depth + 1):
+        x, y = a.where(F.col("level") == level).drop("level"), b.where(F.col("level") == level).drop("level")
+        if open_ is not None:
+            under = open_.withColumnRenamed("node", "_up")
+            x, y = (z.withColumn("_up", F.expr("shiftrightunsigned(node, 4)")).join(under, "_up", "left_semi").drop("_up") for z in (x, y))
+        open_ = x.join(y, "node", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("node")
+    return open_
+
+
+def drift_by_ranges(frozen: DataFrame, current: DataFrame, key: list[str], depth: int = 4, old: DataFrame | None = None) -> DataFrame:
+    """key, state of the rows that are missing, new or changed, from the ranges of keys whose fingerprints differ.
+
+    ``old`` is the frozen table's tree, if it was kept; rows of equal ranges meet in no join. Keys are not null and stand once.
+    """
+    leaf = _leaf(key, depth).alias("_leaf")
+    ranges = differing_ranges(old if old is not None else fingerprint_tree(frozen, key, depth), fingerprint_tree(current, key, depth), depth).withColumnRenamed("node", "_leaf")
+    side = lambda df, c: df.select(*key, _row_sums(df)[0].alias(c), leaf).join(ranges, "_leaf", "left_semi").drop("_leaf")
+    both = side(frozen, "_a").join(side(current, "_b"), key, "full_outer")
+    state = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "new").when(F.col("_a") != F.col("_b"), "changed")
+    return both.select(*key, state.alias("state")).where("state is not null")
 
 
 def drift(frozen: DataFrame, current: DataFrame, critical: Column) -> DataFrame:

@@ -169,3 +169,30 @@ def north_sweep(z: DataFrame, values: list[float]) -> DataFrame:
     swept = z.withColumn("north", F.explode(F.array(*map(F.lit, values))))
     swept = swept.withColumn("d_a", F.col("d_a") - F.col("north") * F.col("north_a")).withColumn("d_b", F.col("d_b") - F.col("north") * F.col("north_b"))
     return decompose(swept)
+
+
+def smallest_covering_run(footprints: DataFrame, area: DataFrame, most: int = 15) -> DataFrame:
+    """The gap-free run of at most ``most`` footprints of a path that covers all of the area's cells: path, first, last, k, ratio.
+
+    footprints: path, id, cell (also cells outside the area); area: cell. The fewest footprints win, then the least union
+    (ratio: cells of the union to those of the area), then path and first. For each cell of the area, the next footprint that
+    covers it is known from each start; the farthest of these ends the shortest run from there, which must reach every cell
+    and stay in the gap-free island. No row if no run covers the area; an empty area has none.
+    """
+    cells = area.select("cell").where("cell is not null").distinct()
+    f = footprints.select("path", "id", "cell").where("id is not null").distinct()
+    ids = f.select("path", "id").distinct()
+    by = Window.partitionBy("path").orderBy("id")
+    ids = ids.withColumn("island", F.col("id") - F.row_number().over(by))
+    ends = ids.groupBy("path", "island").agg(F.min("id").alias("lo"))
+    hit = f.join(cells, "cell").join(ids, ["path", "id"])
+    before = F.lag("id").over(Window.partitionBy("path", "island", "cell").orderBy("id"))
+    hit = hit.join(ends, ["path", "island"]).withColumn("from", F.greatest(F.coalesce(before + 1, F.col("lo")), F.col("id") - most + 1))
+    reach = hit.select("path", "cell", F.col("id").alias("last"), F.explode(F.sequence("from", "id")).alias("first"))
+    runs = reach.groupBy("path", "first").agg(F.max("last").alias("last"), F.count("*").alias("n"))
+    total = cells.agg(F.count("*").alias("cells"))
+    runs = runs.join(total, F.col("n") == F.col("cells")).withColumn("k", (F.col("last") - F.col("first") + 1).cast("int")).where(F.col("k") <= most)
+    tied = runs.join(runs.agg(F.min("k").alias("k")), "k")
+    steps = tied.select("path", "first", "last", "k", "cells", F.explode(F.sequence("first", "last")).alias("id"))
+    union = steps.join(f, ["path", "id"]).groupBy("path", "first", "last", "k", "cells").agg(F.count_distinct("cell").alias("u"))
+    return union.select("path", "first", "last", "k", (F.col("u") / F.col("cells")).alias("ratio")).orderBy("ratio", "path", "first").limit(1)

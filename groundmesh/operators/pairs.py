@@ -146,16 +146,31 @@ def gap_days(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.withColumn("previous_date", F.lag("date").over(w)).withColumn("gap_days", F.datediff("date", "previous_date"))
 
 
-def pilot_picks(pairs: DataFrame) -> DataFrame:
-    """The least 12-day, the middle 24-day and the 90th-percentile 36-day pair by baseline, without reuse.
+def pilot_picks(pairs: DataFrame, late: str = "2025-01-01", short: int = 12, middle: int = 24, long: int = 36) -> DataFrame:
+    """Seven picks of pairs (ref, sec, days, max_perp) for a pilot, none used twice: pick, rationale, the pair, water_mask.
 
-    pairs: ref, sec, days, max_perp. Ties by dates. Returns rationale and the pair.
+    1 the least baseline of ``short`` days, 2 the middle one (place n div 2) of ``middle`` days, 3 the one at nine tenths of
+    ``long`` days; 4 the least of the monsoon (both ends June to September), 5 of the dry season (November to March), 6 of
+    those that end from ``late`` on, each the first that no pick before has; 7 the first pick again without the water mask.
+    Ties by dates. A rule without pairs has no row. Of each rule only as many rows as could be taken before are looked at.
     """
-    order = Window.partitionBy("days").orderBy("max_perp", "ref", "sec")
-    ranked = pairs.where("days in (12, 24, 36)").withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("days")))
-    want = F.when(F.col("days") == 12, 0).when(F.col("days") == 24, F.expr("n div 2")).otherwise(F.expr("cast(0.9 * (n - 1) as int)"))
-    label = F.when(F.col("days") == 12, "shortest").when(F.col("days") == 24, "median").otherwise("p90")
-    return ranked.where(F.col("i") == want).select(label.alias("rationale"), "ref", "sec", "days", "max_perp")
+    at = [F.asc_nulls_last("max_perp"), "ref", "sec"]
+    wet = F.month("ref").between(6, 9) & F.month("sec").between(6, 9)
+    dry = F.month("ref").isin(11, 12, 1, 2, 3) & F.month("sec").isin(11, 12, 1, 2, 3)
+    rule = [(1, "lowest baseline, short", F.col("days") == short), (2, "median baseline, middle", F.col("days") == middle), (3, "p90 baseline, long", F.col("days") == long), (4, "monsoon", wet), (5, "dry season", dry), (6, "late period", F.col("sec") >= F.lit(late).cast("date"))]
+    every = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("pick"), F.lit(n).alias("rationale"))) for k, n, c in rule]), lambda x: x.isNotNull())
+    each = pairs.select("ref", "sec", "days", "max_perp").withColumn("r", F.explode(every)).select("r.*", "ref", "sec", "days", "max_perp")
+    by = Window.partitionBy("pick")
+    placed = each.withColumn("i", F.row_number().over(by.orderBy(*at)) - 1).withColumn("n", F.count("*").over(by))
+    want = F.when(F.col("pick") == 2, F.expr("n div 2")).when(F.col("pick") == 3, F.expr("(9 * (n - 1)) div 10")).otherwise(F.lit(0))
+    chosen = placed.where((F.col("pick") <= 3) & (F.col("i") == want))
+    for k in (4, 5, 6):
+        free = placed.where((F.col("pick") == k) & (F.col("i") < k)).join(chosen.select("ref", "sec"), ["ref", "sec"], "left_anti")
+        first = free.withColumn("_f", F.min("i").over(by)).where("i = _f").select(*chosen.columns)
+        chosen = chosen.unionByName(first)
+    out = chosen.select("pick", "rationale", "ref", "sec", "days", "max_perp", F.lit(True).alias("water_mask"))
+    first = out.withColumn("_f", F.min("pick").over(Window.partitionBy(F.lit(1)))).where("pick = _f")  # six rows at most
+    return out.unionByName(first.select(F.lit(7).alias("pick"), F.lit("control without water mask").alias("rationale"), "ref", "sec", "days", "max_perp", F.lit(False).alias("water_mask")))
 
 
 def season_of_pair(pairs: DataFrame) -> DataFrame:

@@ -121,16 +121,138 @@ def group_structure(df: DataFrame, series: str, group: str, t: str, y: str) -> D
     return agg.withColumn("verdict", verdict)
 
 
+def _inversions(rank: np.ndarray) -> int:
+    """Pairs of places of which the later has the lower rank; ranks are 0 .. n-1."""
+    n, total, wide = len(rank), 0, 1
+    while wide < n:
+        block = np.arange(n) // (2 * wide)
+        order = np.argsort(block * n + rank, kind="stable")
+        left = (order // wide) % 2 == 0
+        before = np.cumsum(left) - left
+        starts = np.searchsorted(block, np.arange(block[-1] + 1))
+        in_block = block[order]
+        lefts = np.bincount(block, weights=(np.arange(n) // wide % 2 == 0), minlength=block[-1] + 1).astype(np.int64)
+        total += int((lefts[in_block] - (before - before[starts][in_block]))[~left].sum())
+        wide *= 2
+    return total
+
+
+def _swapped(first: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members whose order differs between two orders, given as places of members."""
+    n, wide, a, b = len(first), 1, [], []
+    rank = np.empty(n, np.int64)
+    rank[then] = np.arange(n)
+    at = first.copy()
+    while wide < n:
+        block = np.arange(n) // (2 * wide)
+        left = np.arange(n) // wide % 2 == 0
+        order = np.argsort(block * n + rank[at], kind="stable")
+        here, is_left, in_block = at[order], left[order], block[order]
+        upto = np.cumsum(is_left)
+        lefts = np.flatnonzero(is_left)
+        ends = np.searchsorted(in_block[lefts], in_block, side="right")
+        count = np.where(is_left, 0, ends - upto)
+        later = np.repeat(np.arange(n), count)
+        offset = np.arange(len(later)) - np.repeat(np.cumsum(count) - count, count)
+        a.append(here[lefts[upto[later] + offset]])
+        b.append(here[later])
+        at = here
+        wide *= 2
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def median_slope(t: np.ndarray, y: np.ndarray, few: int = 1_000_000) -> float | None:
+    """The median of (y2 - y1) / (t2 - t1) over all pairs with t1 < t2; None without any.
+
+    Up to ``few`` slopes are taken one by one. Beyond, slopes under s are as many as the pairs whose order by y - s t is
+    against that of t, counted by merging; s is moved until few slopes lie between two such bounds about the median, and
+    only these are listed. If more than few agree to 14 digits, their common value is given. The work grows as n log^2 n.
+    """
+    order = np.lexsort((y, t))
+    t, y = t[order], y[order]
+    n = len(t)
+    times = np.unique(t, return_counts=True)[1] if n else np.zeros(0, np.int64)
+    pairs = n * (n - 1) // 2 - int((times * (times - 1) // 2).sum())
+    if pairs == 0:
+        return None
+    low, high = (pairs - 1) // 2, pairs // 2
+
+    def slopes(i, j):
+        i, j = np.where(t[i] <= t[j], i, j), np.where(t[i] <= t[j], j, i)
+        return (y[j] - y[i]) / (t[j] - t[i])
+
+    if n * (n - 1) // 2 <= few:
+        i, j = np.triu_indices(n, 1)
+        apart = t[i] < t[j]
+        return float(np.median(slopes(i[apart], j[apart])))
+
+    def by_residual(s):
+        return np.lexsort((np.arange(n), t, y - s * t))
+
+    def under(s):
+        rank = np.empty(n, np.int64)
+        rank[by_residual(s)] = np.arange(n)
+        return _inversions(rank)
+
+    r = np.random.default_rng(0)
+    i, j = r.integers(0, n, 4000), r.integers(0, n, 4000)
+    some = np.sort(slopes(i[t[i] != t[j]], j[t[i] != t[j]]))
+    lo, hi = (some[len(some) * 45 // 100], some[min(len(some) - 1, len(some) * 55 // 100)]) if len(some) else (-1.0, 1.0)
+    step = max(hi - lo, abs(lo) * 1e-9, abs(hi) * 1e-9, 1e-12)
+    below, above = under(lo), under(hi)
+    while below > low:
+        lo, step = lo - step, 2 * step
+        below = under(lo)
+    while above <= high:
+        hi, step = hi + step, 2 * step
+        above = under(hi)
+
+    def select(rank, lo, hi, below, above):
+        """(slopes between two bounds in order, slopes under them): the slope of this rank is among them."""
+        turn = 0
+        while above - below > few and hi - lo > 1e-14 * max(abs(lo), abs(hi)):
+            # Where the rank would lie if slopes were even between the bounds, a little to either side; halves in turn.
+            share = (rank + 0.5 - below) / (above - below) + (0.02, -0.02, 0.0)[turn % 3]
+            s = (lo + hi) / 2 if turn % 3 == 2 else lo + (hi - lo) * min(0.98, max(0.02, share))
+            turn += 1
+            if not lo < s < hi:
+                break
+            c = under(s)
+            if c <= rank:
+                lo, below = s, c
+            else:
+                hi, above = s, c
+        if above - below > 8 * few:
+            return None, below, (lo + hi) / 2
+        return np.sort(slopes(*_swapped(by_residual(lo), by_residual(hi)))), below, None
+
+    def value(found, below, common, rank):
+        return common if common is not None else found[rank - below]
+
+    first = select(low, lo, hi, below, above)
+    one = value(*first, low)
+    if high == low:
+        return float(one)
+    near = first[0] is not None and high - first[1] < len(first[0])
+    other = value(*first, high) if near else value(*select(high, lo, hi, below, above), high)
+    return float((one + other) / 2)
+
+
 def theil_sen(df: DataFrame, by: list[str], t: str = "t", y: str = "y") -> DataFrame:
-    """Median of the slopes of all row pairs, and median(y) - slope * median(t).
+    """n, slope, intercept: the median of the slopes of all row pairs, and median(y) - slope * median(t).
 
-    Quadratic in the rows of a series, which must be short (epochs of one zone or station).
+    A series is a group of its own and must fit a task; its slopes are selected, not listed, when there are many (see
+    median_slope). Rows without t or y are left out; a series of one moment has no slope.
     """
-    a = df.where(f"{t} is not null and {y} is not null").select(*by, F.col(t).alias("t1"), F.col(y).alias("y1"))
-    b = a.select(*by, F.col("t1").alias("t2"), F.col("y1").alias("y2"))
-    slope = a.join(b, by).where("t1 < t2").groupBy(*by).agg(F.percentile((F.col("y2") - F.col("y1")) / (F.col("t2") - F.col("t1")), F.lit(0.5)).alias("slope"))
-    mid = a.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("t1", F.lit(0.5)).alias("tm"), F.percentile("y1", F.lit(0.5)).alias("ym"))
-    return mid.join(slope, by, "left").select(*by, "n", "slope", (F.col("ym") - F.col("slope") * F.col("tm")).alias("intercept"))
+    kinds = dict(df.dtypes)
+
+    def run(key, pdf):
+        at, v = pdf["_t"].to_numpy(float), pdf["_y"].to_numpy(float)
+        slope = median_slope(at, v)
+        return pd.DataFrame([[*key, len(at), slope, None if slope is None else float(np.median(v) - slope * np.median(at))]], columns=[*by, "n", "slope", "intercept"])
+
+    rows = df.where(f"{t} is not null and {y} is not null").select(*by, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"))
+    return rows.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", n long, slope double, intercept double")
 
 
 def split_half_rates(df: DataFrame, by: list[str], t: str = "t", y: str = "y") -> DataFrame:

@@ -176,11 +176,13 @@ def epoch_bootstrap(series: DataFrame, by: list[str], reps: int = 200, seed: int
     return rates.groupBy(*by).agg(F.count("*").alias("reps"), F.percentile("rate", F.lit(0.025)).alias("lo"), F.percentile("rate", F.lit(0.5)).alias("mid"), F.percentile("rate", F.lit(0.975)).alias("hi"), F.stddev_samp("rate").alias("se"))
 
 
-def block_permutation(pairs: DataFrame, by: list[str], block_rows: int = 90, reps: int = 5000, seed: int = 0, chunk: int = 500) -> DataFrame:
-    """Two-sided p of Spearman's rank correlation when blocks of one side's rows are permuted; null under 40 rows.
+def block_permutation(pairs: DataFrame, by: list[str], block_rows: int = 90, reps: int = 5000, seed: int = 0, chunk: int = 500, block_days: int | None = None, circular: bool = False, least: int = 40) -> DataFrame:
+    """Two-sided p of Spearman's rank correlation when blocks of one side's rows are permuted; null under ``least`` rows.
 
     The rows are cut into max(2, n div block_rows) consecutive blocks, sizes at most one apart; p is the share of
-    permutations with a correlation at least as large in size. pairs: by, i (order), a, b. Each (test, chunk of replicates) is a group of its own, so replicates spread over
+    permutations with a correlation at least as large in size. pairs: by, i (order), a, b. With ``block_days``, i counts
+    days and a block holds the rows of so many days from the first on, however many; with ``circular``, blocks are cut from
+    a row drawn anew each time, and what lies before it follows the end. Each (test, chunk of replicates) is a group of its own, so replicates spread over
     tasks; a test's rows are one series of bounded length.
     """
     import numpy as np
@@ -193,12 +195,23 @@ def block_permutation(pairs: DataFrame, by: list[str], block_rows: int = 90, rep
         rank = lambda x: pd.Series(x).rank().to_numpy()
         a, b = rank(pdf["a"].to_numpy()), rank(pdf["b"].to_numpy())
         n, first = len(a), int(pdf["chunk"].iloc[0]) * chunk
-        if n < 40 or np.std(a) == 0 or np.std(b) == 0:
+        if n < least or np.std(a) == 0 or np.std(b) == 0:
             return pd.DataFrame([[*pdf[by].iloc[0], n, None, 0, 0]], columns=[*by, "n", "rho", "hits", "reps"])
         rho, rng, hits = np.corrcoef(a, b)[0, 1], np.random.default_rng([seed, first]), 0
-        blocks = np.array_split(np.arange(n), max(2, n // block_rows))
+        day = pdf["i"].to_numpy(float)
+
+        def cut(start):
+            rows = (np.arange(n) + start) % n
+            if block_days is None:
+                return np.array_split(rows, max(2, n // block_rows))
+            gone = day[rows] - day[start] + np.where(rows < start, day[-1] - day[0] + 1, 0)
+            number = np.floor(gone / block_days)
+            return np.split(rows, np.flatnonzero(np.diff(number)) + 1)
+
+        blocks = cut(0)
         todo = min(chunk, reps - first)
         for _ in range(todo):
+            blocks = cut(int(rng.integers(n))) if circular else blocks
             order = np.concatenate([blocks[k] for k in rng.permutation(len(blocks))])
             hits += abs(np.corrcoef(a[order], b)[0, 1]) >= abs(rho) - 1e-12
         return pd.DataFrame([[*pdf[by].iloc[0], n, rho, hits, todo]], columns=[*by, "n", "rho", "hits", "reps"])

@@ -75,6 +75,14 @@ def _(spark, d):
     return gates.table_fingerprint(table(spark, d, "orders"))
 
 
+@query("drift_by_ranges", """with a as (select o_orderkey, o_totalprice from orders where o_orderkey % 1009 <> 0), b as (select o_orderkey, case when o_orderkey % 997 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders where o_orderkey % 1013 <> 0)
+select o_orderkey, case when b.o_totalprice is null then 'missing' when a.o_totalprice is null then 'new' else 'changed' end as state from a full join b using (o_orderkey) where a.o_totalprice is distinct from b.o_totalprice""")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    now = o.where("o_orderkey % 1013 != 0").withColumn("o_totalprice", F.expr("case when o_orderkey % 997 = 0 then o_totalprice + 1 else o_totalprice end"))
+    return gates.drift_by_ranges(o.where("o_orderkey % 1009 != 0"), now, ["o_orderkey"])
+
+
 @query("drift_check", """with a as (select o_orderkey as k, sha256(o_orderpriority) as old from orders where o_orderkey % 5 <> 0), b as (select o_orderkey as k, sha256(case when o_orderkey % 7 = 0 then 'x' else o_orderpriority end) as new from orders where o_orderkey % 3 <> 0),
  j as (select coalesce(a.k, b.k) as k, case when new is null then 'missing' when old is null then 'new' when old <> new then 'changed' else 'same' end as state from a full join b on a.k = b.k)
 select state, case when state = 'same' then 'ok' when k % 2 = 0 and state in ('missing', 'changed') then 'fail' else 'warn' end as severity, count(*) as n from j group by 1, 2""")

@@ -65,11 +65,18 @@ def _(spark, d):
     return pairs.gap_days(acquisitions(spark, d), ["burst"]).select("burst", "date", "previous_date", "gap_days")
 
 
-@query("pilot_picks", f"""with {COMMON}, r as (select *, days - 14 + 12 as x, row_number() over (partition by days order by round(max_perp, 6), ref, sec) - 1 as i, count(*) over (partition by days) as n from (select ref, sec, case days when 7 then 12 when 14 then 24 when 35 then 36 end as days, max_perp from common where days in (7, 14, 35)))
-select case days when 12 then 'shortest' when 24 then 'median' else 'p90' end as rationale, ref, sec, days, round(max_perp, 6) as max_perp from r where i = case days when 12 then 0 when 24 then n // 2 else cast(floor(0.9 * (n - 1)) as bigint) end""")
-def _(spark, d):
-    p = common_pairs(spark, d).withColumn("max_perp", F.round("max_perp", 6)).where("days in (7, 14, 35)").withColumn("days", F.expr("case days when 7 then 12 when 14 then 24 else 36 end"))
-    return pairs.pilot_picks(p)
+@query("pilot_picks", f"""with {COMMON}, c as (select ref, sec, days, round(max_perp, 6) as max_perp from common),
+ p1 as (select 1 as pick, 'lowest baseline, short' as rationale, * from c where days = 7 order by max_perp, ref, sec limit 1),
+ o2 as (select *, row_number() over (order by max_perp, ref, sec) - 1 as i, count(*) over () as n from c where days = 14), p2 as (select 2, 'median baseline, middle', ref, sec, days, max_perp from o2 where i = n // 2),
+ o3 as (select *, row_number() over (order by max_perp, ref, sec) - 1 as i, count(*) over () as n from c where days = 35), p3 as (select 3, 'p90 baseline, long', ref, sec, days, max_perp from o3 where i = 9 * (n - 1) // 10),
+ u3 as (select * from p1 union all select * from p2 union all select * from p3),
+ p4 as (select 4, 'monsoon', * from c where month(ref) between 6 and 9 and month(sec) between 6 and 9 and (ref, sec) not in (select (ref, sec) from u3) order by max_perp, ref, sec limit 1), u4 as (select * from u3 union all select * from p4),
+ p5 as (select 5, 'dry season', * from c where month(ref) in (11, 12, 1, 2, 3) and month(sec) in (11, 12, 1, 2, 3) and (ref, sec) not in (select (ref, sec) from u4) order by max_perp, ref, sec limit 1), u5 as (select * from u4 union all select * from p5),
+ p6 as (select 6, 'late period', * from c where sec >= date '1998-01-01' and (ref, sec) not in (select (ref, sec) from u5) order by max_perp, ref, sec limit 1), u6 as (select * from u5 union all select * from p6)
+select pick, rationale, ref, sec, days, max_perp, true as water_mask from u6 union all select 7, 'control without water mask', ref, sec, days, max_perp, false from u6 where pick = (select min(pick) from u6)""")
+def _(spark, d):
+    p = common_pairs(spark, d).withColumn("max_perp", F.round("max_perp", 6))
+    return pairs.pilot_picks(p, "1998-01-01", 7, 14, 35)
 
 
 @query("season_of_pair", f"""with {COMMON} select case when month(ref) between 6 and 9 and month(sec) between 6 and 9 then 'monsoon' when month(ref) in (11, 12, 1, 2) and month(sec) in (11, 12, 1, 2) then 'dry' else 'mixed' end as season, count(*) as n from common group by 1""")

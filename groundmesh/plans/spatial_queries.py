@@ -122,6 +122,19 @@ def _(spark, d):
     return rounded(geo.resample(b, grid, "velocity"), 9)
 
 
+FEET = """i as (select s_suppkey % 3 as path, s_suppkey // 3 as id from supplier where s_suppkey % 11 <> 0), f as (select path, id, unnest(range(4 * id - path % 3, 4 * id + 7 + (path + id) % 4)) as cell from i), a as (select unnest(range(40, 66)) as cell)"""
+
+
+@query("smallest_covering_run", f"""with {FEET}, r as (select x.path, x.id as first, y.id as last from i x join i y on y.path = x.path and y.id between x.id and x.id + 14
+  where (select count(*) from i z where z.path = x.path and z.id between x.id and y.id) = y.id - x.id + 1),
+ c as (select r.path, first, last, count(distinct f.cell) as u, count(distinct f.cell) filter (f.cell between 40 and 65) as n from r join f on f.path = r.path and f.id between first and last group by 1, 2, 3)
+select path, first, last, cast(last - first + 1 as int) as k, round(u / 26, 9) as ratio from c where n = 26 order by last - first, u, path, first limit 1""")
+def _(spark, d):
+    s = table(spark, d, "supplier").where("s_suppkey % 11 != 0").select((F.col("s_suppkey") % 3).alias("path"), F.expr("s_suppkey div 3").alias("id"))
+    feet = s.withColumn("cell", F.explode(F.expr("sequence(4 * id - path % 3, 4 * id + 6 + (path + id) % 4)")))
+    return rounded(geo.smallest_covering_run(feet, spark.range(40, 66).withColumnRenamed("id", "cell")), 9)
+
+
 @query("contiguous_runs", "with i as (select s_nationkey as path, s_suppkey % 40 as id from supplier group by 1, 2), n as (select path, id, id - row_number() over (partition by path order by id) as isl from i) select a.path, a.id as first, b.id as last, b.id - a.id + 1 as k from n a join n b on a.path = b.path and a.isl = b.isl and b.id >= a.id and b.id - a.id < 15")
 def _(spark, d):
     ids = table(spark, d, "supplier").select(F.col("s_nationkey").alias("path"), (F.col("s_suppkey") % 40).alias("id")).distinct()
