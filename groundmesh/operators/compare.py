@@ -69,11 +69,14 @@ def branch_metrics(px: DataFrame, base: DataFrame) -> DataFrame:
 def reference_gates(blocks: DataFrame, support: float = 0.95, edge_m: float = 2000.0, most_v: float = 2.0) -> DataFrame:
     """Candidate blocks with their gates: support, edge, the lowest quarter of deviations (hard), and a small velocity.
 
-    blocks: row, col, support, edge_m, std, velocity, coherence. relaxed: no block passes the velocity gate with the others.
+    blocks: row, col, support, edge_m, std, velocity, coherence, and water, the share of water, of which no block with any is
+    good (without this column, none has any). relaxed: no block passes the velocity gate with the others.
     score ranks the pool: coherence, or, if relaxed, the least velocity; it is null outside the pool.
     """
     (limit,) = exact_quantiles(blocks, "std", [0.25])
     hard = (F.col("support") >= support) & (F.col("edge_m") >= edge_m) & (F.col("std") <= F.col("std_limit"))
+    if "water" in blocks.columns:
+        hard = hard & (F.coalesce("water", F.lit(1.0)) == 0)
     gated = blocks.withColumn("std_limit", F.lit(limit).cast("double")).withColumn("hard_ok", hard).withColumn("velocity_ok", F.abs("velocity") <= most_v)
     free = gated.agg(F.coalesce(F.bool_or(F.col("hard_ok") & F.col("velocity_ok")), F.lit(False)).alias("free"))
     gated = gated.crossJoin(free).withColumn("relaxed", ~F.col("free")).drop("free")

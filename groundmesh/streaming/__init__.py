@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.gates import upsert_latest
+
 
 def daily_medians(obs: DataFrame, late: str = "1 day", least: int = 2) -> DataFrame:
     """Daily median of each station with ``least`` values or more; a day is given once the watermark has passed it."""
@@ -57,14 +59,29 @@ def latest_states(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def upsert_sink(path: str, key: list[str]):
-    """A foreachBatch function that keeps the latest row of each key in a parquet table, the newest at its ``last``."""
-    from ..operators.gates import upsert_latest
+    """A foreachBatch function that keeps the latest row of each key in a parquet table, the newest at its ``last``.
+
+    A version is named by its batch, and built from the newest finished version before it, so a batch that is run again
+    after a restart gives the same version, whatever was lost; versions before the one built on are deleted.
+    """
+
+    def versions(spark) -> list[int]:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        done = [f.getPath() for f in fs.listStatus(root)]
+        return sorted(int(p.getName()[1:]) for p in done if p.getName()[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         name = lambda k: f"{path}/v{k}"
-        rows = batch if epoch == 0 else upsert_latest(spark.read.parquet(name(epoch - 1)), batch, key, [F.desc("ts")])
-        upsert_latest(rows.limit(0), rows, key, [F.desc("ts")]).write.mode("overwrite").parquet(name(epoch))
+        before = [k for k in versions(spark) if k < epoch]
+        rows = upsert_latest(spark.read.parquet(name(before[-1])), batch, key, [F.desc("ts")]) if before else upsert_latest(batch.limit(0), batch, key, [F.desc("ts")])
+        rows.write.mode("overwrite").parquet(name(epoch))
+        for k in before[:-1]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(name(k))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         run.last = name(epoch)
 
     return run
@@ -77,3 +94,26 @@ def epoch_matches(obs: DataFrame, epochs: DataFrame, half_days: int = 3, least:
     joined = obs.withColumn("date", F.to_date("ts")).join(F.broadcast(spread), "date").withColumn("closes", end - F.expr("interval 1 second"))
     agg = joined.withWatermark("closes", late).groupBy(F.window("closes", "1 day").alias("w"), "station", "epoch").agg(F.count("value").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
     return agg.select("station", "epoch", "n", F.when(F.col("n") >= least, F.col("median")).alias("median"))
+
+
+def epoch_match_streams(obs: DataFrame, epochs: DataFrame, half_days: int = 3, least: int = 4, late: str = "1 day", late_epochs: str = "1 day") -> DataFrame:
+    """station, epoch, n, median of the readings within half_days of each epoch, both as streams.
+
+    obs: station, ts, value; epochs: epoch (timestamp of a day). Readings and epochs wait for each other as long as their
+    watermarks allow; an epoch's row comes once no reading of its days can come any more, and late ones are left out. A median
+    of fewer than ``least`` readings is null; an epoch without readings has no row.
+    """
+    o = obs.where("value is not null").select("station", "ts", "value", F.to_date("ts").alias("day")).withWatermark("ts", late)
+    e = epochs.select(F.col("epoch").alias("at")).withWatermark("at", late_epochs)
+    # A stream joins on equal keys: an epoch waits once for each of its days. The range lets either side's state end.
+    e = e.withColumn("day", F.explode(F.sequence(F.date_sub("at", half_days), F.date_add("at", half_days))))
+    near = (o["day"] == e["day"]) & (F.col("ts") >= F.col("at") - F.expr(f"interval {half_days} days")) & (F.col("ts") < F.col("at") + F.expr(f"interval {half_days + 1} days"))
+    agg = o.join(e, near).groupBy(F.window("at", "1 day").alias("w"), "station").agg(F.count("value").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
+    return agg.select("station", F.to_date("w.start").alias("epoch"), "n", F.when(F.col("n") >= least, F.col("median")).alias("median"))
+
+
+def sliding_medians(obs: DataFrame, late: str = "1 day", wide: str = "7 days", slide: str = "1 day", least: int = 4) -> DataFrame:
+    """station, start, n, median of each window of ``wide`` that begins every ``slide``, once the watermark has passed it."""
+    agg = obs.where("value is not null").withWatermark("ts", late).groupBy(F.window("ts", wide, slide).alias("w"), "station")
+    out = agg.agg(F.count("value").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
+    return out.select("station", F.col("w.start").alias("start"), "n", F.when(F.col("n") >= least, F.col("median")).alias("median"))
