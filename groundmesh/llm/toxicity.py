@@ -7,25 +7,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, sums, table, word_codes
+from .common import mix64, slices, table, word_codes
 
 BUCKETS = 1 << 16
 DIM = 4
 LENGTHS = (3, 4, 5)
 #: The model is fitted on so many labelled rows at most of either label, those with the least hash of their text.
 SAMPLE_ROWS = 4000
-STEPS = 500
-BATCH = 96
+STEPS = 300
 RATE = 0.05
-#: Buckets that fewer rows of the sample hit stay out of the model.
+#: A bucket is in the model if so many rows of the sample have it and toxic rows have it more often, by so many standard
+#: errors of the difference: most words of a toxic text are like any other's, and would drown the few that are not.
 MIN_ROWS = 4
-DECAY = 1e-6
-#: A toxic row of the sample counts this many times.
-TOXIC_WEIGHT = 3.0
-#: A text's distinct words are averaged with this many blank ones, so a few words alone prove little.
-BLANKS = 25
-#: The mean is taken this many times, as few words of a toxic document are toxic.
-SCALE = 32.0
+LEAST_Z = 3.5
+DECAY = 1e-3
+#: The mean is over the words in the model, each for as much as its subwords are, and so many blank ones.
+BLANKS = 1.0
+#: The mean is taken this many times, so that embeddings stay small.
+SCALE = 8.0
 CUT = 0.7
 
 
@@ -55,82 +54,91 @@ def subwords(words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order].astype(np.int64), np.bincount(owner, minlength=len(marked)).astype(np.int64)
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, weights, entries of each text): a text is the mean of its distinct words, a word the mean of its subwords."""
-    idx, val, size = [], [], []
+def _distinct_words(codes: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word) of each distinct word of each text, in order."""
+    pairs = np.unique(np.repeat(np.arange(len(counts)), counts) * max(1, n_words) + codes)
+    return pairs // max(1, n_words), pairs % max(1, n_words)
+
+
+def associated(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Which buckets are in the model, from the rows of either label that have them."""
+    rows = np.zeros((2, BUCKETS))
+    for lo in range(0, len(texts), 200):
+        codes, distinct, counts = word_codes(texts[lo : lo + 200])
+        grams, per_word = subwords(distinct)
+        doc, word = _distinct_words(codes, counts, len(distinct))
+        starts, reps = np.cumsum(per_word) - per_word, per_word[word]
+        where = np.repeat(starts[word] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        found = np.unique(np.repeat(doc, reps) * BUCKETS + grams[where])
+        for label in (0, 1):
+            rows[label] += np.bincount(found[toxic[lo + found // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    share = rows.sum(0) / n.sum()
+    z = (rows[1] / n[1] - rows[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
+    return (z > LEAST_Z) & (rows.sum(0) >= MIN_ROWS)
+
+
+def bags(texts: list[str], live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, weight): a text is the mean of its distinct words, a word the mean of its subwords; only buckets in the
+    model, and words for the share of their subwords that are."""
     codes, distinct, counts = word_codes(texts)
     grams, per_word = subwords(distinct)
-    starts = np.cumsum(per_word) - per_word
-    at = 0
-    for n in counts:
-        used = np.unique(codes[at : at + n])
-        at += n
-        reps = per_word[used]
-        where = np.repeat(starts[used] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        weight = np.repeat(1 / ((len(used) + BLANKS) * reps), reps)
-        buckets, inverse = np.unique(grams[where], return_inverse=True)
-        idx.append(buckets.astype(np.int32))
-        val.append(np.bincount(inverse, weight, minlength=len(buckets)).astype(np.float32))
-        size.append(len(buckets))
-    return np.concatenate(idx or [np.zeros(0, np.int32)]), np.concatenate(val or [np.zeros(0, np.float32)]), np.array(size, dtype=np.int64)
-
-
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(logit of each bucket, bias), from embeddings and softmax weights trained together by Adam.
-
-    With one class only, every logit is 0 and the bias tells the class.
+    owner = np.repeat(np.arange(len(distinct)), per_word)
+    owner, kept = owner[live[grams]], grams[live[grams]]
+    n = np.bincount(owner, minlength=len(distinct)).astype(np.int64)
+    doc, word = _distinct_words(codes, counts, len(distinct))
+    doc, word = doc[n[word] > 0], word[n[word] > 0]
+    starts, reps = np.cumsum(n) - n, n[word]
+    where = np.repeat(starts[word] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+    text, weight = np.repeat(doc, reps), np.repeat(1 / np.maximum(per_word[word], 1), reps)
+    mass = np.bincount(text, weight, minlength=len(texts)) + BLANKS
+    return text, kept[where], weight / mass[text] * SCALE
+
+
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
+    """(logit of each bucket, which are in the model, bias), from embeddings and softmax weights trained together by Adam.
+
+    With one class only, no bucket is in the model and the bias tells the class.
     """
     if len(texts) == 0 or toxic.min() == toxic.max():
-        return np.zeros(BUCKETS), (4.0 if len(texts) and toxic.max() else -4.0)
-    rng = np.random.default_rng(seed)
-    parts = [bags(texts[i : i + 200]) for i in range(0, len(texts), 200)]
-    idx, val, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    val *= SCALE
-    common = np.bincount(idx, minlength=BUCKETS) >= MIN_ROWS
-    size = sums(common[idx].astype(np.int64), size)
-    idx, val = (np.cumsum(common) - 1)[idx[common[idx]]], val[common[idx]]
-    live = int(common.sum())
-    starts = np.concatenate([[0], np.cumsum(size)])
-    params = [rng.normal(0, 0.1, (live, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
+        return np.zeros(BUCKETS), np.zeros(BUCKETS, bool), (4.0 if len(texts) and toxic.max() else -4.0)
+    live = associated(texts, toxic)
+    parts = [bags(texts[i : i + 200], live) for i in range(0, len(texts), 200)]
+    doc = np.concatenate([p[0] + 200 * k for k, p in enumerate(parts)])
+    idx, val = (np.cumsum(live) - 1)[np.concatenate([p[1] for p in parts])], np.concatenate([p[2] for p in parts])
+    rng, n, size = np.random.default_rng(seed), len(texts), int(live.sum())
+    params = [rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    steps = 0
-    while steps < STEPS:
-        order = rng.permutation(len(texts))
-        for lo in range(0, len(order), BATCH):
-            rows = order[lo : lo + BATCH]
-            n = size[rows]
-            where = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            gi, gv, doc = idx[where], val[where], np.repeat(np.arange(len(rows)), n)
-            emb, out, bias = params
-            bag = np.stack([np.bincount(doc, emb[gi, k] * gv, minlength=len(rows)) for k in range(DIM)], 1).astype(np.float32)
-            z = bag @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), toxic[rows]] -= 1
-            p *= np.where(toxic[rows] == 1, TOXIC_WEIGHT, 1.0)[:, None] / len(rows)
-            back = (p @ out.T)[doc] * gv[:, None]
-            grad = np.stack([np.bincount(gi, back[:, k], minlength=live) for k in range(DIM)], 1).astype(np.float32) + DECAY * emb
-            steps += 1
-            rate = RATE * max(0.02, 1 - steps / STEPS)
-            for i, g in enumerate((grad, bag.T @ p, p.sum(0))):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.99 * second[i] + 0.01 * g * g
-                params[i] -= rate * first[i] / (np.sqrt(second[i]) + 1e-6)
+    for step in range(1, STEPS + 1):
+        emb, out, bias = params
+        bag = np.stack([np.bincount(doc, emb[idx, k] * val, minlength=n) for k in range(DIM)], 1)
+        z = bag @ out + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(n), toxic] -= 1
+        p /= n
+        back = (p @ out.T)[doc] * val[:, None]
+        grads = [np.stack([np.bincount(idx, back[:, k], minlength=size) for k in range(DIM)], 1) + DECAY * emb, bag.T @ p + DECAY * out, p.sum(0)]
+        rate = RATE * max(0.02, 1 - step / STEPS)
+        for i, g in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.99 * second[i] + 0.01 * g * g
+            params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-6)
     emb, out, bias = params
     logits = np.zeros(BUCKETS)
-    logits[common] = (emb @ (out[:, 1] - out[:, 0])) * SCALE
-    return logits, float(bias[1] - bias[0])
+    logits[live] = emb @ (out[:, 1] - out[:, 0])
+    return logits, live, float(bias[1] - bias[0])
 
 
-def scores(texts: list[str], logits: np.ndarray, bias: float) -> np.ndarray:
-    """The softmax's share of the toxic class: the logits of a text's distinct words, averaged as in the fit."""
-    codes, distinct, counts = word_codes(texts)
-    grams, per_word = subwords(distinct)
-    word = sums(logits[grams], per_word) / np.maximum(per_word, 1) if len(distinct) else np.zeros(0)
-    pairs = np.unique(np.repeat(np.arange(len(texts)), counts) * max(1, len(distinct)) + codes)
-    doc, code = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
-    z = np.bincount(doc, word[code] if len(code) else None, minlength=len(texts)) / (np.bincount(doc, minlength=len(texts)) + BLANKS)
-    return 1 / (1 + np.exp(-np.clip(z + bias, -50, 50)))
+def scores(texts: list[str], model: Model) -> np.ndarray:
+    """The softmax's share of the toxic class."""
+    logits, live, bias = model
+    text, bucket, weight = bags(texts, live)
+    z = np.bincount(text, logits[bucket] * weight, minlength=len(texts)) + bias
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def held_out(doc_id):
@@ -138,7 +146,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` labelled rows of either label, picked by hash among those not held out."""
     known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
     picked = known.where("toxic = 1").orderBy("h", "doc_id").limit(sample_rows).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(sample_rows))
@@ -154,12 +162,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Only the text makes the score, so equal texts score alike. A null, empty or blank text has no words and the score
     of the bias. A row whose doc_id is null is not held out. Rows with several labels teach each of them.
     """
-    logits, bias = train(docs, labels, **options)
+    model = train(docs, labels, **options)
 
     def score(batches):
         for batch in batches:
             for piece in slices(batch):
-                s = scores([t or "" for t in piece.column("text").to_pylist()], logits, bias)
+                s = scores([t or "" for t in piece.column("text").to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     marked = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")

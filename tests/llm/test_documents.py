@@ -297,6 +297,29 @@ def test_toxicity(spark, docs, labels, empty):
     assert toxicity.score_documents(docs, labels).count() == len(TEXTS)
 
 
+def test_toxicity_finds_rare_words_under_noisy_labels():
+    """One or two of ten words, some misspelt, in long texts; 9 % toxic, 3 % of labels wrong."""
+    r = random.Random(17)
+    vocabulary = ["".join(r.choice(["an", "er", "th", "on", "in", "re", "ti", "ou", "sh", "ble"]) for _ in range(r.randint(2, 4))) for _ in range(3000)]
+    bad = ["grumfak", "zolpert", "vixnark", "quobzil", "jaxtrop", "wembluk", "frizgot", "plexhum", "drovkay", "snigfuz"]
+
+    def misspelt(w):
+        k = r.randrange(len(w) - 1)
+        return w if r.random() < 0.7 else w[:k] + w[k + 1] + w[k] + w[k + 2 :] if r.random() < 0.5 else w + w[-1]
+
+    rows = []
+    for _ in range(1500):
+        words_, toxic = r.choices(vocabulary, k=r.randint(40, 600)), r.random() < 0.09
+        for _ in range(r.randint(1, 2) if toxic else 0):
+            words_.insert(r.randrange(len(words_)), misspelt(r.choice(bad)))
+        rows.append((" ".join(words_), int(toxic)))
+    learnt, kept = rows[:1000], rows[1000:]
+    model = toxicity.fit([t for t, _ in learnt], np.array([y if r.random() > 0.03 else 1 - y for _, y in learnt]))
+    s, y = toxicity.scores([t for t, _ in kept], model), np.array([y for _, y in kept])
+    found, flagged = ((s >= toxicity.CUT) & (y == 1)).sum(), ((s >= toxicity.CUT) & (y == 0)).sum()
+    assert found >= 0.8 * y.sum() and flagged <= 0.02 * (y == 0).sum(), (found, y.sum(), flagged)
+
+
 def test_fingerprints(spark, docs, empty):
     got = {}
     for r in fingerprints.edited_fingerprints(docs).collect():
