@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from bisect import bisect_left
 from html.entities import html5
 
 import pandas as pd
@@ -43,6 +45,64 @@ def marked_up(body: Column) -> Column:
     return F.regexp_replace(t, r"<[A-Za-z/!?][^>]*>", "")
 
 
+#: A page of more characters is scanned in Python in time that grows with its length; regexes look to the end of the page
+#: from each start that has no end, which short pages can bear. Both give the same text.
+LONG = 1 << 15
+#: White space of patterns, as Java has it.
+SPACE = "[ \\t\\n\\x0b\\f\\r]"
+STARTS = re.compile(f"<(?:(!--)|({NO_TEXT})(?:>|(?={SPACE})))", re.I | re.A)
+STOPS = {n: re.compile(f"</{n}{SPACE}*>", re.I | re.A) for n in NO_TEXT.split("|")}
+LINES = re.compile("</?(?:" + BLOCKS[4:-1] + ")(?:(/?>)|(?= ))", re.I | re.A)
+TAGS = re.compile("<[A-Za-z/!?]")
+
+
+class _Next:
+    """Where ``what`` stands next; places are asked in rising order, and each part of the text is searched once."""
+
+    def __init__(self, text: str, what: str):
+        self.text, self.what, self.at = text, what, -2
+
+    def __call__(self, start: int) -> int:
+        if self.at == -2 or -1 < self.at < start:
+            self.at = self.text.find(self.what, start)
+        return self.at
+
+
+def _replaced(text: str, starts: re.Pattern, put: str, stop) -> str:
+    """``text`` with ``put`` for each stretch from a start to where ``stop`` says that it ends (-1: no stretch), from the left."""
+    out, at = [], 0
+    for m in starts.finditer(text):
+        if m.start() >= at and (end := stop(m)) >= 0:
+            out += [text[at : m.start()], put]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def scanned(page: str) -> str:
+    """What marked_up makes of a page, in one pass for each of its steps."""
+    close, comment, stops = _Next(page, ">"), _Next(page, "-->"), {}
+
+    def hidden(m):
+        if m[1]:
+            end = comment(m.end())
+            return end + 3 if end >= 0 else -1
+        name = m[2].lower()
+        after = m.end() if m[0].endswith(">") else close(m.end()) + 1
+        if after == 0:
+            return -1
+        if name not in stops:
+            found = [x.span() for x in STOPS[name].finditer(page)]
+            stops[name] = [x for x, _ in found], [x for _, x in found]
+        k = bisect_left(stops[name][0], after)
+        return stops[name][1][k] if k < len(stops[name][1]) else -1
+
+    t = _replaced(page, STARTS, " ", hidden).translate(BLANK)
+    close = _Next(t, ">")
+    t = _replaced(t, LINES, "\n", lambda m: m.end() if m[1] else close(m.end()) + 1 or -1)
+    close_tag = _Next(t, ">")
+    return _replaced(t, TAGS, "", lambda m: close_tag(m.end()) + 1 or -1)
+
+
 def with_text(rows: DataFrame, body: str, name: str = "text") -> DataFrame:
     """``rows`` with the readable text of the pages in ``body``. Null gives null.
 
@@ -50,7 +110,9 @@ def with_text(rows: DataFrame, body: str, name: str = "text") -> DataFrame:
     give is never read as a reference again. White space inside a line, also such that references stand for, and
     no-break spaces shrink to one space, and blank lines go. Only texts with an ampersand go through Python.
     """
-    rows = rows.withColumn(name, marked_up(F.col(body)))
+    long = F.length(body) > LONG
+    by_scan = F.pandas_udf(lambda pages: pages.map(scanned, na_action="ignore"), "string")(F.when(long, F.col(body)))
+    rows = rows.withColumn("_scanned", by_scan).withColumn(name, F.when(long, F.col("_scanned")).otherwise(marked_up(F.col(body)))).drop("_scanned")
     rows = rows.withColumn("_refs", F.pandas_udf(_decoded, "string")(F.when(F.contains(F.col(name), F.lit("&")), F.col(name))))
     t = F.regexp_replace(F.replace(F.coalesce("_refs", name), F.lit("\u00a0"), F.lit(" ")), r" {2,}", " ")
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))

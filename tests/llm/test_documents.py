@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -553,3 +554,22 @@ def test_pipeline_on_odd_rows_and_on_none(spark, tmp_path):
                 assert len(after) == sum(i == c for i, _, c in brute_components(before))
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == seen[-1]
         assert seen == [0, 0, 0, 0] if not part else seen[0] > seen[2] > 10
+
+
+def test_long_pages_are_scanned_as_short_ones_are(spark, monkeypatch):
+    r = random.Random(23)
+    bits = ["<script>", "<SCRIPT a='1'>", "</script>", "</script \n>", "<style", "</style>", "<head>", "<header>", "</head>", "<svg x>", "</svg>", "<!--", "-->", "<!-->", "<p>", "<pre >", "<p/>", "<br/>", "<br x/>", "</div>", "<h1>", "<h7>", "<a href=x>", "<", ">", "/", "!", "<a", "<?x", "</", "< p>", "\n", "\t", "\x0b", " ", "text", "&amp;", "é", "<scr<!---->ipt>", "<noscript\x0b>", "</NOSCRIPT>"]
+    rows = [(k, "".join(r.choice(bits) for _ in range(r.randint(0, 40)))) for k in range(1500)] + [(5000, None), (5001, "")]
+    df = spark.createDataFrame(rows, "id long, body string")
+    got = []
+    for long in (1 << 30, 0):
+        monkeypatch.setattr(warc, "LONG", long)
+        got.append({x["id"]: x["text"] for x in warc.with_text(df, "body").collect()})
+    assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<a ", "<p ", "<svg x", "</script ", "<style></style", "<", "<div><"])
+def test_pages_of_open_ends_take_time_by_their_length(piece):
+    began = time.time()
+    warc.scanned(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 3
