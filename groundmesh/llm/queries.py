@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from corpus_pipeline import ORACLE_SQL, run
-
 from .bpe import op10
 from .divergence import OP11_SQL, op11
 from .fingerprints import op6
@@ -32,8 +30,5 @@ QUERIES = {
     "op11_iceberg_divergence": op11,
     "op12_importance_resample": op12,
     "op13_license_signatures": op13,
-    "pipeline": run,
 }
 ORACLE = {"op1_warc_derivatives": OP1_SQL, "op3_hyperminhash_groups": OP3_SQL, "op4_run_length_repeats": OP4_SQL, "op9_line_templates": OP9_SQL, "op11_iceberg_divergence": OP11_SQL, "op12_importance_resample": OP12_SQL, "op13_license_signatures": OP13_SQL}
-if ORACLE_SQL:
-    ORACLE["pipeline"] = ORACLE_SQL
