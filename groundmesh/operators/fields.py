@@ -178,7 +178,7 @@ def unconnectable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return alone.join(other, "network_id").where("node != o").groupBy("network_id", "node").agg(F.min(gap).alias("nearest_days"))
 
 
-def pixel_bootstrap(zone_px: DataFrame, value: str, reps: int = 100, seed: int = 3) -> DataFrame:
+def pixel_bootstrap(zone_px: DataFrame, value: str, reps: int = 500, seed: int = 3) -> DataFrame:
     """Interval of each zone's median over resampled cells; a draw is a hash of zone, replicate and place.
 
     zone_px: zone, i (0 .. n-1), n and the value.

@@ -188,3 +188,72 @@ def smallest(df: DataFrame, by: list[str], value: str, ties: list[str], k: int,
     if not by:
         return rows.orderBy(*order).limit(k)
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+
+def collection_rules(bursts: DataFrame, by: list[str], covered: DataFrame, most: int = 15, seconds: int = 120, jog: float = 0.02) -> DataFrame:
+    """by, check, passed, detail: the rules of each collection of bursts.
+
+    bursts: by, id, path, direction, polarization, subswath, ts, lon_min, lon_max; covered: by, covered, the share of the area
+    that the collection covers (missing: none). A collection of one burst has no lateral jog; a null in a rule fails it.
+    """
+    one = lambda c: F.count_distinct(c)
+    told = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",")
+    wide = F.col("lon_max") - F.col("lon_min")
+    agg = bursts.groupBy(*by).agg(
+        F.count("*").alias("k"), one("id").alias("ids"), F.min("id").alias("lo"), F.max("id").alias("hi"), *[x for c in ("path", "direction", "polarization", "subswath") for x in (one(c).alias(f"n_{c}"), told(c).alias(f"t_{c}"), F.count(c).alias(f"k_{c}"))],
+        (F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).alias("spread"), F.min("lon_min").alias("west"), F.max("lon_max").alias("east"), F.max(F.greatest(F.abs("lon_min"), F.abs("lon_max"))).alias("far"), (F.max(wide) - F.min(wide)).alias("jog"),
+    ).join(covered.select(*by, "covered"), by, "left")
+    num = lambda c, d: F.format_string(f"%.{d}f", F.col(c).cast("double"))
+    single = lambda name, c: (name, (F.col(f"n_{c}") == 1) & (F.col(f"k_{c}") == F.col("k")), F.col(f"t_{c}"))
+    rules = [
+        (f"burst_count_1_to_{most}", F.col("k").between(1, most), F.concat(F.lit("K="), F.col("k").cast("string"))),
+        ("contiguous_gap_free", (F.col("ids") == F.col("k")) & (F.col("hi") - F.col("lo") + 1 == F.col("k")), F.concat_ws("..", F.col("lo").cast("string"), F.col("hi").cast("string"))),
+        single("single_relative_orbit", "path"), single("single_flight_direction", "direction"), single("single_polarization", "polarization"), single("single_or_adjacent_subswath", "subswath"),
+        ("acquisition_within_2_minutes", F.col("spread") <= seconds, F.concat(F.col("spread").cast("string"), F.lit(" s"))),
+        ("no_antimeridian_crossing", F.col("far") <= 179.0, F.concat_ws("..", num("west", 3), num("east", 3))),
+        ("aoi_fully_contained", F.col("covered") >= 1.0, num("covered", 6)),
+        ("no_lateral_jog", (F.col("k") < 2) | (F.col("jog") < jog), num("jog", 5)),
+    ]
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed"), d.alias("detail")) for n, c, d in rules])
+    return agg.select(*by, F.inline(rows))
+
+
+def contradiction_drill_down(px: DataFrame, by: list[str], cuts: dict[str, Column], epochs: DataFrame, steps: int = 3, least: int = 6) -> DataFrame:
+    """by, part, name, n, a, b: what a zone that two views disagree on looks like from all sides.
+
+    px: by, a, b (the two views) and b0 (the second view before its corrections), null where a view has none. Part ``facet``: the
+    medians of a and b over each cut (core, boundary, ring, ...); part ``branch``: of b0 (as a) and b over the same cells; part
+    ``step``: the largest steps of the zone's median series in epochs (by, i, value), n the epoch it ends at, a the step, b its
+    rank.
+    """
+    from .compare import facets
+
+    views = facets(px, by, "a", "b", cuts, least).select(*by, F.lit("facet").alias("part"), F.col("facet").alias("name"), "n", "a", "b")
+    branch = facets(px, by, "b0", "b", cuts, least).select(*by, F.lit("branch").alias("part"), F.col("facet").alias("name"), "n", "a", "b")
+    line = epochs.where("value is not null").groupBy(*by, "i").agg(_median("value").alias("y"))
+    w = Window.partitionBy(*by)
+    jumps = line.withColumn("step", F.col("y") - F.lag("y").over(w.orderBy("i"))).where("step is not null")
+    jumps = jumps.withColumn("_r", F.row_number().over(w.orderBy(F.desc(F.abs("step")), "i"))).where(F.col("_r") <= steps)
+    return views.unionByName(branch).unionByName(jumps.select(*by, F.lit("step").alias("part"), F.lit("largest").alias("name"), F.col("i").cast("long").alias("n"), F.col("step").alias("a"), F.col("_r").cast("double").alias("b")))
+
+
+def branch_energy(px: DataFrame, branches: list[str], value: str, rows: int, cols: int, sigma: float = 3.0) -> DataFrame:
+    """branch, n, energy: what each branch has left after its Gaussian mean, as a robust scale; branches are a short list."""
+    from .tiled import highpass_gauss
+
+    out = None
+    for b in branches:
+        one = highpass_gauss(px.where(F.col("branch") == b), value, rows, cols, sigma).select(F.lit(b).alias("branch"), "n", F.col("sigma").alias("energy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def full_agreement(px: DataFrame, by: list[str], a: str, b: str, least: int = 500) -> DataFrame:
+    """stats.agreement with plane_pearson (once a plane is taken off both) and the robust scatter of either view."""
+    from .compare import plane_detrended
+    from .stats import agreement
+
+    rows = px.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    mid = rows.groupBy(*by).agg(_median(a).alias("_a"), _median(b).alias("_b"))
+    scatter = rows.join(mid, by).groupBy(*by).agg(*[(1.4826 * F.percentile(F.abs(F.col(c) - F.col(m)), F.lit(0.5))).alias(f"scatter_{n}") for c, m, n in ((a, "_a", "a"), (b, "_b", "b"))])
+    return agreement(rows, by, a, b, least).join(plane_detrended(rows, by, a, b), by).join(scatter, by)

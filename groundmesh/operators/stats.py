@@ -34,7 +34,7 @@ def flag_outliers(df: DataFrame, by: list[str], metrics: dict[str, str], k: floa
     reasons = []
     for m, side in metrics.items():
         s = robust_scale(df, by, m).select(*by, F.col("median").alias(f"_m_{m}"), F.col("scale").alias(f"_s_{m}"))
-        out = out.join(F.broadcast(s), by)
+        out = out.join(s, by)
         z = (F.col(m) - F.col(f"_m_{m}")) / F.col(f"_s_{m}")
         reasons.append(F.when(z < -k if side == "low" else z > k, F.lit(f"{m} {side}")))
     listed = F.array_compact(F.array(*reasons))
@@ -50,7 +50,7 @@ def stratify(df: DataFrame, by: list[str], strata: Column, col: str, least: int)
 def quintiles(df: DataFrame, by: list[str], key: str, col: str, parts: int = 5) -> DataFrame:
     """Summary of ``col`` in the quantile bins of ``key``; a bin holds its lower edge, the last its upper too."""
     cuts = df.groupBy(*by).agg(F.percentile(key, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("_e"))
-    bins = df.join(F.broadcast(cuts), by).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col(key))))
+    bins = df.join(cuts, by).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col(key))))
     return bins.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.percentile(col, F.lit(0.5)).alias("median"))
 
 

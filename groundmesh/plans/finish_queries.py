@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports, stats
-from .inputs import NET, PIX, TELE, network, pix_sql, pixels, table, telemetry
+from .inputs import EPOCH, NET, PIX, TELE, epochs, network, pix_sql, pixels, side, table, telemetry
 from .pixel_queries import LABEL, _labels, rounded
 from .temporal_queries import ZONE, _zone
 
@@ -118,3 +118,56 @@ def _(spark, d):
 def _(spark, d):
     p = pixels(spark, d).select(F.expr("row div 25").alias("zone"), F.floor(F.abs("velocity") / 5).alias("class"))
     return rounded(stats.class_fraction(p, ["zone"], "class", [0, 1, 2]))
+
+
+@query("collection_rules", """with b as (select s_nationkey % 5 as c, s_suppkey % 13 as id, 9 as path, case when s_suppkey % 17 = 0 and s_nationkey % 5 = 1 then 'A' else 'D' end as direction, 'VV' as polarization, 'IW' || (1 + (s_nationkey % 5 = 2)::int * (s_suppkey % 2)) as subswath,
+ 1700000000 + s_suppkey % 13 * (20 - 5 * (s_nationkey % 5)) as ts, 76.5 + s_suppkey % 13 * 0.1 as lon_min, 77.4 + s_suppkey % 13 * (0.1 + 0.003 * (s_nationkey % 5)) as lon_max from supplier where s_suppkey % 13 < 9),
+ a as (select c, count(*) as k, count(distinct id) as ids, min(id) as lo, max(id) as hi, count(distinct direction) as nd, string_agg(distinct direction, ',' order by direction) as td, count(distinct subswath) as ns, string_agg(distinct subswath, ',' order by subswath) as ts_, max(ts) - min(ts) as spread, min(lon_min) as west, max(lon_max) as east, max(lon_max - lon_min) - min(lon_max - lon_min) as jog from b group by 1)
+select cast(c as bigint) as c, check_ as "check", passed, detail from (
+ select c, 'burst_count_1_to_15' as check_, k between 1 and 15 as passed, 'K=' || k as detail from a union all select c, 'contiguous_gap_free', ids = k and hi - lo + 1 = k, lo || '..' || hi from a union all select c, 'single_relative_orbit', true, '9' from a
+ union all select c, 'single_flight_direction', nd = 1, td from a union all select c, 'single_polarization', true, 'VV' from a union all select c, 'single_or_adjacent_subswath', ns = 1, ts_ from a union all select c, 'acquisition_within_2_minutes', spread <= 120, spread || ' s' from a
+ union all select c, 'no_antimeridian_crossing', true, printf('%.3f', west::double) || '..' || printf('%.3f', east::double) from a union all select c, 'aoi_fully_contained', c <> 3, case when c <> 3 then '1.000000' else '0.750000' end from a union all select c, 'no_lateral_jog', k < 2 or jog < 0.02, printf('%.5f', jog::double) from a)""")
+def _(spark, d):
+    b = table(spark, d, "supplier").where("s_suppkey % 13 < 9").selectExpr(
+        "s_nationkey % 5 as c", "s_suppkey % 13 as id", "9 as path", "case when s_suppkey % 17 = 0 and s_nationkey % 5 = 1 then 'A' else 'D' end as direction", "'VV' as polarization",
+        "concat('IW', 1 + cast(s_nationkey % 5 = 2 as int) * (s_suppkey % 2)) as subswath", "timestamp_seconds(1700000000 + s_suppkey % 13 * (20 - 5 * (s_nationkey % 5))) as ts",
+        "76.5D + s_suppkey % 13 * 0.1D as lon_min", "77.4D + s_suppkey % 13 * (0.1D + 0.003D * (s_nationkey % 5)) as lon_max",
+    )
+    covered = b.select("c").distinct().withColumn("covered", F.when(F.col("c") != 3, 1.0).otherwise(0.75))
+    return reports.collection_rules(b, ["c"], covered)
+
+
+@query("contradiction_drill_down", f"""with {pix_sql('pa', "l_returnflag = 'A'")}, {pix_sql('pb', "l_returnflag = 'N'")}, {pix_sql('pc', "l_returnflag = 'R'")}, {EPOCH}, j as (select a.row // 10 as zone, a.row, a.col, a.velocity as a, b.velocity as b, c.velocity as b0 from pa a left join pb b using (row, col) left join pc c using (row, col)),
+ k as (select *, unnest(case when col between 30 and 60 then ['all', 'core'] when col between 20 and 70 then ['all', 'boundary'] else ['all'] end) as name from j),
+ e as (select zone, i, quantile_cont(disp, .5) as y from ep group by 1, 2), s as (select zone, i, y - lag(y) over (partition by zone order by i) as step from e), r as (select *, row_number() over (partition by zone order by abs(step) desc, i) as r from s where step is not null)
+select cast(zone as bigint) as zone, 'facet' as part, name, count(*) as n, round(quantile_cont(a, .5), 7) as a, round(quantile_cont(b, .5), 7) as b from k where a is not null and b is not null group by 1, 3 having count(*) >= 6
+union all select zone, 'branch', name, count(*), round(quantile_cont(b0, .5), 7), round(quantile_cont(b, .5), 7) from k where b0 is not null and b is not null group by 1, 3 having count(*) >= 6
+union all select zone, 'step', 'largest', i, round(step, 7), r from r where r <= 3""")
+def _(spark, d):
+    v = lambda flag, n: pixels(spark, d, f"l_returnflag = '{flag}'").select("row", "col", F.col("velocity").alias(n))
+    px = v("A", "a").join(v("N", "b"), ["row", "col"], "left").join(v("R", "b0"), ["row", "col"], "left").withColumn("zone", F.expr("cast(row div 10 as bigint)"))
+    cuts = {"all": F.lit(True), "core": F.col("col").between(30, 60), "boundary": F.col("col").between(20, 70) & ~F.col("col").between(30, 60)}
+    e = epochs(spark, d).select(F.col("zone").cast("long").alias("zone"), "i", F.col("disp").alias("value"))
+    return rounded(reports.contradiction_drill_down(px, ["zone"], cuts, e), 7)
+
+
+@query("branch_energy")
+def _(spark, d):
+    n = side(spark, d)
+    px = None
+    for flag in "AN":
+        one = pixels(spark, d, f"l_returnflag = '{flag}'").withColumn("branch", F.lit(flag))
+        px = one if px is None else px.unionByName(one)
+    return rounded(reports.branch_energy(px, ["A", "N"], "velocity", n, n), 7)
+
+
+@query("full_agreement", f"""with {pix_sql('pa', "l_returnflag = 'A'")}, {pix_sql('pb', "l_returnflag = 'N'")}, j as (select a.land, a.row, a.col, a.velocity as a, b.velocity as b from pa a join pb b using (row, col)),
+ k as (select *, rank() over (partition by land order by a) + (count(*) over (partition by land, a) - 1) / 2 as ra, rank() over (partition by land order by b) + (count(*) over (partition by land, b) - 1) / 2 as rb from j),
+ m as (select land, quantile_cont(b - a, .5) as o, quantile_cont(a, .5) as ma, quantile_cont(b, .5) as mb from j group by 1), s as (select land, 1.4826 * quantile_cont(abs(b - a - o), .5) as r, 1.4826 * quantile_cont(abs(a - ma), .5) as sa, 1.4826 * quantile_cont(abs(b - mb), .5) as sb from j join m using (land) group by 1),
+ c as (select land, count(*) as n, corr(ra, rb) as spearman, corr(a, b) as ab, corr(a, row) as ar, corr(a, col) as ac, corr(b, row) as br, corr(b, col) as bc, corr(row, col) as rc from k group by 1),
+ p as (select *, (ab - ar * br) / sqrt((1 - ar * ar) * (1 - br * br)) as pab, (ac - ar * rc) / sqrt((1 - ar * ar) * (1 - rc * rc)) as pac, (bc - br * rc) / sqrt((1 - br * br) * (1 - rc * rc)) as pbc from c)
+select land, n, round(spearman, 6) as spearman, round(ab, 6) as pearson, round(o, 6) as "offset", round(r, 6) as robust_rms, round((pab - pac * pbc) / sqrt((1 - pac * pac) * (1 - pbc * pbc)), 6) as plane_pearson, round(sa, 6) as scatter_a, round(sb, 6) as scatter_b from p join m using (land) join s using (land) where n >= 200""")
+def _(spark, d):
+    a = pixels(spark, d, "l_returnflag = 'A'").select("row", "col", "land", F.col("velocity").alias("a"))
+    b = pixels(spark, d, "l_returnflag = 'N'").select("row", "col", F.col("velocity").alias("b"))
+    return rounded(reports.full_agreement(a.join(b, ["row", "col"]), ["land"], "a", "b", 200), 6)

@@ -143,7 +143,7 @@ def _(spark, d):
 @query("epoch_bootstrap")
 def _(spark, d):
     z = _zone(spark, d).withColumn("n", F.lit(64))
-    return rounded(stats.epoch_bootstrap(z.select("zone", "t", "y", "i", "n"), ["zone"], 100), 7)
+    return rounded(stats.epoch_bootstrap(z.select("zone", "t", "y", "i", "n"), ["zone"], 1000), 7)
 
 
 @query("block_permutation")

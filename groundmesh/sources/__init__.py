@@ -27,7 +27,7 @@ def read_station_series(spark: SparkSession, path: str, date: str = "YYMMMDD", u
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("p"))
     heads = lines.where(F.array_contains("p", date)).groupBy("file").agg(F.first("p").alias("names"))
     at = lambda name: F.try_element_at("p", F.array_position("names", F.lit(name)).cast("int"))
-    rows = lines.where(~F.array_contains("p", date)).join(F.broadcast(heads), "file")
+    rows = lines.where(~F.array_contains("p", date)).join(heads, "file")
     return rows.select(
         F.col("p")[0].alias("station"), F.to_date(F.try_to_timestamp(F.initcap(at(date)), F.lit("yyMMMdd"))).alias("date"), at(up).try_cast("double").alias("up_m"), at(sigma).try_cast("double").alias("sig_up_m"),
     ).where("date is not null")

@@ -91,7 +91,7 @@ def epoch_matches(obs: DataFrame, epochs: DataFrame, half_days: int = 3, least:
     """Median of the readings within half_days of each epoch (a static table), once its days are past the watermark."""
     spread = epochs.select(F.col("epoch"), F.explode(F.sequence(F.date_sub("epoch", half_days), F.date_add("epoch", half_days))).alias("date"))
     end = F.to_timestamp(F.date_add("epoch", half_days + 1))
-    joined = obs.withColumn("date", F.to_date("ts")).join(F.broadcast(spread), "date").withColumn("closes", end - F.expr("interval 1 second"))
+    joined = obs.withColumn("date", F.to_date("ts")).join(spread, "date").withColumn("closes", end - F.expr("interval 1 second"))
     agg = joined.withWatermark("closes", late).groupBy(F.window("closes", "1 day").alias("w"), "station", "epoch").agg(F.count("value").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
     return agg.select("station", "epoch", "n", F.when(F.col("n") >= least, F.col("median")).alias("median"))
 
