@@ -16,9 +16,10 @@ LENGTHS = (3, 4, 5)
 SAMPLE_ROWS = 4000
 STEPS = 300
 RATE = 0.05
-#: A bucket is in the model if so many rows of the sample have it and toxic rows have it more often, by so many standard
-#: errors of the difference: most words of a toxic text are like any other's, and would drown the few that are not.
+#: A bucket is in the model if so many rows of the sample have it, and toxic rows have it so many times as often as others and
+#: more often by so many standard errors: most words of a toxic text are like any other's, and would drown the few that are not.
 MIN_ROWS = 4
+LEAST_LIFT = 2.0
 LEAST_Z = 3.5
 DECAY = 1e-3
 #: The mean is over the words in the model, each for as much as its subwords are, and so many blank ones.
@@ -60,11 +61,27 @@ def _distinct_words(codes: np.ndarray, counts: np.ndarray, n_words: int) -> tupl
     return pairs // max(1, n_words), pairs % max(1, n_words)
 
 
+#: Characters of the sample's texts that are cut into subwords at once on the driver.
+PART_CHARS = 400_000
+
+
+def _parts(texts: list[str]):
+    """(first, last + 1) of consecutive texts with about PART_CHARS characters; one text at least."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > PART_CHARS:
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def associated(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """Which buckets are in the model, from the rows of either label that have them."""
     rows = np.zeros((2, BUCKETS))
-    for lo in range(0, len(texts), 200):
-        codes, distinct, counts = word_codes(texts[lo : lo + 200])
+    for lo, hi in _parts(texts):
+        codes, distinct, counts = word_codes(texts[lo:hi])
         grams, per_word = subwords(distinct)
         doc, word = _distinct_words(codes, counts, len(distinct))
         starts, reps = np.cumsum(per_word) - per_word, per_word[word]
@@ -75,7 +92,7 @@ def associated(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
     share = rows.sum(0) / n.sum()
     z = (rows[1] / n[1] - rows[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
-    return (z > LEAST_Z) & (rows.sum(0) >= MIN_ROWS)
+    return (z > LEAST_Z) & (rows[1] / n[1] >= LEAST_LIFT * rows[0] / n[0]) & (rows.sum(0) >= MIN_ROWS)
 
 
 def bags(texts: list[str], live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +123,13 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     if len(texts) == 0 or toxic.min() == toxic.max():
         return np.zeros(BUCKETS), np.zeros(BUCKETS, bool), (4.0 if len(texts) and toxic.max() else -4.0)
     live = associated(texts, toxic)
-    parts = [bags(texts[i : i + 200], live) for i in range(0, len(texts), 200)]
-    doc = np.concatenate([p[0] + 200 * k for k, p in enumerate(parts)])
-    idx, val = (np.cumsum(live) - 1)[np.concatenate([p[1] for p in parts])], np.concatenate([p[2] for p in parts])
+    place, parts = np.cumsum(live) - 1, []
+    for lo, hi in _parts(texts):
+        text, bucket, weight = bags(texts[lo:hi], live)
+        # One entry for each text and bucket, so there are at most as many as rows of the sample times buckets in the model.
+        key, at = np.unique(text * BUCKETS + bucket, return_inverse=True)
+        parts.append(((key // BUCKETS + lo).astype(np.int32), place[key % BUCKETS].astype(np.int32), np.bincount(at, weight, minlength=len(key))))
+    doc, idx, val = (np.concatenate([p[k] for p in parts]) for k in range(3))
     rng, n, size = np.random.default_rng(seed), len(texts), int(live.sum())
     params = [rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -120,8 +141,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         p /= p.sum(1, keepdims=True)
         p[np.arange(n), toxic] -= 1
         p /= n
-        back = (p @ out.T)[doc] * val[:, None]
-        grads = [np.stack([np.bincount(idx, back[:, k], minlength=size) for k in range(DIM)], 1) + DECAY * emb, bag.T @ p + DECAY * out, p.sum(0)]
+        back = p @ out.T
+        grads = [np.stack([np.bincount(idx, back[doc, k] * val, minlength=size) for k in range(DIM)], 1) + DECAY * emb, bag.T @ p + DECAY * out, p.sum(0)]
         rate = RATE * max(0.02, 1 - step / STEPS)
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
