@@ -32,8 +32,12 @@ def digest(block: Column) -> Column:
 
 
 def _decoded(texts: pd.Series) -> pd.Series:
-    """Character references decoded once, from left to right, by the rules and the table of HTML5."""
-    return texts.map(lambda t: "\n".join(html.unescape(x).translate(BLANK) for x in t.split("\n")), na_action="ignore")
+    """Character references decoded once, from left to right, by the rules and the table of HTML5.
+
+    A "p" before it marks a page, whose text is found first, a "t" a text.
+    """
+    text = lambda t: scanned(t[1:]) if t[0] == "p" else t[1:]
+    return texts.map(lambda t: "\n".join(html.unescape(x).translate(BLANK) for x in text(t).split("\n")), na_action="ignore")
 
 
 def marked_up(body: Column) -> Column:
@@ -110,10 +114,11 @@ def with_text(rows: DataFrame, body: str, name: str = "text") -> DataFrame:
     give is never read as a reference again. White space inside a line, also such that references stand for, and
     no-break spaces shrink to one space, and blank lines go. Only texts with an ampersand go through Python.
     """
+    # One stage of Python for both: pages that are scanned there, and texts of others that have references.
     long = F.length(body) > LONG
-    by_scan = F.pandas_udf(lambda pages: pages.map(scanned, na_action="ignore"), "string")(F.when(long, F.col(body)))
-    rows = rows.withColumn("_scanned", by_scan).withColumn(name, F.when(long, F.col("_scanned")).otherwise(marked_up(F.col(body)))).drop("_scanned")
-    rows = rows.withColumn("_refs", F.pandas_udf(_decoded, "string")(F.when(F.contains(F.col(name), F.lit("&")), F.col(name))))
+    rows = rows.withColumn(name, F.when(~long, marked_up(F.col(body))))
+    sent = F.when(long, F.concat(F.lit("p"), F.col(body))).when(F.contains(F.col(name), F.lit("&")), F.concat(F.lit("t"), F.col(name)))
+    rows = rows.withColumn("_refs", F.pandas_udf(_decoded, "string")(sent))
     t = F.regexp_replace(F.replace(F.coalesce("_refs", name), F.lit("\u00a0"), F.lit(" ")), r" {2,}", " ")
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
     return rows.withColumn(name, F.array_join(F.array_remove(lines, ""), "\n")).drop("_refs")
