@@ -118,7 +118,7 @@ def features(texts, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def frequent_words(*corpora: DataFrame, most: int = WORDS) -> list[bytes]:
-    """The words that stand most often in the texts, ties by their bytes; words that a batch has once do not count."""
+    """At most ``most`` of the words that stand most often in the texts; words that a batch has once do not count."""
 
     def count(batches):
         for batch in batches:
@@ -131,8 +131,18 @@ def frequent_words(*corpora: DataFrame, most: int = WORDS) -> list[bytes]:
     texts = corpora[0].select("text")
     for c in corpora[1:]:
         texts = texts.unionByName(c.select("text"))
-    words = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
+    words = cut(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # An eighth of a doubling is a level; from the levels that fit, at most ``most`` words in all come to the driver.
+    level = F.floor(8 * F.log2("n")).cast("int")
+    fits, total = [], 0
+    for at, k in sorted(((r["level"], r["count"]) for r in words.groupBy(level.alias("level")).count().collect()), reverse=True):
+        total += k
+        if total > most:
+            break
+        fits.append(at)
+    if not fits:
+        return []
+    return sorted(bytes(r["word"]) for r in words.where(level >= min(fits)).select("word").collect())
 
 
 def bucket_counts(corpus: DataFrame, words: list[bytes]) -> np.ndarray:
