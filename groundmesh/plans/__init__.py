@@ -11,5 +11,4 @@ for _module in (network_queries, pixel_queries, temporal_queries, spatial_querie
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 
-# Survey operators without a query: A24 by copy state, G10 and G20 beyond their parts, X5 by days, Q8 rule packs.
 # Sources S2-S8 and S14 are tested on files, as no given table holds their formats.
