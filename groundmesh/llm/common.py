@@ -148,7 +148,7 @@ def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.mod(keys.astype(np.int64), FILTER_BITS)
+    at = np.mod(keys.astype(np.int64), len(bits) << 6)
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 

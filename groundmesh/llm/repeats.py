@@ -16,7 +16,8 @@ from .common import bit_filter, cut, in_filter, mix64, table
 #: Bytes of a string that, found in an earlier document, is removed.
 LENGTH = 50
 #: Bytes of the k-mers whose least hash in a string of LENGTH bytes picks the string's bucket.
-KMER = 16
+KMER = 24
+#: Strings that one piece of text holds at most; a mark is a place in the text above SPAN bits for them.
 SPAN = LENGTH - KMER + 1
 #: Bytes of text that are hashed at once, and bits that hold a place among them.
 PIECE = 1 << 21
@@ -182,6 +183,36 @@ def shared_kmers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return bits, np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r["hot"], "<u8") for r in found)])).astype(np.uint64), sum(r["shared"] for r in found)
 
 
+#: Parts that the rows of one text are dealt to where copies meet their first.
+SALTS = 16
+
+
+class Copies:
+    """Which rows have a text that a smaller doc_id has too, as two filters of fixed size on the rows' keys.
+
+    The first filter has the keys of all copies, the second those of other rows that the first takes for copies. A row
+    in the first only is a copy for certain. As the filters fill up at larger corpora fewer copies are known so, and
+    the others are worked on as any text is; results do not change.
+    """
+
+    def __init__(self, rows: DataFrame):
+        salt = F.expr(f"pmod(key, {SALTS}L)")
+        known = cut(rows.where(f"octet_length(text) >= {LENGTH}").select("key", "nth", F.unhex(F.sha2("text", 256)).alias("sha"), salt.alias("salt")))
+        least = known.groupBy("sha").agg(F.min("nth").alias("first"), F.max("nth").alias("last")).where("first < last")
+        least = least.select("sha", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        told = cut(known.join(least, ["sha", "salt"], "left").select("key", F.coalesce(F.expr("nth > first"), F.lit(False)).alias("copy")))
+        self.yes = yes = bit_filter(told.where("copy"), "key")
+
+        def taken(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_filter(yes, batch.column("key").to_numpy())))
+
+        self.no = bit_filter(told.where("not copy").select("key").mapInArrow(taken, "key long"), "key")
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        return in_filter(self.yes, keys) & ~in_filter(self.no, keys)
+
+
 def maybe_shared(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     at = (key & np.uint64(SLICE_BITS - 1)).astype(np.int64)
     return (bits[(key >> np.uint64(30)).astype(np.int64), at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
@@ -361,7 +392,8 @@ def unpack(packed: bytes) -> list[np.ndarray]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``.
 
-    Each byte goes that lies in a string of LENGTH bytes which also starts in a text with a smaller doc_id. Strings
+    Each byte goes that lies in a string of LENGTH bytes which also starts in a text with a smaller doc_id. A text that
+    a smaller doc_id has as a whole goes as a whole, and nothing else can need it (`Copies`). The other texts' strings
     are dealt to buckets by their least k-mer, as pieces of text that hold all neighbouring strings of one bucket;
     buckets of k-mers that one text alone has stay at home. Pieces first meet as hashes (64 bits beside the 42 of their
     bucket): a piece that an earlier text has goes whole, and only the first text's pieces of buckets with different ones
@@ -372,7 +404,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("nth")).withColumn("key", F.xxhash64("nth", "text"))
-    found, hot, n_pieces = shared_kmers(rows)
+    copies = spark.sparkContext.broadcast(Copies(rows))
+
+    def others(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~copies.value.among(batch.column("key").to_numpy())))
+
+    source = rows.select("key", "nth", "text")
+    found, hot, n_pieces = shared_kmers(source.mapInArrow(others, source.schema))
     bits, hot_keys = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(hot)
 
     def is_hot(key):
@@ -380,7 +419,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return h[np.minimum(np.searchsorted(h, key), len(h) - 1)] == key if len(h) else np.zeros(len(key), dtype=bool)
 
     def candidates(batches, wanted):
-        for _, group, (keys, nth), data, owner, offset in pieces(batches, ("key", "nth")):
+        for _, group, (keys, nth), data, owner, offset in pieces(others(batches), ("key", "nth")):
             first, last, key = anchors(data, owner)
             take = maybe_shared(bits.value, key)
             take &= is_hot(key) == wanted
@@ -451,9 +490,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         whole, wanted = folded(key, nth, digest)
         bits = np.zeros(asked_bits, np.uint8)
         bits[asked_place(key[wanted], digest[wanted], nth[wanted], asked_bits)] = 1
-        columns = nth[whole], row[whole].astype(np.int64), at[whole], (np.int64(1) << (sizes[whole] - LENGTH + 1)) - 1
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.binary())], ["nth", "row", "at", "mask", "bits"])
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, 0, 0, int(wanted.sum()), np.packbits(bits).tobytes()), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["nth", "row", "at", "mask", "bits"])
+        columns = nth[whole], row[whole].astype(np.int64), marks_of(at[whole], (np.int64(1) << (sizes[whole] - LENGTH + 1)) - 1)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.binary())], ["nth", "row", "mark", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, 0, int(wanted.sum()), np.packbits(bits).tobytes()), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["nth", "row", "mark", "bits"])
 
     def index_part(_, packs):
         key, nth, row, at, sizes = (np.concatenate([x[k] for x in packs]) for k in range(5))
@@ -470,23 +509,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             o = order[i:j]
             mask = mark([text[s : s + n].tobytes() for s, n in zip(starts[o].tolist(), sizes[o].tolist(), strict=True)], nth[o], key[o])
             hit = mask != 0
-            yield pa.RecordBatch.from_arrays([pa.array(nth[o][hit]), pa.array(row[o][hit].astype(np.int64)), pa.array(at[o][hit]), pa.array(mask[hit])], ["nth", "row", "at", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(nth[o][hit]), pa.array(row[o][hit].astype(np.int64)), pa.array(marks_of(at[o][hit], mask[hit]))], ["nth", "row", "mark"])
             i = j
 
-    source = rows.select("key", "nth", "text")
-
     def shuffled(found, parts, run, fields):
         packs = source.mapInArrow(lambda batches: packed_by_part(batches, found, parts), "part int, pack binary")
         return packs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda batches: by_part(batches, run), fields)
 
-    met = cut(shuffled(digests, parts, fold_part, "nth long, row long, at int, mask long, bits binary"))
+    met = cut(shuffled(digests, parts, fold_part, "nth long, row long, mark long, bits binary"))
     wanted, n_wanted = np.zeros((parts, asked_bits // 8), np.uint8), 0
-    for r in met.where("bits is not null").select("nth", "mask", "bits").collect():  # ASKED_BITS in all
+    for r in met.where("bits is not null").select("nth", "mark", "bits").collect():  # ASKED_BITS in all
         wanted[r["nth"]] = np.frombuffer(r["bits"], np.uint8)
-        n_wanted += r["mask"]
+        n_wanted += r["mark"]
     asked = spark.sparkContext.broadcast(wanted)
     marks = met.where("bits is null").drop("bits")
-    marks = marks.unionByName(shuffled(texts, max(least_parts, -(-n_wanted // PART_PIECES)), index_part, "nth long, row long, at int, mask long"))
+    marks = marks.unionByName(shuffled(texts, max(least_parts, -(-n_wanted // PART_PIECES)), index_part, "nth long, row long, mark long"))
 
     if len(hot):
 
@@ -496,48 +533,58 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 where = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
                 start = np.repeat(at - first, sizes) + where
                 string = [data[i : i + LENGTH].tobytes() for i in where]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nth, sizes)), pa.array(np.repeat(row & 0xFFFFFFFF, sizes)), pa.array(start.astype(np.int32)), pa.array(string, pa.binary())], ["nth", "row", "at", "string"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nth, sizes)), pa.array(np.repeat(row & 0xFFFFFFFF, sizes)), pa.array(marks_of(start, 1)), pa.array(string, pa.binary())], ["nth", "row", "mark", "string"])
 
-        each = cut(source.mapInArrow(single, "nth long, row long, at int, string binary"))
+        each = cut(source.mapInArrow(single, "nth long, row long, mark long, string binary"))
         least = each.groupBy("string").agg(F.min("nth").alias("first"))
-        marks = marks.unionByName(each.join(least, "string").where("nth > first").select("nth", "row", "at", F.lit(1).cast("long").alias("mask")))
+        marks = marks.unionByName(each.join(least, "string").where("nth > first").select("nth", "row", "mark"))
 
     name = F.xxhash64("nth", "row").alias("name")
-    per_text = cut(marks.groupBy("nth", "row").agg(F.collect_list(F.struct("at", "mask")).alias("marks")))
+    per_text = cut(marks.groupBy("nth", "row").agg(F.collect_list("mark").alias("marks")))
     marked = spark.sparkContext.broadcast(bit_filter(per_text.select(name), "name"))
     fields = f"doc_id {kind}, nth long, row long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     columns = ["doc_id", "nth", "row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
+    nothing = hashlib.sha256(b"").hexdigest()
+
     def in_place(batches):
         for batch in batches:
-            flagged = in_filter(marked.value, batch.column("name").to_numpy())
+            flagged, copied = in_filter(marked.value, batch.column("name").to_numpy()), copies.value.among(batch.column("key").to_numpy())
             out = []
-            for nth, row, text, flag in zip(*(batch.column(c).to_pylist() for c in ("nth", "row", "text")), flagged, strict=True):
+            for nth, row, text, flag, copy in zip(*(batch.column(c).to_pylist() for c in ("nth", "row", "text")), flagged, copied, strict=True):
                 data = text.encode()
-                out.append((nth, row, text, None, None, None, None) if flag else (nth, row, None, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                if copy:
+                    out.append((nth, row, None, len(data), len(data), 1, nothing))
+                else:
+                    out.append((nth, row, text, None, None, None, None) if flag else (nth, row, None, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True))], columns)
 
     def finish(batches):
         for batch in batches:
             out, marks = [], batch.column("marks")
             edges = marks.offsets.to_numpy()
-            at, mask = marks.values.field("at").to_numpy(), marks.values.field("mask").to_numpy()
+            each = marks.values.to_numpy()
             for i, (nth, row, text, n, removed, spans, sha) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[1:]), strict=True)):
                 lo, hi = edges[i], edges[i + 1]
-                out.append((nth, row, None, n, removed, spans, sha) if text is None else (nth, row, None, *without(text.encode(), at[lo:hi], mask[lo:hi])))
+                out.append((nth, row, None, n, removed, spans, sha) if text is None else (nth, row, None, *without(text.encode(), each[lo:hi])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True))], columns)
 
-    first = rows.select("doc_id", "nth", F.expr("key & 4294967295").alias("row"), "text").select("doc_id", "nth", "row", name, "text").mapInArrow(in_place, fields)
+    first = rows.select("doc_id", "nth", F.expr("key & 4294967295").alias("row"), "key", "text").select("doc_id", "nth", "row", name, "key", "text").mapInArrow(in_place, fields)
     done = first.join(per_text, ["nth", "row"], "left").select(*columns, "marks").mapInArrow(finish, fields)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without(data: bytes, at: np.ndarray, mask: np.ndarray) -> tuple[int, int, int, str]:
+def marks_of(at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """One number for each piece: its place in the text, and a bit for each of its strings that goes."""
+    return (at.astype(np.int64) << SPAN) | mask
+
+
+def without(data: bytes, marks: np.ndarray) -> tuple[int, int, int, str]:
     """(bytes, removed bytes, removed runs, SHA-256 of the rest) once the marked strings are gone."""
     starts = np.zeros(len(data) + 1, dtype=np.int64)
-    places = at[:, None] + np.arange(SPAN)
-    starts[places[(mask[:, None] >> np.arange(SPAN)) & 1 == 1]] = 1
+    places = (marks >> SPAN)[:, None] + np.arange(SPAN)
+    starts[places[(marks[:, None] >> np.arange(SPAN)) & 1 == 1]] = 1
     seen = np.cumsum(starts)
     # A byte goes if a marked string starts at it or at one of the LENGTH - 1 bytes before.
     gone = seen[:-1] > np.concatenate([np.zeros(LENGTH, np.int64), seen])[: len(data)]

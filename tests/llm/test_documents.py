@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundmesh.llm import bpe, fingerprints, lines, mixing, neardup, quality, repeats, sharding, toxicity, warc
+from groundmesh.llm import bpe, common, fingerprints, lines, mixing, neardup, quality, repeats, sharding, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, label string"
 random.seed(5)
@@ -242,6 +242,15 @@ def test_repeats_match_brute_force(docs, empty, monkeypatch):
     assert removed(empty) == []
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_copies_of_whole_texts_go_whatever_the_filters_say(spark, monkeypatch, bits):
+    """Copies beside equal and null ids, short texts and texts that share a passage; with filters that are full, and wide."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    page = [words(14, 600 + i) + " " + PASSAGE * (i % 3) + words(9, 640 + i) for i in range(40)]
+    pairs = [(i, page[i % 40]) for i in range(90)] + [(3, page[3]), (3, "short"), (4, "short"), (50, page[10]), (None, page[7]), (None, "new " + page[8]), (2, page[39]), (95, None), (96, "")]
+    assert removed(spark.createDataFrame(pairs, "doc_id long, text string")) == brute_repeats(pairs)
+
+
 def test_run_length_index_finds_the_earliest_place():
     strings = [b"abracadabra" * 8, b"x" * 60, b"zz" + b"abracadabra" * 8, b"x" * 70]
     index = repeats.RunLengthIndex(strings)
