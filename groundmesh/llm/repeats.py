@@ -29,8 +29,8 @@ SLICE_BITS = 1 << 15
 SLICE_KEYS = 1 << 22
 #: A bucket that more texts share than this is not indexed: its strings are compared one by one, by a shuffle.
 HOT_TEXTS = 100_000
-#: Bytes of candidate pieces that a task gathers before it packs them.
-FLUSH = 64 << 20
+#: Bytes of candidate pieces that a task gathers before it packs them, and those of a piece beside its content.
+FLUSH, PIECE_BYTES = 64 << 20, 40
 #: Candidate pieces that a part of the shuffle holds, about 2 MB of text for each 30,000; a part is indexed by one task.
 PART_PIECES = 200_000
 #: Bits of the filter on pieces whose text the index needs; as it fills up more texts travel, results do not change.
@@ -112,9 +112,10 @@ def merged_counts(keys: np.ndarray, counts: np.ndarray, blobs: list[np.ndarray],
     return keys[counts > loss], counts[counts > loss] - loss, loss
 
 
-def shared_kmers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+def shared_kmers(docs: DataFrame, kept) -> tuple[np.ndarray, np.ndarray, int]:
     """(filter bits by slice, hot keys, pieces): which least k-mers stand in two texts or more, and in very many.
 
+    kept: takes the batches of a task and gives those rows that count, in the same Python process.
     Keys travel as sorted arrays of 4 bytes each. SLICES rows of fixed size reach the driver, and the hot keys, of which
     there are at most as many as least k-mers in the corpus over HOT_TEXTS. pieces: how many keys of a text are shared.
     """
@@ -130,7 +131,7 @@ def shared_kmers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             blobs = [low[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(key)), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array(blobs, pa.binary())], ["slice", "low"])
 
-        for _, _, _, data, owner, _ in pieces(batches):
+        for _, _, _, data, owner, _ in pieces(kept(batches)):
             first, _, key = anchors(data, owner)
             if len(key):
                 order = np.lexsort((key, owner[first]))
@@ -175,7 +176,7 @@ def shared_kmers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         if now is not None:
             yield close()
 
-    low = docs.select("text").mapInArrow(keys, "slice int, low binary")
+    low = docs.mapInArrow(keys, "slice int, low binary")
     found = low.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "slice int, bits binary, hot binary, shared long").collect()
     bits = np.zeros((SLICES, SLICE_BITS // 8), np.uint8)
     for r in found:
@@ -411,7 +412,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(~copies.value.among(batch.column("key").to_numpy())))
 
     source = rows.select("key", "nth", "text")
-    found, hot, n_pieces = shared_kmers(source.mapInArrow(others, source.schema))
+    found, hot, n_pieces = shared_kmers(source, others)
     bits, hot_keys = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(hot)
 
     def is_hot(key):
@@ -454,7 +455,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         for key, nth, row, at, sizes, content, widths in found(batches):
             held.append((key, nth, (row & 0xFFFFFFFF).astype(np.uint32), at.astype(np.int32), sizes, content, widths))
-            size += len(content)
+            size += len(content) + PIECE_BYTES * len(key)
             if size > FLUSH:
                 yield flush()
                 held, size = [], 0
