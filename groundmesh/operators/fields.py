@@ -59,7 +59,7 @@ def spaced_greedy(cands: DataFrame, distance: float, most: int) -> DataFrame:
 
 def reference_sensitivity(zones: DataFrame, references: DataFrame) -> DataFrame:
     """Each zone's spread over candidate references (reference, value): range and deviation of zone minus reference."""
-    d = zones.crossJoin(F.broadcast(references)).withColumn("shifted", F.col("median") - F.col("value"))
+    d = zones.crossJoin(references).withColumn("shifted", F.col("median") - F.col("value"))
     return d.groupBy("zone").agg((F.max("shifted") - F.min("shifted")).alias("spread"), F.stddev_samp("shifted").alias("sd"))
 
 

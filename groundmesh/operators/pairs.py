@@ -121,8 +121,8 @@ def pair_model(pair_px: DataFrame, epoch_px: DataFrame) -> DataFrame:
 
 
 def scenarios(px: DataFrame, grid: DataFrame) -> DataFrame:
-    """Pixels that pass each scenario (scenario_id, coherence_min, threshold): a small grid, broadcast."""
-    return px.join(F.broadcast(grid), (px["tcoh"] >= grid["coherence_min"]) & (F.abs(px["velocity"]) >= grid["threshold"]))
+    """Pixels that pass each scenario (scenario_id, coherence_min, threshold); the planner sends the grid to all tasks if it is small."""
+    return px.join(grid, (px["tcoh"] >= grid["coherence_min"]) & (F.abs(px["velocity"]) >= grid["threshold"]))
 
 
 def presence_matrix(acq: DataFrame, bursts: list[str]) -> DataFrame:

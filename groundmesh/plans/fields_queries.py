@@ -134,7 +134,7 @@ def _(spark, d):
     e, p = _cube(spark, d)
     steps = [(a, a + s) for a in range(64) for s in (1, 2) if a + s < 64]
     index = spark.createDataFrame([(f"{a}_{b}", i) for i, (a, b) in enumerate(steps)], "pair_id string, pair int")
-    cells = p.withColumn("unw", F.col("ddisp") / -K).withColumn("coh", F.lit(0.9)).join(F.broadcast(index), "pair_id")
+    cells = p.withColumn("unw", F.col("ddisp") / -K).withColumn("coh", F.expr("0.35 + 0.05 * ((3 * row + 7 * col + cast(split(pair_id, '_')[1] as int)) % 12)")).join(index, "pair_id")
     x = fields.invert_network(cells.select("row", "col", "pair", "unw", "coh"), steps, [i * 12 / 365.25 for i in range(64)], 8)
     return x.select("row", "col", F.round("rate", 7).alias("rate"), F.round("coherence", 7).alias("coherence"), F.round(F.element_at("disp", -1), 7).alias("last"))
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from groundmesh.operators import gates, geo, pairs, series, stats
+from groundmesh.operators import fields, gates, geo, pairs, series, stats
 
 
 def plain_slope(t, y):
@@ -104,3 +104,29 @@ def test_fingerprint_tree(spark):
     assert gates.differing_ranges(tree, gates.fingerprint_tree(df.repartition(7), ["id"], 2), 2).count() == 0
     one, two = (gates.table_fingerprint(spark.createDataFrame(x, "a int")).first()["fingerprint"] for x in ([(1,), (2,)], [(1,), (1,)]))
     assert one != two and gates.table_fingerprint(df.limit(0)).first()["rows"] == 0
+
+
+def test_inversion_weighs_pairs_that_disagree(spark):
+    """Noisy pairs of varied coherence, some missing, against weighted least squares of each pixel; one pixel lacks a date."""
+    r = np.random.default_rng(4)
+    pairs, dates = [(0, 1), (1, 2), (0, 2), (2, 3), (1, 3), (3, 4), (2, 4), (0, 4)], [0.0, 0.1, 0.25, 0.3, 0.6]
+    design = np.array([[(b == i) - (a == i) for i in range(1, 5)] for a, b in pairs], float)
+    rows, want = [], {}
+    for row in range(3):
+        for col in range(5):
+            phase, coh = r.normal(0, 3, len(pairs)), r.choice([0.0, 0.2, 0.5, 0.9, 1.0], len(pairs))
+            keep = r.random(len(pairs)) > 0.15
+            if (row, col) == (2, 2):
+                keep = np.array([4 not in p for p in pairs])  # the last date has no pair
+            rows += [(row, col, k, float(phase[k]) if keep[k] else None, float(coh[k]) if coh[k] else None) for k in range(len(pairs))]
+            c = np.clip(coh, 0.05, 0.98)
+            w = np.sqrt(c * c / (1 - c * c))[keep]
+            x, _, rank, _ = np.linalg.lstsq(design[keep] * w[:, None], phase[keep] * w, rcond=None)
+            if rank == 4:
+                disp = np.concatenate([[0.0], x * -fields.WAVELENGTH_M / (4 * np.pi)])
+                want[row, col] = disp, np.polyfit(dates, disp, 1)[0], abs(np.exp(1j * (phase[keep] - design[keep] @ x)).mean())
+    px = spark.createDataFrame(rows, "row int, col int, pair int, unw double, coh double")
+    got = {(x["row"], x["col"]): x for x in fields.invert_network(px, pairs, dates, 2).collect()}
+    assert got.keys() == want.keys() and (2, 2) not in got
+    for k, (disp, rate, coherence) in want.items():
+        assert np.allclose(got[k]["disp"], disp, atol=1e-9) and abs(got[k]["rate"] - rate) < 1e-8 and abs(got[k]["coherence"] - coherence) < 1e-8
