@@ -117,12 +117,13 @@ def _(spark, d):
     return rounded(compare.implied_components(z, ["zone"], *LOOKS), 6)
 
 
-CROSS = f"""{VIEWS}, z as (select zone, quantile_cont(a, .5) as a, quantile_cont(b, .5) as b, quantile_cont(ta, .5) as ca, quantile_cont(tb, .5) as cb, count(*) as n_both, avg((tb >= .8)::int) as coverage, avg((abs(b) >= 10)::int) >= .2 as detected from v group by 1)"""
+CROSS = f"""{VIEWS}, z as (select zone, quantile_cont(a, .5) as a, quantile_cont(b, .5) as b, quantile_cont(ta, .5) as ca, quantile_cont(tb, .5) as cb, count(*) as n_both, stddev_samp(a) / sqrt(count(*)) as sa, stddev_samp(b) / sqrt(count(*)) as sb, avg((tb >= .8)::int) as coverage, avg((abs(b) >= 10)::int) >= .2 as detected from v group by 1)"""
 
 
 def _cross(spark, d):
     return _views(spark, d).groupBy("zone").agg(
         *[F.percentile(c, F.lit(0.5)).alias(n) for c, n in (("a", "a"), ("b", "b"), ("ta", "coherence_a"), ("tb", "coherence_b"))], F.count("*").alias("n_both"),
+        *[(F.stddev_samp(c) / F.sqrt(F.count("*"))).alias(f"sigma_{c}") for c in ("a", "b")],
         F.avg((F.col("tb") >= 0.8).cast("double")).alias("coverage"), (F.avg((F.abs("b") >= 10).cast("double")) >= 0.2).alias("detected"),
     )
 
@@ -133,12 +134,13 @@ def _(spark, d):
     return masks.cross_class(_cross(spark, d)).select("zone", "cross_class")
 
 
-@query("decomposition_eligibility", f"""with {CROSS}, k as (select *, (.58 * a + .62 * b) / (.77 * .58 + .62 * .80) as vertical, abs(b) / nullif(abs(a), 0) as ratio from z)
+@query("decomposition_eligibility", f"""with {CROSS}, k as (select *, (.58 * a + .62 * b) / (.77 * .58 + .62 * .80) as vertical, sqrt(pow(.58 * sa, 2) + pow(.62 * sb, 2)) / (.77 * .58 + .62 * .80) as sigma, abs(b) / nullif(abs(a), 0) as ratio from z)
 select zone, case when n_both < 5 then 'few common cells' else concat_ws('; ', case when sign(a) <> sign(b) then 'sign disagreement' end, case when ratio is null or ratio not between .5 and 2 then 'magnitude ratio outside 0.5-2.0' end, case when ca < .8 then 'coherence of a under 0.8' end,
- case when cb < .8 then 'coherence of b under 0.8' end, case when abs(vertical) <= 1 then 'vertical within 2 sigma' end) end as reasons from k""")
+ case when cb < .8 then 'coherence of b under 0.8' end, case when coalesce(abs(vertical) <= 2 * sigma, true) then 'vertical within 2 sigma' end) end as reasons from k""")
 def _(spark, d):
     (ea, _, ua), (eb, _, ub) = LOOKS
-    z = _cross(spark, d).withColumn("vertical", (eb * F.col("a") - ea * F.col("b")) / (ua * eb - ea * ub)).withColumn("vertical_sigma", F.lit(0.5))
+    z = _cross(spark, d).withColumn("vertical", (eb * F.col("a") - ea * F.col("b")) / (ua * eb - ea * ub))
+    z = z.withColumn("vertical_sigma", F.sqrt(F.pow(eb * F.col("sigma_a"), 2) + F.pow(ea * F.col("sigma_b"), 2)) / abs(ua * eb - ea * ub))
     return masks.decomp_eligibility(z).select("zone", "reasons")
 
 
