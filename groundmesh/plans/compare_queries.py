@@ -156,7 +156,7 @@ def _(spark, d):
  from e left join f on f.date = e.date left join c on c.date = e.date""")
 def _(spark, d):
     li = table(spark, d, "lineitem").withColumn("date", F.to_date("l_shipdate"))
-    files = li.where("l_orderkey % 5 != 0").select("date", F.round(F.col("l_extendedprice") / 10).cast("long").alias("bytes"))
+    files = li.where("l_orderkey % 5 != 0").select("date", F.rint(F.col("l_extendedprice") / 10).cast("long").alias("bytes"))  # halves to even, as the SQL's cast
     delays = li.select("date", (F.col("l_suppkey") % 2 == 0).alias("in_aoi"), F.when(F.col("l_tax") > 0, F.col("l_tax").cast("double")).alias("value"))
     return rounded(compare.correction_coverage(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")), files, delays, 5000, 0.9), 6)
 

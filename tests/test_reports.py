@@ -36,6 +36,16 @@ def test_untraced_quantities(spark):
     assert [tuple(r) for r in got] == [("7.77", 2)]
 
 
+def test_file_sizes_are_rounded_to_even(spark, tmp_path):
+    from groundmesh import plans
+
+    day = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(day,)], "o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 2, 104005.0, 0.1, day), (2, 2, 103985.0, 0.0, day)], "l_orderkey long, l_suppkey long, l_extendedprice double, l_tax double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (got,) = plans.QUERIES["correction_coverage"](spark, str(tmp_path)).collect()
+    assert (got["bytes"], got["finite"], got["state"]) == (10400, 0.5, "incomplete area")
+
+
 def test_reference_choice(spark):
     r = random.Random(3)
     rows = [(i, j, r.choice([0.9, 0.96, 1.0]), 1000.0 * r.randint(0, 5), r.random(), r.uniform(-4, 4), r.random(), r.choice([0.0, 0.0, 0.1, None])) for i in range(9) for j in range(9)]
