@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,11 +150,17 @@ def pack_audit(docs: DataFrame, packs: dict[str, list[tuple[str, str, str]]]) ->
 def untraced_quantities(docs: DataFrame, values: DataFrame, unit: str, allowed: list[str] = ()) -> DataFrame:
     """quantity, documents: numbers before ``unit`` (a pattern) that are no known value with 1 to 3 decimals and not allowed.
 
-    docs: doc_id, text; values: value. Thousands may be parted by commas; a number has one or two decimals.
+    docs: doc_id, text; values: value. Thousands may be parted by commas; a number has one or two decimals. Values are
+    written as C's printf does, by the exact binary value (7267.65 is 7267.6); format_string rounds what is printed of it.
     """
-    found = F.regexp_extract_all("text", F.lit(rf"([0-9][0-9,]*\.[0-9]{{1,2}})\s*{unit}"), 1)
+
+    @F.pandas_udf("array<string>")
+    def written(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: [f"{x:.{k}f}" for k in (1, 2, 3)])
+
+    found = F.regexp_extract_all("text", F.lit(rf"([0-9][0-9,]*\.[0-9]{{1,2}})[\t\n\f\r ]*{unit}"), 1)
     said = docs.select("doc_id", F.explode(F.array_distinct(found)).alias("quantity")).withColumn("token", F.replace("quantity", F.lit(",")))
-    forms = values.where("value is not null").select(F.explode(F.array(*[F.format_string(f"%.{k}f", F.col("value").cast("double")) for k in (1, 2, 3)])).alias("token")).distinct()
+    forms = values.where("value is not null").select(F.col("value").cast("double").alias("value")).distinct().select(F.explode(written("value")).alias("token")).distinct()
     loose = said.join(forms, "token", "left_anti").where(~F.col("token").isin(*allowed) if allowed else F.lit(True))
     return loose.groupBy("quantity").agg(F.count_distinct("doc_id").alias("documents"))
 

@@ -36,6 +36,13 @@ def test_untraced_quantities(spark):
     assert [tuple(r) for r in got] == [("7.77", 2)]
 
 
+def test_quantities_are_traced_as_the_sql_writes_them(spark):
+    docs = spark.createDataFrame([(1, "7267.6 km2, 7267.7 km2"), (2, "0.2 km2 0.3 km2"), (3, "5.5\x0bkm2 8.5\fkm2")], "doc_id long, text string")
+    values = spark.createDataFrame([(7267.65,), (0.25,)], "value double")
+    got = reports.untraced_quantities(docs, values, "km2").collect()
+    assert sorted(tuple(r) for r in got) == [("0.3", 1), ("7267.7", 1), ("8.5", 1)]
+
+
 def test_file_sizes_are_rounded_to_even(spark, tmp_path):
     from groundmesh import plans
 
