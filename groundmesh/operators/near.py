@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,13 +80,100 @@ def within_km(zones: DataFrame, stations: DataFrame, cap_km: float) -> DataFrame
     return z.join(s, ["_i", "_j", "_k"]).select("id", "station", km.alias("km")).where(F.col("km") <= cap_km)
 
 
+#: Zones and places of a group that are counted together, strips of latitude to the widest band, points tested in one step.
+ZONES = 4096
+PLACES = 500_000
+STRIPS = 128
+TESTED = 2_000_000
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of all places of the ranges first, first + 1, ..., of n places each."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+
+
+def counts_within(zones: tuple[np.ndarray, np.ndarray], places: tuple[np.ndarray, np.ndarray, np.ndarray], edges: tuple[float, ...]) -> np.ndarray:
+    """How many stations lie within each edge (km) of each zone. zones: lat, lon; places: lat, lon, stations there.
+
+    Places lie in strips of latitude, by longitude in each. In a strip, what lies within a bound for the part of it that is
+    farthest is counted by two searches; what lies between this and the bound for the nearest part is measured. So a zone
+    meets the strips and the places near its circles, not all places inside.
+    """
+    turned = lambda x: np.radians(np.mod(x - zones[1][0] + 180, 360) - 180)
+    z_lat, z_lon, p_lat, p_lon = np.radians(zones[0]), turned(zones[1]), np.radians(places[0]), turned(places[1])
+    low, high, wide = p_lat.min(), max(edges) / EARTH_KM / STRIPS, 16.0
+    strip = np.floor((p_lat - low) / high).astype(np.int64)
+    order = np.lexsort((p_lon, strip))
+    p_lat, p_lon, many = p_lat[order], p_lon[order], places[2][order].astype(np.float64)
+    key, before = strip[order] * wide + p_lon, np.concatenate([[0.0], np.cumsum(many)])
+    out = np.zeros((len(z_lat), len(edges)))
+    for e, km in enumerate(edges):
+        arc = km / EARTH_KM
+        most = math.sin(min(arc, math.pi) / 2) ** 2
+        first = np.clip(np.floor((z_lat - arc - 1e-9 - low) / high), 0, strip.max() + 1).astype(np.int64)
+        last = np.clip(np.floor((z_lat + arc + 1e-9 - low) / high), -1, strip.max()).astype(np.int64)
+        for at in range(0, len(z_lat), 1024):
+            one = slice(at, at + 1024)
+            z, s = _ranges(first[one], np.maximum(last[one] - first[one] + 1, 0))
+            z = z + at
+            lo, hi = low + s * high - 1e-12, low + (s + 1) * high + 1e-12
+            least = np.maximum(0, np.maximum(lo - z_lat[z], z_lat[z] - hi))
+            far = np.maximum(np.abs(lo - z_lat[z]), np.abs(hi - z_lat[z]))
+            cos_lo, cos_hi = np.maximum(np.cos(lo), 0), np.maximum(np.cos(hi), 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                outer = np.nan_to_num((most - np.sin(least / 2) ** 2) / (np.cos(z_lat[z]) * np.minimum(cos_lo, cos_hi)), nan=1.0)
+                inner = np.nan_to_num((most - np.sin(far / 2) ** 2) / (np.cos(z_lat[z]) * np.where((lo < 0) & (hi > 0), 1.0, np.maximum(cos_lo, cos_hi))), nan=-1.0)
+            # 1e-9 (6 mm) on the safe side: what the rounding of a bound could misplace is measured.
+            reach = 2 * np.arcsin(np.sqrt(np.clip(outer, 0, 1))) + 1e-9
+            sure = 2 * np.arcsin(np.sqrt(np.clip(inner, 0, 1))) - 1e-9
+            round_ = (z_lon[z] - reach < -math.pi) | (z_lon[z] + reach > math.pi)
+            reach, middle = np.where(round_, 4.0, reach), np.where(round_, 0.0, z_lon[z])
+            a, d = np.searchsorted(key, s * wide + middle - reach, "left"), np.searchsorted(key, s * wide + middle + reach, "right")
+            b, c = np.searchsorted(key, s * wide + middle - sure, "left"), np.searchsorted(key, s * wide + middle + sure, "right")
+            none = round_ | (sure <= 0)
+            b, c = np.where(none, d, b), np.where(none, d, c)
+            out[:, e] += np.bincount(z, before[c] - before[b], len(z_lat))
+            z, start, n = np.concatenate([z, z]), np.concatenate([a, c]), np.concatenate([b - a, d - c])
+            step = np.cumsum(n) // TESTED
+            for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(step)) + 1):
+                of, p = _ranges(start[cut], n[cut])
+                x = z[cut][of]
+                h = np.sin((p_lat[p] - z_lat[x]) / 2) ** 2 + np.cos(z_lat[x]) * np.cos(p_lat[p]) * np.sin((p_lon[p] - z_lon[x]) / 2) ** 2
+                out[:, e] += np.bincount(x, many[p] * (2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1))) <= km), len(z_lat))
+    return np.rint(out).astype(np.int64)
+
+
 def station_bands(zones: DataFrame, stations: DataFrame, edges: tuple[float, ...] = (1, 2, 5, 10, 20)) -> DataFrame:
-    """Each zone's stations in each distance band: up to the first edge, between edges; zones without any count 0."""
-    from .geo import distance_bands
+    """Each zone's stations in each distance band: up to the first edge, between edges; zones without any count 0.
 
-    counts = distance_bands(within_km(zones, stations, max(edges)), ["id"])
-    names = [c for c in counts.columns if c != "id"]
-    return zones.select("id").join(counts, "id", "left").na.fill(0, names).select("id", *names)
+    Places go once, with how many stations they have, to the cells (as wide as the last edge) around theirs that have zones;
+    counts_within counts there. Zones and places of full cells are dealt to groups of bounded size, whose counts add up.
+    """
+    names, cell = [f"upto_{b:g}" for b in edges], ["_i", "_j", "_k"]
+    edges = tuple(map(float, edges))
+    size = max(1e-9, 2 * math.sin(min(math.pi / 2, max(edges) / EARTH_KM / 2)) * (1 + 1e-9))
+    parts = lambda most: F.ceil(F.count("*") / most).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = "lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
+    z = zones.where("id is not null").where(place).select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    z = z.select("*", *_cell(_on_sphere("lat", "lon"), size))
+    p = stations.where(place).groupBy(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).agg(F.count("*").alias("n"))
+    p = _around(p.select("*", *_cell(_on_sphere("lat", "lon"), size)), cell).join(z.groupBy(*cell).agg(parts(ZONES).alias("_zs")), cell)
+    dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    full = p.groupBy(*cell).agg(parts(PLACES).alias("_ps"), F.first("_zs").alias("_zs"))
+    z = z.join(full, cell).select("id", "lat", "lon", *cell, dealt("_zs", "id", "lat", "lon").alias("_a"), each("_ps").alias("_b"))
+    p = p.join(full.select(*cell, "_ps"), cell).select("lat", "lon", "n", *cell, each("_zs").alias("_a"), dealt("_ps", "lat", "lon").alias("_b"))
+
+    def run(key, a, b):
+        n = counts_within((a["lat"].to_numpy(), a["lon"].to_numpy()), (b["lat"].to_numpy(), b["lon"].to_numpy(), b["n"].to_numpy()), edges) if len(a) and len(b) else np.zeros((len(a), len(edges)), np.int64)
+        n = np.diff(n, axis=1, prepend=0)
+        return pd.DataFrame({"id": a["id"], **{x: n[:, k] for k, x in enumerate(names)}})
+
+    group = [*cell, "_a", "_b"]
+    found = z.groupBy(*group).cogroup(p.groupBy(*group)).applyInPandas(run, f"id {dict(zones.dtypes)['id']}, " + ", ".join(f"`{x}` long" for x in names))
+    counts = found.groupBy("id").agg(*[F.sum(f"`{x}`").alias(x) for x in names])
+    return zones.select("id").join(counts, "id", "left").select("id", *[F.coalesce(f"`{x}`", F.lit(0)).alias(x) for x in names])
 
 
 def dist_to_polygon(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:

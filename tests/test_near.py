@@ -3,6 +3,10 @@
 import math
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from groundmesh.operators import geo, near
 
 
@@ -58,3 +62,31 @@ def test_distance_to_polygons(spark):
     best = {x["id"]: x["poly_id"] for x in near.best_match(got, ["id"]).collect()}
     assert best[101] == "hole" and best[104] == "point"
     assert near.dist_to_polygon(spark.createDataFrame(pts, "id long, x double, y double"), geo.polygon_edges(spark, rings).limit(0), ["id"]).collect() == []
+
+
+@pytest.mark.parametrize("limits", [(4096, 500_000), (7, 11)])
+def test_counts_of_bands_match_brute_force(spark, monkeypatch, limits):
+    for n, v in zip(("ZONES", "PLACES"), limits, strict=True):
+        monkeypatch.setattr(near, n, v)
+    r = np.random.default_rng(5)
+    edges = (1, 2.5, 5, 10, 20)
+    for lat, lon in ((28.0, 76.0), (0.0, 180.0), (89.95, 0.0), (-89.99, 10.0)):
+        wide = 0.6 / max(np.cos(np.radians(lat)), 0.002)
+        spots = [(float(max(-90, min(90, lat + y))), float((lon + x + 180) % 360 - 180)) for y, x in zip(r.uniform(-0.3, 0.3, 150), r.uniform(-wide, wide, 150), strict=True)]
+        z, s = [(k, *x) for k, x in enumerate(spots[:40])] + [(40, None, 1.0), (41, -lat, lon)], [(k, *x) for k, x in enumerate(spots + spots[:30] + spots[:5])] + [(999, None, None)]
+        frame = lambda rows: spark.createDataFrame(rows, "id long, lat double, lon double")
+        got = {x["id"]: tuple(x)[1:] for x in near.station_bands(frame(z), frame(s), edges).collect()}
+        met = geo.distance_bands(frame(z).crossJoin(frame(s).select(F.col("lat").alias("y"), F.col("lon").alias("x"))).select("id", geo.haversine_km(*map(F.col, ("lat", "lon", "y", "x"))).alias("km")), ["id"], edges)
+        want = {x["id"]: tuple(v or 0 for v in tuple(x)[1:]) for x in met.collect()}
+        assert got == want and sum(map(sum, want.values())) > 500
+
+
+def test_bands_meet_the_places_near_their_circles_only(monkeypatch):
+    """Of 200,000 places within the last edge, few are measured one by one."""
+    r, seen, plain = np.random.default_rng(1), [], near._ranges
+    monkeypatch.setattr(near, "_ranges", lambda a, n: seen.append(int(n.sum())) or plain(a, n))
+    places = (28 + r.uniform(0, 0.2, 200_000), 76 + r.uniform(0, 0.2, 200_000), np.ones(200_000, np.int64))
+    monkeypatch.setattr(near, "TESTED", 50)
+    (got,) = near.counts_within((np.array([28.1]), np.array([76.1])), places, (1.0, 2.0, 5.0, 10.0, 20.0))
+    assert sum(seen) < 60_000
+    assert got.tolist() == [sum(km((28.1, 76.1), x) <= e for x in zip(*places[:2], strict=True)) for e in (1, 2, 5, 10, 20)]
