@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import fields, geo, series, stats
+from . import fields, geo, stats
 from .lineage import saved
 from .quantiles import exact_quantiles
 
@@ -14,23 +17,64 @@ def _median(c: Column) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
+def _pair_rates(n: int, pair: np.ndarray, t: np.ndarray, y: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rate, its deviation) of each of n series, as series.weighted_rate has them. pair: the series of each row."""
+    fine = ~(np.isnan(t) | np.isnan(y))
+    pair, t, y, sigma = pair[fine], t[fine], y[fine], np.where(sigma[fine] > 0, sigma[fine], np.nan)
+    total = lambda v: np.bincount(pair, v, n)
+    rows, told = np.bincount(pair, minlength=n), np.bincount(pair[~np.isnan(sigma)], minlength=n)
+    if np.isnan(sigma).any():
+        middle = pd.Series(sigma).groupby(pair).median().reindex(range(n)).to_numpy()
+        sigma = np.where(np.isnan(sigma), middle[pair], sigma)
+    w = np.where((told < np.maximum(10.0, rows / 2))[pair], 1.0, 1 / sigma**2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sw = total(w)
+        dt, dy = t - (total(w * t) / sw)[pair], y - (total(w * y) / sw)[pair]
+        sxx = total(w * dt * dt)
+        sxx = np.where(sxx == 0, np.nan, sxx)
+        return rows, total(w * dt * dy) / sxx, 1 / np.sqrt(sxx)
+
+
 def colocated_rates(stations: DataFrame, obs: DataFrame, cap_km: float = 2.0, least: int = 30) -> DataFrame:
     """Rates of both stations of each pair within ``cap_km``, on the dates that both have, and of their difference.
 
     stations: id, lat, lon. obs: station, date, t (years), y, sigma. Pairs with fewer than ``least`` common dates are left
-    out. Windows agree, as rates over different spans do not compare.
+    out. Windows agree, as rates over different spans do not compare. A station's series, a row for each of its dates, goes
+    as one to the cells around it, and pairs are fitted where they meet: no row of a pair is shuffled.
     """
-    near = geo.colocated(stations, cap_km).select("a", "b", "km")
-    one = obs.select(F.col("station").alias("a"), "date", "t", F.col("y").alias("ya"), F.col("sigma").alias("sa"))
-    two = obs.select(F.col("station").alias("b"), "date", F.col("y").alias("yb"), F.col("sigma").alias("sb"))
-    both = near.join(one, "a").join(two, ["b", "date"])
-    parts = F.array(
-        F.struct(F.lit("a").alias("of"), F.col("ya").alias("y"), F.col("sa").alias("sigma")), F.struct(F.lit("b").alias("of"), F.col("yb").alias("y"), F.col("sb").alias("sigma")),
-        F.struct(F.lit("d").alias("of"), (F.col("ya") - F.col("yb")).alias("y"), F.sqrt(F.col("sa") * F.col("sa") + F.col("sb") * F.col("sb")).alias("sigma")),
-    )
-    rates = series.weighted_rate(both.select("a", "b", "km", "t", F.explode(parts).alias("p")).select("a", "b", "km", "t", "p.*"), ["a", "b", "km", "of"]).where(F.col("n") >= least)
-    pick = lambda of, c: F.max(F.when(F.col("of") == of, F.col(c)))
-    out = rates.groupBy("a", "b", "km").agg(F.max("n").alias("common"), pick("a", "rate").alias("rate_a"), pick("b", "rate").alias("rate_b"), pick("d", "rate").alias("relative_rate"), pick("a", "rate_sigma").alias("sa"), pick("b", "rate_sigma").alias("sb"))
+    fields_ = ("t", "y", "sigma")
+    rows = obs.where("station is not null and date is not null").select("station", F.unix_date(F.to_date("date")).cast("double").alias("date"), *[F.col(c).cast("double").alias(c) for c in fields_])
+    one = F.array_sort(F.collect_list(F.struct("date", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in fields_])))
+    whole = rows.groupBy("station").agg(one.alias("_s")).select("station", *[F.col("_s").getField(c).alias(c) for c in ("date", *fields_)])
+    placed = stations.join(whole, stations["id"] == whole["station"]).drop("station")
+    near = geo.colocated(placed, cap_km, ["date", *fields_])
+    id_type = dict(stations.dtypes)["id"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                n, of, flat = part.num_rows, {}, {}
+                for side in "12":
+                    dates = part.column(f"date{side}")
+                    of[side] = np.repeat(np.arange(n), dates.value_lengths().to_numpy())
+                    for c in ("date", *fields_):
+                        flat[c + side] = part.column(c + side).flatten().to_numpy(zero_copy_only=False)
+                wide = 1 << 24  # days of the years 1 to 9999 are fewer
+                key = {s: of[s] * wide + flat[f"date{s}"].astype(np.int64) + (wide >> 1) for s in "12"}
+                lo, hi = (np.searchsorted(key["2"], key["1"], x) for x in ("left", "right"))
+                first = np.repeat(np.arange(len(lo)), hi - lo)
+                second = np.arange(len(first)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[first]
+                pair, t = of["1"][first], flat["t1"][first]
+                ya, yb, sa, sb = flat["y1"][first], flat["y2"][second], flat["sigma1"][first], flat["sigma2"][second]
+                got = [_pair_rates(n, pair, t, y, s) for y, s in ((ya, sa), (yb, sb), (ya - yb, np.sqrt(sa * sa + sb * sb)))]
+                enough = [g[0] >= least for g in got]
+                common = np.max([np.where(e, g[0], -1) for g, e in zip(got, enough, strict=True)], axis=0)
+                told = lambda v, e: pa.array(v, pa.float64(), mask=~e | np.isnan(v))
+                out = [part.column("a"), part.column("b"), part.column("km"), pa.array(common, pa.int64()), *[told(got[k][1], enough[k]) for k in (0, 1, 2)], *[told(got[k][2], enough[k]) for k in (0, 1)]]
+                yield pa.RecordBatch.from_arrays(out, ["a", "b", "km", "common", "rate_a", "rate_b", "relative_rate", "sa", "sb"]).filter(pa.array(common >= 0))
+
+    out = near.mapInArrow(run, f"a {id_type}, b {id_type}, km double, common long, rate_a double, rate_b double, relative_rate double, sa double, sb double")
     return out.select("a", "b", "km", "common", "rate_a", "rate_b", (F.col("rate_a") - F.col("rate_b")).alias("difference"), "relative_rate", F.sqrt(F.col("sa") * F.col("sa") + F.col("sb") * F.col("sb")).alias("sigma"))
 
 

@@ -85,9 +85,11 @@ def zone_variant(distances: DataFrame, core: float = 0.0, buffer: float = 0.0) -
     return distances.where(F.col("signed") <= (-core if core else buffer))
 
 
-def colocated(stations: DataFrame, cap_km: float) -> DataFrame:
+def colocated(stations: DataFrame, cap_km: float, carried: list[str] = ()) -> DataFrame:
     """Pairs of stations within the cap, met through cells as wide as the cap (and their neighbours), not all pairs.
 
+    The columns ``carried`` of both come along, with 1 (of a) and 2 (of b) behind their names.
+
     A cell is cap_km / 100 degrees high and, as degrees of longitude shrink with latitude, wide enough for the cap at the
     highest latitude of the data; columns go round the earth, so pairs across the date line meet. Near the poles one
     column has all.
@@ -99,12 +101,13 @@ def colocated(stations: DataFrame, cap_km: float) -> DataFrame:
     around = F.greatest(F.lit(1), F.floor(360 / (wide * 1.000001)).cast("int"))
     size = stations.agg(around.alias("around"))
     cells = stations.crossJoin(F.broadcast(size)).withColumn("_j", F.floor(F.pmod(F.col("lon").cast("double"), F.lit(360.0)) * F.col("around") / 360))
-    a = cells.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / deg).alias("i"), F.pmod("_j", "around").alias("j"), "around")
+    a = cells.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / deg).alias("i"), F.pmod("_j", "around").alias("j"), "around", *[F.col(c).alias(f"{c}1") for c in carried])
     rows = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])).alias("x")
     columns = F.explode(F.array_distinct(F.array(*[F.pmod(F.col("j") + y, F.col("around")) for y in (-1, 0, 1)]))).alias("j")
-    b = a.select("a", "lat1", "lon1", "i", rows, "j", "around").select(F.col("a").alias("b"), F.col("lat1").alias("lat2"), F.col("lon1").alias("lon2"), (F.col("i") + F.col("x")).alias("i"), columns)
+    also = lambda k: [F.col(f"{c}1").alias(f"{c}{k}") for c in carried]
+    b = a.select("a", "lat1", "lon1", "i", rows, "j", "around", *also(1)).select(F.col("a").alias("b"), F.col("lat1").alias("lat2"), F.col("lon1").alias("lon2"), (F.col("i") + F.col("x")).alias("i"), columns, *also(2))
     km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["i", "j"]).where("a < b").select("a", "b", km.alias("km")).where(F.col("km") <= cap_km)
+    return a.join(b, ["i", "j"]).where("a < b").select("a", "b", km.alias("km"), *[f"{c}{k}" for c in carried for k in (1, 2)]).where(F.col("km") <= cap_km)
 
 
 def distance_bands(near: DataFrame, by: list[str], edges: tuple[float, ...] = (1, 2, 5, 10, 20)) -> DataFrame:

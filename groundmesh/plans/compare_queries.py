@@ -36,7 +36,9 @@ def _(spark, d):
     o = telemetry(spark, d).where("value is not null").groupBy("station", F.to_date("ts").alias("date")).agg(F.percentile("value", F.lit(0.5)).alias("y"))
     o = o.withColumn("t", F.datediff("date", F.lit("2024-01-01")) / 365.25).withColumn("sigma", F.lit(2.0))
     s = o.select(F.col("station").alias("id")).distinct().select("id", (28 + F.col("id") % 1000 / 1000).alias("lat"), (76.5 + F.col("id") % 997 / 997).alias("lon"))
-    return rounded(rounded(compare.colocated_rates(s, o, least=10).drop("km"), 9), 6)  # halves at the seventh place agree first
+    out = rounded(compare.colocated_rates(s, o, least=10).drop("km"), 9)  # halves at the seventh place agree first
+    whole = lambda c: F.signum(c) * F.floor(F.abs(F.col(c) * 1e6) + 0.5) / 1e6  # noqa: E731  rounds the binary product, as the SQL does
+    return out.select(*[whole(c).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
 BRANCHES = f"{pix_sql('pa', chr(39) + 'A' + chr(39) + ' = l_returnflag')}, {pix_sql('pn', chr(39) + 'N' + chr(39) + ' = l_returnflag')}, {pix_sql('pr', chr(39) + 'R' + chr(39) + ' = l_returnflag')}"
