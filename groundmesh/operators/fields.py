@@ -178,14 +178,31 @@ def unconnectable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return alone.join(other, "network_id").where("node != o").groupBy("network_id", "node").agg(F.min(gap).alias("nearest_days"))
 
 
+#: Cells of a zone whose values go as one array, and replicates that such an array serves in one place.
+ARRAY_CELLS = 2_000_000
+ARRAY_REPS = 25
+
+
 def pixel_bootstrap(zone_px: DataFrame, value: str, reps: int = 500, seed: int = 3) -> DataFrame:
     """Interval of each zone's median over resampled cells; a draw is a hash of zone, replicate and place.
 
-    zone_px: zone, i (0 .. n-1), n and the value.
+    zone_px: zone, i (0 .. n-1), n and the value. A zone's values go as one array to where its replicates are drawn, so no
+    draw is shuffled; in zones of over ARRAY_CELLS cells, draws meet their values in a join.
     """
-    draws = zone_px.select("zone", "n", F.col("i").alias("k")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("i", F.pmod(F.xxhash64("zone", "rep", "k", F.lit(seed)), F.col("n")))
-    m = draws.join(zone_px.select("zone", "i", value), ["zone", "i"]).groupBy("zone", "rep").agg(F.percentile(value, F.lit(0.5)).alias("m"))
-    return m.groupBy("zone").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    px = zone_px.where("zone is not null").select("zone", "i", "n", F.col(value).cast("double").alias("v"))
+    drawn = lambda k: F.pmod(F.xxhash64("zone", "rep", k, F.lit(seed)), F.col("n"))
+    kind, last = dict(px.dtypes)["i"], (reps - 1) // ARRAY_REPS
+    rep = F.explode(F.sequence(F.col("part") * ARRAY_REPS, F.least(F.col("part") * ARRAY_REPS + ARRAY_REPS, F.lit(reps)) - 1)).alias("rep")
+    dealt = px.where(F.col("n") <= ARRAY_CELLS).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    # A fixed number of parts: the arrays are small, the draws made of them are not.
+    arrays = dealt.repartition(128, "zone", "part").groupBy("zone", "part").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "v"))).getField("v").alias("vs")).select("zone", "n", "vs", rep)
+    picked = F.transform(F.sequence(F.lit(0).cast(kind), (F.col("n") - 1).cast(kind)), lambda k: F.get("vs", drawn(k).cast("int")))
+    few = arrays.select("zone", "rep", F.array_sort(F.array_compact(picked)).alias("x")).withColumn("m", F.size("x"))
+    few = few.select("zone", "rep", (0.5 * F.get("x", F.floor((F.col("m") - 1) / 2).cast("int")) + 0.5 * F.get("x", F.ceil((F.col("m") - 1) / 2).cast("int"))).alias("m"))
+    many = px.where(F.col("n") > ARRAY_CELLS)
+    draws = many.select("zone", "n", F.col("i").alias("k")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("i", drawn("k"))
+    wide = draws.join(many.select("zone", "i", "v"), ["zone", "i"]).groupBy("zone", "rep").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    return few.unionByName(wide).groupBy("zone").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
 def random_reference_spread(px: DataFrame, value: str, draws: int = 200, half: int = 25, seed: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundmesh import streaming
-from groundmesh.operators import compare, masks, reports
+from groundmesh.operators import compare, fields, geo, masks, reports, series
 
 
 def test_detrend(spark):
@@ -53,6 +53,47 @@ def test_file_sizes_are_rounded_to_even(spark, tmp_path):
     assert (got["bytes"], got["finite"], got["state"]) == (10400, 0.5, "incomplete area")
 
 
+def test_colocated_rates_shuffle_no_rows_of_pairs(spark):
+    r, day = random.Random(4), datetime.date(2024, 1, 1)
+    some = lambda x, p: x if r.random() < p else None
+    places = [(k, 28 + r.uniform(0, 0.05), 76 + r.uniform(0, 0.05)) for k in range(25)]
+    rows = [(k, day + datetime.timedelta(d), d / 365.25, some(r.gauss(0, 9), 0.9), some(r.choice([0.0, 1.0, 2.5]), 0.2 if k % 3 else 1)) for k in range(25) for d in range(40) if r.random() < 0.8]
+    rows += [(0, day, 0.0, 5.0, 1.0), (1, None, 0.0, 5.0, 1.0)]  # a day told twice; none
+    stations, obs = spark.createDataFrame(places, "id long, lat double, lon double"), spark.createDataFrame(rows, "station long, date date, t double, y double, sigma double")
+    out = compare.colocated_rates(stations, obs, 2.0, 25)
+    got = {(x["a"], x["b"]): tuple(x)[3:] for x in out.collect()}
+    near = [(x["a"], x["b"]) for x in geo.colocated(stations, 2.0).collect()]
+    flat = []
+    for a, b in near:
+        for _, d, t, ya, sa in (x for x in rows if x[0] == a and x[1]):
+            for _, _, _, yb, sb in (x for x in rows if x[0] == b and x[1] == d):
+                both = None if sa is None or sb is None else float(np.hypot(sa, sb))
+                flat += [(a, b, "a", t, ya, sa), (a, b, "b", t, yb, sb), (a, b, "d", t, None if ya is None or yb is None else ya - yb, both)]
+    rates = {(x["a"], x["b"], x["of"]): x for x in series.weighted_rate(spark.createDataFrame(flat, "a long, b long, of string, t double, y double, sigma double"), ["a", "b", "of"]).where("n >= 25").collect()}
+    assert {k[:2] for k in rates} == set(got) and len(got) > 30 and len(rates) < 3 * len(got)
+    for (a, b), x in got.items():
+        one = [rates.get((a, b, k)) for k in "abd"]
+        want = [max(y["n"] for y in one if y), *[one[k]["rate"] if one[k] else None for k in (0, 1)], one[2]["rate"] if one[2] else None]
+        assert [x[0], x[1], x[2], x[4]] == [None if v is None else pytest.approx(v, rel=1e-9, abs=1e-9) for v in want]
+        sigma = float(np.hypot(one[0]["rate_sigma"], one[1]["rate_sigma"])) if one[0] and one[1] else None
+        assert x[5] == (None if sigma is None else pytest.approx(sigma, rel=1e-9))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_pixel_bootstrap_shuffles_no_draws(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(z, i, n, None if i % 9 == 4 else float(r.normal())) for z, n in ((1, 40), (2, 61), (7, 1)) for i in range(n)]
+    px = spark.createDataFrame(rows, "zone int, i int, n long, x double").repartition(3)
+    draws = px.select("zone", "n", F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("rep")).withColumn("i", F.pmod(F.xxhash64("zone", "rep", "k", F.lit(3)), "n"))
+    m = draws.join(px.select("zone", "i", "x"), ["zone", "i"]).groupBy("zone", "rep").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+    want = {x["zone"]: tuple(x)[1:] for x in m.groupBy("zone").agg(F.percentile("m", F.lit(0.025)), F.percentile("m", F.lit(0.975))).collect()}
+    for most in (2_000_000, 50):
+        monkeypatch.setattr(fields, "ARRAY_CELLS", most)
+        out = fields.pixel_bootstrap(px, "x", 60)
+        assert {x["zone"]: tuple(x)[1:] for x in out.collect()} == {k: tuple(map(pytest.approx, v)) for k, v in want.items()}
+
+
 def test_reference_choice(spark):
     r = random.Random(3)
     rows = [(i, j, r.choice([0.9, 0.96, 1.0]), 1000.0 * r.randint(0, 5), r.random(), r.uniform(-4, 4), r.random(), r.choice([0.0, 0.0, 0.1, None])) for i in range(9) for j in range(9)]
