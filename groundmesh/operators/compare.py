@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fields, geo, stats
 from .lineage import saved
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, group_quantiles
 
 
 def _median(c: Column) -> Column:
@@ -97,13 +97,14 @@ def branch_metrics(px: DataFrame, base: DataFrame) -> DataFrame:
     px: branch, row, col, velocity, velocity_std, tcoh, residue; base: row, col, velocity, stable. Cells that no inversion
     reached (velocity_std 0) count nowhere.
     """
-    inv = px.where("velocity_std > 0")
-    own = inv.groupBy("branch").agg(
-        F.count("*").alias("inverted"), *[F.percentile("tcoh", F.lit(q)).alias(f"tc_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)], *[F.sum((F.col("tcoh") >= t).cast("long")).alias(f"tc_ge_{int(t * 100)}") for t in (0.5, 0.6, 0.7)],
-        _median(F.col("velocity_std")).alias("median_std"), F.sqrt(F.avg(F.col("residue") * F.col("residue"))).alias("residual_rms"), _median(F.col("velocity")).alias("mid"),
-    )
-    scatter = inv.join(own.select("branch", "mid"), "branch").groupBy("branch").agg((1.4826 * _median(F.abs(F.col("velocity") - F.col("mid")))).alias("robust_scatter"))
-    both = inv.join(base.select("row", "col", F.col("velocity").alias("base"), "stable"), ["row", "col"])
+    inv = saved(px.where("velocity_std > 0").select("branch", "row", "col", "velocity", "velocity_std", "tcoh", "residue"))
+    plain = inv.groupBy("branch").agg(F.count("*").alias("inverted"), *[F.sum((F.col("tcoh") >= t).cast("long")).alias(f"tc_ge_{int(t * 100)}") for t in (0.5, 0.6, 0.7)], F.sqrt(F.avg(F.col("residue") * F.col("residue"))).alias("residual_rms"))
+    asked = {f"tc_p{int(q * 100)}": (F.col("tcoh"), q) for q in (0.25, 0.5, 0.75)} | {"median_std": (F.col("velocity_std"), 0.5), "mid": (F.col("velocity"), 0.5)}
+    own = plain.join(group_quantiles(inv, ["branch"], asked), "branch")
+    own = own.select("branch", "inverted", "tc_p25", "tc_p50", "tc_p75", "tc_ge_50", "tc_ge_60", "tc_ge_70", "median_std", "residual_rms", "mid")
+    scatter = group_quantiles(inv.join(own.select("branch", "mid"), "branch"), ["branch"], {"_mad": (F.abs(F.col("velocity") - F.col("mid")), 0.5)})
+    scatter = scatter.select("branch", (1.4826 * F.col("_mad")).alias("robust_scatter"))
+    both = saved(inv.join(base.select("row", "col", F.col("velocity").alias("base"), "stable"), ["row", "col"]))
     cross = both.groupBy("branch").agg(F.count("*").alias("common"), F.corr("base", "velocity").alias("pearson"), F.stddev_pop("velocity").alias("common_scatter"), F.stddev_pop(F.when(F.col("stable"), F.col("velocity"))).alias("stable_scatter"))
     rank = stats.spearman(both, ["branch"], "base", "velocity").select("branch", "spearman")
     out = own.drop("mid").join(scatter, "branch").join(cross, "branch", "left").join(rank, "branch", "left")

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import saved
+from .quantiles import group_quantiles
+
 
 def _median(c) -> Column:
     return F.percentile(c, F.lit(0.5))
@@ -260,7 +263,8 @@ def full_agreement(px: DataFrame, by: list[str], a: str, b: str, least: int = 50
     from .compare import plane_detrended
     from .stats import agreement
 
-    rows = px.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    mid = rows.groupBy(*by).agg(_median(a).alias("_a"), _median(b).alias("_b"))
-    scatter = rows.join(mid, by).groupBy(*by).agg(*[(1.4826 * F.percentile(F.abs(F.col(c) - F.col(m)), F.lit(0.5))).alias(f"scatter_{n}") for c, m, n in ((a, "_a", "a"), (b, "_b", "b"))])
+    rows = saved(px.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, "row", "col", a, b))
+    mid = group_quantiles(rows, by, {"_a": (F.col(a), 0.5), "_b": (F.col(b), 0.5)})
+    scatter = group_quantiles(rows.join(mid, by), by, {"_sa": (F.abs(F.col(a) - F.col("_a")), 0.5), "_sb": (F.abs(F.col(b) - F.col("_b")), 0.5)})
+    scatter = scatter.select(*by, (1.4826 * F.col("_sa")).alias("scatter_a"), (1.4826 * F.col("_sb")).alias("scatter_b"))
     return agreement(rows, by, a, b, least).join(plane_detrended(rows, by, a, b), by).join(scatter, by)
