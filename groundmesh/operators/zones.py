@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .lineage import free_names, saved
+from .quantiles import group_quantiles
 
 TILE = 128
 
@@ -50,14 +51,15 @@ def tile_labels(row: np.ndarray, col: np.ndarray, level: np.ndarray) -> list[np.
 
 
 def nested_labels(px: DataFrame, level: Column, tile: int = TILE) -> DataFrame:
-    """The cells of level 1 and more, once for each level k = 1 .. their own, with the label of their component there.
+    """The cells of level 1 and more, once for each level k = 1 .. their own, with the label of their component there and,
+    as the last column, how many cells it has.
 
     A component at k is 8-connected cells of level k or more; its label is the least row * span + col (span 1000, or 2**31
     if a column does not fit). One pass labels each tile for all levels, in numpy; cells on tile borders then meet their
     neighbours of other tiles in one equi-join, and the labels they tie form one small graph for all levels, whose
     components finish the labels. Only border cells and labels are shuffled after the tiles. Null levels are left out.
     """
-    names = free_names(px, "_level", "_labels")
+    names = free_names(px, "_level", "_labels", "_cells")
     px = px.withColumn(names[0], level.cast("int")).where(F.col(names[0]) >= 1)
     span = 1000 if px.where("col not between 0 and 999").isEmpty() else 1 << 31
 
@@ -81,14 +83,17 @@ def nested_labels(px: DataFrame, level: Column, tile: int = TILE) -> DataFrame:
     links = saved(links)
     nodes = links.select("network_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     merged = connected_components(nodes, links).select(F.col("network_id").alias("k"), F.col("node").alias("tile_label"), "component")
-    return done.join(merged, ["k", "tile_label"], "left").withColumn("label", F.coalesce("component", "tile_label")).drop("component", "tile_label")
+    # Sizes are summed from tiles, so no task gathers the cells of a large component.
+    parts = done.groupBy("k", "tile_label").agg(F.count("*").alias("_in_tile")).join(merged, ["k", "tile_label"], "left")
+    parts = saved(parts.select("k", "tile_label", F.coalesce("component", "tile_label").alias("label"), "_in_tile"))
+    sizes = parts.groupBy("k", "label").agg(F.sum("_in_tile").alias(names[2]))
+    return done.join(parts.drop("_in_tile").join(sizes, ["k", "label"]), ["k", "tile_label"]).drop("tile_label")
 
 
 def label_components(px: DataFrame, least: int = 250, tile: int = TILE) -> DataFrame:
     """Label the 8-connected components of the given cells (see nested_labels); those under ``least`` cells go."""
-    out = nested_labels(px, F.lit(1), tile).drop("k")
-    big = out.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("label")
-    return out.join(big, "label", "left_semi")
+    out = nested_labels(px, F.lit(1), tile)
+    return out.where(F.col(out.columns[-1]) >= least).drop("k", out.columns[-1])
 
 
 #: scenario_id, least coherence, least size of velocity (mm a year), least area (km2).
@@ -117,11 +122,11 @@ def label_scenarios(px: DataFrame, scenarios: list[tuple] = SCENARIOS, tile: int
     Masks that lie within each other form chains; a cell's level in a chain is how many of its masks it passes, so one
     labelling of a chain serves all its scenarios. px: row, col, velocity, tcoh of eligible cells; null values pass no mask.
     """
-    out = None
+    out, px = None, saved(px)
     for chain in _chains({(c, t) for _, c, t, _ in scenarios}):
         passed = [F.when((F.col("tcoh") >= c) & (F.abs("velocity") >= t), 1).otherwise(0) for c, t in chain]
         found = nested_labels(px, sum(passed[1:], passed[0]), tile)
-        found = found.join(found.groupBy("k", "label").agg(F.count("*").alias("cells")), ["k", "label"])
+        found = found.withColumnRenamed(found.columns[-1], "cells")
         mine = [(chain.index((c, t)) + 1, name, round(area / cell_km2)) for name, c, t, area in scenarios if (c, t) in chain]
         of = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("scenario_id"), F.lit(n).alias("least")) for k, name, n in mine])
         rows = found.withColumn("_s", F.explode(F.filter(of, lambda x: x["k"] == F.col("k"))))
@@ -136,12 +141,14 @@ def zone_persistence(zones: DataFrame, labelled: DataFrame, scenarios: list[tupl
     Of the scenario's components the one with most of the zone's cells counts (ties to the least label), kept or not; the
     zone persists if it has half of them and is kept, which also decides whether area and median are told.
     """
-    mine = zones.select(F.col("label").alias("zone"), "row", "col").distinct()
+    labelled, mine = saved(labelled.select("scenario_id", "row", "col", "velocity", "label", "cells", "kept")), saved(zones.select(F.col("label").alias("zone"), "row", "col").distinct())
     n = mine.groupBy("zone").agg(F.count("*").alias("n"))
     both = mine.join(labelled.select("scenario_id", "row", "col", "label", "cells", "kept"), ["row", "col"])
     both = both.groupBy("zone", "scenario_id", "label").agg(F.count("*").alias("k"), F.first("cells").alias("cells"), F.first("kept").alias("kept"))
     best = both.groupBy("zone", "scenario_id").agg(F.max(F.struct("k", (-F.col("label")).alias("m"), "cells", "kept")).alias("x")).select("zone", "scenario_id", "x.k", (-F.col("x.m")).alias("label"), "x.cells", "x.kept")
-    middle = labelled.join(best.where("kept").select("scenario_id", "label").distinct(), ["scenario_id", "label"], "left_semi").groupBy("scenario_id", "label").agg(F.percentile("velocity", F.lit(0.5)).alias("component_median"))
+    best = saved(best)
+    wanted = labelled.join(best.where("kept").select("scenario_id", "label").distinct(), ["scenario_id", "label"], "left_semi")
+    middle = group_quantiles(wanted, ["scenario_id", "label"], {"component_median": (F.col("velocity"), 0.5)})
     every = n.withColumn("scenario_id", F.explode(F.array(*[F.lit(s[0]) for s in scenarios])))
     out = every.join(best, ["zone", "scenario_id"], "left").join(middle, ["scenario_id", "label"], "left")
     share = F.coalesce(F.col("k") / F.col("n"), F.lit(0.0))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from groundmesh.operators import zones
 
@@ -68,3 +69,12 @@ def test_persistence(spark):
     got = {(r["zone"], r["scenario_id"]): tuple(r)[2:] for r in zones.zone_persistence(x.where("scenario_id = 'primary' and kept"), x, scenarios).collect()}
     assert got[0, "primary"] == (1.0, 8 * 0.0016, 23.5, True) and got[0, "strict"] == (0.5, 4 * 0.0016, 21.5, True)
     assert got[0, "fast"] == (0.25, 2 * 0.0016, 26.5, False) and got[5000, "large"] == (1.0, 0.0, None, False) and got[5000, "fast"] == (0.0, 0.0, None, False)
+
+
+def test_sizes_of_components_come_from_tiles(spark):
+    """No step after the tiles groups or joins cells by their component, which one task would gather."""
+    px = spark.createDataFrame([(i, j) for i in range(30) for j in range(30) if (i, j) != (5, 5)] + [(40, 40)], "row int, col int")
+    out = zones.nested_labels(px, F.lit(1), tile=8)
+    assert {(r["label"], r[out.columns[-1]]) for r in out.collect()} == {(0, 899), (40040, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "row#" in line for line in plan.splitlines())
