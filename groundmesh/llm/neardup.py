@@ -340,22 +340,45 @@ def in_blocks(many: DataFrame) -> DataFrame:
     return one.unionByName(two).select(F.xxhash64("key", "i", "j").alias("key"), "c", "root", "side")
 
 
-def short_sets(sets: DataFrame) -> DataFrame:
-    """c, n and short: two bytes of each shingle hash, in order. Sets share no more shingles than short ones do values."""
+def packed_sets(sets: DataFrame, name: str, pack) -> DataFrame:
+    """c, n and what ``pack`` makes of the sorted shingle hashes, as bytes in the column ``name``."""
 
     def run(batches):
         for batch in batches:
-            short = [np.sort((v.values.to_numpy(zero_copy_only=False) >> 40).astype(np.uint16)) for v in batch.column("set")]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([len(x) for x in short], pa.int64()), pa.array([x.tobytes() for x in short], pa.binary())], ["c", "n", "short"])
+            made = [pack(v.values.to_numpy(zero_copy_only=False)) for v in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["c", "n", name])
+
+    return cut(sets.select("c", "set").mapInArrow(run, f"c long, n long, {name} binary"))
+
+
+def short_sets(sets: DataFrame) -> DataFrame:
+    """c, n and short: two bytes of each shingle hash, in order. Sets share no more shingles than short ones do values."""
+    return packed_sets(sets, "short", lambda h: np.sort((h >> 40).astype(np.uint16)))
 
-    return cut(sets.select("c", "set").mapInArrow(run, "c long, n long, short binary"))
+
+def overlaps(codes: np.ndarray, n: np.ndarray, own: np.ndarray, flag: np.ndarray):
+    """(i, what set i has in common with each set) for the sets ``own``; codes: the sets' values one set after another."""
+    ends = np.cumsum(n)
+    for i in own:
+        mine = codes[ends[i] - n[i] : ends[i]]
+        flag[mine] = True
+        yield i, np.add.reduceat(flag[codes], ends - n, dtype=np.int64)
+        flag[mine] = False
+
+
+def starters(root: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Places of a group's classes from which all its pairs are reached: side 0, or all outside the largest component."""
+    names, sizes = np.unique(root, return_counts=True)
+    return np.flatnonzero((side == 0) | ((side == 2) & (root != names[np.argmax(sizes)])))
 
 
 def meet(groups: DataFrame, shorts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of classes of one group (key, c, root, side) that may be linked: no common root, nor side 0 or 1.
+    """(a, b): each class of a group (key, c, root, side) that may have a link there, and its likeliest partner.
 
-    Groups have a bounded size. Short sets go to the groups; what two of them have in common, with repeats, is never less
-    than what the full sets have, so a pair that falls short here is not linked, and few unlinked ones pass.
+    All pairs of a group with different roots, and not both of side 0 or both of side 1, are compared. Groups have a
+    bounded size. Short sets go to the groups; what two of them have in common, with repeats, is never less than what the
+    full sets have, so a pair that falls short here is not linked, and few unlinked ones pass. A group gives a row for
+    a class at most, however many of its pairs pass.
     """
     rows = groups.join(shorts, "c").repartition("key").sortWithinPartitions("key")
 
@@ -370,25 +393,58 @@ def meet(groups: DataFrame, shorts: DataFrame) -> DataFrame:
             new[ends[:-1]] = True
             at = np.arange(len(flat))
             flat = flat * 16 + np.minimum(at - np.maximum.accumulate(np.where(new, at, 0)), 15)
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            best, partner = np.zeros(len(key)), np.full(len(key), -1, dtype=np.int64)
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                size = n[lo:hi]
+                for i, both in overlaps(flat[ends[lo] - n[lo] : ends[hi - 1]], size, starters(root[lo:hi], side[lo:hi]), flag):
+                    union = size + size[i] - both
+                    to = np.flatnonzero((100 * both >= PERCENT * union) & (root[lo:hi] != root[lo + i]) & ((side[lo:hi] != 0) | (side[lo + i] != 0)))
+                    if len(to):
+                        like = both[to] / union[to]
+                        k = np.argmax(like)
+                        if like[k] > best[lo + i]:
+                            best[lo + i], partner[lo + i] = like[k], lo + to[k]
+                        to, like = lo + to[like > best[lo + to]], like[like > best[lo + to]]
+                        best[to], partner[to] = like, lo + i
+            a = np.flatnonzero(partner >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[partner[a]])], ["a", "b"])
+
+    return rows.select("key", "c", "root", "side", "n", "short").mapInArrow(run, "a long, b long")
+
+
+def still_mixed(groups: DataFrame) -> DataFrame:
+    """The groups (key, c, root, side) that hold several components; of those with the same members one."""
+    group = groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c", "side")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c", "side")).alias("y"), F.min("root").alias("low"), F.max("root").alias("high"))
+    one = group.where("low != high").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return groups.join(one.select("key"), "key", "left_semi")
+
+
+def spanning_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join whatever the links of a group (key, c, root, side) join; fewer than it has components.
+
+    Full sets go to the groups and the pairs that ``meet`` describes are compared there, but only links that join two
+    components not joined in the group before become rows.
+    """
+    rows = groups.join(packed_sets(sets, "whole", lambda h: h), "c").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        for key, c, root, side, n, blobs in whole_groups(batches, ["key", "c", "root", "side", "n"], "whole"):
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             out_a, out_b = [], []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                names, sizes = np.unique(root[lo:hi], return_counts=True)
-                main = names[np.argmax(sizes)]
-                base = ends[lo] - n[lo]
-                values, starts = flat[base : ends[hi - 1]], ends[lo:hi] - n[lo:hi] - base
-                for i in np.flatnonzero((root[lo:hi] != main) & (side[lo:hi] != 1)) + lo:
-                    own = flat[ends[i] - n[i] : ends[i]]
-                    flag[own] = True
-                    both = np.add.reduceat(flag[values], starts, dtype=np.int64)
-                    flag[own] = False
-                    ok = (100 * both >= PERCENT * (n[lo:hi] + n[i] - both)) & (root[lo:hi] != root[i]) & (side[lo:hi] != 0)
-                    out_a.append(np.full(int(ok.sum()), c[i]))
-                    out_b.append(c[lo:hi][ok])
+                values, codes = np.unique(np.frombuffer(b"".join(blobs[lo:hi]), dtype=np.int64), return_inverse=True)
+                size, part = n[lo:hi], np.unique(root[lo:hi], return_inverse=True)[1]
+                for i, both in overlaps(codes, size, starters(root[lo:hi], side[lo:hi]), np.zeros(len(values), dtype=bool)):
+                    to = np.flatnonzero((100 * both >= PERCENT * (size + size[i] - both)) & (part != part[i]) & ((side[lo:hi] != 0) | (side[lo + i] != 0)))
+                    joined, first = np.unique(part[to], return_index=True)
+                    out_a.append(np.full(len(first), c[lo + i]))
+                    out_b.append(c[lo + to[first]])
+                    part[np.isin(part, joined)] = part[i]
             a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.select("key", "c", "root", "side", "n", "short").mapInArrow(run, "a long, b long")
+    return rows.select("key", "c", "root", "side", "n", "whole").mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -403,8 +459,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     links, _ = full_check(likely(star, classes), classes, docs)
     roots = components(links)
 
-    def rooted(groups):
-        return cut(groups.select("key", "c").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root")))
+    def rooted(groups, *also):
+        return cut(groups.select("key", "c", *also).join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"), *also))
 
     few, many = mixed_groups(rooted(rows))
     more, sets = full_check(nearest(few, many, classes), classes, docs)
@@ -418,7 +474,12 @@ def grouped(docs: DataFrame) -> DataFrame:
         shorts = shorts.unionByName(short_sets(wanted.join(sets.select("c"), "c", "left_anti")))
         fine, wide = mixed_groups(rooted(prefixes(wanted)))
         groups = groups.unionByName(fine.withColumn("side", F.lit(2))).unionByName(in_blocks(wide))
-    more, _ = full_check(meet(groups, shorts), classes, docs)
+    more, sets = full_check(meet(groups, shorts), classes, docs)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    left = still_mixed(rooted(groups.join(sets.select("c"), "c", "left_semi"), "side"))
+    more = cut(spanning_links(left, sets))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     named = classes.select("c", "label").join(roots, F.col("c") == F.col("node"), "left").select("c", "label", F.coalesce("root", "c").alias("root"))
@@ -435,7 +496,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal sets form a class, which its sketch stands for. Classes that agree in a band are candidates. Each
     meets one class of its band groups first; in groups that this leaves in several components it meets the class of
     another one with the best estimate; then all classes of a group with a likely partner meet across components, those of
-    large groups only where they share rare shingles, which misses no link. Candidates pass the corrected estimate before their full sets are compared.
+    large groups only where they share rare shingles, which misses no link. Each is checked with its likeliest partner; in
+    groups that are mixed even then, full sets are compared and a group gives links that span its components, never all its
+    pairs. Candidates of the first two steps pass the corrected estimate before their full sets are compared.
     component_id is the least doc_id among the documents that links reach. A text without words (null, empty, blank) is
     linked with nothing. Rows with a null doc_id link like others; they have a null component_id only if no row reached
     has an id. Rows that repeat an id are rows of their own, and each has the result of its text. An empty table gives

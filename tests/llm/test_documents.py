@@ -186,6 +186,46 @@ def test_short_sets_never_fall_short(spark):
     assert {(0, 3), (3, 4)} <= got <= {(0, 3), (3, 4), (0, 4)}
 
 
+def test_near_copies_of_one_group_meet_in_rows_not_in_pairs(spark):
+    """300 sets, any two linked, in a group with components of 3: rows grow with the group, not with its 44,550 pairs."""
+    r = random.Random(22)
+    base = r.sample(range(2**62), 300)
+    sets = [sorted(base + r.sample(range(2**62), 10)) for _ in range(300)]
+    whole = spark.createDataFrame(list(enumerate(sets)), "c long, set array<long>")
+    groups = spark.createDataFrame([(1, c, c // 3 * 3, 2) for c in range(300)], "key long, c long, root long, side int")
+    pairs = neardup.meet(groups, neardup.short_sets(whole)).collect()
+    assert len(pairs) <= 300 and {x["a"] for x in pairs} == set(range(300)) and all(x["a"] // 3 != x["b"] // 3 for x in pairs)
+    links = neardup.spanning_links(groups, whole).collect()
+    up = list(range(100))
+    for x in links:
+        one, two = up[x["a"] // 3], up[x["b"] // 3]
+        assert one != two
+        up = [one if k == two else k for k in up]
+    assert len(links) == 99 and len(set(up)) == 1
+
+
+@pytest.mark.parametrize("group", [2048, 8])
+def test_chains_of_near_copies_are_joined_whole(spark, monkeypatch, group):
+    """Texts of which each is linked with the next few alone: a class's likeliest partner joins only part of a chain."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    texts = [" ".join(f"s{chain}w{k}" for k in range(8 * at, 8 * at + 100)) for chain in range(3) for at in range(40)]
+    order = list(range(len(texts)))
+    random.Random(23).shuffle(order)
+    pairs = [(i, texts[k]) for i, k in enumerate(order)]
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect())
+    assert len({c for _, _, c in got}) == 3 and got == brute_components(pairs)
+
+
+def test_a_block_whose_main_component_is_on_side_0_loses_no_link(spark):
+    r = random.Random(24)
+    base = r.sample(range(2**62), 200)
+    sets = [sorted(base), sorted(base[:190]), sorted(base[10:])]
+    whole = spark.createDataFrame(list(enumerate(sets)), "c long, set array<long>")
+    groups = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 0), (1, 2, 2, 1)], "key long, c long, root long, side int")
+    assert {tuple(sorted(x)) for x in neardup.meet(groups, neardup.short_sets(whole)).collect()} == {(0, 2), (1, 2)}
+    assert {tuple(sorted(x)) for x in neardup.spanning_links(groups, whole).collect()} == {(0, 2)}
+
+
 def test_keep_one_keeps_one_document_of_a_group(spark, empty):
     a, b = words(80, 70), words(80, 71)
     pairs = [(1, a), (2, a + " tail"), (3, b), (3, a), (3, b), (4, None)]
