@@ -14,6 +14,21 @@ def _median(c) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
+def _mean(c: str) -> Column:
+    """The mean of a double column from the exact sum, rounded once, so it does not hang on the order in which rows meet.
+
+    Each value goes as two whole numbers: its part above 2^-20 and the rest in units of 2^-73, below which nothing counts. A group
+    with a value of 2^20 or more, an infinite one or NaN has the plain mean.
+    """
+    fits = F.abs(c) < 2.0**20
+    scaled = F.when(fits, F.col(c) * 2.0**20)
+    top = F.floor(scaled)
+    low = F.floor((scaled - top) * 2.0**53)
+    whole = lambda x: F.sum(x.cast("decimal(20,0)"))
+    total = (whole(top) * F.lit(1 << 53).cast("decimal(16,0)") + whole(low)).cast("double") * 2.0**-73
+    return F.when(F.max(F.abs(c)) < 2.0**20, total / F.count(c)).otherwise(F.avg(c))
+
+
 def zone_comparison(zone_px: DataFrame, other: DataFrame, kept: DataFrame | None = None, cell_km: float = 0.04, least: int = 5) -> DataFrame:
     """Each zone against a second stack: common cells, quartiles and scatter of both, sign, ratio, and its best counterpart.
 
@@ -55,10 +70,11 @@ def zone_placement(px: DataFrame, by: list[str], x_first: float, y_first: float,
     """Centroid (x, y of cell centres), distance from the reference cell in km, and vertical equivalent of each zone.
 
     px: row, col, velocity, incidence (degrees). The vertical equivalent is the median velocity over the cosine of the mean
-    incidence. step is the width of a cell in metres; rows run southward.
+    incidence; near 90 degrees the last bit of that mean shows, so it is taken of the exact sum. step is the width of a cell in
+    metres; rows run southward.
     """
     r, c = reference
-    agg = px.groupBy(*by).agg(F.avg("row").alias("_r"), F.avg("col").alias("_c"), _median("velocity").alias("_v"), F.avg("incidence").alias("incidence"))
+    agg = px.groupBy(*by).agg(F.avg("row").alias("_r"), F.avg("col").alias("_c"), _median("velocity").alias("_v"), _mean("incidence").alias("incidence"))
     return agg.select(
         *by, (x_first + (F.col("_c") + 0.5) * step).alias("x"), (y_first - (F.col("_r") + 0.5) * step).alias("y"),
         (F.hypot(F.col("_r") - r, F.col("_c") - c) * step / 1000).alias("reference_km"), "incidence", (F.col("_v") / F.cos(F.radians("incidence"))).alias("vertical"),

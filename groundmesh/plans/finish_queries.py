@@ -26,6 +26,13 @@ def q(c: str, p: float, digits: int = 7) -> str:
     return f"round(quantile_cont({c}, {p}), {digits})"
 
 
+def _as_sql(c: str, digits: int):
+    """A double rounded as the SQL's round: the binary product, halves away from zero; F.round takes the shortest decimal form."""
+    p = F.abs(F.col(c) * 10.0**digits)
+    near = F.floor(p) + (p - F.floor(p) >= 0.5).cast("int")
+    return (F.signum(c) * F.when(p < 2.0**52, near).otherwise(p) / 10.0**digits).alias(c)
+
+
 @query("zone_comparison", f"""with {pix_sql('pa', "l_returnflag = 'A'")}, {pix_sql('pb', "l_returnflag = 'N'")}, z as (select row // 20 * 100 + col // 20 as zone, row, col, case when velocity_std > 0.03 then velocity end as a, velocity_std as a_std, tcoh as a_tcoh from pa),
  o as (select row, col, case when velocity_std > 0.03 then velocity end as b, velocity_std as b_std, tcoh as b_tcoh, case when velocity > 5 then row // 15 * 100 + col // 15 end as label from pb),
  j as (select z.*, b, b_std, b_tcoh, label, a is not null and b is not null as ok from z left join o using (row, col)),
@@ -49,7 +56,7 @@ def _(spark, d):
 def _(spark, d):
     px = _labels(spark, d).withColumn("incidence", 30 + F.col("col") / 10)
     out = reports.zone_placement(px, ["label"], 500000.0, 3000000.0, 40.0, (50.0, 50.0))
-    return out.select("label", *[F.round(c, 5 if c in "xy" else 7).alias(c) for c in ("x", "y", "reference_km", "incidence", "vertical")])
+    return out.select("label", *[_as_sql(c, 5 if c in "xy" else 7) for c in ("x", "y", "reference_km", "incidence", "vertical")])
 
 
 @query("oscillation_links", f"""with {ZONE}, c as (select zone, i, t - avg(t) over w as u, y - avg(y) over w as v from zs window w as (partition by zone)), s as (select zone, count(*) as n, sum(u * u) as s2, sum(u * u * u) as s3, sum(u * u * u * u) as s4, sum(u * v) as uv, sum(u * u * v) as uuv from c group by 1),

@@ -1,6 +1,7 @@
 """Finishing tables and streams against plain rules."""
 
 import datetime
+import math
 import random
 
 import numpy as np
@@ -118,6 +119,28 @@ def test_provenance_and_placement(spark):
     assert tuple(got) == (1, 115.0, 495.0, 0.03, 60.0, pytest.approx(6.0))
 
 
+def test_mean_incidence_does_not_hang_on_order(spark):
+    r = random.Random(5)
+    zones = {z: [30 + r.randrange(1000) / 10 for _ in range(200)] for z in range(20)}
+    zones |= {20: [-3.3, 0.1, 0.2, 3e-9], 21: [2e6, 0.5], 22: [float("nan"), 1.0], 23: [float("inf"), 1.0], 24: [None], 25: [0.7, None, 0.1, 0.1]}
+    px = spark.createDataFrame([(z, 0, 0, 2.0, x) for z, xs in zones.items() for x in xs], "z int, row int, col int, velocity double, incidence double")
+    told = {z: [x for x in xs if x is not None] for z, xs in zones.items()}
+    want = {z: math.fsum(xs) / len(xs) if xs else None for z, xs in told.items() if z != 22}
+    for parts in (1, 3, 7):
+        got = {x["z"]: x["incidence"] for x in reports.zone_placement(px.repartition(parts), ["z"], 0.0, 0.0, 1.0, (0.0, 0.0)).collect()}
+        assert math.isnan(got.pop(22)) and got == want
+
+
+def test_placement_is_rounded_as_the_sql_rounds(spark, tmp_path):
+    from groundmesh import plans
+
+    cells = [(row, col) for row in range(6, 95) for col in range(5, 14) if (row + col) % 17][:640]
+    spark.createDataFrame([(col, row, 0, 0, 1.0, 65000.0, 0.0, 0.0) for row, col in cells], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (got,) = plans.QUERIES["zone_placement"](spark, str(tmp_path)).collect()
+    assert math.fsum(30 + col / 10 for _, col in cells) / 640 == 30.900468749999998  # times 1e7 it ends in .5
+    assert got["label"] == 6005 and got["incidence"] == 30.9004688
+
+
 def test_nearest_of_unconnected(spark):
     day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(k)
     nodes = spark.createDataFrame([("n", day(k)) for k in (0, 5, 9, 300, 2000)], "network_id string, node date")
